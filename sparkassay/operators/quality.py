@@ -184,26 +184,30 @@ def outlier_rates(
                     F.collect_list(
                         F.struct("column", F.struct((q1 - reach).alias("low"), (q3 + reach).alias("high")))
                     )
-                ).alias("limits")
+                ).alias("by_column")
             )
-            .scalar()
+            .select(F.array(*(F.try_element_at("by_column", F.lit(c)) for c in columns)))
         )
-        outside = {c: (v < limits[c]["low"]) | (v > limits[c]["high"]) for c, v in numbers.items()}
     else:
-        stats = df.agg(
+        limits = df.agg(
             F.array(
                 *(F.struct(F.avg(v).alias("mean"), F.stddev_pop(v).alias("spread")) for v in numbers.values())
-            ).alias("stats")
-        ).scalar()
-        outside = {
-            c: F.abs(F.try_divide(v - stats[i]["mean"], stats[i]["spread"])) > 3
-            for i, (c, v) in enumerate(numbers.items())
-        }
-    counted = df.agg(
+            )
+        )
+    # the limits enter the rows as one scalar, planned once for all columns
+    rows = df.select(*(v.alias(f"v{i}") for i, v in enumerate(numbers.values())), limits.scalar().alias("limits"))
+
+    def outside(i: int) -> Column:
+        v, limit = F.col(f"v{i}"), F.col("limits")[i]
+        if method == "iqr":
+            return (v < limit["low"]) | (v > limit["high"])
+        return F.abs(F.try_divide(v - limit["mean"], limit["spread"])) > 3
+
+    counted = rows.agg(
         F.array(
             *(
-                F.struct(F.lit(c).alias("column"), ratio(F.count_if(outside[c]), F.count(v)).alias("value"))
-                for c, v in numbers.items()
+                F.struct(F.lit(c).alias("column"), ratio(F.count_if(outside(i)), F.count(f"v{i}")).alias("value"))
+                for i, c in enumerate(numbers)
             )
         ).alias("rates")
     )

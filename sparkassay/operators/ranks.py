@@ -44,19 +44,21 @@ def order_statistics(
     error = _MARGIN / accuracy
     ends = sorted({max(0.0, f - error) for f in fractions} | {min(1.0, f + error) for f in fractions})
     at = {e: i for i, e in enumerate(ends)}
-    # One sketch per column answers all bracket ends; the whole answer is one scalar.
+    # One sketch per column answers all bracket ends; the whole answer is one scalar, taken into
+    # the rows once so that it is planned once.
     sketch = df.agg(
         F.array(
             *(F.percentile_approx(columns[c], [float(e) for e in ends], F.lit(accuracy)) for c in names)
         ).alias("sketch")
     ).scalar()
+    values = df.select(*(columns[c].alias(f"v{i}") for i, c in enumerate(names)), sketch.alias("sketch"))
 
-    def cell(i: int, name: str) -> Column:
-        v = columns[name]
+    def cell(i: int) -> Column:
+        v, ends_of = F.col(f"v{i}"), F.col("sketch")[i]
         inside, gap = F.lit(False), F.lit(0)
         for f in fractions:
-            low = sketch[i][at[max(0.0, f - error)]]
-            high = sketch[i][at[min(1.0, f + error)]]
+            low = ends_of[at[max(0.0, f - error)]]
+            high = ends_of[at[min(1.0, f + error)]]
             inside = inside | v.between(low, high)
             gap = gap + (v > high).cast("int")
         return F.struct(
@@ -66,7 +68,7 @@ def order_statistics(
             F.when(inside, v).alias("single"),
         )
 
-    long = df.select(F.inline(F.array(*(cell(i, c) for i, c in enumerate(names))))).where("v IS NOT NULL")
+    long = values.select(F.inline(F.array(*(cell(i) for i in range(len(names)))))).where("v IS NOT NULL")
     runs = long.groupBy("i", "gap", "single").agg(
         F.count("*").alias("rows"), F.min("v").alias("low"), F.max("v").alias("high")
     )

@@ -36,8 +36,9 @@ def search(
     best rows of each task leave it; equal scores go by id.
     """
     q = query if isinstance(query, Column) else F.array(*(F.lit(float(x)) for x in query))
-    found = points if where is None else points.where(where)
-    score = dot(V.col(vector_column), q) if distance == "dot" else cosine(V.col(vector_column), q)
+    found = (points if where is None else points.where(where)).withColumn("_query", q)
+    vector, q = V.col(vector_column), F.col("_query")
+    score = dot(vector, q) if distance == "dot" else cosine(vector, q)
     payload = [V.col(c) for c in points.columns if c not in (id_column, vector_column)]
     scored = found.select(V.col(id_column), score.alias("score"), *payload)
     return scored.orderBy(F.desc("score"), F.asc(id_column)).limit(top_k)

@@ -13,7 +13,6 @@ from sparkassay.functions import patterns as P
 from sparkassay.functions import values as V
 from sparkassay.operators import media, privacy, quality, series, stats
 from sparkassay.plans.plan import plan_table, resolve_plan
-from sparkassay.plans.registry import TABLES
 
 # Aggregates computed together in one scan of a table.
 FUSED = 40
@@ -37,24 +36,47 @@ def audit(tables: Mapping[str, DataFrame], plan: DataFrame | Iterable[Any]) -> D
         plan = plan_table(spark, plan)
     resolved = resolve_plan(plan, tables).orderBy("plan_no", "table", "column").collect()
     labels = []
-    runnable: dict[str, list[tuple[int, Row]]] = {}
-    for no, row in enumerate(resolved):
+    runnable: dict[str, list[tuple[int, Row, str]]] = {}
+    for row in resolved:
         error = row["error_message"] or _problem(tables, row)
-        labels.append(
-            (no, row["table"], row["column"], row["requested_metric"], row["executed_metric"], error)
-        )
-        if error is None:
-            runnable.setdefault(row["table"], []).append((no, row))
-    parts = [spark.createDataFrame([(no, None) for no, *_, error in labels if error], "no int, value double")]
+        # one result row each, but one per pair of splits where a metric answers several
+        for column in _pairs(row) if error is None and row["executed_metric"] == _SPLITS else [row["column"]]:
+            empty = _WITHOUT_ROWS.get(row["executed_metric"])
+            labels.append(
+                (len(labels), row["table"], column, row["requested_metric"], row["executed_metric"], error, empty)
+            )
+            if error is None:
+                runnable.setdefault(row["table"], []).append((len(labels) - 1, row, column))
+    parts = [spark.createDataFrame([], "no int, value double")]
     for table, rows in runnable.items():
         parts += _run(tables, tables[table], rows)
     results = functools.reduce(DataFrame.unionAll, parts)
     named = spark.createDataFrame(
         labels,
-        "no int, table string, column string, requested_metric string, executed_metric string, error_message string",
+        "no int, table string, column string, requested_metric string, executed_metric string, "
+        "error_message string, empty double",
     )
     status = F.when(F.col("error_message").isNull(), "success").otherwise("error")
-    return named.join(results, "no", "left").withColumn("status", status).select(*RESULT_COLUMNS)
+    value = F.coalesce("value", F.when(F.col("error_message").isNull(), F.col("empty")))
+    return (
+        named.join(results, "no", "left")
+        .withColumn("status", status)
+        .withColumn("value", value)
+        .select(*RESULT_COLUMNS)
+    )
+
+
+_SPLITS = "exact_duplicate_overlap_rate_across_splits"
+
+# Metrics whose query has no row for a table without rows, with their value there.
+_WITHOUT_ROWS = {"uniqueness_rate": 0.0, "class_imbalance_ratio": 1.0}
+
+
+def _pairs(row: Row) -> list[str]:
+    names = ["train_test", "test_train"]
+    if "val" in (row["params"] or {}):
+        names += ["val_train", "train_val", "val_test", "test_val"]
+    return [f"{n}_overlap" for n in names]
 
 
 def _problem(tables: Mapping[str, DataFrame], row: Row) -> str | None:
@@ -64,12 +86,12 @@ def _problem(tables: Mapping[str, DataFrame], row: Row) -> str | None:
     missing = [c for c in row["columns"] or () if c not in df.columns]
     if missing:
         return f"table '{row['table']}' has no column '{missing[0]}'"
-    if metric in ("exact_duplicate_overlap_rate", "exact_duplicate_overlap_rate_across_splits"):
+    if metric in ("exact_duplicate_overlap_rate", _SPLITS):
         needed = ["other"] if metric == "exact_duplicate_overlap_rate" else ["train", "test"]
         for name in needed:
             if params.get(name) not in tables:
                 return f"parameter '{name}' must name a table"
-    if metric == "exact_duplicate_overlap_rate_across_splits" and params.get("val", params["train"]) not in tables:
+    if metric == _SPLITS and params.get("val", params["train"]) not in tables:
         return "parameter 'val' must name a table"
     if metric == "blur_index" and (not row["columns"] or "width" not in params):
         return "needs a pixel column and the parameter 'width'"
@@ -133,14 +155,15 @@ def _fused(df: DataFrame, row: Row) -> Column | None:
     return None
 
 
-def _run(tables: Mapping[str, DataFrame], df: DataFrame, rows: list[tuple[int, Row]]) -> list[DataFrame]:
+def _run(tables: Mapping[str, DataFrame], df: DataFrame, rows: list[tuple[int, Row, str]]) -> list[DataFrame]:
     """DataFrames `(no, value)` that together answer the rows of one table."""
     fused: list[tuple[int, Column]] = []
     summarised: list[tuple[int, str, str]] = []
     outliers: dict[str, list[tuple[int, str]]] = {}
     inflated: dict[str | None, list[tuple[int, str]]] = {}
     parts: list[DataFrame] = []
-    for no, row in rows:
+    splits: list[tuple[int, str]] = []
+    for no, row, column in rows:
         metric, columns, params = row["executed_metric"], row["columns"], row["params"] or {}
         one_scan = _fused(df, row)
         if one_scan is not None:
@@ -151,6 +174,9 @@ def _run(tables: Mapping[str, DataFrame], df: DataFrame, rows: list[tuple[int, R
             outliers.setdefault(params.get("method", "iqr"), []).append((no, columns[0]))
         elif metric == "variance_inflation_factor":
             inflated.setdefault(params.get("others"), []).append((no, columns[0]))
+        elif metric == _SPLITS:
+            splits.append((no, column))
+            split_params = params
         else:
             parts.append(_alone(tables, df, metric, columns, params).select(F.lit(no).alias("no"), "value"))
     for start in range(0, len(fused), FUSED):
@@ -164,6 +190,12 @@ def _run(tables: Mapping[str, DataFrame], df: DataFrame, rows: list[tuple[int, R
     for method, wanted in outliers.items():
         rates = quality.outlier_rates(df, sorted({c for _, c in wanted}), method)
         parts.append(_numbered(rates, wanted))
+    if splits:
+        val = tables[split_params["val"]] if "val" in split_params else None
+        rates = quality.exact_duplicate_overlap_rate_across_splits(
+            tables[split_params["train"]], tables[split_params["test"]], val
+        )
+        parts.append(_numbered(rates.withColumnRenamed("pair", "column"), splits))
     for others, wanted in inflated.items():
         factors = stats.variance_inflation_factors(df, sorted({c for _, c in wanted}), _listed(others))
         parts.append(_numbered(factors, wanted))
@@ -206,12 +238,6 @@ def _alone(
             return series.change_point_detection_score(df, columns[0], columns[1])
         case "exact_duplicate_overlap_rate":
             return quality.exact_duplicate_overlap_rate(df, tables[params["other"]])
-        case "exact_duplicate_overlap_rate_across_splits":
-            val = tables[params["val"]] if "val" in params else None
-            rates = quality.exact_duplicate_overlap_rate_across_splits(
-                tables[params["train"]], tables[params["test"]], val
-            )
-            return rates.select(F.concat(F.lit(""), "pair").alias("pair"), "value").agg(F.max("value").alias("value"))
     raise ValueError(f"no way to run {metric!r}")
 
 
