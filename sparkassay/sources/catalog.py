@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import re
 from collections.abc import Mapping, Sequence
 from typing import NamedTuple
 
@@ -32,7 +33,8 @@ def list_tables(spark: SparkSession, folder: str) -> DataFrame:
         .load(folder)
         .select("path", "length")
     )
-    name = F.regexp_extract("path", r"([^/]+?)(?:\.parquet)?(?:/[^/]+\.parquet)?$", 1)
+    inside = re.sub(r"^[a-z0-9]+:/*(?=/)", "", folder.rstrip("/"))
+    name = F.regexp_extract("path", re.escape(inside) + r"/+([^/]+?)(?:\.parquet)?(?:/.*)?$", 1)
     return files.groupBy(name.alias("table_name")).agg(
         F.count("*").alias("files"), F.sum("length").alias("size_bytes")
     )
