@@ -14,8 +14,9 @@ DIGEST_ABOVE = 64
 
 _FRACTIONAL = (T.FloatType, T.DoubleType)
 _INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
-# A trailing d or f is a number to Java ("1d") but text to everyone else.
-_JAVA_SUFFIX = r"[0-9.]\s*[dDfF]\s*$"
+# Texts that are numbers. Checked before the cast: a failed cast costs far more than a failed match.
+_DECIMAL = r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"
+_INFINITE = r"(?i)^\s*[+-]?inf(inity)?\s*$"
 
 
 def col(name: str) -> Column:
@@ -51,8 +52,10 @@ def number(df: DataFrame, name: str) -> Column:
     if isinstance(kind, (T.TimestampType, T.TimestampNTZType, T.DateType)):
         return F.unix_micros(col(name).cast("timestamp")).cast("double")
     if isinstance(kind, (T.StringType, T.CharType, T.VarcharType)):
-        parsed = F.when(~col(name).rlike(_JAVA_SUFFIX), col(name).try_cast("double"))
-        return F.when(~F.isnan(parsed), parsed)
+        infinite = F.when(F.contains(col(name), F.lit("-")), F.lit(float("-inf"))).otherwise(F.lit(float("inf")))
+        return F.when(col(name).rlike(_DECIMAL), col(name).try_cast("double")).when(
+            col(name).rlike(_INFINITE), infinite
+        )
     return F.lit(None).cast("double")
 
 

@@ -53,22 +53,31 @@ def order_statistics(
     ).scalar()
     values = df.select(*(columns[c].alias(f"v{i}") for i, c in enumerate(names)), sketch.alias("sketch"))
 
-    def cell(i: int) -> Column:
+    def marks(i: int) -> list[Column]:
         v, ends_of = F.col(f"v{i}"), F.col("sketch")[i]
         inside, gap = F.lit(False), F.lit(0)
         for f in fractions:
-            low = ends_of[at[max(0.0, f - error)]]
             high = ends_of[at[min(1.0, f + error)]]
-            inside = inside | v.between(low, high)
+            inside = inside | v.between(ends_of[at[max(0.0, f - error)]], high)
             gap = gap + (v > high).cast("int")
-        return F.struct(
+        return [
+            v,
+            F.when(inside, F.lit(-1)).otherwise(gap).alias(f"gap{i}"),
+            F.when(inside, v).alias(f"single{i}"),
+        ]
+
+    # marked in a projection, which compiles; the unfolding after it only moves columns
+    marked = values.select(*(m for i in range(len(names)) for m in marks(i)))
+    cells = [
+        F.struct(
             F.lit(i).alias("i"),
-            v.alias("v"),
-            F.when(inside, F.lit(-1)).otherwise(gap).alias("gap"),
-            F.when(inside, v).alias("single"),
+            F.col(f"v{i}").alias("v"),
+            F.col(f"gap{i}").alias("gap"),
+            F.col(f"single{i}").alias("single"),
         )
-
-    long = values.select(F.inline(F.array(*(cell(i) for i in range(len(names)))))).where("v IS NOT NULL")
+        for i in range(len(names))
+    ]
+    long = marked.select(F.inline(F.array(*cells))).where("v IS NOT NULL")
     runs = long.groupBy("i", "gap", "single").agg(
         F.count("*").alias("rows"), F.min("v").alias("low"), F.max("v").alias("high")
     )
