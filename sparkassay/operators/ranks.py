@@ -17,6 +17,7 @@ SKETCH_ACCURACY = 100_000
 _MARGIN = 3
 # Groups up to this many rows are numbered by a plain window.
 WINDOW_ROWS = 2_000_000
+MOST_BLOCKS = 20_000
 
 
 def linear_position(n: Column, fraction: float) -> Column:
@@ -165,9 +166,10 @@ def with_positions(
     range-partitioned by (keys, order) and written once; each block is numbered on its own, and the
     start of a block is the sum of the blocks before it. No task holds more than one block.
     """
-    if largest_group(df, keys) <= window_rows:
+    largest, rows = group_sizes(df, keys)
+    if largest <= window_rows:
         return _window_positions(df, order, keys, position, size)
-    blocks = to_blocks(df, order, keys)
+    blocks = to_blocks(df, order, keys, block_count(df, rows, window_rows))
     starts = block_starts(blocks.groupBy(*keys, "_block").agg(F.count("*").alias("_rows")), keys, ["_rows"])
     in_block = Window.partitionBy(*keys, "_block").orderBy(*order)
     joined = join_blocks(blocks, starts, keys)
@@ -177,9 +179,18 @@ def with_positions(
     return out.drop("_block", "_rows", "_rows_before", "_rows_total")
 
 
-def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
+def group_sizes(df: DataFrame, keys: Sequence[str]) -> tuple[int, int]:
+    """Rows of the largest group and of the table."""
     counts = df.groupBy(*keys).agg(F.count("*").alias("n"))
-    return counts.agg(F.max("n")).first()[0] or 0
+    largest, rows = counts.agg(F.max("n"), F.sum("n")).first()
+    return largest or 0, rows or 0
+
+
+def block_count(df: DataFrame, rows: int, block_rows: int) -> int:
+    """How many blocks to cut a table into: enough for the rows and for the cluster, but not so
+    many that their list itself becomes large."""
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(tasks, min(MOST_BLOCKS, -(-rows // block_rows)))
 
 
 def _window_positions(df, order, keys, position, size):
@@ -189,10 +200,10 @@ def _window_positions(df, order, keys, position, size):
     return out.withColumn(size, F.count("*").over(group)) if size else out
 
 
-def to_blocks(df: DataFrame, order: Sequence[str], keys: Sequence[str]) -> DataFrame:
+def to_blocks(df: DataFrame, order: Sequence[str], keys: Sequence[str], blocks: int) -> DataFrame:
     """Rows in range-partitioned blocks along (keys, order), written once so that the block of a
     row is settled; column `_block` ascends along the order."""
-    ranged = df.repartitionByRange(*keys, *order).withColumn("_block", F.spark_partition_id())
+    ranged = df.repartitionByRange(blocks, *keys, *order).withColumn("_block", F.spark_partition_id())
     return written(ranged, "blocks")
 
 

@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from sparkassay.functions import values as V
 from sparkassay.operators.ranks import (
     WINDOW_ROWS,
+    block_count,
     block_starts,
+    group_sizes,
     join_blocks,
-    largest_group,
     to_blocks,
 )
 
@@ -32,10 +33,11 @@ def change_point_scores(
     """
     keys = list(keys)
     rows = df.select(*(V.col(k) for k in keys), V.col(order).alias("_t"), V.number(df, column).alias("_v"))
-    if largest_group(rows, keys) <= window_rows:
+    largest, total = group_sizes(rows, keys)
+    if largest <= window_rows:
         running = _running_in_windows(rows, keys)
     else:
-        running = _running_in_blocks(rows, keys)
+        running = _running_in_blocks(rows, keys, block_count(rows, total, window_rows))
 
     w = F.greatest(F.lit(2), F.floor(F.col("_n") / 5))
     ahead = F.floor((w - 1) / 2)  # points of the window after its centre
@@ -64,7 +66,7 @@ def change_point_scores(
     mean = s / w
     spread = F.sqrt(F.greatest(F.lit(0.0), (q - s * mean) / (w - 1)))
     outside = (count == w) & (F.abs(F.col("v") - mean) > spread * 2)
-    score = F.when(F.max("_n") < 3, F.lit(0.0)).otherwise(
+    score = F.when(F.coalesce(F.max("_n"), F.lit(0)) < 3, F.lit(0.0)).otherwise(
         F.least(F.lit(1.0), F.count_if(outside) / F.max("_n"))
     )
     return met.groupBy(*keys).agg(F.max("_n").alias("points"), score.alias("value"))
@@ -86,8 +88,8 @@ def _running_in_windows(rows: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def _running_in_blocks(rows: DataFrame, keys: list[str]) -> DataFrame:
-    blocks = to_blocks(rows, ["_t"], keys)
+def _running_in_blocks(rows: DataFrame, keys: list[str], blocks_wanted: int) -> DataFrame:
+    blocks = to_blocks(rows, ["_t"], keys, blocks_wanted)
     by_block = [*keys, "_block"]
     # Size and mean of every series from one row per (series, block) ...
     sizes = blocks.groupBy(*by_block).agg(

@@ -60,3 +60,23 @@ class SessionTables:
 
     def page(self, session_id: str, table: str, order: list[str], page: int = 1, page_size: int = 10) -> DataFrame:
         return paginate(self.stored(session_id, table), order, page, page_size)
+
+    def page_info(self, session_id: str, table: str, page: int = 1, page_size: int = 10) -> DataFrame:
+        """One row about a page: `(session_id, table_name, status, total_records, page, page_size,
+        total_pages)`; an absent or expired table has no records."""
+        if page < 1 or page_size < 1:
+            raise ValueError("page and page_size must be at least 1")
+        if table in self.names(session_id):
+            counted = self.stored(session_id, table).agg(F.count("*").alias("total_records"))
+        else:
+            counted = self.spark.range(1).select(F.lit(0).cast("long").alias("total_records"))
+        status = F.when(F.col("total_records") > 0, "success").otherwise("expired_or_not_found")
+        return counted.select(
+            F.lit(session_id).alias("session_id"),
+            F.lit(table).alias("table_name"),
+            status.alias("status"),
+            "total_records",
+            F.lit(page).alias("page"),
+            F.lit(page_size).alias("page_size"),
+            F.ceil(F.col("total_records") / page_size).alias("total_pages"),
+        )
