@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sparkassay.functions import values as V
-from sparkassay.operators.ranks import SKETCH_ACCURACY, order_statistics
+from sparkassay.operators.ranks import SKETCH_ACCURACY, SKETCH_GROUPS, order_statistics
 
 
 def metric_row(df: DataFrame, metric: str, aggregate: Column) -> DataFrame:
@@ -154,12 +154,22 @@ def uniqueness_rate(df: DataFrame, column: str, approx: bool = False) -> DataFra
     if column not in df.columns:
         return metric_row(df, name, F.lit(0.0))
     if approx:
-        cells = V.value(df, column)
-        return metric_row(df, name, F.least(F.lit(1.0), ratio(F.approx_count_distinct(cells, 0.01), F.count(cells))))
+        return _approximate_uniqueness(df, column)
     summary = value_summary(df, [column])
     return metric_row(summary, name, F.coalesce(F.max(uniqueness_from(summary)), F.lit(0.0)))
 
 
+def _approximate_uniqueness(df: DataFrame, column: str) -> DataFrame:
+    """Sketches are merged within groups of tasks first, then over the groups."""
+    cells = df.select(
+        F.pmod(F.spark_partition_id(), F.lit(SKETCH_GROUPS)).alias("g"),
+        V.key(df, column).cast("string").alias("cell"),
+    )
+    grouped = cells.groupBy("g").agg(F.hll_sketch_agg("cell", 14).alias("sketch"), F.count("cell").alias("rows"))
+    distinct = F.hll_sketch_estimate(F.hll_union_agg("sketch"))
+    return metric_row(grouped, "uniqueness_rate", F.least(F.lit(1.0), ratio(distinct, F.coalesce(F.sum("rows"), F.lit(0)))))
+
+
 # -- outliers -----------------------------------------------------------------------------------
 
 

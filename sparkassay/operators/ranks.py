@@ -12,9 +12,10 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-# Relative rank error of the sketch is 1/SKETCH_ACCURACY; brackets are three errors wide each way.
+# Relative rank error of one sketch is 1/SKETCH_ACCURACY. Sketches are merged within this many
+# groups of tasks, so that no task merges the sketches of all others.
 SKETCH_ACCURACY = 100_000
-_MARGIN = 3
+SKETCH_GROUPS = 512
 # Groups up to this many rows are numbered by a plain window.
 WINDOW_ROWS = 2_000_000
 MOST_BLOCKS = 20_000
@@ -25,6 +26,50 @@ def linear_position(n: Column, fraction: float) -> Column:
     return (n - 1) * F.lit(fraction)
 
 
+def value_brackets(
+    df: DataFrame, columns: Mapping[str, Column], fractions: Sequence[float], accuracy: int = SKETCH_ACCURACY
+) -> DataFrame:
+    """One row, one array: per column an array of `(low, high)` around each quantile.
+
+    Every group of tasks sketches its rows and hands on evenly spaced quantiles; these, weighted by
+    the rows they stand for, are summed up along the values. What that sum is off by is at most
+    1/accuracy (sketch) plus the spacing, and the brackets are twice as wide.
+    """
+    points = max(50, accuracy // 5)
+    slack = 2.0 * (1.0 / points + 1.0 / accuracy)
+    # one text literal, not one literal per point, keeps the plan small
+    spaced = F.split(F.lit(",".join(f"{i / points:.9f}" for i in range(points + 1))), ",").cast("array<double>")
+    names = range(len(columns))
+    grouped = df.select(
+        F.pmod(F.spark_partition_id(), F.lit(SKETCH_GROUPS)).alias("g"),
+        *(v.alias(f"v{i}") for i, v in enumerate(columns.values())),
+    ).groupBy("g")
+    sketches = grouped.agg(
+        *(F.count(f"v{i}").alias(f"rows{i}") for i in names),
+        *(F.percentile_approx(f"v{i}", spaced, accuracy).alias(f"values{i}") for i in names),
+    )
+    per_column = ", ".join(f"struct({i} AS i, rows{i} AS rows, values{i} AS values)" for i in names)
+    share = (
+        sketches.selectExpr(f"inline(array({per_column}))")
+        .selectExpr("i", "rows", "explode(values) AS v")
+        .selectExpr(
+            "i",
+            "v",
+            "try_divide(sum(rows) OVER (PARTITION BY i ORDER BY v RANGE UNBOUNDED PRECEDING), "
+            "sum(rows) OVER (PARTITION BY i)) AS share",
+        )
+    )
+    bracket = ", ".join(
+        f"struct(coalesce(max(v) FILTER (WHERE share <= {f - slack!r}D), double('-inf')) AS low, "
+        f"coalesce(min(v) FILTER (WHERE share >= {f + slack!r}D), double('inf')) AS high)"
+        for f in fractions
+    )
+    brackets = share.groupBy("i").agg(F.expr(f"array({bracket})").alias("brackets"))
+    by_number = brackets.agg(F.expr("map_from_entries(collect_list(struct(i, brackets)))").alias("by_number"))
+    in_order = ", ".join(f"try_element_at(by_number, {i})" for i in names)
+    return by_number.selectExpr(f"array({in_order}) AS brackets")
+
+
 def order_statistics(
     df: DataFrame,
     columns: Mapping[str, Column],
@@ -34,94 +79,71 @@ def order_statistics(
 ) -> DataFrame:
     """Exact quantiles per column: rows `(column, n, quantiles ARRAY<DOUBLE>)`.
 
-    `columns` maps a label to a DOUBLE expression that is NULL where missing. First scan: a
-    quantile sketch gives a narrow bracket of values around every wanted rank. Second scan: values
-    inside a bracket are counted one by one, all values between two brackets collapse into one row
-    (count, smallest, largest), so the sorted remainder is a fixed share (6/accuracy per quantile)
-    of the rows, and the value at each rank is read off its running count. The sketch only saves
-    work: a rank that fell outside its bracket fails the job rather than giving a wrong value.
+    `columns` maps a label to a DOUBLE expression that is NULL where missing. First scan: sketches
+    give a narrow bracket of values around every wanted rank. Second scan: values inside a bracket
+    are counted one by one, all values between two brackets collapse into one row (count, smallest,
+    largest), so the sorted remainder is a small fixed share of the rows, and the value at each
+    rank is read off its running count. The sketches only save work: a rank that fell outside its
+    bracket fails the job rather than giving a wrong value.
     """
     names = list(columns)
-    error = _MARGIN / accuracy
-    ends = sorted({max(0.0, f - error) for f in fractions} | {min(1.0, f + error) for f in fractions})
-    at = {e: i for i, e in enumerate(ends)}
-    # One sketch per column answers all bracket ends; the whole answer is one scalar, taken into
-    # the rows once so that it is planned once.
-    sketch = df.agg(
-        F.array(
-            *(F.percentile_approx(columns[c], [float(e) for e in ends], F.lit(accuracy)) for c in names)
-        ).alias("sketch")
-    ).scalar()
-    values = df.select(*(columns[c].alias(f"v{i}") for i, c in enumerate(names)), sketch.alias("sketch"))
-
-    def marks(i: int) -> list[Column]:
-        v, ends_of = F.col(f"v{i}"), F.col("sketch")[i]
-        inside, gap = F.lit(False), F.lit(0)
-        for f in fractions:
-            high = ends_of[at[min(1.0, f + error)]]
-            inside = inside | v.between(ends_of[at[max(0.0, f - error)]], high)
-            gap = gap + (v > high).cast("int")
+    # The brackets are one scalar, taken into the rows once so that it is planned once.
+    brackets = value_brackets(df, columns, fractions, accuracy).scalar()
+    values = df.select(*(columns[c].alias(f"v{i}") for i, c in enumerate(names)), brackets.alias("brackets"))
+
+    def marks(i: int) -> list[str]:
+        around = [f"brackets[{i}][{j}]" for j in range(len(fractions))]
+        inside = " OR ".join(f"v{i} BETWEEN {b}.low AND {b}.high" for b in around)
+        gap = " + ".join(f"int(v{i} > {b}.high)" for b in around)
         return [
-            v,
-            F.when(inside, F.lit(-1)).otherwise(gap).alias(f"gap{i}"),
-            F.when(inside, v).alias(f"single{i}"),
+            f"v{i}",
+            f"CASE WHEN {inside} THEN -1 ELSE {gap} END AS gap{i}",
+            f"CASE WHEN {inside} THEN v{i} END AS single{i}",
         ]
 
     # marked in a projection, which compiles; the unfolding after it only moves columns
-    marked = values.select(*(m for i in range(len(names)) for m in marks(i)))
-    cells = [
-        F.struct(
-            F.lit(i).alias("i"),
-            F.col(f"v{i}").alias("v"),
-            F.col(f"gap{i}").alias("gap"),
-            F.col(f"single{i}").alias("single"),
-        )
-        for i in range(len(names))
-    ]
-    long = marked.select(F.inline(F.array(*cells))).where("v IS NOT NULL")
+    marked = values.selectExpr(*(m for i in range(len(names)) for m in marks(i)))
+    cells = ", ".join(
+        f"struct({i} AS i, v{i} AS v, gap{i} AS gap, single{i} AS single)" for i in range(len(names))
+    )
+    long = marked.selectExpr(f"inline(array({cells}))").where("v IS NOT NULL")
     runs = long.groupBy("i", "gap", "single").agg(
         F.count("*").alias("rows"), F.min("v").alias("low"), F.max("v").alias("high")
     )
-    by_column = Window.partitionBy("i")
-    upto = by_column.orderBy("low").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = runs.select(
-        "i",
-        "gap",
-        "low",
-        "high",
-        "rows",
-        (F.sum("rows").over(upto) - F.col("rows")).alias("before"),
-        F.sum("rows").over(by_column).alias("n"),
+    ranked = runs.selectExpr(
+        "*",
+        "sum(rows) OVER (PARTITION BY i ORDER BY low ROWS UNBOUNDED PRECEDING) - rows AS before",
+        "sum(rows) OVER (PARTITION BY i) AS n",
     )
-
-    def at_rank(rank: Column) -> Column:
-        last = F.col("before") + F.col("rows") - 1
-        unresolved = F.raise_error(F.lit("rank outside its bracket: raise the sketch accuracy")).cast("double")
-        here = (
-            F.when((F.col("gap") == -1) | (rank == F.col("before")), F.col("low"))
-            .when(rank == last, F.col("high"))
-            .otherwise(unresolved)
-        )
-        return F.max(F.when((rank >= F.col("before")) & (rank <= last), here))
-
-    aggregates = [F.max("n").alias("n")]
-    for j, f in enumerate(fractions):
-        where = position(F.col("n"), f)
-        aggregates += [
-            at_rank(F.floor(where)).alias(f"a{j}"),
-            at_rank(F.ceil(where)).alias(f"b{j}"),
-            F.max(where - F.floor(where)).alias(f"t{j}"),
-        ]
-    ends_of = ranked.groupBy("i").agg(*aggregates)
-    quantiles = [
-        # equal ends first: keeps infinite values out of the subtraction
-        F.when(F.col(f"a{j}") == F.col(f"b{j}"), F.col(f"a{j}")).otherwise(
-            F.col(f"a{j}") + (F.col(f"b{j}") - F.col(f"a{j}")) * F.col(f"t{j}")
+    places = [position(F.col("n"), f).alias(f"place{j}") for j, f in enumerate(fractions)]
+    placed = ranked.select("*", *places)
+
+    def at(rank: str) -> str:
+        """The value at a rank: of its own row, or at one end of a collapsed one."""
+        return (
+            f"max(CASE WHEN {rank} < before OR {rank} >= before + rows THEN NULL "
+            f"WHEN gap = -1 OR {rank} = before THEN low WHEN {rank} = before + rows - 1 THEN high "
+            "ELSE double(raise_error('rank outside its bracket: raise the sketch accuracy')) END)"
         )
-        for j in range(len(fractions))
-    ]
+
+    found = placed.groupBy("i").agg(
+        F.max("n").alias("n"),
+        *(
+            F.expr(e)
+            for j in range(len(fractions))
+            for e in (
+                f"{at(f'floor(place{j})')} AS a{j}",
+                f"{at(f'ceil(place{j})')} AS b{j}",
+                f"max(place{j} - floor(place{j})) AS t{j}",
+            )
+        ),
+    )
+    # equal ends first: keeps infinite values out of the subtraction
+    quantiles = ", ".join(
+        f"CASE WHEN a{j} = b{j} THEN a{j} ELSE a{j} + (b{j} - a{j}) * t{j} END" for j in range(len(fractions))
+    )
     labels = F.array(*(F.lit(c) for c in names))
-    return ends_of.select(labels[F.col("i")].alias("column"), "n", F.array(*quantiles).alias("quantiles"))
+    return found.select(labels[F.col("i")].alias("column"), "n", F.expr(f"array({quantiles})").alias("quantiles"))
 
 
 def shared_folder(spark: SparkSession) -> str:

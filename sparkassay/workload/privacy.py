@@ -149,7 +149,7 @@ ORACLE = {
         _PEOPLE,
     ),
     "raw_pii_field_count": f"""
-        SELECT 'people' AS "table", 3 AS fields,
+        SELECT 'people' AS "table", CAST(3 AS BIGINT) AS fields,
                count(account_id) + count(medical_note) + count(patient_dob) AS present_cells FROM {_PEOPLE}
         UNION ALL SELECT 'documents', 0, 0 * count(*) FROM documents
         UNION ALL SELECT 'orders', 0, 0 * count(*) FROM orders""",

@@ -288,11 +288,11 @@ def _orphans(k: catalog.ForeignKey) -> str:
 
 
 ORACLE = {
-    "scan_csv": "SELECT * FROM customer",
+    "scan_csv": "SELECT * REPLACE (CAST(c_custkey AS INTEGER) AS c_custkey) FROM customer",
     "scan_json_flatten": """
         SELECT l_partkey AS part, l_quantity AS quantity, NULL AS line, NULL AS price, NULL AS rates FROM lineitem
         UNION ALL SELECT l_suppkey, l_tax, NULL, NULL, NULL FROM lineitem
-        UNION ALL SELECT NULL, NULL, l_linenumber, l_extendedprice, l_discount || '|' || l_tax FROM lineitem""",
+        UNION ALL SELECT NULL, NULL, CAST(l_linenumber AS BIGINT), l_extendedprice, l_discount || '|' || l_tax FROM lineitem""",
     "scan_parquet": "SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_totalprice > 400000",
     "read_projected": "SELECT s_suppkey, s_acctbal FROM supplier",
     "schema_of_table": " UNION ALL ".join(
@@ -300,20 +300,20 @@ ORACLE = {
         "FROM (SELECT d.*, quality, toxic FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)"
         for i, (c, t) in enumerate(_DOCUMENT_COLUMNS)
     ),
-    "filter_keys_sink": "SELECT p_size, p_partkey, p_brand FROM part",
+    "filter_keys_sink": "SELECT CAST(p_size AS BIGINT) AS p_size, p_partkey, p_brand FROM part",
     "document_fields": """
         SELECT DISTINCT unnest(json_keys(CASE WHEN user_id % 10 = 3
           THEN '{"extra": {"deep": 1}, ' || substring(props, 2) ELSE props END)) AS field FROM events""",
     "sample_head": "SELECT * FROM orders ORDER BY o_orderkey LIMIT 10",
     "paginate": _page("o_orderkey", 3, 25),
     "paginate_deep": _page("o_totalprice, o_orderkey", 97, 25),
-    "list_tables": " UNION ALL ".join(f"SELECT '{n}' AS table_name, 1 AS files" for n in NAMES),
+    "list_tables": " UNION ALL ".join(f"SELECT '{n}' AS table_name, CAST(1 AS BIGINT) AS files" for n in NAMES),
     "table_metadata": " UNION ALL ".join(
         f"SELECT '{n}' AS table_name, {len(c.split())} AS columns, '{','.join(c.split())}' AS names, "
         f"{_KEYS.get(n, 0)} AS foreign_keys, count(*) AS row_count, true AS has_size FROM {n}"
         for n, c in COLUMNS.items()
     ),
-    "dataset_size": "SELECT count(*) AS tables, sum(n) AS row_count, true AS has_size FROM ("
+    "dataset_size": "SELECT count(*) AS tables, CAST(sum(n) AS BIGINT) AS row_count, true AS has_size FROM ("
     + " UNION ALL ".join(f"SELECT count(*) AS n FROM {n}" for n in NAMES)
     + ")",
     "foreign_key_check": " UNION ALL ".join(_orphans(k) for k in FOREIGN_KEYS),
