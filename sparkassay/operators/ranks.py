@@ -6,6 +6,7 @@ the rows of every group along an order, also when one group holds a large share
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Callable, Mapping, Sequence
 
@@ -147,15 +148,15 @@ def order_statistics(
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder every executor sees, as the cluster names it in `spark.checkpoint.dir`; only
-    where none is named (a local session) one under the session's own working folder."""
+    """The folder every executor sees, as the cluster names it in `spark.checkpoint.dir`. A local
+    session that names none gets a temporary one; a cluster has to name it."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     current = spark.sparkContext.getCheckpointDir()
     if current is None:
-        import tempfile
-
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="sparkassay-"))
         current = spark.sparkContext.getCheckpointDir()
     return current.rstrip("/")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,6 +11,8 @@ from sparkassay.operators.ranks import order_statistics, with_positions
 
 # Pages that end before this row are read off a top-k.
 TOP_ROWS = 1_000_000
+# Pages up to this many rows are broadcast to fetch their rows.
+BROADCAST_ROWS = 100_000
 
 
 def sample_head(df: DataFrame, limit: int = 10, order: Sequence[str] = ()) -> DataFrame:
@@ -42,6 +44,11 @@ def sample_fraction(df: DataFrame, percentage: float = 0.1, seed: int = 42) -> D
     return df.withColumn("_draw", draw).where(F.col("_draw") <= threshold).drop("_draw")
 
 
+def sample_tables(tables: Mapping[str, DataFrame], percentage: float = 0.1, seed: int = 42) -> dict[str, DataFrame]:
+    """`sample_fraction` of every table."""
+    return {name: sample_fraction(df, percentage, seed) for name, df in tables.items()}
+
+
 def paginate(
     df: DataFrame, order: Sequence[str], page: int = 1, page_size: int = 10, top_rows: int = TOP_ROWS
 ) -> DataFrame:
@@ -62,6 +69,8 @@ def paginate(
     else:
         places = with_positions(df.select(*order), order, window_rows=top_rows)
         wanted = places.where((F.col("position") >= start) & (F.col("position") < end))
-        rows = df.join(wanted, list(order)).select(*df.columns, (F.col("position") + 1).alias("row_no"))
+        # a page has page_size keys, whatever the table
+        few = F.broadcast(wanted) if page_size <= BROADCAST_ROWS else wanted
+        rows = df.join(few, list(order)).select(*df.columns, (F.col("position") + 1).alias("row_no"))
     total = df.agg(F.count("*")).scalar()
     return rows.withColumn("total_records", total).withColumn("total_pages", F.ceil(F.col("total_records") / page_size))

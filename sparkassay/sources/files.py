@@ -56,18 +56,28 @@ def flatten_documents(documents: DataFrame) -> DataFrame:
     """The objects inside the lists of nested documents as rows, joined by column name.
 
     Every list reached through objects contributes its elements; lists inside elements stay
-    columns, scalars in lists are left out.
+    columns, scalars in lists are left out. All lists are brought to the same columns and unfolded
+    together, so the documents are read once.
     """
-    out = None
-    for path, _ in _record_lists(documents.schema.fields):
+    lists = list(_record_lists(documents.schema.fields))
+    if not lists:
+        raise ValueError("the documents hold no list of objects")
+    columns = list(dict.fromkeys(name for _, kind in lists for name in kind.names))
+
+    def rows(path: tuple[str, ...], kind: T.StructType) -> Column:
         nested: Column = V.col(path[0])
         for part in path[1:]:
             nested = nested.getField(part)
-        rows = documents.select(F.explode(nested).alias("_row")).where("_row IS NOT NULL").select("_row.*")
-        out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
-    if out is None:
-        raise ValueError("the documents hold no list of objects")
-    return out
+
+        def widened(element: Column) -> Column:
+            return F.struct(
+                *((element.getField(c) if c in kind.names else F.lit(None)).alias(c) for c in columns)
+            )
+
+        held = F.filter(nested, lambda element: element.isNotNull())
+        return F.coalesce(F.transform(held, widened), F.array())
+
+    return documents.select(F.inline(F.concat(*(rows(path, kind) for path, kind in lists))))
 
 
 def read_json_rows(spark: SparkSession, path: str, **options) -> DataFrame:
