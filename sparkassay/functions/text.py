@@ -5,18 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_FENCE = r"```(?:json)?\s*([\s\S]*?)\s*```"
+_FENCE = r"```[\s\S]*?```"
 # From the first opening bracket to the last matching kind of closing bracket.
-_BARE = r"(\{[\s\S]*\}|\[[\s\S]*\])"
+_BARE = r"\{[\s\S]*\}|\[[\s\S]*\]"
 
 
 def json_candidate(text: Column) -> Column:
     """The part of a text that should be JSON: a fenced block, else the text from its first
     bracket to its last; the trimmed text itself when it has neither."""
     cleaned = _strip(F.replace(text, F.lit("\u00a0"), F.lit(" ")))
-    body = F.when(cleaned.rlike(_FENCE), _strip(F.regexp_extract(cleaned, _FENCE, 1))).otherwise(cleaned)
-    opens = body.startswith("{") | body.startswith("[")
-    return F.when(opens | ~body.rlike(_BARE), body).otherwise(_strip(F.regexp_extract(body, _BARE, 1)))
+    fenced = F.regexp_substr(cleaned, F.lit(_FENCE))
+    inside = F.substring(fenced, F.lit(4), F.length(fenced) - 6)
+    block = _strip(F.regexp_replace(inside, "^json", ""))
+    body = F.coalesce(block, cleaned)
+    inner = F.coalesce(F.regexp_substr(body, F.lit(_BARE)), body)
+    return F.when(body.rlike(r"^[{\[]"), body).otherwise(inner)
 
 
 def extract_json(text: Column) -> Column:
@@ -25,7 +28,7 @@ def extract_json(text: Column) -> Column:
 
 
 def _strip(text: Column) -> Column:
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    return F.btrim(text, F.lit(" \t\n\r\f\v"))
 
 
 def metric_key(name: Column) -> Column:

@@ -45,22 +45,19 @@ def search(
 
 
 def upsert(points: DataFrame, batch: DataFrame, id_column: str = "id", order_column: str | None = None) -> DataFrame:
-    """Points with the batch written over them: per id the last write wins.
+    """Points with the batch written over them: per id the last write wins, within the batch by
+    `order_column`. Stored points have one row per id.
 
-    Writes of the batch follow the stored points, among themselves `order_column` decides. The
-    winner is a maximum, so the writes of one id are reduced before they are shuffled.
+    Stored points only lose the ids that are written anew; a small batch leaves them where they
+    are. Writes of one id are reduced to the last before they are shuffled.
     """
     columns = points.columns
     payload = [c for c in columns if c != id_column]
-    nothing = F.lit(None)
-    order = F.col(order_column) if order_column else nothing.cast("bigint")
-    kind = V.data_type(batch, order_column) if order_column else None
-    blank = nothing.cast(kind) if kind is not None else nothing.cast("bigint")
-    old = points.select(*columns, F.struct(F.lit(0).alias("batch"), blank.alias("at")).alias("_written"))
-    new = batch.select(*columns, F.struct(F.lit(1).alias("batch"), order.alias("at")).alias("_written"))
+    order = V.col(order_column) if order_column else F.lit(0)
     last = (
-        old.unionByName(new)
-        .groupBy(V.col(id_column))
-        .agg(F.max_by(F.struct(*(V.col(c) for c in payload)), "_written").alias("_last"))
+        batch.groupBy(V.col(id_column))
+        .agg(F.max_by(F.struct(*(V.col(c) for c in payload)), order).alias("_last"))
+        .select(*(V.col(id_column) if c == id_column else F.col("_last").getField(c).alias(c) for c in columns))
     )
-    return last.select(*(V.col(id_column) if c == id_column else F.col("_last").getField(c).alias(c) for c in columns))
+    kept = points.join(batch.select(V.col(id_column)).distinct(), id_column, "left_anti").select(*columns)
+    return kept.unionByName(last)
