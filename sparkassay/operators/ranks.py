@@ -20,6 +20,7 @@ SKETCH_GROUPS = 512
 # Groups up to this many rows are numbered by a plain window.
 WINDOW_ROWS = 2_000_000
 MOST_BLOCKS = 20_000
+BLOCK, GROUP = "_block", "_group"
 
 
 def linear_position(n: Column, fraction: float) -> Column:
@@ -193,13 +194,14 @@ def with_positions(
     if largest <= window_rows:
         return _window_positions(df, order, keys, position, size)
     blocks = to_blocks(df, order, keys, block_count(df, rows, window_rows))
-    starts = block_starts(blocks.groupBy(*keys, "_block").agg(F.count("*").alias("_rows")), keys, ["_rows"])
-    in_block = Window.partitionBy(*keys, "_block").orderBy(*order)
-    joined = join_blocks(blocks, starts, keys)
+    groups = [GROUP] if keys else []
+    starts = block_starts(blocks.groupBy(*groups, BLOCK).agg(F.count("*").alias("_rows")), groups, ["_rows"])
+    in_block = Window.partitionBy(*groups, BLOCK).orderBy(*order)
+    joined = blocks.join(starts, [*groups, BLOCK])
     out = joined.withColumn(position, F.row_number().over(in_block) - 1 + F.col("_rows_before"))
     if size:
         out = out.withColumn(size, F.col("_rows_total"))
-    return out.drop("_block", "_rows", "_rows_before", "_rows_total")
+    return out.drop(*groups, BLOCK, "_rows", "_rows_before", "_rows_total")
 
 
 def group_sizes(df: DataFrame, keys: Sequence[str]) -> tuple[int, int]:
@@ -225,30 +227,21 @@ def _window_positions(df, order, keys, position, size):
 
 def to_blocks(df: DataFrame, order: Sequence[str], keys: Sequence[str], blocks: int) -> DataFrame:
     """Rows in range-partitioned blocks along (keys, order), written once so that the block of a
-    row is settled; column `_block` ascends along the order."""
-    ranged = df.repartitionByRange(blocks, *keys, *order).withColumn("_block", F.spark_partition_id())
+    row is settled. Column `_block` ascends along the order; with keys, `_group` names the group
+    in one text that is never NULL, so that joins and windows by it share a partitioning."""
+    ranged = df.repartitionByRange(blocks, *keys, *order).withColumn(BLOCK, F.spark_partition_id())
+    if keys:
+        ranged = ranged.withColumn(GROUP, F.to_json(F.struct(*keys)))
     return written(ranged, "blocks")
 
 
-def block_starts(totals: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
-    """Per (keys, block): what `columns` sum to before the block and in the whole group. A group
+def block_starts(totals: DataFrame, groups: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """Per (group, block): what `columns` sum to before the block and in the whole group. A group
     has at most one row per block here."""
-    group = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    before = group.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    group = Window.partitionBy(*groups) if groups else Window.partitionBy(F.lit(0))
+    before = group.orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
     out = totals
     for c in columns:
         out = out.withColumn(f"{c}_before", F.coalesce(F.sum(c).over(before), F.lit(0)))
         out = out.withColumn(f"{c}_total", F.sum(c).over(group))
     return out
-
-
-def join_blocks(rows: DataFrame, starts: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Bring the block starts to the rows; both sides are partitioned by (keys, block)."""
-    renamed = starts
-    for c in (*keys, "_block"):
-        renamed = renamed.withColumnRenamed(c, f"_start_{c}")
-    on = None
-    for c in (*keys, "_block"):
-        same = F.col(c).eqNullSafe(F.col(f"_start_{c}"))
-        on = same if on is None else on & same
-    return rows.join(renamed, on, "left").drop(*(f"_start_{c}" for c in (*keys, "_block")))

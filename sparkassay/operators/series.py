@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 
 from sparkassay.functions import values as V
 from sparkassay.operators.ranks import (
+    BLOCK,
+    GROUP,
     WINDOW_ROWS,
     block_count,
     block_starts,
     group_sizes,
-    join_blocks,
     to_blocks,
 )
 
@@ -90,25 +91,28 @@ def _running_in_windows(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 def _running_in_blocks(rows: DataFrame, keys: list[str], blocks_wanted: int) -> DataFrame:
     blocks = to_blocks(rows, ["_t"], keys, blocks_wanted)
-    by_block = [*keys, "_block"]
+    groups = [GROUP] if keys else []
+    by_block = [*groups, BLOCK]
     # Size and mean of every series from one row per (series, block) ...
     sizes = blocks.groupBy(*by_block).agg(
         F.count("*").alias("_rows"), F.count("_v").alias("_c"), F.coalesce(F.sum("_v"), F.lit(0.0)).alias("_sum")
     )
-    starts = block_starts(sizes, keys, ["_rows", "_c", "_sum"]).withColumn(
-        "_mean", F.try_divide(F.col("_sum_total"), F.col("_c_total"))
+    starts = block_starts(sizes, groups, ["_rows", "_c", "_sum"]).select(
+        *by_block,
+        "_rows_before",
+        "_rows_total",
+        "_c_before",
+        F.try_divide(F.col("_sum_total"), F.col("_c_total")).alias("_mean"),
     )
     # ... then, around that mean, what the blocks before each block sum to.
     d = F.coalesce(F.col("_v") - F.col("_mean"), F.lit(0.0))
-    means = starts.select(*by_block, "_mean")
-    centred_sums = (
-        join_blocks(blocks, means, keys).groupBy(*by_block).agg(F.sum(d).alias("_s"), F.sum(d * d).alias("_q"))
+    centred = (
+        blocks.join(starts.select(*by_block, "_mean"), by_block)
+        .groupBy(*by_block)
+        .agg(F.sum(d).alias("_s"), F.sum(d * d).alias("_q"))
     )
-    before = block_starts(centred_sums, keys, ["_s", "_q"]).drop("_s", "_q")
-    heads = join_blocks(
-        starts.select(*by_block, "_mean", "_rows_before", "_rows_total", "_c_before"), before, keys
-    )
-    joined = join_blocks(blocks, heads, keys)
+    before = block_starts(centred, groups, ["_s", "_q"]).select(*by_block, "_s_before", "_q_before")
+    joined = blocks.join(starts.join(before, by_block), by_block)
     in_block = Window.partitionBy(*by_block).orderBy("_t")
     upto = in_block.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return joined.select(
