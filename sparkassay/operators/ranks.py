@@ -183,25 +183,32 @@ def with_positions(
     position: str = "position",
     size: str | None = None,
     window_rows: int = WINDOW_ROWS,
+    between: tuple[int, int] | None = None,
 ) -> DataFrame:
-    """Number the rows of every group from 0 along `order`; `size` adds the group's row count.
+    """Number the rows of every group from 0 along `order`; `size` adds the group's row count and
+    `between` keeps the positions from its first to before its second number.
 
     Small groups (the largest is counted first) take one window per group. Otherwise the rows are
     range-partitioned by (keys, order) and written once; each block is numbered on its own, and the
     start of a block is the sum of the blocks before it. No task holds more than one block.
     """
     largest, rows = group_sizes(df, keys)
+    first, end = between or (0, rows)
+    wanted = (F.col(position) >= first) & (F.col(position) < end)
     if largest <= window_rows:
-        return _window_positions(df, order, keys, position, size)
+        return _window_positions(df, order, keys, position, size).where(wanted)
     blocks = to_blocks(df, order, keys, block_count(df, rows, window_rows))
     groups = [GROUP] if keys else []
     starts = block_starts(blocks.groupBy(*groups, BLOCK).agg(F.count("*").alias("_rows")), groups, ["_rows"])
+    if between:
+        starts = starts.where((F.col("_rows_before") < end) & (F.col("_rows_before") + F.col("_rows") > first))
+    # without keys there is one start per block, a number that block_count bounds
+    joined = blocks.join(starts if keys else F.broadcast(starts), [*groups, BLOCK])
     in_block = Window.partitionBy(*groups, BLOCK).orderBy(*order)
-    joined = blocks.join(starts, [*groups, BLOCK])
     out = joined.withColumn(position, F.row_number().over(in_block) - 1 + F.col("_rows_before"))
     if size:
         out = out.withColumn(size, F.col("_rows_total"))
-    return out.drop(*groups, BLOCK, "_rows", "_rows_before", "_rows_total")
+    return out.where(wanted).drop(*groups, BLOCK, "_rows", "_rows_before", "_rows_total")
 
 
 def group_sizes(df: DataFrame, keys: Sequence[str]) -> tuple[int, int]:

@@ -55,8 +55,8 @@ def paginate(
     """One page of a table along a unique order, with `row_no` (from 1), `total_records` and
     `total_pages`.
 
-    A page near the front is a top-k. For a page further back the keys alone are range-partitioned
-    and numbered block by block, and the page's few keys fetch its rows.
+    A page near the front is a top-k. For a page further back the keys alone are range-partitioned,
+    only the blocks the page touches are numbered, and the page's few keys fetch its rows.
     """
     if page < 1 or page_size < 1:
         raise ValueError("page and page_size must be at least 1")
@@ -67,8 +67,7 @@ def paginate(
         numbered = front.withColumn("row_no", F.row_number().over(Window.orderBy(*order)).cast("long"))
         rows = numbered.where(F.col("row_no") > start)
     else:
-        places = with_positions(df.select(*order), order, window_rows=top_rows)
-        wanted = places.where((F.col("position") >= start) & (F.col("position") < end))
+        wanted = with_positions(df.select(*order), order, window_rows=top_rows, between=(start, end))
         # a page has page_size keys, whatever the table
         few = F.broadcast(wanted) if page_size <= BROADCAST_ROWS else wanted
         rows = df.join(few, list(order)).select(*df.columns, (F.col("position") + 1).alias("row_no"))
