@@ -6,6 +6,7 @@ Functions named after a metric answer a one-row DataFrame `(metric, value)`. Fun
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -16,6 +17,10 @@ from sparkassay.functions import values as V
 from sparkassay.operators.ranks import SKETCH_ACCURACY, SKETCH_GROUPS, order_statistics
 
 
+# Columns whose quantiles are sketched in one scan.
+SKETCHED_TOGETHER = 16
+
+
 def metric_row(df: DataFrame, metric: str, aggregate: Column) -> DataFrame:
     return df.agg(aggregate.cast("double").alias("value")).select(F.lit(metric).alias("metric"), "value")
 
@@ -180,8 +185,15 @@ def outlier_rates(
 
     `iqr`: strictly outside the quartiles by more than 1.5 times their distance, quartiles exact
     and linearly interpolated. Any other method: more than three population standard deviations
-    from the mean. The limits reach the counting scan as one scalar shared by all columns.
+    from the mean. The limits reach the counting scan as one scalar shared by all columns; wide
+    tables go some columns at a time, as every column has a sketch of its own.
     """
+    if len(columns) > SKETCHED_TOGETHER:
+        parts = [
+            outlier_rates(df, columns[i : i + SKETCHED_TOGETHER], method, accuracy)
+            for i in range(0, len(columns), SKETCHED_TOGETHER)
+        ]
+        return functools.reduce(DataFrame.unionAll, parts)
     numbers = {c: V.number(df, c) for c in columns}
     if method == "iqr":
         q1, q3 = F.col("quantiles")[0], F.col("quantiles")[1]

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from sparkassay.functions import patterns as P
 from sparkassay.functions import values as V
 from sparkassay.operators import media, privacy, quality, series, stats
+from sparkassay.operators.ranks import written
 from sparkassay.plans.plan import plan_table, resolve_plan
 
 # Aggregates computed together in one scan of a table.
@@ -22,7 +23,9 @@ RESULT_COLUMNS = (
 )
 
 
-def audit(tables: Mapping[str, DataFrame], plan: DataFrame | Iterable[Any]) -> DataFrame:
+def audit(
+    tables: Mapping[str, DataFrame], plan: DataFrame | Iterable[Any], settle: Iterable[str] = ()
+) -> DataFrame:
     """Results of a plan as rows `(table, column, requested_metric, executed_metric, value, status,
     error_message)`.
 
@@ -30,7 +33,12 @@ def audit(tables: Mapping[str, DataFrame], plan: DataFrame | Iterable[Any]) -> D
     the query from. Per table, all metrics that need one scan share one aggregation; uniqueness and
     class balance of all columns share one counting shuffle, outlier rates of all columns one set
     of scans, inflation factors one covariance scan.
+
+    Tables named in `settle` are written to the shared folder first: a table that is itself a
+    costly query is then evaluated once, not once per scan.
     """
+    settled = set(settle)
+    tables = {name: written(df, "audited") if name in settled else df for name, df in tables.items()}
     spark = next(iter(tables.values())).sparkSession
     if not isinstance(plan, DataFrame):
         plan = plan_table(spark, plan)

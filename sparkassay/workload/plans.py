@@ -97,11 +97,11 @@ def audited(spark, folder):
 
 
 def audit_report(spark, folder):
-    return rounded(audit(audited(spark, folder), PLAN))
+    return rounded(audit(audited(spark, folder), PLAN, settle=["documents"]))
 
 
 def audit_summary(spark, folder):
-    return summarize(audit(audited(spark, folder), PLAN))
+    return summarize(audit(audited(spark, folder), PLAN, settle=["documents"]))
 
 
 def audit_duplicates(spark, folder):

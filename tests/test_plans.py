@@ -132,3 +132,32 @@ def test_many_metrics_are_cut_into_several_scans(tables):
     finally:
         module.FUSED = before
     assert len(values) == 6 and not any(v is None or math.isnan(v) for v in values)
+
+
+def test_audit_of_every_column_type(spark):
+    t = spark.sql(
+        """SELECT id, CAST(id AS DECIMAL(10,2)) AS dec, DATE'2024-01-01' + CAST(id AS INT) AS day,
+                  TIMESTAMP'2024-01-01 00:00:00' + make_dt_interval(0, CAST(id AS INT)) AS ts,
+                  TIMESTAMP_NTZ'2024-01-01 00:00:00' + make_dt_interval(CAST(id AS INT)) AS ntz,
+                  id % 2 = 0 AS flag, CAST(CAST(id AS STRING) AS BINARY) AS raw, array(id, id + 1) AS list,
+                  map('k', id) AS pairs, named_struct('a', id, 'b', 'x') AS nested, CAST(id AS FLOAT) AS real,
+                  CAST(NULL AS STRING) AS nothing FROM range(40)"""
+    )
+    names = (
+        "completeness_rate", "uniqueness_rate", "outlier_rate", "format_validity_rate", "class_imbalance_ratio",
+        "potential_target_leakage_candidate_count", "vif",
+    )
+    plan = [{"metric_name": m, "target_columns": ["all"]} for m in names]
+    plan += [{"metric_name": m, "target_columns": None} for m in ("pii_contamination_rate", "total_missing_value_rate")]
+    rows = {(r["column"], r["requested_metric"]): r for r in audit({"t": t}, plan, settle=["t"]).collect()}
+    assert len(rows) == len(names) * len(t.columns) + 2
+    assert all(r["status"] == "success" and r["value"] is not None for r in rows.values())
+    for c in t.columns:
+        distinct = {"flag": 2 / 40, "nothing": 0.0}.get(c, 1.0)
+        assert rows[(c, "uniqueness_rate")]["value"] == pytest.approx(distinct), c
+    assert rows[("flag", "class_imbalance_ratio")]["value"] == 1.0
+    assert rows[("id", "vif")]["value"] == math.inf
+    # id, dec and real move together; the target itself is left out
+    assert rows[("id", "potential_target_leakage_candidate_count")]["value"] == 2
+    assert rows[("day", "potential_target_leakage_candidate_count")]["value"] == 3
+    assert rows[("ts", "outlier_rate")]["value"] == 0.0

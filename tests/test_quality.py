@@ -158,3 +158,11 @@ def test_splits_with_unlike_columns_go_pair_by_pair(splits):
     assert len(got) == 6
     assert got["train_test_overlap"] == 0.6 and got["test_train_overlap"] == 0.6
     assert got["val_train_overlap"] == 0.6  # x, missing and z of five rows
+
+
+def test_wide_tables_go_some_columns_at_a_time(spark, monkeypatch):
+    t = spark.range(100).select(*((F.col("id") * (i + 1)).alias(f"c{i}") for i in range(4)), F.pow("id", F.lit(6)).alias("c4"))
+    whole = Q.outlier_rates(t, t.columns).collect()
+    monkeypatch.setattr(Q, "SKETCHED_TOGETHER", 2)
+    assert Q.outlier_rates(t, t.columns).collect() == whole
+    assert [r["column"] for r in whole] == t.columns and whole[4]["value"] > 0 == whole[0]["value"]
