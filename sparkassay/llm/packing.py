@@ -14,7 +14,9 @@ is cut into as many windows as it fills; other columns are not read.
 
 from __future__ import annotations
 
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +32,12 @@ END = 2
 #: Rows that one task ranks, roughly.
 BLOCK_ROWS = 50_000
 #: Words whose ids a task remembers.
-REMEMBERED = 300_000
+REMEMBERED = 600_000
+
+# Words of ASCII and accented Latin letters need no normalising but lower case, and their parts follow
+# this pattern of the tokeniser, a fixed value; any other word goes through the whole tokeniser.
+_PLAIN = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u0148\u014a-\u017e]+")
+_PART = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|[0-9]|(?:[^\w\s]|_)+")
 
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids array<int>"
 
@@ -40,23 +47,39 @@ def pieces(docs: DataFrame, tokenizer: str, window: int = WINDOW, keep_ids: bool
     wherever it stands with this tokeniser, so each task looks a repeated word up only once."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         model = Tokenizer.from_file(tokenizer)
         model.encode_special_tokens = True
+        bytes_of = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
         end = np.array([END], "<u4").tobytes()
-        known: dict[bytes, bytes] = {}
+        parts: dict[str, bytes] = {}
+        merge = model.model.tokenize
+
+        class Words(dict):
+            def __missing__(self, raw: bytes) -> bytes:
+                word = raw.decode()
+                low = word.lower()
+                if (ids := parts.get(low)) is None:
+                    if not _PLAIN.fullmatch(word):
+                        ids = array("I", model.encode(word, add_special_tokens=False).ids).tobytes()
+                    else:
+                        ids = b"".join([parts[p] if p in parts else part_ids(p) for p in _PART.findall(low)])
+                self[raw] = ids
+                return ids
+
+        def part_ids(part: str) -> bytes:
+            raw = part if part.isascii() else bytes_of(part)[0][0]
+            ids = parts[part] = array("I", [t.id for t in merge(raw)]).tobytes()
+            return ids
+
+        known = Words()
 
         def ids_of(words: list[bytes]) -> bytes:
-            new = list({w for w in words if w not in known})
-            if new:
-                if len(known) > REMEMBERED:
-                    known.clear()
-                    new = list(set(words))
-                for a in range(0, len(new), 20_000):
-                    part = new[a : a + 20_000]
-                    for w, e in zip(part, model.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
-                        known[w] = np.array(e.ids, "<u4").tobytes()
+            if len(known) > REMEMBERED:
+                known.clear()
+            if len(parts) > REMEMBERED:
+                parts.clear()
             return b"".join([known[w] for w in words])
 
         for rows in batches:
