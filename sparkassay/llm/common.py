@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkassay.operators.ranks import written
+
 # The two word patterns of the contracts, fixed values.
 ASCII_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 SPACED_WORD = r"[^\x20\x09-\x0D]+"
@@ -18,6 +20,29 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+#: Spark's setting by which a finished query removes its own shuffle files.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Ids of eight bytes that may be broadcast; beyond, both sides are shuffled.
+BROADCAST_IDS = 500_000
+
+
+def settled(df: DataFrame, purpose: str) -> DataFrame:
+    """The table written to the shared folder and read back. The shuffles that made it are not needed any
+    more, so their files go at once and disks hold one step's shuffles at a time."""
+    conf = df.sparkSession.conf
+    before = conf.get(CLEANUP)
+    conf.set(CLEANUP, "true")
+    try:
+        return written(df, purpose)
+    finally:
+        conf.set(CLEANUP, before)
+
+
+def few(ids: DataFrame) -> DataFrame:
+    """A settled table of ids, to be broadcast where its count proves it small."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z in lower case and every other character as it is."""
     return F.translate(text, UPPER, UPPER.lower())
@@ -41,7 +66,3 @@ def keyed(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     return docs.select(F.col("doc_id"), text.alias("_text"), F.xxhash64(F.col("text")).alias("_hash"))
 
-
-def same_document(left: DataFrame, right: DataFrame) -> Column:
-    """Join condition on id and text hash that holds for NULL ids as well."""
-    return left["doc_id"].eqNullSafe(right["doc_id"]) & (left["_hash"] == right["_hash"])

@@ -19,8 +19,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkassay.llm.common import ASCII_WORD, ascii_lower, keyed
-from sparkassay.operators.ranks import written
+from sparkassay.llm.common import ASCII_WORD, ascii_lower, keyed, settled
 
 WINDOW, RAREST = 13, 2
 #: Proximity: so many of an item's rarest terms within so many words.
@@ -71,18 +70,18 @@ def decontaminate(
     (start, end, item_id of every occurrence). With `carry`, those columns of docs come with it, in
     place of doc_id, and may not bear a result's name."""
     documents = keyed(docs)
-    windows = written(item_windows(benchmark, window), "item-windows")
+    windows = settled(item_windows(benchmark, window), "item-windows")
     vocabulary = windows.select(F.explode("_words").alias("_term")).distinct()
     tokens = documents.select(F.explode(words_of("_text")).alias("_term"))
     counts = tokens.join(_small(vocabulary), "_term").groupBy("_term").agg(F.count("*").alias("_n"))
-    counts = written(counts, "term-counts")
+    counts = settled(counts, "term-counts")
     phrases = windows.select("_phrase", "_words").dropDuplicates(["_phrase"])
-    anchors = written(rarest_terms(phrases, counts, "_phrase", rarest), "anchors")
+    anchors = settled(rarest_terms(phrases, counts, "_phrase", rarest), "anchors")
     whole = windows.groupBy("item_id").agg(F.array_distinct(F.flatten(F.collect_list("_words"))).alias("_words"))
-    near_terms = written(rarest_terms(whole, counts, "item_id", NEAR_TERMS), "near-terms")
+    near_terms = settled(rarest_terms(whole, counts, "item_id", NEAR_TERMS), "near-terms")
     indexed = anchors.select("_term").union(near_terms.select("_term")).distinct()
     postings = documents.select("doc_id", "_hash", F.posexplode(words_of("_text")).alias("_pos", "_term"))
-    index = written(postings.join(_small(indexed), "_term"), "postings")
+    index = settled(postings.join(_small(indexed), "_term"), "postings")
     found = candidates(index, anchors)
     near = proximity(index, near_terms)
     occurrence = F.struct("_start", "item_id", "_words")

@@ -25,7 +25,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkassay.operators.ranks import written
+from sparkassay.llm.common import settled
+
 
 #: A branch goes if its importance is below LOW over at least PAGES pages of its host.
 LOW, PAGES = 0.25, 8
@@ -184,7 +185,7 @@ def style_tree(pages: DataFrame) -> DataFrame:
 
     rows = pages.select("url", "html").mapInPandas(nodes, "host string, path string, kind int, what string")
     rows = rows.select("host", "path", "kind", F.xxhash64("what").alias("what"))
-    counts = written(rows.groupBy("host", "path", "kind", "what").agg(F.count("*").alias("n")), "style-counts")
+    counts = settled(rows.groupBy("host", "path", "kind", "what").agg(F.count("*").alias("n")), "style-counts")
     n, m = F.col("n"), F.col("n_pages")
     size = counts.where("kind = 0").groupBy("host", "path").agg(F.sum("n").alias("n_pages"), F.sum(n * F.ln(n)).alias("_s"))
     # entropy of styles to the base of the pages: (ln m - sum(n ln n) / m) / ln m
@@ -209,7 +210,7 @@ def style_tree(pages: DataFrame) -> DataFrame:
 def extract(pages: DataFrame) -> DataFrame:
     """One row per page row: page_id, url, text, n_chars."""
     low = style_tree(pages).where((F.col("importance") < LOW) & (F.col("n_pages") >= PAGES) & ~F.col("holds_article"))
-    low = written(low.select("host", "path"), "low-branches")
+    low = settled(low.select("host", "path"), "low-branches")
     per_host = low.groupBy(F.col("host").alias("_host")).agg(F.collect_set("path").alias("_low"))
     host = F.pandas_udf(lambda urls: urls.map(host_of), "string")
     kept = pages.select(F.col("page_id"), F.col("url"), F.col("html"))

@@ -24,7 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkassay.operators.ranks import written
+from sparkassay.llm.common import settled
+
 
 WINDOW, BINS, DEPTH = 4096, 256, 3
 #: The tokeniser ends a document with this id.
@@ -192,7 +193,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, bins: int = BINS
     ids themselves with keep_ids)."""
     spark = docs.sparkSession
     width = window // bins
-    cut = written(pieces(docs, tokenizer, window, keep_ids), "pieces")
+    cut = settled(pieces(docs, tokenizer, window, keep_ids), "pieces")
     if not keep_ids:
         cut = cut.drop("ids")
     bin_of = F.ceil(F.col("length") / width).cast("int")

@@ -22,8 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkassay.llm.common import keyed
-from sparkassay.operators.ranks import written
+from sparkassay.llm.common import keyed, settled
 
 #: Cuts come about every MASK + 1 characters; lengths in characters.
 MASK, SHORTEST, LONGEST, RUN = 31, 16, 128, 100
@@ -105,7 +104,7 @@ def chunks(documents: DataFrame) -> DataFrame:
 
 def repeats(documents: DataFrame) -> DataFrame:
     """(_id, _mark, _places): per document the chunks of which an earlier copy stands elsewhere."""
-    found = written(chunks(documents), "chunks")
+    found = settled(chunks(documents), "chunks")
     place = F.struct("doc_id", "_hash", "_start")
     # counts combine in the tasks before the shuffle, so a chunk in a third of all rows is a row a task
     known = found.groupBy("_high", "_low").agg(F.count("*").alias("_n"), F.min(place).alias("_first"))
