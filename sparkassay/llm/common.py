@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,22 +22,17 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-#: Spark's setting by which a finished query removes its own shuffle files.
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Ids of eight bytes that may be broadcast; beyond, both sides are shuffled.
 BROADCAST_IDS = 500_000
 
 
 def settled(df: DataFrame, purpose: str) -> DataFrame:
-    """The table written to the shared folder and read back. The shuffles that made it are not needed any
-    more, so their files go at once and disks hold one step's shuffles at a time."""
-    conf = df.sparkSession.conf
-    before = conf.get(CLEANUP)
-    conf.set(CLEANUP, "true")
-    try:
-        return written(df, purpose)
-    finally:
-        conf.set(CLEANUP, before)
+    """The table written to the shared folder and read back. Shuffle files of earlier steps go as soon as
+    the driver collects its garbage, so it is asked to: disks then hold about one step's shuffles."""
+    out = written(df, purpose)
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return out
 
 
 def few(ids: DataFrame) -> DataFrame:
