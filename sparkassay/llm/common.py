@@ -7,7 +7,7 @@ import gc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkassay.operators.ranks import written
+from sparkassay.operators.ranks import new_folder
 
 # The two word patterns of the contracts, fixed values.
 ASCII_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -29,12 +29,22 @@ BROADCAST_IDS = 500_000
 def settled(df: DataFrame, purpose: str) -> DataFrame:
     """The table written to the shared folder and read back. Shuffle files of earlier steps go as soon as
     the driver collects its garbage, so it is asked to: disks then hold about one step's shuffles."""
-    out = written(df, purpose)
+    spark, path = df.sparkSession, new_folder(df.sparkSession, purpose)
+    df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.settled_at = path
     gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
+    spark.sparkContext._jvm.System.gc()
     return out
 
 
+def release(table: DataFrame) -> None:
+    """Remove a settled table that nothing will read again."""
+    context = table.sparkSession.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(table.settled_at)
+    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def few(ids: DataFrame) -> DataFrame:
     """A settled table of ids, to be broadcast where its count proves it small."""
     return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
