@@ -13,6 +13,8 @@ from sparkassay.operators.ranks import order_statistics, with_positions
 TOP_ROWS = 1_000_000
 # Pages up to this many rows are broadcast to fetch their rows.
 BROADCAST_ROWS = 100_000
+#: Working column of deep pages; no table has it.
+POSITION = "_page_position"
 
 
 def sample_head(df: DataFrame, limit: int = 10, order: Sequence[str] = ()) -> DataFrame:
@@ -67,9 +69,12 @@ def paginate(
         numbered = front.withColumn("row_no", F.row_number().over(Window.orderBy(*order)).cast("long"))
         rows = numbered.where(F.col("row_no") > start)
     else:
-        wanted = with_positions(df.select(*order), order, window_rows=top_rows, between=(start, end))
+        wanted = with_positions(df.select(*order), order, position=POSITION, window_rows=top_rows, between=(start, end))
+        wanted = wanted.select(*(F.col(c).alias(f"{POSITION}_{i}") for i, c in enumerate(order)), POSITION)
         # a page has page_size keys, whatever the table
         few = F.broadcast(wanted) if page_size <= BROADCAST_ROWS else wanted
-        rows = df.join(few, list(order)).select(*df.columns, (F.col("position") + 1).alias("row_no"))
+        # a NULL in an order column is a place like any other
+        same = [F.col(c).eqNullSafe(F.col(f"{POSITION}_{i}")) for i, c in enumerate(order)]
+        rows = df.join(few, same).select(*df.columns, (F.col(POSITION) + 1).alias("row_no"))
     total = df.agg(F.count("*")).scalar()
     return rows.withColumn("total_records", total).withColumn("total_pages", F.ceil(F.col("total_records") / page_size))

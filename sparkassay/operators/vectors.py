@@ -44,9 +44,16 @@ def search(
     return scored.orderBy(F.desc("score"), F.asc(id_column)).limit(top_k)
 
 
+def _last_write(last: Column, order_column: str | None) -> Column:
+    if order_column:
+        return last
+    unordered = F.raise_error(F.lit("an id is written twice and no order_column says which write is the last"))
+    return F.when(F.count("*") > 1, unordered.cast("void")).otherwise(last)
+
+
 def upsert(points: DataFrame, batch: DataFrame, id_column: str = "id", order_column: str | None = None) -> DataFrame:
     """Points with the batch written over them: per id the last write wins, within the batch by
-    `order_column`. Stored points have one row per id.
+    `order_column`; without one, an id may stand in the batch only once. Stored points have one row per id.
 
     Stored points only lose the ids that are written anew; a small batch leaves them where they
     are. Writes of one id are reduced to the last before they are shuffled.
@@ -56,7 +63,7 @@ def upsert(points: DataFrame, batch: DataFrame, id_column: str = "id", order_col
     order = V.col(order_column) if order_column else F.lit(0)
     last = (
         batch.groupBy(V.col(id_column))
-        .agg(F.max_by(F.struct(*(V.col(c) for c in payload)), order).alias("_last"))
+        .agg(_last_write(F.max_by(F.struct(*(V.col(c) for c in payload)), order), order_column).alias("_last"))
         .select(*(V.col(id_column) if c == id_column else F.col("_last").getField(c).alias(c) for c in columns))
     )
     kept = points.join(batch.select(V.col(id_column)).distinct(), id_column, "left_anti").select(*columns)

@@ -170,7 +170,7 @@ def _run(tables: Mapping[str, DataFrame], df: DataFrame, rows: list[tuple[int, R
     outliers: dict[str, list[tuple[int, str]]] = {}
     inflated: dict[str | None, list[tuple[int, str]]] = {}
     parts: list[DataFrame] = []
-    splits: list[tuple[int, str]] = []
+    splits: dict[tuple[str, str, str | None], list[tuple[int, str]]] = {}
     for no, row, column in rows:
         metric, columns, params = row["executed_metric"], row["columns"], row["params"] or {}
         one_scan = _fused(df, row)
@@ -183,8 +183,7 @@ def _run(tables: Mapping[str, DataFrame], df: DataFrame, rows: list[tuple[int, R
         elif metric == "variance_inflation_factor":
             inflated.setdefault(params.get("others"), []).append((no, columns[0]))
         elif metric == _SPLITS:
-            splits.append((no, column))
-            split_params = params
+            splits.setdefault((params["train"], params["test"], params.get("val")), []).append((no, column))
         else:
             parts.append(_alone(tables, df, metric, columns, params).select(F.lit(no).alias("no"), "value"))
     for start in range(0, len(fused), FUSED):
@@ -198,12 +197,11 @@ def _run(tables: Mapping[str, DataFrame], df: DataFrame, rows: list[tuple[int, R
     for method, wanted in outliers.items():
         rates = quality.outlier_rates(df, sorted({c for _, c in wanted}), method)
         parts.append(_numbered(rates, wanted))
-    if splits:
-        val = tables[split_params["val"]] if "val" in split_params else None
+    for (train, test, val), wanted in splits.items():
         rates = quality.exact_duplicate_overlap_rate_across_splits(
-            tables[split_params["train"]], tables[split_params["test"]], val
+            tables[train], tables[test], tables[val] if val else None
         )
-        parts.append(_numbered(rates.withColumnRenamed("pair", "column"), splits))
+        parts.append(_numbered(rates.withColumnRenamed("pair", "column"), wanted))
     for others, wanted in inflated.items():
         factors = stats.variance_inflation_factors(df, sorted({c for _, c in wanted}), _listed(others))
         parts.append(_numbered(factors, wanted))

@@ -145,7 +145,14 @@ def resolve_plan(plan: DataFrame, tables: Mapping[str, Sequence[str] | DataFrame
     identity = F.coalesce("executed_metric", metric_key(F.col("metric_name")))
     return (
         placed.withColumn("kept", kept)
-        .groupBy(F.col("table").alias("at"), label.alias("column"), "executed_metric", identity.alias("identity"))
+        .groupBy(
+            F.col("table").alias("at"),
+            label.alias("column"),
+            "executed_metric",
+            identity.alias("identity"),
+            # entries with other parameters are other entries
+            F.array_sort(F.map_entries(F.coalesce("params", F.create_map().cast("map<string,string>")))).alias("with"),
+        )
         .agg(F.min_by("kept", "plan_no").alias("kept"))
         .select("kept.*", "column", "executed_metric")
         .select(

@@ -46,8 +46,8 @@ def size_of(df: DataFrame) -> DataFrame | None:
     paths = df.inputFiles()
     if not paths:
         return None
-    folders = sorted({p.rsplit("/", 1)[0] for p in paths}) if len(paths) > 100 else paths
-    listed = df.sparkSession.read.format("binaryFile").load(folders).select("length")
+    # exactly these files, however many: other tables may lie beside them
+    listed = df.sparkSession.read.format("binaryFile").load(paths).select("length")
     return listed.agg(F.coalesce(F.sum("length"), F.lit(0)).alias("size_bytes"))
 
 

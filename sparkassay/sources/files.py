@@ -89,24 +89,28 @@ def read_file(
     path: str,
     columns: Sequence[str] | None = None,
     schema: T.StructType | str | None = None,
+    multiline: bool = False,
 ) -> DataFrame:
     """A file by its extension; `columns` limits what is read (None reads all). With a schema, CSV
-    and JSON are not scanned for their types first."""
+    and JSON are not scanned for their types first. `multiline`: a JSON file is one document over
+    several lines rather than a document a line."""
     kind = file_kind(path)
     if kind == "csv":
         df = read_csv(spark, path, schema)
     elif kind == "parquet":
         df = read_parquet(spark, path)
     else:
-        documents = read_json(spark, path, schema)
+        documents = read_json(spark, path, schema, multiline)
         nested = any(True for _ in _record_lists(documents.schema.fields))
         df = flatten_documents(documents) if nested else documents
     return df if columns is None else df.select(*(V.col(c) for c in columns))
 
 
-def open_file(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> dict[str, DataFrame]:
+def open_file(
+    spark: SparkSession, path: str, schema: T.StructType | str | None = None, multiline: bool = False
+) -> dict[str, DataFrame]:
     """The one table of a file, named after it."""
-    return {posixpath.basename(path.rstrip("/")): read_file(spark, path, schema=schema)}
+    return {posixpath.basename(path.rstrip("/")): read_file(spark, path, schema=schema, multiline=multiline)}
 
 
 def open_documents(spark: SparkSession, path: str) -> dict[str, DataFrame]:

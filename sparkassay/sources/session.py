@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from urllib.parse import quote, unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,14 +23,20 @@ class SessionTables:
         self.folder = folder.rstrip("/")
 
     def _path(self, session_id: str, table: str | None = None) -> str:
-        path = f"{self.folder}/session_id={session_id}"
-        return path if table is None else f"{path}/table_name={table}"
+        path = f"{self.folder}/session_id={quote(session_id, safe='')}"
+        return path if table is None else f"{path}/table_name={quote(table, safe='')}"
+
+    def _expiry(self, session_id: str, table: str) -> str:
+        """Where a table's expiry stands by itself: a table without rows has one as well."""
+        return f"{self._path(session_id)}/expiry_of={quote(table, safe='')}"
 
     def save(self, session_id: str, tables: Mapping[str, DataFrame], ttl_seconds: int = DEFAULT_TTL_SECONDS) -> None:
         """Write the tables; they count as gone `ttl_seconds` after this call."""
         expires = F.timestamp_seconds(F.unix_timestamp() + ttl_seconds)
         for name, df in tables.items():
             df.withColumn(_EXPIRES, expires).write.mode("overwrite").parquet(self._path(session_id, name))
+            one = self.spark.range(1).select(expires.alias(_EXPIRES))
+            one.write.mode("overwrite").parquet(self._expiry(session_id, name))
 
     def names(self, session_id: str) -> list[str]:
         root = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self._path(session_id))
@@ -37,7 +44,7 @@ class SessionTables:
         if not fs.exists(root):
             return []
         found = (s.getPath().getName() for s in fs.listStatus(root))
-        return sorted(n.split("=", 1)[1] for n in found if n.startswith("table_name="))
+        return sorted(unquote(n.split("=", 1)[1]) for n in found if n.startswith("table_name="))
 
     def stored(self, session_id: str, table: str) -> DataFrame:
         """The rows as saved, without expired ones."""
@@ -68,9 +75,12 @@ class SessionTables:
             raise ValueError("page and page_size must be at least 1")
         if table in self.names(session_id):
             counted = self.stored(session_id, table).agg(F.count("*").alias("total_records"))
+            expires = self.spark.read.parquet(self._expiry(session_id, table)).agg(F.max(_EXPIRES)).scalar()
+            alive = expires > F.current_timestamp()
         else:
             counted = self.spark.range(1).select(F.lit(0).cast("long").alias("total_records"))
-        status = F.when(F.col("total_records") > 0, "success").otherwise("expired_or_not_found")
+            alive = F.lit(False)
+        status = F.when(alive, "success").otherwise("expired_or_not_found")
         return counted.select(
             F.lit(session_id).alias("session_id"),
             F.lit(table).alias("table_name"),

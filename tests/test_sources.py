@@ -132,3 +132,38 @@ def test_sample_fraction_is_exact(spark, tmp_path):
     assert sampling.sample_fraction(ids, 0.1).count() == 1000
     assert sampling.sample_fraction(ids.limit(3), 0.1).count() == 1
     assert sampling.sample_rows(ids, 3).count() == 10
+
+
+def test_size_of_many_files_beside_another_table(spark, tmp_path):
+    folder = str(tmp_path / "mixed")
+    spark.range(120).repartition(120).write.parquet(folder)
+    own = spark.read.parquet(folder)
+    spark.range(100_000).coalesce(1).write.mode("append").parquet(folder)
+    files = sorted((p.stat().st_size for p in (tmp_path / "mixed").glob("*.parquet")), reverse=True)
+    assert catalog.size_of(own).first().size_bytes == sum(files[1:])
+
+
+def test_json_document_over_several_lines(spark, tmp_path):
+    path = tmp_path / "one.json"
+    path.write_text('[\n  {"a": 1,\n   "b": "x"},\n  {"a": 2, "b": "y"}\n]\n')
+    table = open_source(spark, "file", path=str(path), multiline=True)["one.json"]
+    assert sorted((r.a, r.b) for r in table.collect()) == [(1, "x"), (2, "y")]
+
+
+def test_session_names_stay_inside_and_empty_tables_live(spark, tmp_path):
+    store = SessionTables(spark, str(tmp_path / "sessions"))
+    store.save("../a/b", {"t/../u": spark.range(0)})
+    assert store.names("../a/b") == ["t/../u"]
+    assert [p.name for p in tmp_path.iterdir()] == ["sessions"]
+    row = store.page_info("../a/b", "t/../u").first()
+    assert (row.status, row.total_records) == ("success", 0)
+    store.save("s", {"old": spark.range(3)}, ttl_seconds=-1)
+    assert store.page_info("s", "old").first().status == "expired_or_not_found"
+
+
+def test_deep_page_keeps_nulls(spark):
+    rows = spark.range(200).selectExpr("IF(id % 10 = 0, NULL, id % 7) AS k", "id")
+    near = sampling.paginate(rows, ["k", "id"], 1, 40).collect()
+    deep = sampling.paginate(rows, ["k", "id"], 1, 40, top_rows=10).collect()
+    assert sorted(r.row_no for r in deep) == list(range(1, 41))
+    assert sorted(near, key=lambda r: r.row_no) == sorted(deep, key=lambda r: r.row_no)
