@@ -55,32 +55,30 @@ class Index:
         self.order = sorted(range(len(vectors)), key=lambda i: (sorted(vectors[i], key=lambda t: (-vectors[i][t], t)), i))
         blocks = -(-len(vectors) // BLOCK)
         self.largest = np.zeros((terms, blocks))
-        self.lists: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
-        lists: dict[tuple[int, int], list[tuple[int, float]]] = {}
+        # lists of a block side by side, a row a term; at most TERMS times twice EXAMPLES weights
+        self.weight = np.zeros((terms, blocks * BLOCK))
         for place, i in enumerate(self.order):
             for t, w in vectors[i].items():
-                lists.setdefault((t, place // BLOCK), []).append((place % BLOCK, w))
+                self.weight[t, place] = w
                 self.largest[t, place // BLOCK] = max(self.largest[t, place // BLOCK], w)
-        for key, entries in lists.items():
-            self.lists[key] = (np.array([p for p, _ in entries]), np.array([w for _, w in entries]))
         self.size = len(vectors)
 
     def nearest(self, query: dict[int, float], k: int, without: int = -1) -> list[tuple[float, int]]:
         """The k examples of largest positive cosine as (cosine, example)."""
         terms, weights = list(query), np.array(list(query.values()))
         bounds = weights @ self.largest[terms]
-        found: list[tuple[float, int]] = []
+        places, sums, least = np.zeros(0, np.int64), np.zeros(0), -1.0
         for block in np.argsort(-bounds, kind="stable"):
-            if bounds[block] <= 0 or len(found) == k and bounds[block] < found[-1][0] - 1e-12:
+            if bounds[block] <= 0 or bounds[block] < least - 1e-12:
                 break
-            sums = np.zeros(BLOCK)
-            for t, w in query.items():
-                if hit := self.lists.get((t, int(block))):
-                    sums[hit[0]] += w * hit[1]
-            places = np.flatnonzero(sums > 0)
-            found += [(float(sums[p]), e) for p in places if (e := self.order[block * BLOCK + p]) != without]
-            found = sorted(found, key=lambda x: (-round(x[0], 12), x[1]))[:k]
-        return found
+            score = weights @ self.weight[terms, block * BLOCK : (block + 1) * BLOCK]
+            good = np.flatnonzero((score > 0) & (score >= least - 1e-12))
+            if len(good):
+                places, sums = np.append(places, good + block * BLOCK), np.append(sums, score[good])
+                if len(sums) > k + 1:  # one of them may be left out
+                    least = float(np.partition(sums, -k - 1)[-k - 1])
+        found = [(float(x), self.order[p]) for x, p in zip(sums, places, strict=True) if self.order[p] != without]
+        return sorted(found, key=lambda x: (-round(x[0], 12), x[1]))[:k]
 
 
 def vector(words: Counter, terms: dict[str, int], idf: np.ndarray) -> dict[int, float]:
