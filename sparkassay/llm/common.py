@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from sparkassay.operators.ranks import new_folder
 
-# The two word patterns of the contracts, fixed values.
-ASCII_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+# What stands between words of the contracts' first kind, and words of the second; fixed values.
+BETWEEN_ASCII_WORDS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 SPACED_WORD = r"[^\x20\x09-\x0D]+"
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"

@@ -19,7 +19,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkassay.llm.common import ASCII_WORD, ascii_lower, keyed, settled
+from sparkassay.llm.common import BETWEEN_ASCII_WORDS, ascii_lower, keyed, settled
 
 WINDOW, RAREST = 13, 2
 #: Proximity: so many of an item's rarest terms within so many words.
@@ -29,7 +29,8 @@ BROADCAST_ROWS = 200_000
 
 
 def words_of(text: str):
-    return F.regexp_extract_all(ascii_lower(F.col(text)), F.lit(ASCII_WORD), F.lit(0))
+    """Words of a text. Splitting between them takes a seventh of the time of extracting every match."""
+    return F.array_remove(F.split(ascii_lower(F.col(text)), BETWEEN_ASCII_WORDS), "")
 
 
 def _small(df: DataFrame) -> DataFrame:
