@@ -83,8 +83,10 @@ def foreign_keys_query(table: str, schema: str = "public") -> str:
     )
 
 
-def sample_query(table: str, percentage: float = 10.0) -> str:
-    return f"SELECT * FROM {quoted(table)} ORDER BY RANDOM() LIMIT {max(10, int(percentage))}"
+def sample_query(table: str, percentage: float = 10.0, schema: str | None = None) -> str:
+    """Random rows of a table; without a schema the database's search path finds it."""
+    source = f"{quoted(schema)}.{quoted(table)}" if schema else quoted(table)
+    return f"SELECT * FROM {source} ORDER BY RANDOM() LIMIT {max(10, int(percentage))}"
 
 
 def list_tables(spark: SparkSession, url: str, schema: str = "public", **options) -> DataFrame:
@@ -99,19 +101,25 @@ def foreign_keys(spark: SparkSession, url: str, table: str, schema: str = "publi
     return _query(spark, url, foreign_keys_query(table, schema), **options)
 
 
-def sample_table(spark: SparkSession, url: str, table: str, percentage: float = 10.0, **options) -> DataFrame:
+def sample_table(
+    spark: SparkSession, url: str, table: str, percentage: float = 10.0, schema: str | None = None, **options
+) -> DataFrame:
     """max(10, int(percentage)) random rows, drawn by the database, in JSON-friendly values."""
-    return serialize_rows(_query(spark, url, sample_query(table, percentage), **options))
+    return serialize_rows(_query(spark, url, sample_query(table, percentage, schema), **options))
 
 
 def sample_database(
     spark: SparkSession, url: str, schema: str = "public", percentage: float = 10.0, **options
 ) -> dict[str, DataFrame]:
     names = [r["table_name"] for r in list_tables(spark, url, schema, **options).collect()]
-    return {n: sample_table(spark, url, n, percentage, **options) for n in names}
+    return {n: sample_table(spark, url, n, percentage, schema, **options) for n in names}
 
 
-def open_database(spark: SparkSession, url: str, schema: str = "public", **options) -> dict[str, DataFrame]:
-    """All tables of a schema; `options` reach the JDBC reader."""
+def open_database(
+    spark: SparkSession, url: str, schema: str = "public", partitioned: dict[str, dict] | None = None, **options
+) -> dict[str, DataFrame]:
+    """All tables of a schema; `options` reach the JDBC reader. `partitioned` maps a table to what
+    splits its read (partition_column, lower_bound, upper_bound, partitions); others are one task each."""
     names = [r["table_name"] for r in list_tables(spark, url, schema, **options).collect()]
-    return {n: read_table(spark, url, f"{quoted(schema)}.{quoted(n)}", **options) for n in names}
+    split = partitioned or {}
+    return {n: read_table(spark, url, f"{quoted(schema)}.{quoted(n)}", **options, **split.get(n, {})) for n in names}

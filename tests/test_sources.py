@@ -52,6 +52,7 @@ def test_jdbc_texts():
             jdbc.reader_options(bad)
     assert jdbc.sample_query('a"b', 25.7) == 'SELECT * FROM "a""b" ORDER BY RANDOM() LIMIT 25'
     assert jdbc.sample_query("t", 3).endswith("LIMIT 10")
+    assert jdbc.sample_query("t", schema="s").startswith('SELECT * FROM "s"."t" ORDER BY')
     assert "'it''s'" in jdbc.stats_query("it's")
 
 
