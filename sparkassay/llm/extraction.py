@@ -3,15 +3,18 @@
 The pages of a host are merged into one tree: a node is the path of tags and classes down to an element. Over the
 pages, the entropy of a node's styles (the sequence of elements below it) tells how much its presentation
 varies, and the entropy of the texts below it how far its content is the same everywhere. Branches that are
-neither varied nor new are of low importance and go, unless they hold the article itself. Elements that
-are noise by their meaning (navigation, forms, adverts, comments of readers) go on every page, also on hosts with few pages.
+neither varied nor new are of low importance and go, inside an article too; what holds an article's root or a first
+heading below it stays. Elements that are noise by their meaning (navigation, forms, adverts, comments of readers) go on
+every page, also on hosts with few pages. A name that means noise on an element around the article says nothing
+of the article itself.
 
 The tree is counted in Spark by (host, path); only branches of low importance are looked up again.
 Equal pages that a task sees count once.
 
 Defined results: NULL html counts as empty, with text ''; a NULL or malformed address has no host and its page only
 follows the rules; repeated rows get equal results; an empty table gives no rows; other columns are not read;
-a page without article or main element keeps its whole body less the noise.
+a page without article or main element keeps its whole body less the noise; a page of which the tree would leave nothing
+but headings keeps what the rules leave.
 """
 
 from __future__ import annotations
@@ -60,11 +63,17 @@ _TOKEN = re.compile(
 )
 _NAMES = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 _PART = re.compile(r"[a-z]+")
+#: Names that say what an element has or lacks, not what it is.
+_ABOUT = re.compile(r"(?<![a-z])(?:has|with|no|without)[-_]+[a-z]+")
+#: Levels of names that mean noise above an article are accepted until so much of a page's article text is reached.
+ENOUGH = 0.1
+_ROOT = r"(^|/)(article|main|h1)(\.[^/]*)?$"
+_HEADING = re.compile(r"(?:^|/)h[1-6](?:\.[^/]*)?$")
 
 
-def _described(tag: str, attributes: str) -> tuple[str, bool]:
-    """(label of an element, whether it is noise)."""
-    label, noise = tag, tag in NOISE_TAGS
+def _described(tag: str, attributes: str) -> tuple[str, bool, bool]:
+    """(label of an element, whether it is noise by tag or role, whether by name)."""
+    label, noise, named = tag, tag in NOISE_TAGS, False
     if attributes and "=" in attributes:
         for kind, value in _NAMES.findall(attributes):
             value = value.strip("\"'").lower()
@@ -73,16 +82,19 @@ def _described(tag: str, attributes: str) -> tuple[str, bool]:
             else:
                 label += "." + re.sub(r"[0-9]+", "0", value.replace("/", " "))[:40]
                 # main containers may bear any name; inside names, words count as a whole
-                noise = noise or tag not in ("html", "body", "main", "article") and not NOISE_NAMES.isdisjoint(_PART.findall(value))
-    return label, noise
+                own = tag not in ("html", "body", "main", "article")
+                named = named or own and not NOISE_NAMES.isdisjoint(_PART.findall(_ABOUT.sub(" ", value)))
+    return label, noise, named
 
 
 def blocks(html: str | None) -> list[tuple[str, str, bool, bool]]:
     """(path, text, inside an article, inside noise) of every block, in page order; blocks without text stand for elements."""
-    out: list[tuple[str, str, bool, bool]] = []
+    out: list[tuple[str, str, int, bool, int, int]] = []
     if not html:
-        return out
-    stack: list[tuple[str, str, bool, bool]] = []  # tag, path, in article, in noise
+        return []
+    # tag, path, root (1 in main, 2 in an article), in noise, names that mean noise above, those above the root
+    stack: list[tuple[str, str, int, bool, int, int]] = []
+    outside = ("", "", 0, False, 0, 0)
     buffer: list[str] = []
 
     def flush() -> None:
@@ -90,8 +102,8 @@ def blocks(html: str | None) -> list[tuple[str, str, bool, bool]]:
             text = " ".join(unescape("".join(buffer)).split())
             buffer.clear()
             if text:
-                top = stack[-1] if stack else ("", "", False, False)
-                out.append((top[1], text, top[2], top[3]))
+                top = stack[-1] if stack else outside
+                out.append((top[1], text, *top[2:]))
 
     at = 0
     for m in _TOKEN.finditer(html):
@@ -125,18 +137,33 @@ def blocks(html: str | None) -> list[tuple[str, str, bool, bool]]:
                     break
         elif stack and stack[-1][0] == "p":
             stack.pop()
-        _, path, article, noise = stack[-1] if stack else ("", "", False, False)
-        label, own = _described(tag, m[4])
+        _, path, root, noise, names, above = stack[-1] if stack else outside
+        label, own, named = _described(tag, m[4])
         if tag == "header":
-            own = own or not article  # a page's header, not an article's
-        path = f"{path}/{label}" if path.count("/") < DEEP else path
-        article = article or tag in ("article", "main")
-        stack.append((tag, path, article, noise or own))
-        out.append((path, "", article, noise or own))
+            own = own or not root  # a page's header, not an article's
+        kind = {"article": 2, "main": 1}.get(tag, 0)
+        path = f"{path}/{label}" if path.count("/") < DEEP or kind > root else path
+        if kind > root:
+            root, above = kind, names
+        stack.append((tag, path, root, noise or own, names + named, above))
+        out.append((path, "", *stack[-1][2:]))
     if at < len(html):
         buffer.append(html[at:])
     flush()
-    return out
+    # articles inside something named as noise (teasers, comments) count only where there is hardly any other
+    found: dict[int, int] = {}
+    for path, text, root, noise, names, above in out:
+        if text and root and not noise and names == above and not _HEADING.search(path):
+            found[above] = found.get(above, 0) + len(text)
+    level, reached = 0, 0
+    for level in sorted(found):
+        reached += found[level]
+        if reached >= ENOUGH * sum(found.values()):
+            break
+    return [
+        (path, text, root > 0, noise or names > above or root > 0 and above > level)
+        for path, text, root, noise, names, above in out
+    ]
 
 
 def main_text(html: str | None, low: frozenset[str] = frozenset()) -> str:
@@ -145,7 +172,9 @@ def main_text(html: str | None, low: frozenset[str] = frozenset()) -> str:
     if any(b[2] for b in found):
         found = [b for b in found if b[2]]
     if low:
-        found = [b for b in found if not any(b[0] == p or b[0].startswith(p + "/") for p in low)]
+        left = [b for b in found if not any(b[0] == p or b[0].startswith(p + "/") for p in low)]
+        if not all(_HEADING.search(b[0]) for b in left):
+            found = left
     return "\n\n".join(b[1] for b in found)
 
 
@@ -196,7 +225,7 @@ def style_tree(pages: DataFrame) -> DataFrame:
     above = F.transform(F.sequence(F.lit(2), F.size(parts)), lambda k: F.array_join(F.slice(parts, 1, k), "/"))
     spread = texts.select("host", F.explode(above).alias("path"), "_t", "_l").groupBy("host", "path").agg(F.sum("_t").alias("_t"), F.sum("_l").alias("_l"))
     holds = counts.where("kind = 0").select("host", F.explode(above).alias("_p"), "path").groupBy("host", F.col("_p").alias("path"))
-    holds = holds.agg(F.max(F.col("path").rlike(r"(^|/)(article|main|h1)(\.|/|$)")).alias("holds_article"))
+    holds = holds.agg(F.max(F.col("path").rlike(_ROOT)).alias("holds_article"))
     tree = size.join(spread, ["host", "path"], "left").join(holds, ["host", "path"], "left")
     same = F.col("_l") / (F.col("_t") * F.ln(m))
     content = F.when((m > 1) & F.col("_t").isNotNull(), F.greatest(F.lit(0.0), 1 - same)).otherwise(F.lit(1.0))

@@ -275,6 +275,20 @@ def test_extraction(spark, empty):
     assert extraction.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_tree_judges_inside_articles(spark):
+    """Repeated branches inside an article go; names around it are not its own; its own paragraphs stay."""
+    inside = (
+        "<div class='layout {1}'><article><h1>T {0}</h1><p>body {0} of page {0}</p>"
+        "<div class='bio'><p>Ann writes here</p></div></article></div>"
+    )
+    rows = [(i, f"http://c.example/{i}", inside.format(i, "has-sidebar" if i % 2 else "sidebar")) for i in range(20)]
+    got = {r.page_id: r.text for r in extraction.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"T {i}\n\nbody {i} of page {i}" for i in range(20)}
+    teaser = "<main><h1>T</h1><p>the story itself</p><div class='related'><article><p>teaser</p></article></div></main>"
+    assert extraction.main_text(teaser) == "T\n\nthe story itself"
+    assert extraction.main_text("<main><h1>T</h1><div class='sidebar'><article><p>story</p></article></div></main>") == "T\n\nstory"
+
+
 def rank_accuracy(labels, scores):
     order = np.argsort(np.argsort(scores, kind="stable"))
     good = labels == 1
