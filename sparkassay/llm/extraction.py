@@ -9,7 +9,8 @@ every page, also on hosts with few pages. A name that means noise on an element
 of the article itself.
 
 The tree is counted in Spark by (host, path); only branches of low importance are looked up again.
-Equal pages that a task sees count once.
+Equal pages of a host count once, wherever they stand: pages travel as hashes of what they hold, one row for each
+digest of the whole page.
 
 Defined results: NULL html counts as empty, with text ''; a NULL or malformed address has no host and its page only
 follows the rules; repeated rows get equal results; an empty table gives no rows; other columns are not read;
@@ -25,6 +26,7 @@ from html import unescape
 from urllib.parse import urlsplit
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -188,13 +190,15 @@ def host_of(url: str | None) -> str | None:
 def style_tree(pages: DataFrame) -> DataFrame:
     """(host, path, n_pages, presentation, content, importance, holds_article) of every node of every host."""
 
-    def nodes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: set[int] = set()
+    def nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        seen: set[tuple[str, bytes]] = set()
         for rows in batches:
-            out = []
-            for url, html in zip(rows["url"], rows["html"], strict=True):
-                host = host_of(url)
-                if host is None or not html or (key := hash((host, html))) in seen:
+            hosts, digests, ends, out = [], [], [0], []
+            for url, html in zip(rows["url"].to_pylist(), rows["html"], strict=True):
+                host, html = host_of(url), html.as_py()
+                if host is None or not html or (key := (host, xxhash.xxh3_128_digest(html.encode()))) in seen:
                     continue
                 seen.add(key)
                 below: dict[str, list[str]] = {}
@@ -202,18 +206,25 @@ def style_tree(pages: DataFrame) -> DataFrame:
                     if noise or not path:
                         continue
                     if text:
-                        out.append((host, path, 1, text))
+                        out.append((path, 1, text))
                     else:
                         below.setdefault(path, [])
                         parent = path.rpartition("/")[0]
                         kids = below.setdefault(parent, [])
                         if path not in kids[-1:]:  # equal neighbours count once
                             kids.append(path)
-                out += [(host, path, 0, " ".join(kids)) for path, kids in below.items() if path]
-            yield pd.DataFrame(out, columns=["host", "path", "kind", "what"])
+                out += [(path, 0, " ".join(kids)) for path, kids in below.items() if path]
+                hosts.append(host)
+                digests.append(key[1])
+                ends.append(len(out))
+            path, kind, what = zip(*out, strict=True) if out else [()] * 3
+            whats = [xxhash.xxh64_intdigest(w.encode()) - (1 << 63) for w in what]
+            node = pa.StructArray.from_arrays([pa.array(path, pa.string()), pa.array(kind, pa.int32()), pa.array(whats, pa.int64())], ["path", "kind", "what"])
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), node)
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(digests, pa.binary()), lists], ["host", "page", "nodes"])
 
-    rows = pages.select("url", "html").mapInPandas(nodes, "host string, path string, kind int, what string")
-    rows = rows.select("host", "path", "kind", F.xxhash64("what").alias("what"))
+    shape = "host string, page binary, nodes array<struct<path:string,kind:int,what:long>>"
+    rows = pages.select("url", "html").mapInArrow(nodes, shape).dropDuplicates(["host", "page"]).select("host", F.inline("nodes"))
     counts = settled(rows.groupBy("host", "path", "kind", "what").agg(F.count("*").alias("n")), "style-counts")
     n, m = F.col("n"), F.col("n_pages")
     size = counts.where("kind = 0").groupBy("host", "path").agg(F.sum("n").alias("n_pages"), F.sum(n * F.ln(n)).alias("_s"))

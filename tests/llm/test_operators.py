@@ -289,6 +289,17 @@ def test_tree_judges_inside_articles(spark):
     assert extraction.main_text("<main><h1>T</h1><div class='sidebar'><article><p>story</p></article></div></main>") == "T\n\nstory"
 
 
+def test_copies_of_a_page_count_once(spark):
+    """One page on most rows of a host, dealt over many tasks, is one page of the tree."""
+    page = "<body><div class='text'><h1>T</h1><p>one long story</p><p>and its end</p></div></body>"
+    rows = [(i, "http://d.example/", page) for i in range(64)] + [(99, "http://d.example/2", page.replace("story", "tale"))]
+    table = spark.createDataFrame(rows, "page_id long, url string, html string")
+    trees = [set(extraction.style_tree(table.repartition(n)).collect()) for n in (1, 16)]
+    assert trees[0] == trees[1] and {r.n_pages for r in trees[0]} == {2}
+    texts = {r.text for r in extraction.extract(table.repartition(16)).collect()}
+    assert texts == {"T\n\none long story\n\nand its end", "T\n\none long tale\n\nand its end"}
+
+
 def rank_accuracy(labels, scores):
     order = np.argsort(np.argsort(scores, kind="stable"))
     good = labels == 1
