@@ -51,7 +51,8 @@ def pieces(docs: DataFrame, tokenizer: str, window: int = WINDOW, keep_ids: bool
         from tokenizers import Tokenizer, pre_tokenizers
 
         model = Tokenizer.from_file(tokenizer)
-        model.encode_special_tokens = True
+        # words that hold a token the tokeniser adds to its model, in any case, are for the whole tokeniser
+        added = re.compile("|".join(re.escape(t.content.lower()) for t in model.get_added_tokens_decoder().values()) or r"(?!)")
         bytes_of = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
         end = np.array([END], "<u4").tobytes()
         parts: dict[str, bytes] = {}
@@ -62,7 +63,7 @@ def pieces(docs: DataFrame, tokenizer: str, window: int = WINDOW, keep_ids: bool
                 word = raw.decode()
                 low = word.lower()
                 if (ids := parts.get(low)) is None:
-                    if not _PLAIN.fullmatch(word):
+                    if not _PLAIN.fullmatch(word) or added.search(low):
                         ids = array("I", model.encode(word, add_special_tokens=False).ids).tobytes()
                     else:
                         ids = b"".join([parts[p] if p in parts else part_ids(p) for p in _PART.findall(low)])

@@ -105,6 +105,19 @@ def test_packing_round_trip(docs, empty, real):
     assert packing.pack(empty, tokenizer_path()).count() == 0
 
 
+def test_packing_keeps_added_tokens(spark):
+    from tokenizers import Tokenizer
+
+    model = Tokenizer.from_file(tokenizer_path())
+    texts = [
+        "end <|endoftext|> start<|startoftext|>x", "a<|endoftext|><|startoftext|>b 's<|endoftext|>", "<|ENDOFTEXT|> x<|EndOfText|>y",
+        "é<|endoftext|>中\n<|startoftext|>\t<|endoftext|>", "<|endoftext <|endoftext|>", "<|endoftext|>" * 3,
+    ]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: list(r.ids) for r in packing.pieces(table, tokenizer_path(), keep_ids=True).collect()}
+    assert got == {i: [*model.encode(t, add_special_tokens=False).ids, packing.END] for i, t in enumerate(texts)}
+
+
 def test_plan_uses_every_count():
     rng = np.random.default_rng(1)
     for histogram in (rng.integers(0, 50, 64), np.eye(64, dtype=int)[3] * 7, np.zeros(64, int)):
