@@ -3,9 +3,10 @@
 A gear hash rolls over the characters; where its low bits are zero a chunk may end, so an insertion moves
 cuts only near itself. A cut counts only if the candidate before it is at least SHORTEST characters
 back, and stretches of more than LONGEST are cut evenly from their start: both rules look at nearby text alone.
-Chunks are grouped by a 128-bit digest; the first in the order of (doc_id, text hash, place) stays. Runs of further copies of at least
-RUN characters are taken out. Tasks keep only the first place of a digest that they see, and
-count the rest, before anything is shuffled.
+Chunks are grouped by a 128-bit digest; the first in the order of (doc_id, text hash, place) stays. Further copies are
+seeds: where they stand side by side over SEED characters, the ends of each stretch that runs along one first copy are
+extended, character by character, with the text around that first copy. Runs of at least RUN characters are then taken out.
+Tasks keep only the first place of a digest that they see, and count the rest, before anything is shuffled.
 
 Defined results: NULL counts as the empty text and loses nothing; rows that repeat id and text are one
 document and all keep their first copies; documents without id come first; a text that repeats itself keeps its first
@@ -19,13 +20,18 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkassay.llm.common import keyed, settled
+from sparkassay.llm.common import keyed, release, settled
 
-#: Cuts come about every MASK + 1 characters; lengths in characters.
-MASK, SHORTEST, LONGEST, RUN = 31, 16, 128, 100
+#: A cut may come about every MASK + 1 characters; lengths in characters.
+MASK, SHORTEST, LONGEST, RUN = 15, 8, 64, 100
+#: Copies side by side over so many characters are extended, by at most AROUND characters on either side. Only a stretch
+#: without any possible cut could be equal beyond that without being a seed itself.
+SEED, AROUND = 32, 512
+#: An extension keeps to words of up to so many characters.
+WORD = 32
 #: The gear hash looks back over so many characters.
 REACH = 32
 
@@ -109,12 +115,82 @@ def repeats(documents: DataFrame) -> DataFrame:
     # counts combine in the tasks before the shuffle, so a chunk in a third of all rows is a row a task
     known = found.groupBy("_high", "_low").agg(F.count("*").alias("_n"), F.min(place).alias("_first"))
     known = known.where("_n > 1").select(F.col("_high").alias("_h"), F.col("_low").alias("_l"), "_first")
+    known = settled(known, "repeated")  # the shuffle of all chunks is gone before the next
     copies = found.join(known, F.expr("_high = _h AND _low = _l")).where(~place.eqNullSafe(F.col("_first")))
-    return copies.groupBy(F.col("doc_id").alias("_id"), F.col("_hash").alias("_mark")).agg(
-        F.sort_array(F.collect_set(F.struct("_start", "_end"))).alias("_places")
+    copies = copies.drop("_h", "_l").repartition("doc_id", "_hash").distinct()  # rows that repeat id and text
+    text = Window.partitionBy("doc_id", "_hash").orderBy("_start")
+    beside = F.coalesce(F.lag("_end").over(text) == F.col("_start"), F.lit(False))
+    source = F.struct("_first.doc_id", "_first._hash", (F.col("_start") - F.col("_first._start")).alias("_shift"))
+    copies = copies.withColumn("_source", source).withColumn("_beside", beside)
+    copies = copies.withColumn("_along", F.col("_beside") & F.lag("_source").over(text).eqNullSafe(F.col("_source")))
+    copies = copies.withColumn("_last", ~F.coalesce(F.lead("_along").over(text), F.lit(False)))
+    copies = copies.withColumn("_stretch", F.sum((~F.col("_beside")).cast("int")).over(text))
+    stretch = Window.partitionBy("doc_id", "_hash", "_stretch")
+    length = F.max("_end").over(stretch) - F.min("_start").over(stretch)
+    copies = copies.withColumn("_length", length).where(F.col("_length") >= SEED)
+    copies = copies.select("doc_id", "_hash", "_start", "_end", "_high", "_low", "_first", (~F.col("_along")).alias("_opens"), F.col("_last").alias("_closes"))
+    copies = settled(copies, "copies")
+    release(found)
+    release(known)
+    around = _around(documents, copies.where("_opens OR _closes"))
+    joined = copies.join(around, F.expr("(_opens OR _closes) AND _high = _h AND _low = _l"), "left")
+    left, right = F.when(F.col("_opens"), F.col("_before")), F.when(F.col("_closes"), F.col("_after"))
+    return joined.groupBy(F.col("doc_id").alias("_id"), F.col("_hash").alias("_mark")).agg(
+        F.sort_array(F.collect_set(F.struct("_start", "_end", left.alias("_left"), right.alias("_right")))).alias("_places")
     )
 
 
+def _around(documents: DataFrame, ends: DataFrame) -> DataFrame:
+    """(_h, _l, _before, _after): the text on either side of the first copy of each of these chunks, once a chunk."""
+    size = (F.col("_end") - F.col("_start")).alias("_size")
+    wanted = ends.select("_high", "_low", size, F.col("_first.doc_id").alias("_id"), F.col("_first._hash").alias("_mark"), F.col("_first._start").alias("_at"))
+    wanted = wanted.distinct().groupBy("_id", "_mark").agg(F.collect_list(F.struct("_high", "_low", "_at", "_size")).alias("_wanted"))
+    # rows that repeat id and text would all give the same
+    found = documents.join(wanted, F.expr("doc_id <=> _id AND _hash = _mark"))
+
+    @F.pandas_udf("array<struct<_h:long,_l:long,_before:string,_after:string>>")
+    def sides(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for texts, lists in batches:
+            out = []
+            for text, chosen in zip(texts, lists, strict=True):
+                row = []
+                for c in chosen:
+                    a = c["_at"]
+                    b = a + c["_size"]
+                    row.append({"_h": c["_high"], "_l": c["_low"], "_before": text[max(0, a - AROUND) : a], "_after": text[b : b + AROUND]})
+                out.append(row)
+            yield pd.Series(out)
+
+    return found.select(F.inline(sides("_text", "_wanted"))).dropDuplicates(["_h", "_l"])
+
+
+def shared_start(one: str, two: str) -> int:
+    """How many characters two texts begin with alike."""
+    low, high = 0, min(len(one), len(two))
+    while low < high:
+        half = (low + high + 1) // 2
+        if one[low:half] == two[low:half]:
+            low = half
+        else:
+            high = half - 1
+    return low
+
+
+def word_start(text: str, first: int, start: int) -> int:
+    """The place in first to start where a word begins, so that letters that happen to be alike before a
+    passage stay; `first` where no word of up to WORD characters begins."""
+    if first == 0 or text[first - 1].isspace():
+        return first
+    return next((k + 1 for k in range(first, min(start, first + WORD)) if text[k].isspace()), first)
+
+
+def word_end(text: str, end: int, last: int) -> int:
+    """The place in end to last where a word has ended; `last` where none of up to WORD characters has."""
+    if last == len(text) or text[last].isspace():
+        return last
+    return next((k for k in range(last, max(end, last - WORD), -1) if text[k - 1].isspace()), last)
+
+
 def cut_out(text: Column, places: Column) -> Column:
     """Struct of the text without its runs of repeated chunks, and the runs."""
 
@@ -126,12 +202,22 @@ def cut_out(text: Column, places: Column) -> Column:
                 if found is None or not len(found):
                     out.append((text, [], 0))
                     continue
-                runs: list[list[int]] = []
+                spans = []
                 for p in found:
-                    if runs and runs[-1][1] == p["_start"]:
-                        runs[-1][1] = p["_end"]
+                    start, end = int(p["_start"]), int(p["_end"])
+                    if p["_left"]:
+                        first = start - shared_start(text[max(0, start - AROUND) : start][::-1], p["_left"][::-1])
+                        start = word_start(text, first, start)
+                    if p["_right"]:
+                        last = end + shared_start(text[end : end + AROUND], p["_right"])
+                        end = word_end(text, end, last)
+                    spans.append((start, end))
+                runs: list[list[int]] = []
+                for start, end in sorted(spans):
+                    if runs and start <= runs[-1][1]:
+                        runs[-1][1] = max(runs[-1][1], end)
                     else:
-                        runs.append([p["_start"], p["_end"]])
+                        runs.append([start, end])
                 runs = [r for r in runs if r[1] - r[0] >= RUN]
                 edges = [0, *(x for r in runs for x in r), len(text)]
                 kept = "".join(text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)) if runs else text

@@ -243,6 +243,24 @@ def test_substrings(docs, empty, spark):
     assert all(r.n_removed == 0 for r in substrings.dedup_substrings(clean).collect())
 
 
+def test_short_passages_go_whole(spark):
+    """A passage of 55 words of six characters, and all of it, goes from its second text."""
+    rng = np.random.default_rng(5)
+
+    def words(n):
+        return " ".join("".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 5)) for _ in range(n))
+
+    rows, passages = [], []
+    for i in range(200):
+        passages.append(words(55))
+        rows += [(k * 1000 + i, f"{words(60)} {passages[-1]} {words(60)}") for k in (0, 1)]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = {r.doc_id: r for r in substrings.dedup_substrings(table).collect()}
+    assert all(got[i].n_removed == 0 for i in range(200))
+    left = [len(passages[i]) - got[1000 + i].n_removed for i in range(200)]
+    assert sum(x > 0 for x in left) <= 2 and min(left) >= -8
+
+
 def test_cuts_move_only_near_an_insertion():
     text = " ".join(f"word{i * i}" for i in range(2000))
     table = substrings.gear()
