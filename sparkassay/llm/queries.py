@@ -1,4 +1,4 @@
-"""The registered queries of the ten operators, and the SQL that answers the same where SQL can."""
+"""The registered queries of the operators, and the SQL that answers the same where SQL can."""
 
 from __future__ import annotations
 
@@ -12,10 +12,13 @@ from sparkassay.llm import (
     language,
     licenses,
     packing,
+    periodic,
     quality_pu,
     repetition,
     substrings,
     toxicity,
+    warc,
+    whitening,
 )
 from sparkassay.llm.common import fold, table
 
@@ -83,6 +86,20 @@ def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return repetition.quality_rules(table(spark, folder, "documents"))
 
 
+def op11_warc_salvage(spark: SparkSession, folder: str) -> DataFrame:
+    return warc.round_trip(table(spark, folder, "pages"))
+
+
+def op12_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    texts = docs.select("doc_id", periodic.rewritten(F.col("doc_id"), F.col("text")).alias("text"))
+    return periodic.digests(periodic.find_runs(texts))
+
+
+def op13_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whiten(table(spark, folder, "embeddings"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -96,8 +113,22 @@ QUERIES = {
         op8_toxicity,
         op9_quality_pu,
         op10_quality_rules,
+        op11_warc_salvage,
+        op12_periodic_runs,
+        op13_whitening,
     )
 }
-# None of the ten is plain SQL: each adds what its own method finds (labels, proximity, verdicts, scores,
+# Twenty bytes are eight groups of five hexadecimal digits, and each of these four digits of base 32.
+_BASE32 = """array_to_string(list_transform(range(32), i -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    ((CAST('0x' || substr(key, 5 * (i // 4) + 1, 5) AS INTEGER) >> (15 - 5 * (i % 4))) & 31) + 1, 1)), '')"""
+
+# The others are not plain SQL: each adds what its own method finds (labels, proximity, verdicts, scores,
 # places). tests/llm holds them against brute-force versions of their contracts.
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op11_warc_salvage": f"""
+        WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS bytes, sha1(coalesce(html, '')) AS key FROM pages),
+             f AS (SELECT *, min(page_id) OVER (PARTITION BY key) AS first FROM p)
+        SELECT page_id, CAST(bytes AS BIGINT) AS payload_bytes, {_BASE32} AS payload_digest,
+               CASE WHEN page_id IS NOT DISTINCT FROM first THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id IS DISTINCT FROM first THEN first END AS refers_to FROM f""",
+}
