@@ -119,8 +119,8 @@ QUERIES = {
     )
 }
 # Twenty bytes are eight groups of five hexadecimal digits, and each of these four digits of base 32.
-_BASE32 = """array_to_string(list_transform(range(32), i -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
-    ((CAST('0x' || substr(key, 5 * (i // 4) + 1, 5) AS INTEGER) >> (15 - 5 * (i % 4))) & 31) + 1, 1)), '')"""
+_BASE32 = """array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    ((CAST('0x' || substr(key, 5 * (i // 4) + 1, 5) AS INTEGER) >> (15 - 5 * (i % 4))) & 31) + 1, 1) FOR i IN range(32)], '')"""
 
 # The others are not plain SQL: each adds what its own method finds (labels, proximity, verdicts, scores,
 # places). tests/llm holds them against brute-force versions of their contracts.

@@ -155,7 +155,11 @@ class Found(NamedTuple):
 
 
 class Damaged(Exception):
-    pass
+    """A failed check; `end` is where the record ends if its frame (version, headers, length, closing line ends) holds."""
+
+    def __init__(self, reason: str, end: int | None = None):
+        super().__init__(reason)
+        self.end = end
 
 
 def _sha1_holds(given: str | None, data: bytes) -> bool:
@@ -184,13 +188,13 @@ def parse(data: bytes, at: int) -> tuple[int, dict[str, str], bytes | None, int
         raise Damaged("length does not fit")
     block = data[start:end]
     if not _sha1_holds(headers.get("warc-block-digest"), block):
-        raise Damaged("block digest differs")
+        raise Damaged("block digest differs", end + len(END))
     kind, payload, size = headers["warc-type"], block, len(block)
     if headers.get("content-type", "").startswith("application/http"):
         http, found, payload = block.partition(END)
         size = len(payload)
         if not found:
-            raise Damaged("no http headers")
+            raise Damaged("no http headers", end + len(END))
         if kind == "revisit":
             told = re.search(rb"(?im)^content-length:\s*(\d+)\s*$", http)
             payload, size = None, int(told[1]) if told else None
@@ -198,7 +202,7 @@ def parse(data: bytes, at: int) -> tuple[int, dict[str, str], bytes | None, int
         payload, size = None, None
     given = headers.get("warc-payload-digest")
     if payload is not None and kind == "response" and not _sha1_holds(given, payload):
-        raise Damaged("payload digest differs")
+        raise Damaged("payload digest differs", end + len(END))
     of_payload = digest(payload) if payload is not None else (given or "").removeprefix("sha1:") or None
     return end + len(END), headers, payload, size, of_payload
 
@@ -225,9 +229,12 @@ def records_at(data: bytes, at: int) -> tuple[list[Found], int]:
         return [Found(at, end, None, *rest)], end
     content, end = _unpacked(data, at)
     out, inner = [], 0
-    while inner < len(content):
-        inner, *rest = parse(content, inner)
-        out.append(Found(at, end, None, *rest))
+    try:
+        while inner < len(content):
+            inner, *rest = parse(content, inner)
+            out.append(Found(at, end, None, *rest))
+    except Damaged as e:  # places inside a member say nothing of the file; the member itself is whole
+        raise Damaged(str(e), end) from e
     return out, end
 
 
@@ -269,7 +276,8 @@ def salvage(data: bytes) -> Iterator[Found]:
         try:
             found, end = records_at(data, at)
         except Damaged as e:
-            start, (at, found, end) = at, _next_valid(data, at + 1)
+            # a record in a good frame is damaged as a whole: what its payload looks like is no record
+            start, (at, found, end) = at, _next_valid(data, e.end or at + 1)
             yield Found(start, at, str(e), {}, None, None, None)
         yield from found
         at = end
