@@ -184,17 +184,21 @@ def with_positions(
     size: str | None = None,
     window_rows: int = WINDOW_ROWS,
     between: tuple[int, int] | None = None,
+    sizes: tuple[int, int | None] | None = None,
 ) -> DataFrame:
     """Number the rows of every group from 0 along `order`; `size` adds the group's row count and
-    `between` keeps the positions from its first to before its second number.
+    `between` keeps the positions from its first to before its second number. `sizes` gives the rows of the
+    largest group and of the table where they are known.
 
     Small groups (the largest is counted first) take one window per group. Otherwise the rows are
     range-partitioned by (keys, order) and written once; each block is numbered on its own, and the
     start of a block is the sum of the blocks before it. No task holds more than one block.
     """
-    largest, rows = group_sizes(df, keys)
+    largest, rows = sizes or group_sizes(df, keys)
+    if largest > window_rows and rows is None:
+        rows = df.count()
     first, end = between or (0, rows)
-    wanted = (F.col(position) >= first) & (F.col(position) < end)
+    wanted = (F.col(position) >= first) & (F.col(position) < end) if between else F.lit(True)
     if largest <= window_rows:
         return _window_positions(df, order, keys, position, size).where(wanted)
     blocks = to_blocks(df, order, keys, block_count(df, rows, window_rows))

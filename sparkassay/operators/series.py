@@ -4,133 +4,141 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkassay.functions import values as V
-from sparkassay.operators.ranks import (
-    BLOCK,
-    GROUP,
-    WINDOW_ROWS,
-    block_count,
-    block_starts,
-    group_sizes,
-    to_blocks,
-)
+from sparkassay.operators.ranks import WINDOW_ROWS, group_sizes, with_positions
+
+# Points whose moments one window task gathers; a chunk of a longer series has several such pieces.
+PIECE = 250_000
+
+_START, _END = Window.unboundedPreceding, Window.unboundedFollowing
+
+
+def merged(a: Column, b: Column) -> Column:
+    """Moments (n, mean, m2) of two sets of points together; m2 is the sum of squares around the mean.
+    Nothing is ever subtracted out again, so a spike only touches the windows that hold it."""
+    n = a["n"] + b["n"]
+    gap = b["mean"] - a["mean"]
+    both = F.struct(
+        n.alias("n"),
+        (a["mean"] + gap * (b["n"] / n)).alias("mean"),
+        (a["m2"] + b["m2"] + gap * gap * (a["n"] * b["n"] / n)).alias("m2"),
+    )
+    return F.when(a["n"] == 0, b).when(b["n"] == 0, a).otherwise(both)
 
 
 def change_point_scores(
-    df: DataFrame, keys: Sequence[str], order: str, column: str, window_rows: int = WINDOW_ROWS
+    df: DataFrame, keys: Sequence[str], order: str, column: str, window_rows: int = WINDOW_ROWS, piece: int = PIECE
 ) -> DataFrame:
     """Per series `(keys, points, value)`: share of the points strictly outside the centred rolling
     mean by more than two sample standard deviations.
 
-    A series of n points uses a window of max(2, n div 5), needs the whole window present, and
-    scores 0 below three points. The order must be unique within a series. Because the window
-    grows with the series, the sums of a window are differences of running sums (of centred
-    values): each point sends its running sum to the two points whose windows begin or end there,
-    and all three meet in one hash aggregation by (series, index). Long series are range-partitioned
-    into blocks first, so that no task ever holds a whole series.
+    A series of n points uses a window of w = max(2, n div 5), needs the whole window present, and
+    scores 0 below three points. The order must be unique within a series.
+
+    A series is cut every w points. Each window is then the end of one chunk and the start of the
+    next, and its moments are those of the two, merged. The moments of all starts and ends are growing
+    windows over pieces of bounded length; pieces of a chunk are merged in order where there are several.
+    Start, end and centre of a window lie apart: every point sends what it has to the centres it belongs to, and
+    the three meet in one aggregation by (series, index). No task holds a long series (`window_rows` and
+    `piece` only choose the plan: positions are exact and merging is the same at every size).
     """
     keys = list(keys)
     rows = df.select(*(V.col(k) for k in keys), V.col(order).alias("_t"), V.number(df, column).alias("_v"))
-    largest, total = group_sizes(rows, keys)
-    if largest <= window_rows:
-        running = _running_in_windows(rows, keys)
-    else:
-        running = _running_in_blocks(rows, keys, block_count(rows, total, window_rows))
-
+    longest, _ = group_sizes(rows, keys)
+    numbered = with_positions(rows, ["_t"], keys, position="_i", size="_n", window_rows=window_rows, sizes=(longest, None))
     w = F.greatest(F.lit(2), F.floor(F.col("_n") / 5))
+    placed = numbered.select(
+        *keys, "_n", "_i", "_v", F.floor(F.col("_i") / w).alias("_chunk"), F.floor(F.col("_i") % w / piece).alias("_piece")
+    )
+    moments = _piecewise(placed, keys)
+    if longest // 5 > piece:
+        moments = _across_pieces(moments, keys)
+
     ahead = F.floor((w - 1) / 2)  # points of the window after its centre
     behind = w - 1 - ahead
+    empty = F.lit(None).cast(_MOMENTS)
+    here = F.struct(F.col("_i").alias("at"), F.col("_v").alias("v"), empty.alias("head"), empty.alias("tail"))
     none = F.lit(None).cast("double")
-    here = F.struct(F.col("_i").alias("at"), F.lit(0).alias("role"), F.col("_v").alias("x"), none.alias("y"))
-    sums = (F.col("_s").alias("x"), F.col("_q").alias("y"))
-    ends = F.struct((F.col("_i") - ahead).alias("at"), F.lit(1).alias("role"), *sums)
-    begins = F.struct((F.col("_i") + behind + 1).alias("at"), F.lit(2).alias("role"), *sums)
-    sent = running.select(*keys, "_n", "_c", F.inline(F.array(here, ends, begins))).where(
+    # the last point of a window brings the start of its chunk, the first one the end of its own
+    ends = F.struct((F.col("_i") - ahead).alias("at"), none.alias("v"), F.col("_head").alias("head"), empty.alias("tail"))
+    begins = F.struct((F.col("_i") + behind).alias("at"), none.alias("v"), empty.alias("head"), F.col("_tail").alias("tail"))
+    sent = moments.select(*keys, "_n", F.inline(F.array(here, ends, begins))).where(
         (F.col("at") >= 0) & (F.col("at") < F.col("_n"))
     )
-
-    def of(role: int, name: str):
-        return F.max(F.when(F.col("role") == role, F.col(name)))
-
-    met = sent.groupBy(*keys, "_n", "at").agg(
-        of(0, "x").alias("v"),
-        of(1, "x").alias("s1"), of(1, "y").alias("q1"), of(1, "_c").alias("c1"),
-        of(2, "x").alias("s0"), of(2, "y").alias("q0"), of(2, "_c").alias("c0"),
-    )
-    first = F.col("at") == behind  # the window that begins with the series has nothing before it
-    count = F.col("c1") - F.when(first, F.lit(0)).otherwise(F.col("c0"))
-    s = F.col("s1") - F.when(first, F.lit(0.0)).otherwise(F.col("s0"))
-    q = F.col("q1") - F.when(first, F.lit(0.0)).otherwise(F.col("q0"))
-    mean = s / w
-    spread = F.sqrt(F.greatest(F.lit(0.0), (q - s * mean) / (w - 1)))
-    outside = (count == w) & (F.abs(F.col("v") - mean) > spread * 2)
+    met = sent.groupBy(*keys, "_n", "at").agg(F.max("v").alias("v"), F.max("head").alias("head"), F.max("tail").alias("tail"))
+    # a window that begins with a chunk is that chunk: its end is all of it
+    whole = (F.col("at") - behind) % w == 0
+    window = F.when(whole, F.col("tail")).otherwise(merged(F.col("tail"), F.col("head")))
+    judged = met.withColumn("_w", window)
+    spread = F.sqrt(F.col("_w.m2") / (w - 1))
+    distance = F.abs(F.col("v") - F.col("_w.mean"))
+    outside = (F.col("_w.n") == w) & (distance > spread * 2) & ~F.isnan(distance)
     score = F.when(F.coalesce(F.max("_n"), F.lit(0)) < 3, F.lit(0.0)).otherwise(
         F.least(F.lit(1.0), F.count_if(outside) / F.max("_n"))
     )
-    return met.groupBy(*keys).agg(F.max("_n").alias("points"), score.alias("value"))
-
-
-def _running_in_windows(rows: DataFrame, keys: list[str]) -> DataFrame:
-    group = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    upto = group.orderBy("_t").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    centred = rows.withColumn("_d", F.col("_v") - F.avg("_v").over(group))
-    d = F.coalesce(F.col("_d"), F.lit(0.0))
-    return centred.select(
-        *keys,
-        F.count("*").over(group).alias("_n"),
-        (F.row_number().over(group.orderBy("_t")).cast("long") - 1).alias("_i"),
-        F.col("_d").alias("_v"),
-        F.count("_v").over(upto).alias("_c"),
-        F.sum(d).over(upto).alias("_s"),
-        F.sum(d * d).over(upto).alias("_q"),
-    )
+    return judged.groupBy(*keys).agg(F.max("_n").alias("points"), score.alias("value"))
 
 
-def _running_in_blocks(rows: DataFrame, keys: list[str], blocks_wanted: int) -> DataFrame:
-    blocks = to_blocks(rows, ["_t"], keys, blocks_wanted)
-    groups = [GROUP] if keys else []
-    by_block = [*groups, BLOCK]
-    # Size and mean of every series from one row per (series, block) ...
-    sizes = blocks.groupBy(*by_block).agg(
-        F.count("*").alias("_rows"), F.count("_v").alias("_c"), F.coalesce(F.sum("_v"), F.lit(0.0)).alias("_sum")
-    )
-    starts = block_starts(sizes, groups, ["_rows", "_c", "_sum"]).select(
-        *by_block,
-        "_rows_before",
-        "_rows_total",
-        "_c_before",
-        F.try_divide(F.col("_sum_total"), F.col("_c_total")).alias("_mean"),
-    )
-    # ... then, around that mean, what the blocks before each block sum to.
-    d = F.coalesce(F.col("_v") - F.col("_mean"), F.lit(0.0))
-    centred = (
-        blocks.join(starts.select(*by_block, "_mean"), by_block)
-        .groupBy(*by_block)
-        .agg(F.sum(d).alias("_s"), F.sum(d * d).alias("_q"))
-    )
-    before = block_starts(centred, groups, ["_s", "_q"]).select(*by_block, "_s_before", "_q_before")
-    joined = blocks.join(starts.join(before, by_block), by_block)
-    in_block = Window.partitionBy(*by_block).orderBy("_t")
-    upto = in_block.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return joined.select(
-        *keys,
-        F.col("_rows_total").alias("_n"),
-        (F.row_number().over(in_block) - 1 + F.col("_rows_before")).alias("_i"),
-        (F.col("_v") - F.col("_mean")).alias("_v"),
-        (F.count("_v").over(upto) + F.col("_c_before")).alias("_c"),
-        (F.sum(d).over(upto) + F.col("_s_before")).alias("_s"),
-        (F.sum(d * d).over(upto) + F.col("_q_before")).alias("_q"),
+_MOMENTS = "struct<n:bigint,mean:double,m2:double>"
+
+
+def _piecewise(placed: DataFrame, keys: list[str]) -> DataFrame:
+    """Per point the moments of its piece up to it (`_head`) and from it on (`_tail`). Values are taken from the first
+    one of the piece, so that equal ones leave no rounding."""
+    one = Window.partitionBy(*keys, "_chunk", "_piece")
+    origin = F.first("_v", ignorenulls=True).over(one.orderBy("_i").rowsBetween(_START, _END))
+    shifted = placed.withColumn("_origin", F.coalesce(origin, F.lit(0.0))).withColumn("_d", F.col("_v") - F.col("_origin"))
+
+    def upto(order: Column) -> Column:
+        frame = one.orderBy(order).rowsBetween(_START, Window.currentRow)
+        n = F.count("_d").over(frame)
+        mean = F.col("_origin") + F.coalesce(F.avg("_d").over(frame), F.lit(0.0))
+        return F.struct(n.alias("n"), mean.alias("mean"), (F.coalesce(F.var_pop("_d").over(frame), F.lit(0.0)) * n).alias("m2"))
+
+    return shifted.withColumn("_head", upto(F.col("_i").asc())).withColumn("_tail", upto(F.col("_i").desc()))
+
+
+def _across_pieces(moments: DataFrame, keys: list[str]) -> DataFrame:
+    """The moments widened to the whole chunk: pieces before are merged into `_head`, pieces behind into `_tail`. Per
+    chunk one short list of pieces is folded, in both directions."""
+    of_chunk = [*keys, "_chunk"]
+    pieces = moments.groupBy(*of_chunk, "_piece").agg(F.max_by("_head", "_i").alias("m"))
+    lists = pieces.groupBy(*of_chunk).agg(F.sort_array(F.collect_list(F.struct("_piece", "m"))).alias("ps"))
+    zero = F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("m2"))
+    seed = F.array(zero).cast(f"array<{_MOMENTS}>")
+
+    def folded(ps: Column, ahead: bool) -> Column:
+        """Moments before every piece, starting with none."""
+        def step(acc: Column, p: Column) -> Column:
+            last = F.element_at(acc, -1)
+            both = merged(last, p["m"]) if ahead else merged(p["m"], last)
+            return F.concat(acc, F.array(both.cast(_MOMENTS)))
+
+        return F.aggregate(ps, seed, step)
+
+    around = lists.select(
+        *(F.col(k).alias(f"_k{i}") for i, k in enumerate(of_chunk)),
+        F.posexplode(F.arrays_zip(
+            F.slice(folded(F.col("ps"), True), F.lit(1), F.size("ps")).alias("before"),
+            F.reverse(F.slice(folded(F.reverse("ps"), False), F.lit(1), F.size("ps"))).alias("behind"),
+        )).alias("_p", "_around"),
+    )
+    same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(of_chunk)]
+    met = moments.join(around, [*same, F.col("_piece") == F.col("_p")])
+    head, tail = F.col("_head"), F.col("_tail")
+    return met.select(
+        *keys, "_n", "_i", "_v", merged(F.col("_around.before"), head).alias("_head"), merged(tail, F.col("_around.behind")).alias("_tail")
     )
 
 
 def change_point_detection_score(
-    df: DataFrame, order: str, column: str, window_rows: int = WINDOW_ROWS
+    df: DataFrame, order: str, column: str, window_rows: int = WINDOW_ROWS, piece: int = PIECE
 ) -> DataFrame:
     """The score of a table that is one series; 0 for an empty one."""
-    scores = change_point_scores(df, [], order, column, window_rows)
+    scores = change_point_scores(df, [], order, column, window_rows, piece)
     return scores.agg(F.coalesce(F.max("value"), F.lit(0.0)).alias("value")).select(
         F.lit("change_point_detection_score").alias("metric"), "value"
     )

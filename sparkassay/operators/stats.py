@@ -8,6 +8,8 @@ from itertools import combinations_with_replacement
 from typing import Any
 
 import numpy as np
+from pyspark.ml.functions import array_to_vector
+from pyspark.ml.stat import Correlation
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,6 +19,10 @@ from sparkassay.operators.quality import metric_row, ratio, total, value_summary
 
 # A fit this close to exact counts as exact.
 _EXACT = 1.0 - 1e-12
+# Smallest eigenvalue of a correlation matrix that is inverted as a whole.
+WELL_CONDITIONED = 1e-6
+# Columns up to which every pair is an aggregate of its own.
+WRITTEN_OUT = 8
 
 
 def r_squared_of(df: DataFrame, actual: str, predicted: str) -> Column:
@@ -40,7 +46,7 @@ def variance_inflation_factors(
 ) -> DataFrame:
     """Per column `(column, value)`: 1 / (1 - R²) of a least-squares fit on the other columns.
 
-    One scan gathers the covariances of all columns over the complete rows; only that small matrix
+    The covariances of all columns are gathered over the complete rows; only that small matrix
     reaches the driver, where the fit is a pseudo-inverse. A row that is complete in the other
     columns but misses the column itself makes the fit fail, which counts as 1.
     """
@@ -49,11 +55,12 @@ def variance_inflation_factors(
     spark = df.sparkSession
     fixed: dict[str, float] = {}
     groups: dict[tuple[str, ...], list[str]] = {}
+    known = set(numeric)
     for c in columns:
         predictors = list(others) if others is not None else [n for n in numeric if n != c]
         if c not in df.columns:
             fixed[c] = 0.0
-        elif not predictors or any(n not in numeric for n in (*predictors, c)):
+        elif not predictors or not known.issuperset((*predictors, c)):
             fixed[c] = 1.0
         else:
             groups.setdefault(tuple(sorted({*predictors, c})), []).append(c)
@@ -64,30 +71,79 @@ def variance_inflation_factors(
 
 
 def _factors(df: DataFrame, members: list[str], targets: list[str], others: list[str] | None) -> dict[str, float]:
-    value = {c: V.number(df, c) for c in members}
-    complete = total_and([value[c].isNotNull() for c in members])
-    kept = {c: F.when(complete, value[c]) for c in members}
-    pairs = list(combinations_with_replacement(range(len(members)), 2))
-    aggregates = [F.count_if(complete).alias("n")]
-    aggregates += [F.covar_pop(kept[members[i]], kept[members[j]]).alias(f"c{i}_{j}") for i, j in pairs]
-    for t in targets:
-        rest = [value[c].isNotNull() for c in members if c != t]
-        lost = value[t].isNull() & total_and(rest) if rest else value[t].isNull()
-        aggregates.append(F.count_if(lost).alias(f"lost{members.index(t)}"))
-    row = df.agg(*aggregates).first()
-    if row["n"] < 2:
+    moments = _covariances if len(members) <= WRITTEN_OUT else _correlations
+    n, lost, cov = moments(df, {c: V.number(df, c) for c in members})
+    if n < 2:
         return {t: 1.0 for t in targets}
-    cov = np.zeros((len(members), len(members)))
-    for i, j in pairs:
-        cov[i, j] = cov[j, i] = row[f"c{i}_{j}"]
+    at_once = every_inflation(cov) if others is None else None
     out = {}
     for t in targets:
         y = members.index(t)
-        if row[f"lost{y}"]:
-            out[t] = 1.0
+        if at_once is not None and not lost[y]:
+            out[t] = float(at_once[y])
             continue
+        # a row that is complete but for the target makes the fit fail
         chosen = others if others is not None else [c for c in members if c != t]
-        out[t] = inflation(cov, y, [members.index(c) for c in chosen])
+        out[t] = 1.0 if lost[y] else inflation(cov, y, [members.index(c) for c in chosen])
+    return out
+
+
+def _covariances(df: DataFrame, value: dict[str, Column]) -> tuple[int, list[int], np.ndarray]:
+    """Complete rows, rows that miss one column only (by column) and covariances: every pair written out in one scan."""
+    empty = total([v.isNull().cast("int") for v in value.values()])
+    rows = df.select(empty.alias("_empty"), *(v.alias(f"v{i}") for i, v in enumerate(value.values())))
+    k, complete = len(value), F.col("_empty") == 0
+    kept = [F.when(complete, F.col(f"v{i}")) for i in range(k)]
+    pairs = list(combinations_with_replacement(range(k), 2))
+    row = rows.agg(
+        F.count_if(complete).alias("n"),
+        *(F.count_if((F.col("_empty") == 1) & F.col(f"v{i}").isNull()).alias(f"lost{i}") for i in range(k)),
+        *(F.covar_pop(kept[i], kept[j]).alias(f"c{i}_{j}") for i, j in pairs),
+    ).first()
+    cov = np.zeros((k, k))
+    for i, j in pairs:
+        cov[i, j] = cov[j, i] = row[f"c{i}_{j}"] or 0.0
+    return row["n"], [row[f"lost{i}"] for i in range(k)], cov
+
+
+def _correlations(df: DataFrame, value: dict[str, Column]) -> tuple[int, list[int], np.ndarray]:
+    """The same for many columns, with correlations in place of covariances (zeros for a constant column).
+
+    A row is one array here, so the query is no longer for 300 columns than for ten: one scan takes mean and spread of
+    every column, and the complete rows, in units of these, are vectors whose outer products Spark adds up task by task."""
+    row = F.array(*value.values())
+    rows = df.select(row.alias("_row"), F.size(F.filter(row, lambda x: x.isNull())).alias("_empty"))
+    here = F.when(F.col("_empty") == 0, F.col("x"))
+    lost = F.count_if((F.col("_empty") == 1) & F.col("x").isNull())
+    summary = (
+        rows.select("_empty", F.posexplode("_row").alias("j", "x"))
+        .groupBy("j")
+        .agg(F.count(here).alias("n"), F.avg(here).alias("mean"), F.stddev_pop(here).alias("spread"), lost.alias("lost"))
+    )
+    of = {r["j"]: r for r in summary.collect()}  # a row per column
+    k = len(value)
+    n, lost_rows = (of[0]["n"], [of[j]["lost"] for j in range(k)]) if of else (0, [0] * k)
+    varied = [j for j in range(k) if of and of[j]["spread"]]
+    cov = np.zeros((k, k))
+    if n >= 2 and varied:
+        each = list(value.values())
+        unit = F.array(*((each[j] - of[j]["mean"]) / of[j]["spread"] for j in varied))
+        whole = F.forall(F.array(*each), lambda x: x.isNotNull())
+        vectors = df.where(whole).select(array_to_vector(unit).alias("unit"))
+        cov[np.ix_(varied, varied)] = Correlation.corr(vectors, "unit").first()[0].toArray()
+    return n, lost_rows, cov
+
+
+def every_inflation(cov: np.ndarray) -> np.ndarray | None:
+    """1 / (1 - R²) of each variable on all others: the diagonal of the inverse correlations. None where these are so close
+    to singular that each fit has to be looked at by itself."""
+    scale = np.sqrt(np.diag(cov))
+    varied = np.flatnonzero(scale > 0)
+    corr = cov[np.ix_(varied, varied)] / np.outer(scale[varied], scale[varied])
+    if len(varied) < 2 or np.linalg.eigvalsh(corr)[0] < WELL_CONDITIONED:
+        return None
+    out = np.full(len(cov), math.inf)
+    out[varied] = np.maximum(np.diag(np.linalg.inv(corr)), 1.0)
     return out
 
 
@@ -105,13 +161,6 @@ def inflation(cov: np.ndarray, y: int, xs: list[int]) -> float:
     return math.inf if fit >= _EXACT else 1.0 / (1.0 - max(fit, 0.0))
 
 
-def total_and(conditions: Sequence[Column]) -> Column:
-    out = conditions[0]
-    for c in conditions[1:]:
-        out = out & c
-    return out
-
-
 def variance_inflation_factor(df: DataFrame, column: str, others: Sequence[str] | None = None) -> DataFrame:
     return variance_inflation_factors(df, [column], others).select(
         F.lit("variance_inflation_factor").alias("metric"), "value"

@@ -87,6 +87,13 @@ def change_point_score_long(spark, folder):
     return rounded(series.change_point_detection_score(events, "event_id", "value", window_rows=1000))
 
 
+def change_point_score_spike(spark, folder):
+    """Series by user with spikes nine orders above the rest, in windows and in pieces of chunks."""
+    value = F.when(F.col("event_id") % 1000 == 77, F.col("value") + 1e9).otherwise(F.col("value"))
+    events = table(spark, folder, "events").select((F.col("event_id") % 3).alias("lane"), "event_id", value.alias("value"))
+    return rounded(series.change_point_scores(events, ["lane"], "event_id", "value", piece=100))
+
+
 QUERIES = {
     "r_squared": r_squared,
     "variance_inflation_factor": variance_inflation_factor,
@@ -99,6 +106,7 @@ QUERIES = {
     "demographic_parity_disparity": demographic_parity_disparity,
     "change_point_score": change_point_score,
     "change_point_score_long": change_point_score_long,
+    "change_point_score_spike": change_point_score_spike,
 }
 
 
@@ -207,4 +215,11 @@ ORACLE = {
         "(SELECT event_id AS t, CASE WHEN event_id >= 10 THEN value END AS v FROM events)", "", "1"
     )
     + ")",
+    "change_point_score_spike": "SELECT lane, n AS points, round(value, 6) AS value FROM ("
+    + _change_points(
+        "(SELECT event_id % 3 AS lane, event_id AS t, CASE WHEN event_id % 1000 = 77 THEN value + 1e9 ELSE value END AS v FROM events)",
+        "lane,",
+        "lane",
+    )
+    + ")",
 }

@@ -1,6 +1,7 @@
 """Statistics on hand-made tables, against numpy and pandas formulas."""
 
 import math
+from fractions import Fraction
 
 import numpy as np
 import pandas as pd
@@ -163,6 +164,58 @@ def test_change_points_of_one_series(spark, value, window_rows):
     assert value(series.change_point_detection_score(t.where("t < 0"), "t", "v", window_rows)) == 0.0
 
 
+def exact_score(v):
+    """The score in rational numbers, window by window."""
+    n, hits = len(v), 0
+    w = max(2, n // 5)
+    ahead = (w - 1) // 2
+    behind = w - 1 - ahead
+    for i in range(behind, n - ahead):
+        window = [Fraction(float(x)) for x in v[i - behind : i + ahead + 1]]
+        mean = sum(window) / w
+        hits += (Fraction(float(v[i])) - mean) ** 2 > 4 * sum((x - mean) ** 2 for x in window) / (w - 1)
+    return hits / n
+
+
+@pytest.mark.parametrize("spike", [0.0, 1e9, 1e12])
+def test_spikes_touch_only_their_windows(spark, value, spike):
+    xs = np.random.default_rng(0).normal(size=600)
+    xs[[0, 300]] += spike
+    t = spark.createDataFrame(pd.DataFrame({"t": np.arange(600), "v": xs})).repartition(5)
+    for window_rows, piece in ((2_000_000, 250_000), (100, 250_000), (2_000_000, 17), (100, 13)):
+        assert value(series.change_point_detection_score(t, "t", "v", window_rows, piece)) == exact_score(xs)
+
+
+def test_equal_and_infinite_points(spark, value):
+    for xs in (np.full(50, 0.1), np.full(50, 1e15 + 0.3)):
+        t = spark.createDataFrame(pd.DataFrame({"t": np.arange(50), "v": xs}))
+        assert value(series.change_point_detection_score(t, "t", "v", piece=4)) == 0.0
+    xs = np.where(np.arange(50) == 20, np.inf, np.random.default_rng(1).normal(size=50))
+    t = spark.createDataFrame(pd.DataFrame({"t": np.arange(50), "v": xs}))
+    assert value(series.change_point_detection_score(t, "t", "v")) <= 0.2
+
+
+def test_inflation_of_many_columns(spark):
+    """Above the columns that are written out pair by pair; with a constant, a gap and a copy."""
+    x = np.random.default_rng(1).normal(size=(500, 40))
+    x[:, 0] += x[:, 1] * 2 + 1e6
+    x[:, 39] = 3.0
+    names = [f"c{i}" for i in range(40)]
+    t = spark.createDataFrame(pd.DataFrame(x, columns=names)).repartition(8)
+    got = {r["column"]: r["value"] for r in stats.variance_inflation_factors(t).collect()}
+    inverse = np.linalg.inv(np.corrcoef(x[:, :-1].T))
+    assert got["c39"] == math.inf
+    assert all(got[f"c{i}"] == pytest.approx(inverse[i, i], rel=1e-9) for i in range(39))
+    copied = t.withColumn("copy", F.col("c5") * 2 + 1)
+    got = {r["column"]: r["value"] for r in stats.variance_inflation_factors(copied).collect()}
+    assert got["copy"] == got["c5"] == math.inf and got["c7"] == pytest.approx(inverse[7, 7], rel=1e-6)
+    gap = t.withColumn("c3", F.when(F.col("c4") > 2, F.lit(None)).otherwise(F.col("c3")))
+    got = {r["column"]: r["value"] for r in stats.variance_inflation_factors(gap).collect()}
+    kept = x[x[:, 4] <= 2][:, :-1]
+    assert got["c3"] == 1.0 and got["c0"] == pytest.approx(np.linalg.inv(np.corrcoef(kept.T))[0, 0], rel=1e-9)
+    assert {r["value"] for r in stats.variance_inflation_factors(t.limit(1)).collect()} == {1.0}
+
+
 def test_blocks_split_a_hot_series(spark):
     from sparkassay.operators.ranks import to_blocks
 
