@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 DIGEST_ABOVE = 64
 
 _FRACTIONAL = (T.FloatType, T.DoubleType)
-_INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
+INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 # Texts that are numbers. Checked before the cast: a failed cast costs far more than a failed match.
 _DECIMAL = r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"
 _INFINITE = r"(?i)^\s*[+-]?inf(inity)?\s*$"
@@ -89,11 +89,28 @@ def key(df: DataFrame, name: str) -> Column:
     )
 
 
+def canonical_number(df: DataFrame, name: str) -> Column:
+    """A number as one text whatever its type: sign, digits without zeros at the ends, and the place of the point. A DOUBLE
+    stands for its shortest decimal text, so 0.1 equals the decimal 0.10, and 9007199254740993 no DOUBLE."""
+    number = value(df, name)
+    if isinstance(data_type(df, name), T.FloatType):
+        number = number.cast("double")
+    shown = F.upper(number.cast("string"))
+    part = [F.regexp_extract(shown, r"^-?([0-9]+)(?:\.([0-9]*))?(?:E([+-]?[0-9]+))?$", i) for i in (1, 2, 3)]
+    digits = F.concat(part[0], part[1])
+    ahead = F.regexp_replace(digits, "^0+", "")  # digits from the first that counts on
+    place = F.coalesce(part[2].try_cast("int"), F.lit(0)) + F.length(part[0]) - (F.length(digits) - F.length(ahead))
+    sign = F.when(F.startswith(shown, F.lit("-")), F.lit("-")).otherwise(F.lit(""))
+    written = F.concat(sign, F.regexp_replace(ahead, "0+$", ""), F.lit("e"), place.cast("string"))
+    # what has no digits is infinite
+    return F.when(digits == "", shown).when(ahead == "", F.lit("0")).otherwise(written)
+
+
 def key_lane(df: DataFrame, name: str) -> tuple[str, Column]:
     """`key` cast to one of three lanes (long, double, string), so that the values of many columns
     fit one long table without turning numbers into text."""
     kind = data_type(df, name)
-    if isinstance(kind, _INTEGRAL):
+    if isinstance(kind, INTEGRAL):
         return "long", col(name).cast("long")
     if isinstance(kind, T.BooleanType):
         return "long", col(name).cast("int").cast("long")

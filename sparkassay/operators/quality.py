@@ -268,14 +268,25 @@ def rows_by_table(tables: Sequence[DataFrame], columns: Sequence[str]) -> DataFr
 
 
 def _common_key(tables: Sequence[DataFrame], table: DataFrame, column: str) -> Column:
+    """A key of equal type in all tables, equal exactly where the values are: numbers of different types never meet as
+    DOUBLE, which would make neighbours of large whole numbers equal."""
     kinds = [V.data_type(t, column) for t in tables]
     key = V.key(table, column)
     if all(k == kinds[0] for k in kinds):
         return key
     if not all(isinstance(k, T.NumericType) for k in kinds):
         raise ValueError(f"column {column!r} has types without a common one: {[k.simpleString() for k in kinds]}")
-    whole = all(isinstance(k, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)) for k in kinds)
-    return key.cast("bigint" if whole else "double")
+    if all(isinstance(k, (T.FloatType, T.DoubleType)) for k in kinds):
+        return key.cast("double")
+    if all(isinstance(k, V.INTEGRAL) for k in kinds):
+        return key.cast("bigint")
+    if all(isinstance(k, (*V.INTEGRAL, T.DecimalType)) for k in kinds):
+        decimals = [k if isinstance(k, T.DecimalType) else T.DecimalType(19, 0) for k in kinds]
+        scale = max(d.scale for d in decimals)
+        precision = scale + max(d.precision - d.scale for d in decimals)
+        if precision <= 38:
+            return key.cast(T.DecimalType(precision, scale))
+    return V.canonical_number(table, column)
 
 
 def _overlap(i: int, j: int) -> Column:

@@ -1,151 +1,190 @@
 """Exact ranks without a global sort in one task.
 
-`order_statistics` answers exact quantiles of many columns in two scans; `with_positions` numbers
+`order_statistics` selects exact quantiles of many columns in a few shared scans; `with_positions` numbers
 the rows of every group along an order, also when one group holds a large share of all rows.
 """
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 from collections.abc import Callable, Mapping, Sequence
+from typing import NamedTuple
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-# Relative rank error of one sketch is 1/SKETCH_ACCURACY. Sketches are merged within this many
-# groups of tasks, so that no task merges the sketches of all others.
-SKETCH_ACCURACY = 100_000
-SKETCH_GROUPS = 512
+# A sketch of this accuracy hands on so many evenly spaced values. Sketches are merged within this many
+# groups of tasks, so that no task merges the sketches of all others and only a bounded list reaches the driver.
+SKETCH_ACCURACY = 5_000
+SKETCH_POINTS = 1_000
+SKETCH_GROUPS = 64
+# A bracket with at most so many rows is fetched, as distinct values with their counts.
+FEW_ROWS = 20_000
 # Groups up to this many rows are numbered by a plain window.
 WINDOW_ROWS = 2_000_000
 MOST_BLOCKS = 20_000
 BLOCK, GROUP = "_block", "_group"
 
 
-def linear_position(n: Column, fraction: float) -> Column:
+def linear_position(n: int, fraction: float) -> float:
     """Where a linearly interpolated quantile lies among n sorted values, counted from 0."""
-    return (n - 1) * F.lit(fraction)
+    return (n - 1) * fraction
 
 
-def value_brackets(
-    df: DataFrame, columns: Mapping[str, Column], fractions: Sequence[float], accuracy: int = SKETCH_ACCURACY
-) -> DataFrame:
-    """One row, one array: per column an array of `(low, high)` around each quantile.
+class Bracket(NamedTuple):
+    """Rows of a column strictly between two values (None: no limit), after `before` rows."""
 
-    Every group of tasks sketches its rows and hands on evenly spaced quantiles; these, weighted by
-    the rows they stand for, are summed up along the values. What that sum is off by is at most
-    1/accuracy (sketch) plus the spacing, and the brackets are twice as wide.
-    """
-    points = max(50, accuracy // 5)
-    slack = 2.0 * (1.0 / points + 1.0 / accuracy)
+    column: int
+    low: float | None
+    high: float | None
+    before: int
+    inside: int
+
+    def holds(self, v: Column) -> Column:
+        above = F.lit(True) if self.low is None else v > F.lit(self.low)
+        return above if self.high is None else above & (v < F.lit(self.high))
+
+
+def _sketched(rows: DataFrame, cells: Sequence[Column], accuracy: int) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """Per cell: how many rows have a value, and values along the order with the share of rows up to each, roughly."""
+    points = min(SKETCH_POINTS, max(10, accuracy // 5))
     # one text literal, not one literal per point, keeps the plan small
     spaced = F.split(F.lit(",".join(f"{i / points:.9f}" for i in range(points + 1))), ",").cast("array<double>")
-    names = range(len(columns))
-    grouped = df.select(
-        F.pmod(F.spark_partition_id(), F.lit(SKETCH_GROUPS)).alias("g"),
-        *(v.alias(f"v{i}") for i, v in enumerate(columns.values())),
+    grouped = rows.select(
+        F.pmod(F.spark_partition_id(), F.lit(SKETCH_GROUPS)).alias("g"), *(c.alias(f"v{i}") for i, c in enumerate(cells))
     ).groupBy("g")
-    sketches = grouped.agg(
-        *(F.count(f"v{i}").alias(f"rows{i}") for i in names),
-        *(F.percentile_approx(f"v{i}", spaced, accuracy).alias(f"values{i}") for i in names),
-    )
-    per_column = ", ".join(f"struct({i} AS i, rows{i} AS rows, values{i} AS values)" for i in names)
-    share = (
-        sketches.selectExpr(f"inline(array({per_column}))")
-        .selectExpr("i", "rows", "explode(values) AS v")
-        .selectExpr(
-            "i",
-            "v",
-            "try_divide(sum(rows) OVER (PARTITION BY i ORDER BY v RANGE UNBOUNDED PRECEDING), "
-            "sum(rows) OVER (PARTITION BY i)) AS share",
-        )
-    )
-    bracket = ", ".join(
-        f"struct(coalesce(max(v) FILTER (WHERE share <= {f - slack!r}D), double('-inf')) AS low, "
-        f"coalesce(min(v) FILTER (WHERE share >= {f + slack!r}D), double('inf')) AS high)"
-        for f in fractions
-    )
-    brackets = share.groupBy("i").agg(F.expr(f"array({bracket})").alias("brackets"))
-    by_number = brackets.agg(F.expr("map_from_entries(collect_list(struct(i, brackets)))").alias("by_number"))
-    in_order = ", ".join(f"try_element_at(by_number, {i})" for i in names)
-    return by_number.selectExpr(f"array({in_order}) AS brackets")
+    names = range(len(cells))
+    found = grouped.agg(
+        *(F.count(f"v{i}").alias(f"n{i}") for i in names), *(F.percentile_approx(f"v{i}", spaced, accuracy).alias(f"p{i}") for i in names)
+    ).collect()  # at most SKETCH_GROUPS rows
+    out = []
+    for i in names:
+        parts = [(r[f"n{i}"], r[f"p{i}"]) for r in found if r[f"n{i}"]]
+        if not parts:
+            out.append((0, np.zeros(0), np.zeros(0)))
+            continue
+        values = np.concatenate([p for _, p in parts])
+        weights = np.repeat([n / (points + 1) for n, _ in parts], points + 1)
+        order = np.argsort(values, kind="stable")
+        n = sum(n for n, _ in parts)
+        out.append((n, values[order], np.cumsum(weights[order]) / n))
+    return out
+
+
+def _cut(bracket: Bracket, rank: int, values: np.ndarray, shares: np.ndarray, accuracy: int) -> tuple[float, float]:
+    """Two values around a rank. They only save work: rows are counted on both sides of them."""
+    slack = 2.0 * (1.0 / min(SKETCH_POINTS, max(10, accuracy // 5)) + 1.0 / accuracy)
+    at = (rank - bracket.before + 0.5) / max(bracket.inside, 1)
+    low = int(np.searchsorted(shares, at - slack)) - 1
+    high = int(np.searchsorted(shares, at + slack))
+    return float(values[max(low, 0)]), float(values[min(high, len(values) - 1)])
+
+
+def _narrowed(rank: int, b: Bracket, low: float, high: float, counts: Sequence[int]) -> Bracket | float:
+    """The part of a bracket that holds a rank, or the value there, from the exact counts below, at and between the two values."""
+    below, at_low, between, at_high = counts
+    place = rank - b.before
+    if place < below:
+        return Bracket(b.column, b.low, low, b.before, below)
+    if place < below + at_low:
+        return low
+    if place < below + at_low + between:
+        return Bracket(b.column, low, high, b.before + below + at_low, between)
+    if place < below + at_low + between + at_high:
+        return high
+    passed = below + at_low + between + at_high
+    return Bracket(b.column, high, b.high, b.before + passed, b.inside - passed)
+
+
+def _selected(rows: DataFrame, columns: int, ranks: Callable[[int], Sequence[int]], accuracy: int, few: int) -> tuple[list[int], dict]:
+    """Rows per column and the value at each of its ranks, `{(column, rank): value}`.
+
+    Rounds of sketching and counting: two values around a rank come from a sketch of the bracket that holds it, and the rows
+    below, at, between and above them are counted. The part that holds the rank is the next bracket, whether the
+    sketch was right or not, and the two values are never looked at again; so every round ends, and no answer depends
+    on the sketch. Brackets of few rows are fetched."""
+    cells = [F.col(f"v{i}") for i in range(columns)]
+    first = _sketched(rows, cells, accuracy)
+    sizes = [n for n, _, _ in first]
+    found: dict[tuple[int, int], float] = {}
+    open_ = {(i, r): Bracket(i, None, None, 0, n) for i, n in enumerate(sizes) if n for r in ranks(n)}
+    sketches = {Bracket(i, None, None, 0, n): (v, s) for i, (n, v, s) in enumerate(first)}
+    while large := {k: b for k, b in open_.items() if b.inside > few}:
+        unknown = [b for b in dict.fromkeys(large.values()) if b not in sketches]
+        if unknown:
+            inside = [F.when(b.holds(cells[b.column]), cells[b.column]) for b in unknown]
+            sketches |= {b: (v, s) for b, (_, v, s) in zip(unknown, _sketched(rows, inside, accuracy), strict=True)}
+        cuts = {k: (b, *_cut(b, k[1], *sketches[b], accuracy)) for k, b in large.items()}
+        counted = list(dict.fromkeys(cuts.values()))
+        row = rows.agg(*(c for b, low, high in counted for c in _counts(b, low, high, cells[b.column]))).first()
+        counts = {cut: row[4 * j : 4 * j + 4] for j, cut in enumerate(counted)}
+        for (i, rank), cut in cuts.items():
+            part = _narrowed(rank, *cut, counts[cut])
+            if isinstance(part, Bracket):
+                open_[i, rank] = part
+            else:
+                found[i, rank] = part
+                del open_[i, rank]
+    fetched = list(dict.fromkeys(open_.values()))
+    if fetched:
+        hits = [F.when(b.holds(cells[b.column]), F.struct(F.lit(j).alias("j"), cells[b.column].alias("v"))) for j, b in enumerate(fetched)]
+        long = rows.select(F.explode(F.array_compact(F.array(*hits))).alias("h")).where("h.v IS NOT NULL")
+        values: dict[int, list] = {}
+        for r in long.groupBy("h.j", "h.v").count().collect():  # at most FEW_ROWS a bracket
+            values.setdefault(r["j"], []).append((r["v"], r["count"]))
+        for (i, rank), b in open_.items():
+            ordered = sorted(values[fetched.index(b)])
+            upto = np.cumsum([n for _, n in ordered])
+            found[i, rank] = ordered[int(np.searchsorted(upto, rank - b.before, side="right"))][0]
+    return sizes, found
+
+
+def _counts(b: Bracket, low: float, high: float, v: Column) -> list[Column]:
+    inside = b.holds(v)
+    return [
+        F.count_if(inside & (v < low)),
+        F.count_if(inside & (v == low)),
+        F.count_if(inside & (v > low) & (v < high)),
+        F.count_if(inside & (v == high)) if high > low else F.lit(0).cast("bigint"),
+    ]
 
 
 def order_statistics(
     df: DataFrame,
     columns: Mapping[str, Column],
     fractions: Sequence[float],
-    position: Callable[[Column, float], Column] = linear_position,
+    position: Callable[[int, float], float] = linear_position,
     accuracy: int = SKETCH_ACCURACY,
+    few: int = FEW_ROWS,
 ) -> DataFrame:
-    """Exact quantiles per column: rows `(column, n, quantiles ARRAY<DOUBLE>)`.
-
-    `columns` maps a label to a DOUBLE expression that is NULL where missing. First scan: sketches
-    give a narrow bracket of values around every wanted rank. Second scan: values inside a bracket
-    are counted one by one, all values between two brackets collapse into one row (count, smallest,
-    largest), so the sorted remainder is a small fixed share of the rows, and the value at each
-    rank is read off its running count. The sketches only save work: a rank that fell outside its
-    bracket fails the job rather than giving a wrong value.
+    """Exact quantiles per column: rows `(column, n, quantiles ARRAY<DOUBLE>)`, none for a column without values.
+
+    `columns` maps a label to a DOUBLE expression that is NULL where missing. The ranks are selected in rounds
+    of scans that all columns share; no scan sorts or moves rows, and what comes to the driver is bounded by the
+    number of columns and ranks.
     """
     names = list(columns)
-    # The brackets are one scalar, taken into the rows once so that it is planned once.
-    brackets = value_brackets(df, columns, fractions, accuracy).scalar()
-    values = df.select(*(columns[c].alias(f"v{i}") for i, c in enumerate(names)), brackets.alias("brackets"))
-
-    def marks(i: int) -> list[str]:
-        around = [f"brackets[{i}][{j}]" for j in range(len(fractions))]
-        inside = " OR ".join(f"v{i} BETWEEN {b}.low AND {b}.high" for b in around)
-        gap = " + ".join(f"int(v{i} > {b}.high)" for b in around)
-        return [
-            f"v{i}",
-            f"CASE WHEN {inside} THEN -1 ELSE {gap} END AS gap{i}",
-            f"CASE WHEN {inside} THEN v{i} END AS single{i}",
-        ]
-
-    # marked in a projection, which compiles; the unfolding after it only moves columns
-    marked = values.selectExpr(*(m for i in range(len(names)) for m in marks(i)))
-    cells = ", ".join(
-        f"struct({i} AS i, v{i} AS v, gap{i} AS gap, single{i} AS single)" for i in range(len(names))
-    )
-    long = marked.selectExpr(f"inline(array({cells}))").where("v IS NOT NULL")
-    runs = long.groupBy("i", "gap", "single").agg(
-        F.count("*").alias("rows"), F.min("v").alias("low"), F.max("v").alias("high")
-    )
-    ranked = runs.selectExpr(
-        "*",
-        "sum(rows) OVER (PARTITION BY i ORDER BY low ROWS UNBOUNDED PRECEDING) - rows AS before",
-        "sum(rows) OVER (PARTITION BY i) AS n",
-    )
-    places = [position(F.col("n"), f).alias(f"place{j}") for j, f in enumerate(fractions)]
-    placed = ranked.select("*", *places)
-
-    def at(rank: str) -> str:
-        """The value at a rank: of its own row, or at one end of a collapsed one."""
-        return (
-            f"max(CASE WHEN {rank} < before OR {rank} >= before + rows THEN NULL "
-            f"WHEN gap = -1 OR {rank} = before THEN low WHEN {rank} = before + rows - 1 THEN high "
-            "ELSE double(raise_error('rank outside its bracket: raise the sketch accuracy')) END)"
-        )
-
-    found = placed.groupBy("i").agg(
-        F.max("n").alias("n"),
-        *(
-            F.expr(e)
-            for j in range(len(fractions))
-            for e in (
-                f"{at(f'floor(place{j})')} AS a{j}",
-                f"{at(f'ceil(place{j})')} AS b{j}",
-                f"max(place{j} - floor(place{j})) AS t{j}",
-            )
-        ),
-    )
-    # equal ends first: keeps infinite values out of the subtraction
-    quantiles = ", ".join(
-        f"CASE WHEN a{j} = b{j} THEN a{j} ELSE a{j} + (b{j} - a{j}) * t{j} END" for j in range(len(fractions))
-    )
-    labels = F.array(*(F.lit(c) for c in names))
-    return found.select(labels[F.col("i")].alias("column"), "n", F.expr(f"array({quantiles})").alias("quantiles"))
+
+    def ends(n: int) -> list[int]:
+        places = [position(n, f) for f in fractions]
+        return sorted({min(max(e, 0), n - 1) for p in places for e in (math.floor(p), math.ceil(p))})
+
+    rows = df.select(*(c.alias(f"v{i}") for i, c in enumerate(columns.values())))
+    sizes, found = _selected(rows, len(names), ends, accuracy, few)
+    out = []
+    for i, n in enumerate(sizes):
+        quantiles = []
+        for f in fractions if n else ():
+            p = min(max(position(n, f), 0), n - 1)
+            a, b = found[i, math.floor(p)], found[i, math.ceil(p)]
+            # equal ends first: keeps infinite values out of the subtraction
+            quantiles.append(a if a == b else a + (b - a) * (p - math.floor(p)))
+        if n:
+            out.append((names[i], n, quantiles))
+    return df.sparkSession.createDataFrame(out, "column string, n bigint, quantiles array<double>")
 
 
 def shared_folder(spark: SparkSession) -> str:

@@ -7,6 +7,7 @@ import re
 from collections.abc import Mapping, Sequence
 from typing import NamedTuple
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,15 +41,24 @@ def list_tables(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def size_of(df: DataFrame) -> DataFrame | None:
-    """One row `(size_bytes)`: bytes of the files behind a table, from the file listing; None if
-    it has no files."""
-    paths = df.inputFiles()
-    if not paths:
+def counted_files(df: DataFrame) -> DataFrame | None:
+    """One row `(row_count, size_bytes)` of a table read from files, None for any other.
+
+    Path and size of its file travel with every row as the source's hidden columns; rows are counted by file in the
+    tasks, so only sums come to the driver. A file without rows does not count."""
+    try:
+        files = df.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("size"))
+    except AnalysisException:
         return None
-    # exactly these files, however many: other tables may lie beside them
-    listed = df.sparkSession.read.format("binaryFile").load(paths).select("length")
-    return listed.agg(F.coalesce(F.sum("length"), F.lit(0)).alias("size_bytes"))
+    by_file = files.groupBy("path").agg(F.count("*").alias("rows"), F.max("size").alias("size"))
+    none = F.lit(0).cast("long")
+    return by_file.agg(F.coalesce(F.sum("rows"), none).alias("row_count"), F.coalesce(F.sum("size"), none).alias("size_bytes"))
+
+
+def size_of(df: DataFrame) -> DataFrame | None:
+    """One row `(size_bytes)`: bytes of the files that hold a table's rows; None if it has no files."""
+    counted = counted_files(df)
+    return None if counted is None else counted.select("size_bytes")
 
 
 def table_metadata(tables: Mapping[str, DataFrame], foreign_keys: Sequence[ForeignKey] = ()) -> DataFrame:
@@ -77,14 +87,12 @@ def table_metadata(tables: Mapping[str, DataFrame], foreign_keys: Sequence[Forei
                 if k.table == name
             )
         ).cast(FOREIGN_KEY_TYPE)
-        size = size_of(df)
+        counted = counted_files(df)
+        if counted is None:
+            counted = df.agg(F.count("*").alias("row_count"), F.lit(0).cast("long").alias("size_bytes"))
         parts.append(
-            df.agg(F.count("*").alias("row_count")).select(
-                F.lit(name).alias("table_name"),
-                columns.alias("columns"),
-                keys.alias("foreign_keys"),
-                "row_count",
-                (size.scalar() if size is not None else F.lit(0)).cast("long").alias("size_bytes"),
+            counted.select(
+                F.lit(name).alias("table_name"), columns.alias("columns"), keys.alias("foreign_keys"), "row_count", "size_bytes"
             )
         )
     return functools.reduce(DataFrame.unionAll, parts)

@@ -13,6 +13,8 @@ from sparkassay.functions import values as V
 from sparkassay.operators.ranks import new_folder
 
 FILE_KINDS = ("csv", "json", "parquet")
+#: The column in which Spark puts what it cannot parse.
+CORRUPT = "_corrupt_record"
 
 
 def file_kind(path: str) -> str:
@@ -37,9 +39,22 @@ def read_json(
     spark: SparkSession, path: str, schema: T.StructType | str | None = None, multiline: bool = False
 ) -> DataFrame:
     """JSON documents, one per line; `multiline` reads one document per file instead (a file is
-    then one task's work, so large data belongs in lines)."""
+    then one task's work, so large data belongs in lines). Where no line is a document of its own, the files are
+    read as one document each without being told to; what is no JSON either way is an error."""
     reader = spark.read.option("multiLine", multiline)
-    return (reader.schema(schema) if schema else reader).json(path)
+    if schema:
+        return reader.schema(schema).json(path)
+    rows = reader.json(path)
+    if CORRUPT not in rows.columns or not _nothing_else(spark, path, multiline):
+        return rows
+    if multiline or _nothing_else(spark, path, True):
+        raise ValueError(f"no JSON documents, neither one a line nor one a file (multiline): {path}")
+    return spark.read.option("multiLine", True).json(path)
+
+
+def _nothing_else(spark: SparkSession, path: str, multiline: bool) -> bool:
+    """True if no document can be parsed; columns that come from the names of folders aside."""
+    return spark.read.option("multiLine", multiline).option("recursiveFileLookup", True).json(path).columns == [CORRUPT]
 
 
 def _record_lists(fields: Sequence[T.StructField], path: tuple[str, ...] = ()) -> Iterator[tuple[tuple[str, ...], T.StructType]]:

@@ -54,7 +54,7 @@ def scan_json_flatten(spark, folder):
 
 def scan_parquet(spark, folder):
     (orders,) = files.open_file(spark, f"{folder}/orders.parquet").values()
-    return orders.where("o_totalprice > 400000").select("o_orderkey", "o_custkey", "o_totalprice")
+    return orders
 
 
 def read_projected(spark, folder):
@@ -79,11 +79,19 @@ def document_fields(spark, folder):
 
 
 def sample_random_rows(spark, folder):
-    return sampling.sample_rows(table(spark, folder, "orders"), 25.0)
+    return sampling.sample_rows(table(spark, folder, "orders"), 25.0, key=["o_orderkey"])
 
 
 def sample_fraction(spark, folder):
-    return sampling.sample_fraction(table(spark, folder, "orders"), 0.1)
+    return sampling.sample_fraction(table(spark, folder, "orders"), 0.1, key=["o_orderkey"])
+
+
+def sample_tables(spark, folder):
+    """A twentieth of three tables; events are named by two columns."""
+    keys = {"customer": ["c_custkey"], "events": ["user_id", "event_id"], "documents": ["doc_id"]}
+    samples = sampling.sample_tables({n: table(spark, folder, n) for n in keys}, 0.05, 7, keys)
+    named = [samples[n].select(F.lit(n).alias("table_name"), F.concat_ws("/", *k).alias("named")) for n, k in keys.items()]
+    return named[0].unionAll(named[1]).unionAll(named[2])
 
 
 def sample_head(spark, folder):
@@ -95,12 +103,21 @@ def paginate(spark, folder):
 
 
 def paginate_deep(spark, folder):
-    """A page far behind the rows a top-k would serve."""
+    """A page across blocks, far from both ends."""
     return sampling.paginate(
-        table(spark, folder, "orders"), ["o_totalprice", "o_orderkey"], page=97, page_size=25, top_rows=1000
+        table(spark, folder, "orders"), ["o_totalprice", "o_orderkey"], page=97, page_size=25, block_rows=1000
     )
 
 
+def paginate_ends(spark, folder):
+    """First and last page and one behind it, from one directory; a third of the order keys are missing."""
+    orders = table(spark, folder, "orders").withColumn("o_custkey", F.when(F.col("o_orderkey") % 3 > 0, F.col("o_custkey")))
+    pages = sampling.PageDirectory(orders, ["o_custkey", "o_orderkey"], block_rows=1000)
+    last = -(-pages.total // 40)
+    out = pages.page(1, 40).unionAll(pages.page(last, 40)).unionAll(pages.page(last + 1, 40))
+    return out.select("o_custkey", "o_orderkey", "row_no", "total_records", "total_pages")
+
+
 def list_tables(spark, folder):
     return catalog.list_tables(spark, folder).select("table_name", "files")
 
@@ -126,8 +143,21 @@ def table_metadata(spark, folder):
 
 
 def dataset_size(spark, folder):
-    sizes = catalog.dataset_size(catalog.table_metadata({n: table(spark, folder, n) for n in NAMES}))
-    return sizes.select("tables", "row_count", (F.col("size_bytes") > 0).alias("has_size"))
+    return catalog.dataset_size(catalog.table_metadata({n: table(spark, folder, n) for n in NAMES}))
+
+
+def table_sizes(spark, folder):
+    return catalog.table_metadata({n: table(spark, folder, n) for n in NAMES}).select("table_name", "row_count", "size_bytes")
+
+
+def scan_json_document(spark, folder):
+    """Documents over many lines, one a file, that hold up to fifty suppliers each; read without saying so."""
+    path = f"{new_folder(spark, 'scan')}.json"
+    suppliers = table(spark, folder, "supplier").withColumn("shelf", F.floor(F.col("s_suppkey") / 50))
+    rows = F.collect_list(F.struct("s_suppkey", "s_name", "s_acctbal")).alias("suppliers")
+    documents = suppliers.groupBy("shelf").agg(rows).select("shelf", F.to_json(F.struct("suppliers"), {"pretty": "true"}).alias("value"))
+    documents.write.partitionBy("shelf").text(path)
+    return files.read_file(spark, path)
 
 
 def foreign_key_check(spark, folder):
@@ -230,12 +260,16 @@ QUERIES = {
     "document_fields": document_fields,
     "sample_random_rows": sample_random_rows,
     "sample_fraction": sample_fraction,
+    "sample_tables": sample_tables,
     "sample_head": sample_head,
     "paginate": paginate,
     "paginate_deep": paginate_deep,
+    "paginate_ends": paginate_ends,
     "list_tables": list_tables,
     "table_metadata": table_metadata,
     "dataset_size": dataset_size,
+    "table_sizes": table_sizes,
+    "scan_json_document": scan_json_document,
     "foreign_key_check": foreign_key_check,
     "flatten_struct": flatten_struct,
     "serialize_rows": serialize_rows,
@@ -279,6 +313,27 @@ def _page(order: str, page: int, size: int) -> str:
         WHERE row_no > {(page - 1) * size} AND row_no <= {page * size}"""
 
 
+def _drawn(name: str, key: str, limit: str, seed: int) -> str:
+    """Rows of the smallest draws."""
+    return f"SELECT * FROM {name} ORDER BY md5('{seed}|' || {key}) LIMIT ({limit})"
+
+
+_TENTH = "SELECT greatest(1, CAST(floor(count(*) * 0.1::DOUBLE) AS BIGINT)) FROM orders"
+
+
+def _sampled(name: str, key: str, named: str) -> str:
+    size = f"SELECT greatest(1, CAST(floor(count(*) * 0.05::DOUBLE) AS BIGINT)) FROM {name}"
+    return f"SELECT '{name}' AS table_name, {named} AS named FROM ({_drawn(name, key, size, 7)})"
+
+
+#: Where the given tables lie for SQL, which has no other way to a file's size.
+SQL_FOLDER = "/root/testdata/sf0.01"
+
+
+def _bytes(name: str) -> str:
+    return f"(SELECT CAST(sum(size) AS BIGINT) FROM read_blob('{SQL_FOLDER}/{name}.parquet'))"
+
+
 def _orphans(k: catalog.ForeignKey) -> str:
     (c,), (p,) = k.columns, k.ref_columns
     return (
@@ -293,7 +348,7 @@ ORACLE = {
         SELECT l_partkey AS part, l_quantity AS quantity, NULL AS line, NULL AS price, NULL AS rates FROM lineitem
         UNION ALL SELECT l_suppkey, l_tax, NULL, NULL, NULL FROM lineitem
         UNION ALL SELECT NULL, NULL, CAST(l_linenumber AS BIGINT), l_extendedprice, l_discount || '|' || l_tax FROM lineitem""",
-    "scan_parquet": "SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_totalprice > 400000",
+    "scan_parquet": "SELECT * FROM orders",
     "read_projected": "SELECT s_suppkey, s_acctbal FROM supplier",
     "schema_of_table": " UNION ALL ".join(
         f"SELECT '{c}' AS \"column\", '{t}' AS data_type, {i} AS ordinal, count({c}) AS present "
@@ -304,6 +359,18 @@ ORACLE = {
     "document_fields": """
         SELECT DISTINCT unnest(json_keys(CASE WHEN user_id % 10 = 3
           THEN '{"extra": {"deep": 1}, ' || substring(props, 2) ELSE props END)) AS field FROM events""",
+    "sample_random_rows": _drawn("orders", "o_orderkey", "SELECT 25", 42),
+    "sample_fraction": _drawn("orders", "o_orderkey", _TENTH, 42),
+    "sample_tables": " UNION ALL ".join((
+        _sampled("customer", "c_custkey", "CAST(c_custkey AS VARCHAR)"),
+        _sampled("events", "user_id || '|' || event_id", "user_id || '/' || event_id"),
+        _sampled("documents", "doc_id", "CAST(doc_id AS VARCHAR)"),
+    )),
+    "paginate_ends": """
+        WITH o AS (SELECT CASE WHEN o_orderkey % 3 > 0 THEN o_custkey END AS o_custkey, o_orderkey FROM orders),
+             n AS (SELECT *, row_number() OVER (ORDER BY o_custkey NULLS FIRST, o_orderkey) AS row_no, count(*) OVER () AS total_records FROM o)
+        SELECT *, CAST(ceil(total_records / 40) AS BIGINT) AS total_pages FROM n
+        WHERE row_no <= 40 OR row_no > (ceil(total_records / 40) - 1) * 40""",
     "sample_head": "SELECT * FROM orders ORDER BY o_orderkey LIMIT 10",
     "paginate": _page("o_orderkey", 3, 25),
     "paginate_deep": _page("o_totalprice, o_orderkey", 97, 25),
@@ -313,9 +380,13 @@ ORACLE = {
         f"{_KEYS.get(n, 0)} AS foreign_keys, count(*) AS row_count, true AS has_size FROM {n}"
         for n, c in COLUMNS.items()
     ),
-    "dataset_size": "SELECT count(*) AS tables, CAST(sum(n) AS BIGINT) AS row_count, true AS has_size FROM ("
-    + " UNION ALL ".join(f"SELECT count(*) AS n FROM {n}" for n in NAMES)
+    "dataset_size": "SELECT count(*) AS tables, CAST(sum(n) AS BIGINT) AS row_count, CAST(sum(b) AS BIGINT) AS size_bytes FROM ("
+    + " UNION ALL ".join(f"SELECT count(*) AS n, {_bytes(n)} AS b FROM {n}" for n in NAMES)
     + ")",
+    "table_sizes": " UNION ALL ".join(
+        f"SELECT '{n}' AS table_name, count(*) AS row_count, {_bytes(n)} AS size_bytes FROM {n}" for n in NAMES
+    ),
+    "scan_json_document": "SELECT s_suppkey, s_name, s_acctbal FROM supplier",
     "foreign_key_check": " UNION ALL ".join(_orphans(k) for k in FOREIGN_KEYS),
     "flatten_struct": 'SELECT o_orderkey, o_orderstatus AS "order.status", o_totalprice AS "order.money.total", '
     'o_custkey AS "order.money.customers" FROM orders',

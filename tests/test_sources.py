@@ -107,7 +107,7 @@ def test_session(spark, tmp_path):
 def test_deep_page_equals_front_page(spark):
     t = spark.range(5000).select((F.col("id") * 7919 % 5003).alias("k"), "id")
     front = sampling.paginate(t, ["k"], 40, 100).collect()
-    deep = sampling.paginate(t, ["k"], 40, 100, top_rows=50).collect()
+    deep = sampling.paginate(t, ["k"], 40, 100, block_rows=50).collect()
     assert sorted(front) == sorted(deep) and len(front) == 100
 
 
@@ -135,9 +135,44 @@ def test_sample_fraction_is_exact(spark, tmp_path):
     assert sampling.sample_rows(ids, 3).count() == 10
 
 
+def test_samples_belong_to_the_rows(spark, tmp_path):
+    t = spark.range(3000).select(F.col("id"), (F.col("id") % 7).alias("x"))
+    samples = [sorted(sampling.sample_fraction(t.repartition(p), 0.05, 3).collect()) for p in (1, 6)]
+    assert samples[0] == samples[1] and len(samples[0]) == 150
+    assert samples[0] != sorted(sampling.sample_fraction(t, 0.05, 4).collect())
+    assert sorted(sampling.sample_rows(t.repartition(5), 20, 3).collect()) == sorted(sampling.sample_rows(t, 20, 3).collect())
+    # larger than what is fetched at once, and a table of mostly equal rows
+    hot = spark.range(90_000).select(F.when(F.col("id") % 3 > 0, F.lit(-1)).otherwise(F.col("id")).alias("x"))
+    hot.write.parquet(str(tmp_path / "hot"))
+    hot = spark.read.parquet(str(tmp_path / "hot"))
+    assert [sampling.sample_fraction(hot, p, 3).count() for p in (0.1, 0.5, 0.9)] == [9000, 45_000, 81_000]
+    assert sampling.sample_fraction(t.limit(0)).count() == 0
+    assert {k: v.count() for k, v in sampling.sample_tables({"t": t, "hot": hot}, 0.01, keys={"t": ["id"]}).items()} == {"t": 30, "hot": 900}
+
+
+def test_page_directory(spark):
+    rows = spark.range(2000).select((F.col("id") * 7919 % 2003).alias("k"), F.col("id").alias("a.b"))
+    pages = sampling.PageDirectory(rows, ["k"], block_rows=300)
+    expected = sorted(r.k for r in rows.collect())
+    for page in (1, 3, 20, 21):
+        got = sorted(pages.page(page, 100).collect(), key=lambda r: r.row_no)
+        assert [r.k for r in got] == expected[(page - 1) * 100 : page * 100]
+        assert all((r.total_records, r.total_pages) == (2000, 20) for r in got)
+    assert sampling.paginate(rows.limit(0), ["k"], 1, 10).count() == 0
+
+
+def test_json_that_is_no_document(spark, tmp_path):
+    (tmp_path / "bad.json").write_text("{ this is\n not json\n")
+    with pytest.raises(ValueError, match="multiline"):
+        open_source(spark, "file", path=str(tmp_path / "bad.json"))
+    (tmp_path / "one.json").write_text('{"list": [\n  {"a": 1},\n  {"a": 2}\n]\n}\n'.replace('{"a"', '{\n"a"'))
+    assert sorted(r.a for r in open_source(spark, "file", path=str(tmp_path / "one.json"))["one.json"].collect()) == [1, 2]
+
+
 def test_size_of_many_files_beside_another_table(spark, tmp_path):
     folder = str(tmp_path / "mixed")
-    spark.range(120).repartition(120).write.parquet(folder)
+    # a file for each row: a file without rows is none of the table's
+    spark.range(0, 120, numPartitions=120).write.parquet(folder)
     own = spark.read.parquet(folder)
     spark.range(100_000).coalesce(1).write.mode("append").parquet(folder)
     files = sorted((p.stat().st_size for p in (tmp_path / "mixed").glob("*.parquet")), reverse=True)
@@ -165,6 +200,6 @@ def test_session_names_stay_inside_and_empty_tables_live(spark, tmp_path):
 def test_deep_page_keeps_nulls(spark):
     rows = spark.range(200).selectExpr("IF(id % 10 = 0, NULL, id % 7) AS k", "id")
     near = sampling.paginate(rows, ["k", "id"], 1, 40).collect()
-    deep = sampling.paginate(rows, ["k", "id"], 1, 40, top_rows=10).collect()
+    deep = sampling.paginate(rows, ["k", "id"], 1, 40, block_rows=10).collect()
     assert sorted(r.row_no for r in deep) == list(range(1, 41))
     assert sorted(near, key=lambda r: r.row_no) == sorted(deep, key=lambda r: r.row_no)
