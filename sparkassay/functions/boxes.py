@@ -23,7 +23,7 @@ def iou(box1: Sequence[Column], box2: Sequence[Column]) -> Column:
 
 def box_from_array(box: Column) -> list[Column]:
     """The four corners of a box held in an array; zeros when it does not have four numbers."""
-    whole = F.size(box) == 4
+    whole = (F.size(box) == 4) & F.forall(box, lambda x: x.isNotNull())
     return [F.when(whole, F.get(box, i)).otherwise(F.lit(0.0)) for i in range(4)]
 
 
@@ -32,6 +32,12 @@ def gray(blue: Column, green: Column, red: Column) -> Column:
     return F.round(blue * 0.114 + green * 0.587 + red * 0.299)
 
 
+def gray_levels(pixels: Column) -> Column:
+    """Gray levels of an image whose array has blue, green and red level of every pixel, one after the other."""
+    places = F.when(F.size(pixels) >= 3, F.sequence(F.lit(0), (F.size(pixels) / 3).cast("int") - 1)).otherwise(F.array().cast("array<int>"))
+    return F.transform(places, lambda i: gray(F.get(pixels, i * 3), F.get(pixels, i * 3 + 1), F.get(pixels, i * 3 + 2)))
+
+
 def sharpness(pixels: Column, width: int) -> Column:
     """Population variance of the Laplacian of an image held row by row in one array.
 

@@ -39,22 +39,37 @@ def graph_labels(nodes: DataFrame, label: str) -> DataFrame:
 
 def search_metrics(nodes: DataFrame, edges: DataFrame, domain: str, modality: str, task: str) -> DataFrame:
     """Metrics at the end of the path modality -TYPE-> task -WITH-> domain -GOT-> metric, with
-    their formula and thresholds. The three named nodes are filtered first, so every join starts
-    from the few rows they leave."""
+    their formula and thresholds, one row a path.
+
+    The search goes from frontier to frontier: the nodes reached, few as each step ends at nodes of one name, are
+    one map from id to number of paths, a scalar that filters the edges where they lie. Edges are never joined by where they
+    begin, so a node with most of the edges is no hot key; only the last step joins, by the metric's own id."""
 
     def named(label: str, name: str) -> DataFrame:
         return nodes.where((F.col("label") == label) & (F.col("name") == name.lower())).select("id")
 
-    def step(reached: DataFrame, kind: str, ends: DataFrame) -> DataFrame:
-        links = edges.where(F.col("type") == kind).select("src", "dst")
-        return reached.withColumnRenamed("id", "src").join(links, "src").select(F.col("dst").alias("id")).join(ends, "id")
+    def frontier(counted: DataFrame) -> Column:
+        """(id, paths) rows as one map."""
+        return counted.agg(F.map_from_entries(F.collect_list(F.struct("id", "paths"))).alias("m")).scalar()
+
+    def links(reached: Column, kind: str) -> DataFrame:
+        """Edges that leave the frontier."""
+        there = edges.where(F.col("type") == kind).select("dst", F.try_element_at(reached, F.col("src")).alias("paths"))
+        return there.where("paths IS NOT NULL")
+
+    def step(reached: Column, kind: str, label: str, name: str) -> Column:
+        ends = named(label, name).agg(F.collect_set("id").alias("s")).scalar()
+        arrived = links(reached, kind).where(F.array_contains(ends, F.col("dst")))
+        return frontier(arrived.groupBy(F.col("dst").alias("id")).agg(F.sum("paths").alias("paths")))
 
-    at_task = step(named("MODALITY", modality), "TYPE", named("TASK", task))
-    at_domain = step(at_task, "WITH", named("DOMAIN", domain))
+    begun = frontier(named("MODALITY", modality).groupBy("id").agg(F.count("*").alias("paths")))
+    at_domain = step(step(begun, "TYPE", "TASK", task), "WITH", "DOMAIN", domain)
     metrics = nodes.where(F.col("label") == "METRICS").select(
         "id", "name", "formula", "threshold_pass", "threshold_warn", "threshold_fail"
     )
-    return step(at_domain, "GOT", metrics).drop("id")
+    found = links(at_domain, "GOT").join(metrics, F.col("dst") == F.col("id"))
+    each = F.explode(F.array_repeat(F.lit(1), F.col("paths").cast("int")))  # one row a path
+    return found.select(*metrics.columns[1:], each.alias("_path")).drop("_path")
 
 
 def metrics_or_default(found: DataFrame) -> DataFrame:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import functools
-from collections.abc import Iterable, Mapping
+from collections.abc import Iterable, Mapping, Sequence
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, Row
@@ -119,6 +119,11 @@ _NEEDS_COLUMN = (
 )
 
 
+def _part(df: DataFrame, columns: Sequence[str] | None) -> DataFrame:
+    """The listed columns of a table, all if none are listed."""
+    return df.select(*(V.col(c) for c in columns if c in df.columns)) if columns else df
+
+
 def _listed(text: str | None) -> list[str] | None:
     return [t.strip() for t in text.split(",")] if text else None
 
@@ -127,16 +132,18 @@ def _fused(df: DataFrame, row: Row) -> Column | None:
     """The aggregate of a metric that needs one scan only."""
     metric, columns, params = row["executed_metric"], row["columns"], row["params"] or {}
     first = columns[0] if columns else None
+    # what a whole-table metric is asked for on some columns concerns these only
+    listed = _part(df, columns)
     match metric:
         case "completeness_rate":
             return quality.completeness_of(df, first)
         case "total_missing_value_rate":
-            return quality.missing_of(df)
+            return quality.missing_of(listed)
         case "format_validity_rate":
             return quality.format_validity_of(df, first, params.get("pattern"))
         case "schema_type_violations":
             reserved = {"strict"}
-            expected = {c: t for c, t in params.items() if c not in reserved}
+            expected = {c: t for c, t in params.items() if c not in reserved and (not columns or c in columns)}
             return quality.schema_violations_of(df, expected, params.get("strict", "").lower() == "true")
         case "r_squared":
             return stats.r_squared_of(df, *columns)
@@ -151,7 +158,7 @@ def _fused(df: DataFrame, row: Row) -> Column | None:
         case "pii_phiviolation_rate":
             return privacy.violation_of(df, columns)
         case "raw_pii_field_count":
-            return F.lit(len(privacy.raw_pii_fields(df)))
+            return F.lit(len(privacy.raw_pii_fields(listed)))
         case "aspect_ratio_variance":
             return media.aspect_ratio_of(df, *columns)
         case "iou_intersection_over_union":
@@ -170,7 +177,7 @@ def _run(tables: Mapping[str, DataFrame], df: DataFrame, rows: list[tuple[int, R
     outliers: dict[str, list[tuple[int, str]]] = {}
     inflated: dict[str | None, list[tuple[int, str]]] = {}
     parts: list[DataFrame] = []
-    splits: dict[tuple[str, str, str | None], list[tuple[int, str]]] = {}
+    splits: dict[tuple[str, str, str | None, tuple[str, ...]], list[tuple[int, str]]] = {}
     for no, row, column in rows:
         metric, columns, params = row["executed_metric"], row["columns"], row["params"] or {}
         one_scan = _fused(df, row)
@@ -183,7 +190,7 @@ def _run(tables: Mapping[str, DataFrame], df: DataFrame, rows: list[tuple[int, R
         elif metric == "variance_inflation_factor":
             inflated.setdefault(params.get("others"), []).append((no, columns[0]))
         elif metric == _SPLITS:
-            splits.setdefault((params["train"], params["test"], params.get("val")), []).append((no, column))
+            splits.setdefault((params["train"], params["test"], params.get("val"), tuple(columns or ())), []).append((no, column))
         else:
             parts.append(_alone(tables, df, metric, columns, params).select(F.lit(no).alias("no"), "value"))
     for start in range(0, len(fused), FUSED):
@@ -197,10 +204,9 @@ def _run(tables: Mapping[str, DataFrame], df: DataFrame, rows: list[tuple[int, R
     for method, wanted in outliers.items():
         rates = quality.outlier_rates(df, sorted({c for _, c in wanted}), method)
         parts.append(_numbered(rates, wanted))
-    for (train, test, val), wanted in splits.items():
-        rates = quality.exact_duplicate_overlap_rate_across_splits(
-            tables[train], tables[test], tables[val] if val else None
-        )
+    for (train, test, val, columns), wanted in splits.items():
+        parts_of = [_part(tables[n], columns) if n else None for n in (train, test, val)]
+        rates = quality.exact_duplicate_overlap_rate_across_splits(*parts_of)
         parts.append(_numbered(rates.withColumnRenamed("pair", "column"), wanted))
     for others, wanted in inflated.items():
         factors = stats.variance_inflation_factors(df, sorted({c for _, c in wanted}), _listed(others))
@@ -243,7 +249,7 @@ def _alone(
         case "change_point_detection_score":
             return series.change_point_detection_score(df, columns[0], columns[1])
         case "exact_duplicate_overlap_rate":
-            return quality.exact_duplicate_overlap_rate(df, tables[params["other"]])
+            return quality.exact_duplicate_overlap_rate(_part(df, columns), tables[params["other"]])
     raise ValueError(f"no way to run {metric!r}")
 
 

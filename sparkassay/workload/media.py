@@ -34,6 +34,33 @@ def blur_index_of_pixels(spark, folder):
     return rounded(media.blur_index_of_pixels(rows), "blur_index")
 
 
+def blur_index_colour(spark, folder):
+    """Images of seven by three pixels in blue, green and red."""
+    images = _images(spark, folder).select("vec_id", F.slice("pixels", 1, 63).alias("pixels"))
+    return rounded(media.blur_index(images, "pixels", 3, channels=3).select("vec_id", "blur_index"), "blur_index")
+
+
+def blur_index_of_colour_pixels(spark, folder):
+    """The same as pixel rows, over tiles of two by two."""
+    images = _images(spark, folder).select(F.col("vec_id").alias("image_id"), F.explode(F.sequence(F.lit(0), F.lit(20))).alias("i"), "pixels")
+    levels = [F.get("pixels", F.col("i") * 3 + k).alias(c) for k, c in enumerate(("b", "g", "red"))]
+    rows = images.select("image_id", F.floor(F.col("i") / 3).alias("r"), (F.col("i") % 3).alias("c"), *levels)
+    return rounded(media.blur_index_of_pixels(media.gray_pixels(rows), tile=2), "blur_index")
+
+
+def iou_joined(spark, folder):
+    """Boxes of orders from two tables: some stand on one side only, some have three or five numbers."""
+    x, y, n = F.col("o_custkey") % 40, F.col("o_orderkey") % 30, F.col("o_orderkey")
+    orders = table(spark, folder, "orders")
+    predicted = orders.where(n % 7 > 0).select(
+        "o_orderkey", F.when(n % 11 == 0, F.array(x, y, x + 3)).otherwise(F.array(x, y, x + 10, y + 10)).cast("array<double>").alias("box")
+    )
+    true = orders.where(n % 5 > 0).select(
+        "o_orderkey", F.when(n % 13 == 0, F.array(x, y, x, y, x)).otherwise(F.array(x + n % 4, y + n % 3, x + 12, y + 9)).cast("array<double>").alias("box")
+    )
+    return rounded(media.iou_joined(predicted, true, ["o_orderkey"]), "iou")
+
+
 def iou_pairs(spark, folder):
     """Two boxes from the measures of every line item."""
     x, y = F.col("l_suppkey") % 40, F.col("l_partkey") % 40
@@ -85,6 +112,9 @@ QUERIES = {
     "aspect_ratio_variance": aspect_ratio_variance,
     "blur_index": blur_index,
     "blur_index_of_pixels": blur_index_of_pixels,
+    "blur_index_colour": blur_index_colour,
+    "blur_index_of_colour_pixels": blur_index_of_colour_pixels,
+    "iou_joined": iou_joined,
     "iou_pairs": iou_pairs,
     "vector_topk_cosine": vector_topk_cosine,
     "vector_topk_dot": vector_topk_dot,
@@ -98,16 +128,26 @@ _PIXELS = """
           FROM embeddings, generate_series(1, 64) AS t(i))"""
 
 
-def _blur(key: str) -> str:
+_COLOURS = """
+    l AS (SELECT vec_id, i - 1 AS i, floor((least(greatest(CAST(embedding[i] AS DOUBLE), -1.0), 1.0) + 1) * 127.5) AS x
+          FROM embeddings, generate_series(1, 63) AS t(i)),
+    p AS (SELECT vec_id, i // 9 AS r, i // 3 % 3 AS c,
+                 round(CAST(sum(CASE WHEN i % 3 = 0 THEN x END) AS DOUBLE) * 0.114::DOUBLE
+                       + CAST(sum(CASE WHEN i % 3 = 1 THEN x END) AS DOUBLE) * 0.587::DOUBLE
+                       + CAST(sum(CASE WHEN i % 3 = 2 THEN x END) AS DOUBLE) * 0.299::DOUBLE) AS v FROM l GROUP BY vec_id, i // 9, i // 3 % 3)"""
+
+
+def _blur(key: str, pixels: str = _PIXELS, height: int = 8, width: int = 8) -> str:
     """Each pixel with its four neighbours, mirrored at the border."""
 
     def mirrored(side: str, step: int) -> str:
-        edge = 0 if step < 0 else 7
-        inner = 1 if step < 0 else 6
+        last = (height if side == "r" else width) - 1
+        edge = 0 if step < 0 else last
+        inner = 1 if step < 0 else last - 1
         return f"CASE WHEN a.{side} = {edge} THEN {inner} ELSE a.{side} + ({step}) END"
 
     return f"""
-        WITH {_PIXELS},
+        WITH {pixels},
         lap AS (SELECT a.vec_id, u.v + d.v + l.v + r.v - 4 * a.v AS x FROM p a
                 JOIN p u ON u.vec_id = a.vec_id AND u.c = a.c AND u.r = {mirrored("r", -1)}
                 JOIN p d ON d.vec_id = a.vec_id AND d.c = a.c AND d.r = {mirrored("r", 1)}
@@ -133,6 +173,14 @@ ORACLE = {
     ),
     "blur_index": _blur("vec_id"),
     "blur_index_of_pixels": _blur("image_id"),
+    "blur_index_colour": _blur("vec_id", _COLOURS, 7, 3),
+    "blur_index_of_colour_pixels": _blur("image_id", _COLOURS, 7, 3),
+    "iou_joined": """
+        WITH o AS (SELECT o_orderkey AS k, o_custkey % 40 AS x, o_orderkey % 30 AS y FROM orders WHERE o_orderkey % 7 > 0 OR o_orderkey % 5 > 0),
+             w AS (SELECT k, k % 7 > 0 AND k % 11 > 0 AND k % 5 > 0 AND k % 13 > 0 AS whole,
+                          least(x + 10, x + 12) - greatest(x, x + k % 4) AS w, least(y + 10, y + 9) - greatest(y, y + k % 3) AS h,
+                          100 + (12 - k % 4) * (9 - k % 3) AS areas FROM o)
+        SELECT k AS o_orderkey, round(CASE WHEN whole THEN w * h / (areas - w * h) ELSE 0 END, 6) AS iou FROM w""",
     "iou_pairs": """
         WITH b AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey % 40 AS x, l_partkey % 40 AS y,
                           l_quantity AS q, l_linenumber AS n, l_tax * 400 AS t FROM lineitem),

@@ -124,12 +124,41 @@ def audit_duplicates(spark, folder):
     return rounded(audit(tables, plan))
 
 
+def audit_parameters(spark, folder):
+    """Whole-table metrics on some columns, and one metric with several parameters."""
+    tables = {"people": _sensitive(spark, folder), "orders": table(spark, folder, "orders")}
+    tables["later"] = tables["orders"].where("o_orderkey % 3 = 0")
+    plan = [
+        {"metric_name": "total_missing_value_rate", "target_columns": ["contact_email", "note"]},
+        {"metric_name": "total_missing_value_rate", "target_columns": ["note"]},
+        {"metric_name": "total_missing_value_rate", "target_columns": None},
+        {"metric_name": "raw_pii_field_count", "target_columns": ["contact_email", "note"]},
+        {"metric_name": "raw_pii_field_count", "target_columns": ["account_no", "contact_email", "note"]},
+        {"metric_name": "outlier_rate", "target_columns": ["o_totalprice"], "params": {"method": "zscore"}},
+        {"metric_name": "outlier_rate", "target_columns": ["o_totalprice"]},
+        {"metric_name": "exact_duplicate_overlap_rate", "target_columns": ["o_custkey", "o_orderstatus"], "params": {"other": "later"}},
+        {"metric_name": "exact_duplicate_overlap_rate", "target_columns": ["o_orderkey"], "params": {"other": "later"}},
+        {"metric_name": "schema_type_violations", "target_columns": ["note"], "params": {"strict": "true", "note": "int", "contact_email": "int"}},
+    ]
+    return rounded(audit(tables, plan))
+
+
+def _sensitive(spark, folder):
+    """Customers with contact columns, some of them missing."""
+    return table(spark, folder, "customer").select(
+        F.col("c_custkey").alias("account_no"),
+        F.when(F.col("c_custkey") % 3 > 0, F.concat("c_name", F.lit("@example.org"))).alias("contact_email"),
+        F.when(F.col("c_custkey") % 5 > 0, F.col("c_mktsegment")).alias("note"),
+    )
+
+
 QUERIES = {
     "plan_by_column": plan_by_column,
     "resolve_plan": resolve_plan,
     "audit_report": audit_report,
     "audit_summary": audit_summary,
     "audit_duplicates": audit_duplicates,
+    "audit_parameters": audit_parameters,
 }
 
 _PLAN_SQL = """
@@ -262,8 +291,8 @@ _ROWS = [
 def _split_overlap(over: str, other: str) -> str:
     parts = {"train": "doc_id % 10 < 6", "test": "doc_id % 10 IN (6, 7)", "val": "doc_id % 10 > 7"}
     return (
-        f"(SELECT count(*) FROM (SELECT text, lang FROM documents WHERE {parts[over]} INTERSECT "
-        f"SELECT text, lang FROM documents WHERE {parts[other]})) / (SELECT count(*) FROM documents WHERE {parts[over]})"
+        f"(SELECT count(*) FROM (SELECT text FROM documents WHERE {parts[over]} INTERSECT "
+        f"SELECT text FROM documents WHERE {parts[other]})) / (SELECT count(*) FROM documents WHERE {parts[over]})"
     )
 
 
@@ -273,7 +302,45 @@ _CHANGE = """(SELECT count(*) FILTER (c = w AND (value > m + 2 * s OR value < m
         FROM events, (SELECT count(*) AS n FROM events))
      WINDOW f AS (ORDER BY event_id ROWS BETWEEN back PRECEDING AND ahead FOLLOWING)))"""
 
+_PEOPLE = """(SELECT c_custkey AS account_no, CASE WHEN c_custkey % 3 > 0 THEN c_name || '@example.org' END AS contact_email,
+    CASE WHEN c_custkey % 5 > 0 THEN c_mktsegment END AS note FROM customer)"""
+
+
+def _people(columns: str, metric: str, value: str) -> str:
+    return _cell("people", columns, metric, metric, value, _PEOPLE)
+
+
+def _later(columns: str) -> str:
+    shared = f"(SELECT count(*) FROM (SELECT {columns} FROM orders INTERSECT SELECT {columns} FROM orders WHERE o_orderkey % 3 = 0))"
+    name = "exact_duplicate_overlap_rate"
+    return _cell("orders", columns.replace(" ", ""), name, name, "v", f"(SELECT {shared} / count(*) AS v FROM orders)")
+
+
+def _all_missing(name: str, source: str, columns: str) -> str:
+    listed = columns.split(",")
+    cells = " + ".join(f"count({c})" for c in listed)
+    label = "total_missing_value_rate"
+    return _cell(name, "all", label, label, f"({len(listed)} * count(*) - ({cells})) / ({len(listed)} * count(*))", source)
+
+
 ORACLE = {
+    "audit_parameters": " UNION ALL ".join(
+        [
+            _people("contact_email,note", "total_missing_value_rate", "(2 * count(*) - count(contact_email) - count(note)) / (2 * count(*))"),
+            _people("note", "total_missing_value_rate", "(count(*) - count(note)) / count(*)"),
+            _all_missing("people", _PEOPLE, "account_no,contact_email,note"),
+            _all_missing("orders", "orders", ",".join(COLUMNS["orders"].split())),
+            _all_missing("later", "(SELECT * FROM orders WHERE o_orderkey % 3 = 0)", ",".join(COLUMNS["orders"].split())),
+            _people("contact_email,note", "raw_pii_field_count", "1 + 0 * count(*)"),
+            _people("account_no,contact_email,note", "raw_pii_field_count", "2 + 0 * count(*)"),
+            _cell("orders", "o_totalprice", "outlier_rate", "outlier_rate", "count(*) FILTER (abs(v - m) / s > 3) / count(*)",
+                  "(SELECT o_totalprice AS v, avg(o_totalprice) OVER () AS m, stddev_pop(o_totalprice) OVER () AS s FROM orders)"),
+            _cell("orders", "o_totalprice", "outlier_rate", "outlier_rate", _OUTSIDE, _iqr("orders", "o_totalprice")),
+            _later("o_custkey, o_orderstatus"),
+            _later("o_orderkey"),
+            _people("note", "schema_type_violations", "CAST(count(note) > 0 AS INTEGER)"),
+        ]
+    ),
     "plan_by_column": f"""
         SELECT "column", metric_name, arg_min(reasoning, plan_no) AS reasoning
         FROM (SELECT plan_no, metric_name, reasoning, unnest(target_columns) AS "column" FROM ({_PLAN_SQL}))

@@ -29,6 +29,34 @@ def test_blur_against_a_padded_stencil(spark, shape):
     assert media.blur_index_of_pixels(pixels).first()["blur_index"] == expected
 
 
+@pytest.mark.parametrize("shape", [(40, 25), (1, 30), (16, 16), (9, 8)])
+def test_blur_over_tiles(spark, shape):
+    image = np.random.default_rng(3).integers(0, 256, size=shape)
+    rows = [(1, int(r) - 4, int(c) - 4, float(v)) for (r, c), v in np.ndenumerate(image)]
+    pixels = spark.createDataFrame(rows, "image_id bigint, r int, c int, v double").repartition(3)
+    for tile in (1, 3, 8, 256):
+        assert media.blur_index_of_pixels(pixels, tile).first()["blur_index"] == pytest.approx(laplacian_variance(image))
+    plan = media.blur_index_of_pixels(pixels)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(image_id") == 2  # by tile, and one row a task and image
+
+
+def test_blur_of_colours(spark):
+    image = np.random.default_rng(5).integers(0, 256, size=(6, 5, 3))
+    gray_image = np.floor(image[..., 0] * 0.114 + image[..., 1] * 0.587 + image[..., 2] * 0.299 + 0.5)
+    whole = spark.createDataFrame([([int(x) for x in image.ravel()],), ([1, 2],), (None,)], "px array<int>")
+    got = [r["blur_index"] for r in media.blur_index(whole, "px", 5, channels=3).collect()]
+    assert got == [pytest.approx(laplacian_variance(gray_image)), 0.0, 0.0]
+    with pytest.raises(ValueError, match="channel"):
+        media.blur_index(whole, "px", 5, channels=2)
+
+
+def test_joined_boxes(spark):
+    a = spark.createDataFrame([(1, [0, 0, 2, 2]), (2, [0, 0, 2]), (3, None), (4, [0, 0, 1, None]), (5, [0, 0, 4, 4])], "image int, box array<int>")
+    b = spark.createDataFrame([(1, [1, 0, 3, 2]), (2, [0, 0, 2, 2]), (4, [0, 0, 1, 1]), (6, [0, 0, 1, 1])], "image int, box array<int>")
+    got = {r["image"]: r["iou"] for r in media.iou_joined(a, b, ["image"]).collect()}
+    assert got == {1: pytest.approx(1 / 3), 2: 0.0, 3: 0.0, 4: 0.0, 5: 0.0, 6: 0.0}
+
+
 def test_blur_of_flat_and_missing_images(spark):
     t = spark.createDataFrame([(1, [7] * 12), (2, []), (3, None)], "image_id bigint, px array<int>")
     assert [r["blur_index"] for r in media.blur_index(t, "px", 4).orderBy("image_id").collect()] == [0.0, 0.0, 0.0]
