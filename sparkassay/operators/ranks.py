@@ -99,26 +99,40 @@ def _narrowed(rank: int, b: Bracket, low: float, high: float, counts: Sequence[i
     return Bracket(b.column, high, b.high, b.before + passed, b.inside - passed)
 
 
-def _selected(rows: DataFrame, columns: int, ranks: Callable[[int], Sequence[int]], accuracy: int, few: int) -> tuple[list[int], dict]:
+def _selected(
+    rows: DataFrame,
+    columns: int,
+    ranks: Callable[[int], Sequence[int]],
+    accuracy: int,
+    few: int,
+    guess: Callable[[int, int], tuple[float, float]] | None = None,
+) -> tuple[list[int], dict]:
     """Rows per column and the value at each of its ranks, `{(column, rank): value}`.
 
     Rounds of sketching and counting: two values around a rank come from a sketch of the bracket that holds it, and the rows
     below, at, between and above them are counted. The part that holds the rank is the next bracket, whether the
     sketch was right or not, and the two values are never looked at again; so every round ends, and no answer depends
-    on the sketch. Brackets of few rows are fetched."""
+    on the sketch. Brackets of few rows are fetched. A `guess` of the two values stands in for the first sketch."""
     cells = [F.col(f"v{i}") for i in range(columns)]
-    first = _sketched(rows, cells, accuracy)
-    sizes = [n for n, _, _ in first]
+    first = [] if guess else _sketched(rows, cells, accuracy)
+    sizes = [n for n, _, _ in first] or list(rows.agg(*(F.count(c) for c in cells)).first())
     found: dict[tuple[int, int], float] = {}
     open_ = {(i, r): Bracket(i, None, None, 0, n) for i, n in enumerate(sizes) if n for r in ranks(n)}
     sketches = {Bracket(i, None, None, 0, n): (v, s) for i, (n, v, s) in enumerate(first)}
+
+    def values_around(b: Bracket, rank: int) -> tuple[float, float]:
+        return guess(b.inside, rank) if guess and whole(b) else _cut(b, rank, *sketches[b], accuracy)
+
+    def whole(b: Bracket) -> bool:
+        return b.low is None and b.high is None
+
     while large := {k: b for k, b in open_.items() if b.inside > few}:
-        unknown = [b for b in dict.fromkeys(large.values()) if b not in sketches]
+        unknown = [b for b in dict.fromkeys(large.values()) if b not in sketches and not (guess and whole(b))]
         if unknown:
             inside = [F.when(b.holds(cells[b.column]), cells[b.column]) for b in unknown]
             sketches |= {b: (v, s) for b, (_, v, s) in zip(unknown, _sketched(rows, inside, accuracy), strict=True)}
-        cuts = {k: (b, *_cut(b, k[1], *sketches[b], accuracy)) for k, b in large.items()}
-        counted = list(dict.fromkeys(cuts.values()))
+        cuts = {k: (b, *values_around(b, k[1])) for k, b in large.items()}
+        counted = list(dict.fromkeys(cuts.values()))  # a bracket and two values each
         row = rows.agg(*(c for b, low, high in counted for c in _counts(b, low, high, cells[b.column]))).first()
         counts = {cut: row[4 * j : 4 * j + 4] for j, cut in enumerate(counted)}
         for (i, rank), cut in cuts.items():
@@ -159,12 +173,14 @@ def order_statistics(
     position: Callable[[int, float], float] = linear_position,
     accuracy: int = SKETCH_ACCURACY,
     few: int = FEW_ROWS,
+    guess: Callable[[int, int], tuple[float, float]] | None = None,
 ) -> DataFrame:
     """Exact quantiles per column: rows `(column, n, quantiles ARRAY<DOUBLE>)`, none for a column without values.
 
     `columns` maps a label to a DOUBLE expression that is NULL where missing. The ranks are selected in rounds
     of scans that all columns share; no scan sorts or moves rows, and what comes to the driver is bounded by the
-    number of columns and ranks.
+    number of columns and ranks. Where the values follow a known law, `guess` (rows, rank) -> two values around the rank
+    saves the first sketch.
     """
     names = list(columns)
 
@@ -173,7 +189,7 @@ def order_statistics(
         return sorted({min(max(e, 0), n - 1) for p in places for e in (math.floor(p), math.ceil(p))})
 
     rows = df.select(*(c.alias(f"v{i}") for i, c in enumerate(columns.values())))
-    sizes, found = _selected(rows, len(names), ends, accuracy, few)
+    sizes, found = _selected(rows, len(names), ends, accuracy, few, guess)
     out = []
     for i, n in enumerate(sizes):
         quantiles = []

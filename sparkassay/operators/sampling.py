@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -52,11 +53,17 @@ def sample_fraction(df: DataFrame, percentage: float = 0.1, seed: int = 42, key:
     def wanted(n: int, share: float) -> float:
         return max(1, int(n * share)) - 1
 
+    def around(n: int, rank: int) -> tuple[float, float]:
+        """Draws are spread evenly: six standard deviations on both sides of a rank."""
+        p = (rank + 0.5) / n
+        off = 6 * math.sqrt(p * (1 - p) / n) + 1 / n
+        return max(0.0, p - off) * 16**DIGITS, min(1.0, p + off) * 16**DIGITS
+
     left, kept, tied = None, F.lit(False), F.lit(True)
     for name in names:
         here, number = rows.where(tied), F.col(name)
         rank = wanted if left is None else lambda n, _, left=left: left - 1
-        found = order_statistics(here.select(name), {"draw": number}, [percentage], position=rank).first()
+        found = order_statistics(here.select(name), {"draw": number}, [percentage], position=rank, guess=None if name == names[-1] else around).first()
         if found is None:  # an empty table
             return df
         at = F.lit(found["quantiles"][0])

@@ -59,20 +59,26 @@ def change_point_scores(
 
     ahead = F.floor((w - 1) / 2)  # points of the window after its centre
     behind = w - 1 - ahead
-    empty = F.lit(None).cast(_MOMENTS)
-    here = F.struct(F.col("_i").alias("at"), F.col("_v").alias("v"), empty.alias("head"), empty.alias("tail"))
     none = F.lit(None).cast("double")
+
+    def sends(at: Column, value: Column, head: Column | None, tail: Column | None) -> Column:
+        """A row for a centre; plain numbers, so that the rows of a centre meet in a hash aggregation."""
+        parts = [(side[f].cast("double") if side is not None else none).alias(name + f) for name, side in (("head_", head), ("tail_", tail)) for f in _FIELDS]
+        return F.struct(at.alias("at"), value.alias("v"), *parts)
+
     # the last point of a window brings the start of its chunk, the first one the end of its own
-    ends = F.struct((F.col("_i") - ahead).alias("at"), none.alias("v"), F.col("_head").alias("head"), empty.alias("tail"))
-    begins = F.struct((F.col("_i") + behind).alias("at"), none.alias("v"), empty.alias("head"), F.col("_tail").alias("tail"))
+    here = sends(F.col("_i"), F.col("_v"), None, None)
+    ends = sends(F.col("_i") - ahead, none, F.col("_head"), None)
+    begins = sends(F.col("_i") + behind, none, None, F.col("_tail"))
     sent = moments.select(*keys, "_n", F.inline(F.array(here, ends, begins))).where(
         (F.col("at") >= 0) & (F.col("at") < F.col("_n"))
     )
-    met = sent.groupBy(*keys, "_n", "at").agg(F.max("v").alias("v"), F.max("head").alias("head"), F.max("tail").alias("tail"))
+    names = ["v", *(f"{side}_{f}" for side in ("head", "tail") for f in _FIELDS)]
+    met = sent.groupBy(*keys, "_n", "at").agg(*(F.max(c).alias(c) for c in names))
+    head, tail = (F.struct(*(F.col(f"{side}_{f}").alias(f) for f in _FIELDS)) for side in ("head", "tail"))
     # a window that begins with a chunk is that chunk: its end is all of it
     whole = (F.col("at") - behind) % w == 0
-    window = F.when(whole, F.col("tail")).otherwise(merged(F.col("tail"), F.col("head")))
-    judged = met.withColumn("_w", window)
+    judged = met.withColumn("_w", F.when(whole, tail).otherwise(merged(tail, head)))
     spread = F.sqrt(F.col("_w.m2") / (w - 1))
     distance = F.abs(F.col("v") - F.col("_w.mean"))
     outside = (F.col("_w.n") == w) & (distance > spread * 2) & ~F.isnan(distance)
@@ -82,6 +88,7 @@ def change_point_scores(
     return judged.groupBy(*keys).agg(F.max("_n").alias("points"), score.alias("value"))
 
 
+_FIELDS = ("n", "mean", "m2")
 _MOMENTS = "struct<n:bigint,mean:double,m2:double>"
 
 

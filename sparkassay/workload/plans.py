@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 from sparkassay.functions import patterns as P
 from sparkassay.plans.audit import audit, summarize
 from sparkassay.plans.plan import plan_by_column as by_column
+from sparkassay.operators.ranks import new_folder
 from sparkassay.plans.plan import resolve_plan as resolve
+from sparkassay.plans.registry import compute
+from sparkassay.sources.session import SessionTables
 from sparkassay.workload.privacy import _contamination
 from sparkassay.workload.quality import _OUTSIDE, _iqr
 from sparkassay.workload.sources import COLUMNS
@@ -152,6 +155,24 @@ def _sensitive(spark, folder):
     )
 
 
+def compute_metrics(spark, folder):
+    """Metrics asked for by name, one call each, on the tables of a session."""
+    sessions = SessionTables(spark, new_folder(spark, "sessions"))
+    sessions.save("c", {"people": _sensitive(spark, folder), "orders": table(spark, folder, "orders")})
+    tables = sessions.tables("c")
+    calls = [
+        ("people", "Null Rate", ["note"]), ("people", "duplicates", ["note"]), ("people", "Total Missing Value Rate", []),
+        ("people", "raw_pii_field_count", []), ("people", "pii_contamination_rate", [["contact_email"]]),
+        ("orders", "class imbalance ratio", ["o_orderstatus"]), ("orders", "R Squared", ["o_totalprice", "o_custkey"]),
+        ("orders", "vif", ["o_totalprice", ["o_orderkey", "o_custkey"]]), ("orders", "Numerical Outlier Rate", ["o_totalprice"]),
+    ]
+    out = None
+    for name, metric, args in calls:
+        one = compute(tables, name, metric, *args).select(F.lit(name).alias("table"), F.lit(metric).alias("asked"), "metric", "value")
+        out = one if out is None else out.unionAll(one)
+    return rounded(out)
+
+
 QUERIES = {
     "plan_by_column": plan_by_column,
     "resolve_plan": resolve_plan,
@@ -159,6 +180,7 @@ QUERIES = {
     "audit_summary": audit_summary,
     "audit_duplicates": audit_duplicates,
     "audit_parameters": audit_parameters,
+    "compute_metrics": compute_metrics,
 }
 
 _PLAN_SQL = """
@@ -323,7 +345,30 @@ def _all_missing(name: str, source: str, columns: str) -> str:
     return _cell(name, "all", label, label, f"({len(listed)} * count(*) - ({cells})) / ({len(listed)} * count(*))", source)
 
 
+def _asked(name: str, asked: str, metric: str, value: str, source: str) -> str:
+    return (
+        f"SELECT '{name}' AS \"table\", '{asked}' AS asked, '{metric}' AS metric, round(CAST({value} AS DOUBLE), 6) AS value FROM {source}"
+    )
+
+
 ORACLE = {
+    "compute_metrics": " UNION ALL ".join(
+        [
+            _asked("people", "Null Rate", "completeness_rate", "count(note) / count(*)", _PEOPLE),
+            _asked("people", "duplicates", "uniqueness_rate", "count(DISTINCT note) / count(note)", _PEOPLE),
+            _asked("people", "Total Missing Value Rate", "total_missing_value_rate",
+                   "(3 * count(*) - count(account_no) - count(contact_email) - count(note)) / (3 * count(*))", _PEOPLE),
+            _asked("people", "raw_pii_field_count", "raw_pii_field_count", "2 + 0 * count(*)", _PEOPLE),
+            _asked("people", "pii_contamination_rate", "pii_contamination_rate",
+                   "count(*) FILTER (contact_email LIKE '%@example.org') / count(contact_email)", _PEOPLE),
+            _asked("orders", "class imbalance ratio", "class_imbalance_ratio", "max(n) / min(n)",
+                   "(SELECT count(*) AS n FROM orders GROUP BY o_orderstatus)"),
+            _asked("orders", "R Squared", "r_squared",
+                   "1 - sum(power(o_totalprice - o_custkey, 2)) / (var_pop(o_totalprice) * count(*))", "orders"),
+            _asked("orders", "vif", "variance_inflation_factor", _vif("o_totalprice", "o_orderkey", "o_custkey"), "orders"),
+            _asked("orders", "Numerical Outlier Rate", "outlier_rate", _OUTSIDE, _iqr("orders", "o_totalprice")),
+        ]
+    ),
     "audit_parameters": " UNION ALL ".join(
         [
             _people("contact_email,note", "total_missing_value_rate", "(2 * count(*) - count(contact_email) - count(note)) / (2 * count(*))"),

@@ -69,6 +69,16 @@ def governance_flags(spark, folder):
     return privacy.governance_flags(_tables(spark, folder))
 
 
+def governance_flags_by_name(spark, folder):
+    """Signals in names count whatever the cells hold; in other columns the cells count."""
+    customers = table(spark, folder, "customer").select(
+        F.col("c_custkey").alias("customer_ssn"), F.col("c_name").alias("Email"), F.col("c_mktsegment").alias("icd_code"),
+        F.col("c_acctbal").alias("diagnosis_cost"), F.col("c_nationkey").alias("cvv2"),
+        F.when(F.col("c_custkey") % 4 == 0, F.concat(F.lit("u"), "c_custkey", F.lit("@mail.example.org"))).alias("note"),
+    )
+    return privacy.governance_flags({"customers": customers})
+
+
 QUERIES = {
     "pii_contamination_rate": pii_contamination_rate,
     "pii_phi_contamination_rate": pii_phi_contamination_rate,
@@ -80,6 +90,7 @@ QUERIES = {
     "pattern_counts": pattern_counts,
     "pii_risk_fields": pii_risk_fields,
     "governance_flags": governance_flags,
+    "governance_flags_by_name": governance_flags_by_name,
 }
 
 _PEOPLE = """(SELECT c_custkey AS account_id, CASE WHEN c_custkey % 7 <> 0 THEN c_name END AS medical_note,
@@ -173,4 +184,18 @@ ORACLE = {
         for regulation in regulations
     )
     + ") WHERE matching > 0",
+    "governance_flags_by_name": " UNION ALL ".join(
+        [
+            f"SELECT '{regulation}' AS regulation, 'customers' AS \"table\", '{column}' AS \"column\", '{signal}' AS signal, "
+            "CAST(NULL AS BIGINT) AS matching"
+            for column, signal in (
+                ("customer_ssn", "ssn"), ("Email", "email"), ("icd_code", "icd"), ("diagnosis_cost", "diagnos"), ("cvv2", "cvv"),
+            )
+            for regulation in P.REGULATION_SIGNALS[signal]
+        ]
+        + [
+            f"SELECT '{regulation}', 'customers', 'note', 'email', count(*) FROM customer WHERE c_custkey % 4 = 0"
+            for regulation in P.REGULATION_SIGNALS["email"]
+        ]
+    ),
 }

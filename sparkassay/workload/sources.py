@@ -105,7 +105,7 @@ def paginate(spark, folder):
 def paginate_deep(spark, folder):
     """A page across blocks, far from both ends."""
     return sampling.paginate(
-        table(spark, folder, "orders"), ["o_totalprice", "o_orderkey"], page=97, page_size=25, block_rows=1000
+        table(spark, folder, "orders"), ["o_totalprice", "o_orderkey"], page=97, page_size=25, block_rows=5000
     )
 
 

@@ -161,3 +161,21 @@ def test_audit_of_every_column_type(spark):
     assert rows[("id", "potential_target_leakage_candidate_count")]["value"] == 2
     assert rows[("day", "potential_target_leakage_candidate_count")]["value"] == 3
     assert rows[("ts", "outlier_rate")]["value"] == 0.0
+
+
+def test_search_counts_paths_and_a_hot_source(spark):
+    from sparkassay.operators.knowledge import search_metrics
+
+    fields = "id long, label string, name string, formula string, threshold_pass double, threshold_warn double, threshold_fail double"
+    nodes = [(1, "MODALITY", "m"), (2, "TASK", "t"), (3, "TASK", "t"), (4, "DOMAIN", "d"), (5, "DOMAIN", "other")]
+    nodes += [(100 + i, "METRICS", f"x{i}") for i in range(500)]
+    edges = [(1, "TYPE", 2), (1, "TYPE", 3), (2, "WITH", 4), (3, "WITH", 4), (2, "WITH", 5)]
+    edges += [(4, "GOT", 100 + i) for i in range(400)] + [(5, "GOT", 100 + i) for i in range(400, 500)] + [(4, "GOT", 101)]
+    n = spark.createDataFrame([(*x, "f", 1.0, 2.0, 3.0) for x in nodes], fields)
+    e = spark.createDataFrame(edges, "src long, type string, dst long")
+    found = search_metrics(n, e, "D", "M", "T")
+    counts = {r["name"]: r["count"] for r in found.groupBy("name").count().collect()}
+    assert len(counts) == 400 and counts["x0"] == 2 and counts["x1"] == 4  # two tasks lead there, one edge stands twice
+    assert search_metrics(n, e, "d", "nothing", "t").count() == 0
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(src" not in plan and "hashpartitioning(dst" in plan or "BroadcastHashJoin [dst" in plan
