@@ -43,9 +43,13 @@ SCRIPT_NAMES = (
 SCRIPTS = sorted(set(SCRIPT_NAMES))
 
 
+#: No letter stands here or beyond; the table's last entry answers for all of these.
+LETTERS_END = 0x34000
+
+
 def letters() -> np.ndarray:
-    """True for every code point that is a letter."""
-    return np.fromiter((chr(i).isalpha() for i in range(0x32000)), bool, 0x32000)
+    """True for every code point that is a letter; what lies beyond the table is none."""
+    return np.fromiter((chr(i).isalpha() for i in range(LETTERS_END)), bool, LETTERS_END)
 
 
 def split(texts: list[str], letter: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -158,10 +162,11 @@ def viterbi(scores: np.ndarray, counts: np.ndarray, penalty: float = SWITCH) ->
     sizes = counts[order]
     alive = np.searchsorted(-sizes, -np.arange(sizes[0]), side="left")  # texts with more than t words
     begin = np.concatenate([[0], np.cumsum(alive)])
-    came = np.zeros((n, langs), np.int8)  # by step, then by text
+    number = np.min_scalar_type(max(langs - 1, 0))  # wide enough for every language
+    came = np.zeros((n, langs), number)  # by step, then by text
     best = scores[first]
     final = np.zeros((len(order), langs), scores.dtype)
-    own = np.arange(langs, dtype=np.int8)
+    own = np.arange(langs, dtype=number)
     for t in range(1, sizes[0]):
         k = alive[t]
         if k < len(best):

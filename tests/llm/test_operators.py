@@ -292,6 +292,35 @@ def test_language(docs, empty, real):
         at += n
 
 
+def test_signs_beyond_the_letter_table_are_no_letters():
+    table = language.letters()
+    assert not table[-1] and all(not chr(i).isalpha() for i in range(language.LETTERS_END, 0x110000))
+    flag, private, far = "\U0001f3f4\U000e0067\U000e0062\U000e007f", "\U000f0000\ue000", "\U0010fffd"
+    for text in (flag, private, far, flag + " 12"):
+        assert len(language.split([text], table)[1]) == 0
+        assert language.split([text + " \U00031350"], table)[3].tolist() == [0]
+
+
+@pytest.mark.parametrize("langs", [1, 100, 200, 300])
+def test_walk_over_many_languages(langs):
+    rng = np.random.default_rng(langs)
+    scores = rng.normal(size=(40, langs)).astype(np.float32) * 5
+    got = language.viterbi(scores, np.array([15, 0, 25]), 4.0)
+    for start, n in ((0, 15), (15, 25)):
+        # plain dynamic programming, every pair of languages
+        best, came = scores[start].astype(np.float64), []
+        for t in range(1, n):
+            moves = best[:, None] - 4.0 * (1 - np.eye(langs))
+            came.append(moves.argmax(0))
+            best = moves.max(0) + scores[start + t]
+        path = [int(best.argmax())]
+        for c in reversed(came):
+            path.append(int(c[path[-1]]))
+        labels = got[start : start + n]
+        assert labels.min() >= 0 and labels.max() < langs
+        assert labels.tolist() == path[::-1]
+
+
 def test_extraction(spark, empty):
     page = (
         "<html><head><title>t</title><style>p{}</style></head><body><nav><ul><li>menu</ul></nav><!-- x --><div class='ad'>buy</div>"
