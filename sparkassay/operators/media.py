@@ -67,9 +67,10 @@ def blur_index_of_pixels(pixels: DataFrame, tile: int = TILE) -> DataFrame:
     spread = sent.repartition("image_id", "tr", "tc")
 
     def beside(across: str, along: str, step: int) -> Column:
-        line = Window.partitionBy("image_id", "tr", "tc", across).orderBy(along)
-        there, place = (F.lag("v"), F.lag(along)) if step < 0 else (F.lead("v"), F.lead(along))
-        return F.when(place.over(line) == F.col(along) + step, there.over(line))
+        # the tile line by line: the next row is the neighbour if it stands in the same line, one step on
+        lines = Window.partitionBy("image_id", "tr", "tc").orderBy(across, along)
+        next_ = (F.lag if step < 0 else F.lead)(F.struct(across, along, "v")).over(lines)
+        return F.when((next_[across] == F.col(across)) & (next_[along] == F.col(along) + step), next_["v"])
 
     met = spread.select(
         "*", beside("r", "c", -1).alias("left"), beside("r", "c", 1).alias("right"), beside("c", "r", -1).alias("up"), beside("c", "r", 1).alias("down")
