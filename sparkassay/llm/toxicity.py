@@ -1,15 +1,19 @@
 """Toxicity by the nearest labelled examples, with exact TF-IDF cosine and block-max inverted lists.
 
-The examples are a sample of bounded size per class (EXAMPLES), chosen by a hash of the id. Terms are
-the words and word beginnings (PREFIXES) that tell the classes apart (SIGNIFICANT standard errors of the
-log odds, at most TERMS of them). An inverted index keeps examples in blocks of BLOCK and, for every term and block, the largest
-weight there: blocks are read in the order of their upper bounds until no unread block can hold a
-nearer neighbour, so the neighbours are exact. Their votes, weighted by closeness, are calibrated on
-the examples themselves, each leaving itself out. Scoring covers every row and every whole text.
-
-Defined results: NULL counts as the empty text; a text without a known term gets the share of toxic
-examples among such texts; contradicting labels are not learned from; without labels every score
-is 0; ties between neighbours go to the lower example number; repeated rows get equal scores.
+The examples are a bounded sample of the labelled rows: EXAMPLES ids per class in expectation, by a hash of the
+id, and of these, in the order of another hash, as many as hold CHARACTERS code points together. Every word of
+every example is a term. Its inverse document frequency is counted over all documents, and it is weighted by how
+much it tells the classes apart (standard errors of its log odds, FLOOR at least), so that no word leaves the vectors.
+An inverted index keeps examples in blocks of BLOCK: for a term, its postings block by block, and the largest weight in each. Blocks are read in the
+order of their upper bounds until no unread block can hold a nearer neighbour, so the neighbours are exact. Their
+votes, weighted by closeness, are calibrated on the examples themselves, each leaving itself out. Scoring covers
+every row and every whole text, however long; only known words are kept of it.
+
+Defined results: NULL counts as the empty text; a text without a known word gets the share of toxic
+examples among such texts; labels that contradict each other and NULL labels or ids are not learned from; an
+example whose id stands in several rows is its greatest text; without labels or documents every score is 0; ties between
+neighbours go to the lower example number, which follows the id; repeated rows get equal scores; an empty table gives no
+rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -20,71 +24,89 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkassay.llm.common import fold, share
+from sparkassay.llm.common import fold, release, settled, share
 
-#: Bound on the examples of each class, in rows (met in expectation, by hash).
-EXAMPLES = 2000
-TERMS, SIGNIFICANT, BLOCK, NEIGHBOURS = 2000, 3.5, 64, 15
+#: Bounds on the examples of each class, in rows (met in expectation, by hash) and in code points.
+EXAMPLES, CHARACTERS = 2000, 8_000_000
+BLOCK, NEIGHBOURS, FLOOR = 64, 15, 0.05
+#: Terms reported for a text, those of the largest weights.
+EVIDENCE = 10
 RESULT = "score double, predicted int, neighbours array<long>, evidence array<string>"
-
-#: Lengths of the beginnings of longer words that count as terms of their own.
-PREFIXES = (4, 5, 6, 7)
+#: Results of equal texts that a task remembers.
+REMEMBERED = 10_000
 
 _WORD = re.compile(r"[^\W\d_]+")
 
 
-def terms_of(text: str | None) -> Counter:
-    """Counts of words and of word beginnings, the latter marked by a caret."""
-    words = Counter(_WORD.findall(text.lower())) if text else Counter()
-    out = Counter(words)
-    for w, n in words.items():
-        for k in PREFIXES:
-            if len(w) > k:
-                out["^" + w[:k]] += n
-    return out
+def words_of(text: str | None) -> Counter:
+    return Counter(_WORD.findall(text.lower())) if text else Counter()
+
+
+def _ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The numbers of all ranges, one after the other."""
+    ends = np.cumsum(counts)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + counts, counts)
 
 
 class Index:
-    """Unit TF-IDF vectors of the examples as inverted lists by block."""
-
-    def __init__(self, vectors: list[dict[int, float]], terms: int):
-        # similar examples side by side, so that block bounds are tight
-        self.order = sorted(range(len(vectors)), key=lambda i: (sorted(vectors[i], key=lambda t: (-vectors[i][t], t)), i))
-        blocks = -(-len(vectors) // BLOCK)
-        self.largest = np.zeros((terms, blocks))
-        # lists of a block side by side, a row a term; at most TERMS times twice EXAMPLES weights
-        self.weight = np.zeros((terms, blocks * BLOCK))
-        for place, i in enumerate(self.order):
-            for t, w in vectors[i].items():
-                self.weight[t, place] = w
-                self.largest[t, place // BLOCK] = max(self.largest[t, place // BLOCK], w)
-        self.size = len(vectors)
-
-    def nearest(self, query: dict[int, float], k: int, without: int = -1) -> list[tuple[float, int]]:
+    """Unit vectors of the examples as inverted lists by block. Postings are (example, term, weight), in any order."""
+
+    def __init__(self, example: np.ndarray, term: np.ndarray, weight: np.ndarray, examples: int, terms: int):
+        # similar examples side by side, so that block bounds are tight: by their heaviest term
+        lead = np.full(examples, terms)
+        heavy = np.lexsort((term, -weight, example))
+        at = np.flatnonzero(np.diff(example[heavy], prepend=-1))
+        lead[example[heavy[at]]] = term[heavy[at]]
+        self.order = np.argsort(lead, kind="stable")
+        place = np.empty(examples, np.int64)
+        place[self.order] = np.arange(examples)
+        place = place[example]
+        by = np.lexsort((place, term))
+        self.place, self.weight = place[by].astype(np.int32), weight[by]
+        term, block = term[by], self.place // BLOCK
+        # one entry for every term and block
+        new = (np.diff(term, prepend=-1) != 0) | (np.diff(block, prepend=-1) != 0)
+        self.start = np.flatnonzero(new)
+        self.count = np.diff(np.append(self.start, len(by)))
+        self.block = block[self.start]
+        self.largest = np.maximum.reduceat(self.weight, self.start) if len(by) else self.weight
+        self.entry = np.searchsorted(term[self.start], np.arange(terms + 1))
+        self.blocks = -(-examples // BLOCK)
+
+    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, without: int = -1) -> list[tuple[float, int]]:
         """The k examples of largest positive cosine as (cosine, example)."""
-        terms, weights = list(query), np.array(list(query.values()))
-        bounds = weights @ self.largest[terms]
-        places, sums, least = np.zeros(0, np.int64), np.zeros(0), -1.0
-        for block in np.argsort(-bounds, kind="stable"):
-            if bounds[block] <= 0 or bounds[block] < least - 1e-12:
-                break
-            score = weights @ self.weight[terms, block * BLOCK : (block + 1) * BLOCK]
-            good = np.flatnonzero((score > 0) & (score >= least - 1e-12))
-            if len(good):
-                places, sums = np.append(places, good + block * BLOCK), np.append(sums, score[good])
-                if len(sums) > k + 1:  # one of them may be left out
-                    least = float(np.partition(sums, -k - 1)[-k - 1])
-        found = [(float(x), self.order[p]) for x, p in zip(sums, places, strict=True) if self.order[p] != without]
+        lists = self.entry[terms + 1] - self.entry[terms]
+        entries, heavy = _ranges(self.entry[terms], lists), np.repeat(weights, lists)
+        bounds = np.bincount(self.block[entries], heavy * self.largest[entries], minlength=self.blocks)
+        order = np.argsort(-bounds, kind="stable")
+        rank = np.empty(self.blocks, np.int64)
+        rank[order] = np.arange(self.blocks)
+        ranks = rank[self.block[entries]]
+        scores, read, step, least = np.zeros(self.blocks * BLOCK), 0, 2, 0.0
+        while read < self.blocks and bounds[order[read]] > 0 and bounds[order[read]] >= least - 1e-12:
+            now = (ranks >= read) & (ranks < read + step)
+            counts = self.count[entries[now]]
+            at = _ranges(self.start[entries[now]], counts)
+            scores += np.bincount(self.place[at], np.repeat(heavy[now], counts) * self.weight[at], minlength=len(scores))
+            read, step = read + step, 2 * step
+            if len(scores) > k + 1:  # one of them may be left out
+                least = float(np.partition(scores, -k - 1)[-k - 1])
+        good = np.flatnonzero((scores > 0) & (scores >= least - 1e-12))
+        found = [(float(scores[p]), int(self.order[p])) for p in good if self.order[p] != without]
         return sorted(found, key=lambda x: (-round(x[0], 12), x[1]))[:k]
 
 
-def vector(words: Counter, terms: dict[str, int], idf: np.ndarray) -> dict[int, float]:
-    raw = {t: (1 + np.log(c)) * idf[t] for w, c in words.items() if (t := terms.get(w)) is not None}
-    norm = np.sqrt(sum(v * v for v in raw.values()))
-    return {t: v / norm for t, v in sorted(raw.items())} if norm else {}
+def vector(words: Counter, terms: dict[str, int], value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(terms, weights) of unit length; `value` is what a term is worth once."""
+    known = {t: c for w, c in words.items() if (t := terms.get(w)) is not None}
+    at = np.fromiter(known.keys(), np.int64, len(known))
+    raw = (1 + np.log(np.fromiter(known.values(), float, len(known)))) * value[at]
+    return at, raw / np.sqrt(raw @ raw) if len(at) else raw
 
 
 def vote(found: list[tuple[float, int]], toxic: np.ndarray) -> float:
@@ -92,37 +114,17 @@ def vote(found: list[tuple[float, int]], toxic: np.ndarray) -> float:
     return float(weights @ toxic[[i for _, i in found]] / weights.sum())
 
 
-def build(rows: list[tuple[int, int, dict[str, int]]]) -> dict:
-    """Model from (doc_id, label, counts of words) of the examples."""
-    rows = sorted(rows, key=lambda r: (r[0], r[1]))
-    toxic = np.array([r[1] for r in rows], float)
-    n1, n0 = toxic.sum(), len(rows) - toxic.sum()
-    if not n1:
-        return {"base": 0.0}
-    in1, in0 = Counter(), Counter()
-    for _, y, words in rows:
-        (in1 if y else in0).update(words.keys())
-    scored = []
-    for w in in1.keys() | in0.keys():
-        a, b = in1[w] + 0.5, in0[w] + 0.5
-        odds = np.log(a / (n1 - a + 1)) - np.log(b / (n0 - b + 1))
-        scored.append((abs(odds) / np.sqrt(1 / a + 1 / b), w))
-    scored = sorted((s, w) for s, w in scored if s >= SIGNIFICANT)[::-1][:TERMS]
-    terms = {w: t for t, w in enumerate(sorted(w for _, w in scored))}
-    df = np.array([in1[w] + in0[w] for w in terms], float)
-    idf = np.log(1 + len(rows) / (1 + df)) if len(terms) else df
-    vectors = [vector(Counter(words), terms, idf) for _, _, words in rows]
-    empty = np.array([not v for v in vectors])
-    # classes are sampled at different rates; the calibration weighs them by the share each stands for
-    model = {"terms": terms, "idf": idf, "ids": [r[0] for r in rows], "toxic": toxic, "vectors": vectors}
-    index = Index(vectors, len(terms))
-    votes = [vote(f, toxic) if v and (f := index.nearest(v, NEIGHBOURS, i)) else -1.0 for i, v in enumerate(vectors)]
-    return model | {"votes": np.array(votes), "empty": empty}
+def telling(example: np.ndarray, term: np.ndarray, toxic: np.ndarray, terms: int) -> np.ndarray:
+    """Standard errors by which a term's log odds differ between the classes."""
+    n1, n0 = toxic.sum(), len(toxic) - toxic.sum()
+    a = np.bincount(term, toxic[example], minlength=terms) + 0.5
+    b = np.bincount(term, 1 - toxic[example], minlength=terms) + 0.5
+    odds = np.log(a / (n1 - a + 1)) - np.log(b / (n0 - b + 1))
+    return np.abs(odds) / np.sqrt(1 / a + 1 / b)
 
 
-def calibrate(model: dict, weight: np.ndarray) -> dict:
+def calibrate(votes: np.ndarray, toxic: np.ndarray, weight: np.ndarray) -> dict:
     """Monotone steps from votes to the weighted share of toxic examples (pooled neighbours)."""
-    votes, toxic = model["votes"], model["toxic"]
     alone = votes < 0
     base = float((weight * toxic)[alone].sum() + 0.5) / float(weight[alone].sum() + 5)
     pools: list[list[float]] = []
@@ -136,7 +138,7 @@ def calibrate(model: dict, weight: np.ndarray) -> dict:
             pools[-1][1] += w
     ends = np.array([p[2] for p in pools])
     levels = np.array([(p[0] + 0.25) / (p[1] + 0.5) for p in pools])
-    return {k: model[k] for k in ("terms", "idf", "ids", "toxic", "vectors")} | {"base": base, "starts": ends, "levels": levels}
+    return {"base": base, "starts": ends, "levels": levels}
 
 
 def calibrated(model: dict, v: float) -> float:
@@ -147,8 +149,8 @@ def calibrated(model: dict, v: float) -> float:
     return float(np.clip(0.98 * model["levels"][max(k, 0)] + 0.02 * v, 0, 1))
 
 
-def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0) -> dict:
-    """Learn from labels outside the held-out fold. The bounded sample's word counts come to the driver."""
+def labelled(docs: DataFrame, labels: DataFrame, folds: int, held: int) -> tuple[DataFrame | None, dict[int, int]]:
+    """(doc_id, y, _text) of the chosen ids, settled, and the sizes of the classes outside the held-out fold."""
     known = (
         labels.select(F.col("doc_id"), F.col("toxic"))
         .where("toxic IS NOT NULL AND doc_id IS NOT NULL")
@@ -159,63 +161,129 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0) -> di
     )
     sizes = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if not sizes.get(1):
-        return {"base": 0.0}
+        return None, sizes
     chosen = known.where(
         ((F.col("y") == 1) & share(F.col("doc_id"), EXAMPLES, sizes[1], 3))
         | ((F.col("y") == 0) & share(F.col("doc_id"), EXAMPLES, sizes.get(0, 0), 4))
     ).select("doc_id", "y")
+    # about twice EXAMPLES ids at most; rows that repeat an id are merged before they are shuffled
+    rows = docs.select(F.col("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("_text")).join(F.broadcast(chosen), "doc_id")
+    return settled(rows.groupBy("doc_id").agg(F.min("y").alias("y"), F.max("_text").alias("_text")), "toxicity-examples"), sizes
 
-    @F.pandas_udf("map<string,int>")
-    def counted(texts: pd.Series) -> pd.Series:
-        return pd.Series([dict(terms_of(t)) for t in texts])
 
-    # at most about twice EXAMPLES ids with a label
-    rows = (
-        docs.select(F.col("doc_id"), F.col("text"))
-        .join(F.broadcast(chosen), "doc_id")
-        .select("doc_id", "y", counted(F.col("text")).alias("words"))
-        .collect()
-    )
-    model = build([(r["doc_id"], r["y"], r["words"]) for r in rows])
-    if "terms" not in model:
-        return model
-    toxic = model["toxic"]
+def document_frequencies(docs: DataFrame, terms: dict[str, int]) -> tuple[int, np.ndarray]:
+    """Number of documents, and of those that hold each term. A task counts all its rows before anything is shuffled."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, rows = np.zeros(len(terms), np.int64), 0
+        for batch in batches:
+            for text in batch["text"]:
+                rows += 1
+                hits = [t for w in set(_WORD.findall((text.as_py() or "").lower())) if (t := terms.get(w)) is not None]
+                counts[hits] += 1
+        at = np.flatnonzero(counts)
+        term, n = np.append(at, -1), np.append(counts[at], rows)
+        for a in range(0, len(term), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(term[a : a + 100_000], pa.int32()), pa.array(n[a : a + 100_000], pa.int64())], ["term", "n"])
+
+    counted = docs.select(F.col("text")).mapInArrow(work, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    term, n = counted["term"].to_numpy(), counted["n"].to_numpy()
+    out = np.zeros(len(terms), np.int64)
+    out[term[term >= 0]] = n[term >= 0]
+    return int(n[term < 0].sum()), out
+
+
+def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0) -> dict:
+    """Learn from labels outside the held-out fold. To the driver come the ids and lengths of the chosen rows, the
+    postings of examples within both bounds, and a count for each of their terms."""
+    rows, sizes = labelled(docs, labels, folds, held)
+    if rows is None:
+        return {"base": 0.0}
+    spark, lengths = rows.sparkSession, rows.select("doc_id", "y", F.length("_text").alias("n"), F.xxhash64("doc_id", F.lit(5)).alias("_h")).toPandas()
+    lengths = lengths.sort_values(["_h", "doc_id"])
+    inside = lengths[lengths.groupby("y")["n"].cumsum() <= CHARACTERS].sort_values("doc_id").reset_index(drop=True)
+    if not (inside["y"] == 1).any():
+        release(rows)
+        return {"base": 0.0}
+    numbered = spark.createDataFrame(pd.DataFrame({"doc_id": inside["doc_id"], "_example": np.arange(len(inside))}))
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = [words_of(t) for t in batch["_text"].to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [batch["_example"], pa.array([list(w) for w in words], pa.list_(pa.string())), pa.array([list(w.values()) for w in words], pa.list_(pa.int32()))],
+                ["example", "words", "counts"],
+            )
+
+    postings = rows.join(F.broadcast(numbered), "doc_id").select("_example", "_text").mapInArrow(listed, "example long, words array<string>, counts array<int>").toArrow()
+    release(rows)
+    words, n = pc.list_flatten(postings["words"]), pc.list_flatten(postings["counts"]).to_numpy()
+    example = np.repeat(postings["example"].to_numpy(), pc.list_value_length(postings["words"]).to_numpy())
+    vocabulary = pc.unique(words)
+    vocabulary = vocabulary.take(pc.sort_indices(vocabulary))
+    term = pc.index_in(words, vocabulary).to_numpy().astype(np.int64)
+    names = vocabulary.to_pylist()
+    terms = {w: i for i, w in enumerate(names)}
+
+    toxic = inside["y"].to_numpy(float)
+    documents, holding = document_frequencies(docs, terms)
+    value = (np.log((1 + documents) / (1 + holding)) + 1) * (FLOOR + telling(example, term, toxic, len(terms)))
+    raw = (1 + np.log(n)) * value[term]
+    norms = np.sqrt(np.bincount(example, raw * raw, minlength=len(inside)))
+    index = Index(example, term, raw / norms[example], len(inside), len(terms))
+    model = {"terms": terms, "names": names, "value": value, "ids": inside["doc_id"].to_numpy(), "toxic": toxic, "index": index}
+    # classes are sampled at different rates; the calibration weighs them by the share each stands for
     weight = np.where(toxic > 0, sizes[1] / max(1, toxic.sum()), sizes.get(0, 0) / max(1, (toxic == 0).sum()))
-    return calibrate(model, weight)
+    return model | calibrate(own_votes(spark, index, example, term, raw / norms[example], toxic), toxic, weight)
+
+
+def own_votes(spark, index: Index, example: np.ndarray, term: np.ndarray, weight: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+    """The vote of every example's neighbours, itself left out; -1 without neighbours."""
+    by = np.argsort(example, kind="stable")
+    term, weight, first = term[by], weight[by], np.searchsorted(example[by], np.arange(len(toxic) + 1))
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            votes = []
+            for i in rows["id"]:
+                own = slice(first[i], first[i + 1])
+                found = index.nearest(term[own], weight[own], NEIGHBOURS, i)
+                votes.append(vote(found, toxic) if found else -1.0)
+            yield pd.DataFrame({"id": rows["id"], "vote": votes})
+
+    votes = spark.range(len(toxic)).mapInPandas(work, "id long, vote double").toPandas()
+    return votes.sort_values("id")["vote"].to_numpy()
 
 
 def toxicity(text: Column, model: dict) -> Column:
-    """Struct of score, prediction, nearest examples and the terms that brought them."""
+    """Struct of score, prediction, nearest examples and the heaviest terms."""
 
     @F.pandas_udf(RESULT)
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        terms = model.get("terms", {})
-        names = sorted(terms)
-        words_known = frozenset(t for t in terms if t[0] != "^")
-        beginnings = {k: frozenset(t[1:] for t in terms if t[0] == "^" and len(t) == k + 1) for k in PREFIXES}
-        index = Index(model["vectors"], len(terms)) if terms else None
-        seen: dict[tuple, tuple] = {}
+        import xxhash
+
+        seen: dict[bytes, tuple] = {}
         nothing = (model["base"], int(model["base"] >= 0.5), [], [])
+
+        def one(text: str | None) -> tuple:
+            at, weights = vector(words_of(text), model["terms"], model["value"])
+            found = model["index"].nearest(at, weights, NEIGHBOURS) if len(at) else []
+            if not found:
+                return nothing
+            s = calibrated(model, vote(found, model["toxic"]))
+            heaviest = at[np.lexsort((at, -weights))[:EVIDENCE]]
+            return s, int(s >= 0.5), [int(model["ids"][i]) for _, i in found], [model["names"][t] for t in heaviest]
+
         for texts in batches:
             out = []
             for text in texts:
-                words = _WORD.findall(text.lower()) if text else []
-                hits = Counter(w for w in words if w in words_known)
-                for k, some in beginnings.items():
-                    if some:
-                        hits.update("^" + b for w in words if (b := w[:k]) in some and len(w) > k)
-                if not hits:
+                if not text or "terms" not in model:
                     out.append(nothing)
                     continue
-                query = vector(hits, terms, model["idf"])
-                key = tuple(query.items())
-                if key not in seen:
-                    if len(seen) > 50_000:
+                if (key := xxhash.xxh3_128_digest(text.encode())) not in seen:
+                    if len(seen) >= REMEMBERED:
                         seen.clear()
-                    found = index.nearest(query, NEIGHBOURS)
-                    s = calibrated(model, vote(found, model["toxic"])) if found else model["base"]
-                    evidence = [names[t] for t, _ in sorted(query.items(), key=lambda x: (-x[1], x[0]))]
-                    seen[key] = (s, int(s >= 0.5), [model["ids"][i] for _, i in found], evidence)
+                    seen[key] = one(text)
                 out.append(seen[key])
             yield pd.DataFrame(out, columns=["score", "predicted", "neighbours", "evidence"])
 

@@ -3,7 +3,7 @@
 import hashlib
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -383,16 +383,82 @@ def test_classifiers_on_the_held_out_fold(spark, folder, docs, empty):
         assert empty.select(score(model)).count() == 0
 
 
+def postings(vectors):
+    """(example, term, weight) of dense unit vectors."""
+    example, term = np.nonzero(vectors)
+    return example, term, vectors[example, term]
+
+
 def test_nearest_examples_are_exact():
     rng = np.random.default_rng(3)
-    vectors = []
-    for _ in range(300):
+    vectors = np.zeros((300, 30))
+    for row in vectors:
         w = rng.random(4)
-        vectors.append(dict(zip(rng.choice(30, 4, replace=False).tolist(), w / np.sqrt(w @ w), strict=True)))
-    index = toxicity.Index(vectors, 30)
+        row[rng.choice(30, 4, replace=False)] = w / np.sqrt(w @ w)
+    index = toxicity.Index(*postings(vectors), 300, 30)
     for q in vectors[:40]:
-        exact = sorted(((sum(q.get(t, 0) * w for t, w in v.items()), i) for i, v in enumerate(vectors)), key=lambda x: (-round(x[0], 12), x[1]))
-        assert [i for _, i in index.nearest(q, 10)] == [i for s, i in exact[:10] if s > 0]
+        exact = sorted(((s, i) for i, s in enumerate(vectors @ q)), key=lambda x: (-round(x[0], 12), x[1]))
+        at = np.flatnonzero(q)
+        assert [i for _, i in index.nearest(at, q[at], 10)] == [i for s, i in exact[:10] if s > 0]
+        assert [i for _, i in index.nearest(at, q[at], 10, exact[0][1])] == [i for s, i in exact[1:11] if s > 0]
+
+
+def test_toxicity_query_against_dense_cosine(spark, folder):
+    """The registered query: neighbours of every text are the nearest by cosine over all words of the examples."""
+    real, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    model = toxicity.fit(real, labels)
+    texts = {r["doc_id"]: r["text"] for r in real.select("doc_id", "text").collect()}
+    truth = {r["doc_id"]: r["toxic"] for r in labels.collect()}
+    learned = sorted(i for i, y in truth.items() if y is not None and zlib.crc32(str(i).encode()) % 5 != 0)
+    assert list(model["ids"]) == learned
+    assert set(model["terms"]) == {w for i in learned for w in toxicity.words_of(texts[i])}
+    holding = Counter(w for t in texts.values() for w in toxicity.words_of(t))
+    toxic = np.array([truth[i] for i in learned], float)
+    dense = np.zeros((len(learned), len(model["terms"])))
+    for row, i in zip(dense, learned, strict=True):
+        for w, c in toxicity.words_of(texts[i]).items():
+            row[model["terms"][w]] = c
+    present = dense > 0
+    a, b = present[toxic == 1].sum(0) + 0.5, present[toxic == 0].sum(0) + 0.5
+    odds = np.log(a / (toxic.sum() - a + 1)) - np.log(b / ((1 - toxic).sum() - b + 1))
+    idf = np.log((1 + len(texts)) / (1 + np.array([holding[w] for w in model["names"]]))) + 1
+    value = idf * (toxicity.FLOOR + np.abs(odds) / np.sqrt(1 / a + 1 / b))
+
+    def unit(counts):
+        raw = np.where(counts > 0, (1 + np.log(np.maximum(counts, 1))) * value, 0)
+        return raw / (np.sqrt((raw * raw).sum(-1, keepdims=True)) + (raw.sum(-1, keepdims=True) == 0))
+
+    vectors = unit(dense)
+    rows = QUERIES["op8_toxicity"](spark, folder).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0)
+        assert r["predicted"] == (r["score"] >= 0.5) and 0 <= r["score"] <= 1
+        counts = np.zeros(len(model["terms"]))
+        for w, c in toxicity.words_of(texts[r["doc_id"]]).items():
+            if w in model["terms"]:
+                counts[model["terms"][w]] = c
+        cosine = np.round(vectors @ unit(counts), 9)
+        best = np.sort(cosine)[::-1][: toxicity.NEIGHBOURS]
+        mine = [cosine[learned.index(i)] for i in r["neighbours"]]
+        assert mine == best[best > 0].tolist()
+
+
+def test_rare_slurs_find_their_examples(spark):
+    """A word that stands in 15 toxic texts and in no other brings exactly these."""
+    rng = np.random.default_rng(8)
+    words = ["".join(rng.choice(list("abcdefghij"), 5)) for _ in range(400)]
+    plain = [" ".join(rng.choice(words, 30)) for _ in range(600)]
+    docs = [(i, t + (" zzslur" if i < 15 else ""), "x", "y") for i, t in enumerate(plain)]
+    docs = [*docs, (600, " ".join(rng.choice(words, 30)) + " zzslur", None, None), (601, None, None, None), (602, "", None, None)]
+    table = spark.createDataFrame(docs, "doc_id long, text string, lang string, terms string")
+    labels = spark.createDataFrame([(i, int(i < 15 or i % 40 == 0)) for i in range(600)] + [(None, 1), (7000, None)], "doc_id long, toxic int")
+    model = toxicity.fit(table, labels, held=9)
+    assert "zzslur" in model["terms"]
+    rows = {r["doc_id"]: r["r"] for r in table.select("doc_id", toxicity.toxicity(F.col("text"), model).alias("r")).collect()}
+    assert set(rows[600]["neighbours"]) == set(range(15)) and rows[600]["predicted"] == 1
+    assert rows[601]["neighbours"] == [] and rows[601] == rows[602]
+    assert toxicity.fit(table.limit(0), labels)["base"] == 0
 
 
 def test_repetition(docs, empty, real):
