@@ -3,7 +3,7 @@
 The examples are a bounded sample of the labelled rows: EXAMPLES ids per class in expectation, by a hash of the
 id, and of these, in the order of another hash, as many as hold CHARACTERS code points together. Every word of
 every example is a term. Its inverse document frequency is counted over all documents, and it is weighted by how
-much it tells the classes apart (standard errors of its log odds, FLOOR at least), so that no word leaves the vectors.
+much it tells the classes apart (squared standard errors of its log odds, plus FLOOR), so that no word leaves the vectors.
 An inverted index keeps examples in blocks of BLOCK: for a term, its postings block by block, and the largest weight in each. Blocks are read in the
 order of their upper bounds until no unread block can hold a nearer neighbour, so the neighbours are exact. Their
 votes, weighted by closeness, are calibrated on the examples themselves, each leaving itself out. Scoring covers
@@ -67,7 +67,7 @@ class Index:
         place[self.order] = np.arange(examples)
         place = place[example]
         by = np.lexsort((place, term))
-        self.place, self.weight = place[by].astype(np.int32), weight[by]
+        self.place, self.weight = place[by], weight[by]
         term, block = term[by], self.place // BLOCK
         # one entry for every term and block
         new = (np.diff(term, prepend=-1) != 0) | (np.diff(block, prepend=-1) != 0)
@@ -87,7 +87,7 @@ class Index:
         rank = np.empty(self.blocks, np.int64)
         rank[order] = np.arange(self.blocks)
         ranks = rank[self.block[entries]]
-        scores, read, step, least = np.zeros(self.blocks * BLOCK), 0, 2, 0.0
+        scores, read, step, least = np.zeros(self.blocks * BLOCK), 0, 8, 0.0
         while read < self.blocks and bounds[order[read]] > 0 and bounds[order[read]] >= least - 1e-12:
             now = (ranks >= read) & (ranks < read + step)
             counts = self.count[entries[now]]
@@ -103,9 +103,9 @@ class Index:
 
 def vector(words: Counter, terms: dict[str, int], value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(terms, weights) of unit length; `value` is what a term is worth once."""
-    known = {t: c for w, c in words.items() if (t := terms.get(w)) is not None}
-    at = np.fromiter(known.keys(), np.int64, len(known))
-    raw = (1 + np.log(np.fromiter(known.values(), float, len(known)))) * value[at]
+    known = [(t, c) for t, c in zip(map(terms.get, words), words.values(), strict=True) if t is not None]
+    at, counts = np.array(known, np.int64).reshape(-1, 2).T
+    raw = (1 + np.log(counts)) * value[at]
     return at, raw / np.sqrt(raw @ raw) if len(at) else raw
 
 
@@ -177,9 +177,9 @@ def document_frequencies(docs: DataFrame, terms: dict[str, int]) -> tuple[int, n
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, rows = np.zeros(len(terms), np.int64), 0
         for batch in batches:
-            for text in batch["text"]:
+            for text in batch["text"].to_pylist():
                 rows += 1
-                hits = [t for w in set(_WORD.findall((text.as_py() or "").lower())) if (t := terms.get(w)) is not None]
+                hits = [t for t in map(terms.get, set(_WORD.findall(text.lower()))) if t is not None] if text else []
                 counts[hits] += 1
         at = np.flatnonzero(counts)
         term, n = np.append(at, -1), np.append(counts[at], rows)
@@ -227,7 +227,7 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0) -> di
 
     toxic = inside["y"].to_numpy(float)
     documents, holding = document_frequencies(docs, terms)
-    value = (np.log((1 + documents) / (1 + holding)) + 1) * (FLOOR + telling(example, term, toxic, len(terms)))
+    value = (np.log((1 + documents) / (1 + holding)) + 1) * (FLOOR + telling(example, term, toxic, len(terms)) ** 2)
     raw = (1 + np.log(n)) * value[term]
     norms = np.sqrt(np.bincount(example, raw * raw, minlength=len(inside)))
     index = Index(example, term, raw / norms[example], len(inside), len(terms))

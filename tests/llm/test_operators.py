@@ -422,7 +422,7 @@ def test_toxicity_query_against_dense_cosine(spark, folder):
     a, b = present[toxic == 1].sum(0) + 0.5, present[toxic == 0].sum(0) + 0.5
     odds = np.log(a / (toxic.sum() - a + 1)) - np.log(b / ((1 - toxic).sum() - b + 1))
     idf = np.log((1 + len(texts)) / (1 + np.array([holding[w] for w in model["names"]]))) + 1
-    value = idf * (toxicity.FLOOR + np.abs(odds) / np.sqrt(1 / a + 1 / b))
+    value = idf * (toxicity.FLOOR + odds**2 / (1 / a + 1 / b))
 
     def unit(counts):
         raw = np.where(counts > 0, (1 + np.log(np.maximum(counts, 1))) * value, 0)
