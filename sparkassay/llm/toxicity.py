@@ -4,7 +4,8 @@ The examples are a bounded sample of the labelled rows: EXAMPLES ids per class i
 id, and of these, in the order of another hash, as many as hold CHARACTERS code points together. Every word of
 every example is a term. Its inverse document frequency is counted over all documents, and it is weighted by how
 much it tells the classes apart (squared standard errors of its log odds, plus FLOOR), so that no word leaves the vectors.
-An inverted index keeps examples in blocks of BLOCK: for a term, its postings block by block, and the largest weight in each. Blocks are read in the
+An inverted index keeps examples in blocks of BLOCK: for a term, its postings block by block, and the largest weight in each; the
+list of a common term is a full row of weights, read first. Blocks are read in the
 order of their upper bounds until no unread block can hold a nearer neighbour, so the neighbours are exact. Their
 votes, weighted by closeness, are calibrated on the examples themselves, each leaving itself out. Scoring covers
 every row and every whole text, however long; only known words are kept of it.
@@ -34,10 +35,14 @@ from sparkassay.llm.common import fold, release, settled, share
 #: Bounds on the examples of each class, in rows (met in expectation, by hash) and in code points.
 EXAMPLES, CHARACTERS = 2000, 8_000_000
 BLOCK, NEIGHBOURS, FLOOR = 64, 15, 0.05
+#: Terms that stand in one of so many examples are common.
+COMMON = 16
+#: Queries whose common terms are multiplied at once.
+TOGETHER = 64
 #: Terms reported for a text, those of the largest weights.
 EVIDENCE = 10
 RESULT = "score double, predicted int, neighbours array<long>, evidence array<string>"
-#: Results of equal texts that a task remembers.
+#: Results of different texts that a task remembers, besides those of one batch.
 REMEMBERED = 10_000
 
 _WORD = re.compile(r"[^\W\d_]+")
@@ -65,7 +70,14 @@ class Index:
         self.order = np.argsort(lead, kind="stable")
         place = np.empty(examples, np.int64)
         place[self.order] = np.arange(examples)
-        place = place[example]
+        place, self.blocks = place[example], -(-examples // BLOCK)
+        # full rows hold at most COMMON times as many weights as there are postings
+        often = np.bincount(term, minlength=terms) * COMMON >= examples
+        self.row = np.where(often, np.cumsum(often) - 1, -1)
+        self.rows = np.zeros((int(often.sum()), self.blocks * BLOCK))
+        full = often[term]
+        self.rows[self.row[term[full]], place[full]] = weight[full]
+        place, term, weight = place[~full], term[~full], weight[~full]
         by = np.lexsort((place, term))
         self.place, self.weight = place[by], weight[by]
         term, block = term[by], self.place // BLOCK
@@ -76,18 +88,36 @@ class Index:
         self.block = block[self.start]
         self.largest = np.maximum.reduceat(self.weight, self.start) if len(by) else self.weight
         self.entry = np.searchsorted(term[self.start], np.arange(terms + 1))
-        self.blocks = -(-examples // BLOCK)
+
+    def search(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int, without: list[int] | None = None) -> Iterator[list[tuple[float, int]]]:
+        """What `nearest` gives for each (terms, weights); common terms are multiplied for TOGETHER queries at once."""
+        for a in range(0, len(queries), TOGETHER):
+            some = queries[a : a + TOGETHER]
+            heads = np.zeros((len(some), len(self.rows)))
+            for head, (terms, weights) in zip(heads, some, strict=True):
+                common = self.row[terms]
+                head[common[common >= 0]] = weights[common >= 0]
+            for i, (scores, (terms, weights)) in enumerate(zip(heads @ self.rows, some, strict=True)):
+                yield self._read(scores, terms, weights, k, without[a + i] if without else -1)
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, without: int = -1) -> list[tuple[float, int]]:
         """The k examples of largest positive cosine as (cosine, example)."""
+        return next(self.search([(terms, weights)], k, [without]))
+
+    def _read(self, scores: np.ndarray, terms: np.ndarray, weights: np.ndarray, k: int, without: int) -> list[tuple[float, int]]:
+        """From scores of the common terms. Weights are not negative, so these bound the cosines from below, and
+        with the largest rest of a block from above."""
+        common = self.row[terms]
+        terms, weights = terms[common < 0], weights[common < 0]
         lists = self.entry[terms + 1] - self.entry[terms]
         entries, heavy = _ranges(self.entry[terms], lists), np.repeat(weights, lists)
-        bounds = np.bincount(self.block[entries], heavy * self.largest[entries], minlength=self.blocks)
+        rest = np.bincount(self.block[entries], heavy * self.largest[entries], minlength=self.blocks)
+        bounds = scores.reshape(self.blocks, BLOCK).max(axis=1) + rest
         order = np.argsort(-bounds, kind="stable")
         rank = np.empty(self.blocks, np.int64)
         rank[order] = np.arange(self.blocks)
         ranks = rank[self.block[entries]]
-        scores, read, step, least = np.zeros(self.blocks * BLOCK), 0, 8, 0.0
+        read, step, least = 0, 8, float(np.partition(scores, -k - 1)[-k - 1]) if len(scores) > k + 1 else 0.0
         while read < self.blocks and bounds[order[read]] > 0 and bounds[order[read]] >= least - 1e-12:
             now = (ranks >= read) & (ranks < read + step)
             counts = self.count[entries[now]]
@@ -97,14 +127,16 @@ class Index:
             if len(scores) > k + 1:  # one of them may be left out
                 least = float(np.partition(scores, -k - 1)[-k - 1])
         good = np.flatnonzero((scores > 0) & (scores >= least - 1e-12))
-        found = [(float(scores[p]), int(self.order[p])) for p in good if self.order[p] != without]
-        return sorted(found, key=lambda x: (-round(x[0], 12), x[1]))[:k]
+        # sums differ in their last digits with what is multiplied together
+        found = [(round(float(scores[p]), 12), int(self.order[p])) for p in good if self.order[p] != without]
+        return sorted(found, key=lambda x: (-x[0], x[1]))[:k]
 
 
 def vector(words: Counter, terms: dict[str, int], value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(terms, weights) of unit length; `value` is what a term is worth once."""
-    known = [(t, c) for t, c in zip(map(terms.get, words), words.values(), strict=True) if t is not None]
-    at, counts = np.array(known, np.int64).reshape(-1, 2).T
+    at = np.fromiter((terms.get(w, -1) for w in words), np.int64, len(words))
+    counts = np.fromiter(words.values(), np.int64, len(words))[at >= 0]
+    at = at[at >= 0]
     raw = (1 + np.log(counts)) * value[at]
     return at, raw / np.sqrt(raw @ raw) if len(at) else raw
 
@@ -177,10 +209,11 @@ def document_frequencies(docs: DataFrame, terms: dict[str, int]) -> tuple[int, n
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, rows = np.zeros(len(terms), np.int64), 0
         for batch in batches:
-            for text in batch["text"].to_pylist():
-                rows += 1
-                hits = [t for t in map(terms.get, set(_WORD.findall(text.lower()))) if t is not None] if text else []
-                counts[hits] += 1
+            rows += len(batch)
+            for same in pc.value_counts(batch["text"]).to_pylist():
+                words = set(_WORD.findall((same["values"] or "").lower()))
+                hits = [t for t in map(terms.get, words) if t is not None]
+                counts[hits] += same["counts"]
         at = np.flatnonzero(counts)
         term, n = np.append(at, -1), np.append(counts[at], rows)
         for a in range(0, len(term), 100_000):
@@ -244,11 +277,9 @@ def own_votes(spark, index: Index, example: np.ndarray, term: np.ndarray, weight
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
-            votes = []
-            for i in rows["id"]:
-                own = slice(first[i], first[i + 1])
-                found = index.nearest(term[own], weight[own], NEIGHBOURS, i)
-                votes.append(vote(found, toxic) if found else -1.0)
+            own = [(term[first[i] : first[i + 1]], weight[first[i] : first[i + 1]]) for i in rows["id"]]
+            near = index.search(own, NEIGHBOURS, rows["id"].tolist())
+            votes = [vote(found, toxic) if found else -1.0 for found in near]
             yield pd.DataFrame({"id": rows["id"], "vote": votes})
 
     votes = spark.range(len(toxic)).mapInPandas(work, "id long, vote double").toPandas()
@@ -265,9 +296,7 @@ def toxicity(text: Column, model: dict) -> Column:
         seen: dict[bytes, tuple] = {}
         nothing = (model["base"], int(model["base"] >= 0.5), [], [])
 
-        def one(text: str | None) -> tuple:
-            at, weights = vector(words_of(text), model["terms"], model["value"])
-            found = model["index"].nearest(at, weights, NEIGHBOURS) if len(at) else []
+        def judged(at: np.ndarray, weights: np.ndarray, found: list[tuple[float, int]]) -> tuple:
             if not found:
                 return nothing
             s = calibrated(model, vote(found, model["toxic"]))
@@ -275,16 +304,17 @@ def toxicity(text: Column, model: dict) -> Column:
             return s, int(s >= 0.5), [int(model["ids"][i]) for _, i in found], [model["names"][t] for t in heaviest]
 
         for texts in batches:
-            out = []
-            for text in texts:
-                if not text or "terms" not in model:
-                    out.append(nothing)
-                    continue
-                if (key := xxhash.xxh3_128_digest(text.encode())) not in seen:
-                    if len(seen) >= REMEMBERED:
-                        seen.clear()
-                    seen[key] = one(text)
-                out.append(seen[key])
+            if "terms" not in model:
+                yield pd.DataFrame([nothing] * len(texts), columns=["score", "predicted", "neighbours", "evidence"])
+                continue
+            if len(seen) >= REMEMBERED:
+                seen.clear()
+            keys = [xxhash.xxh3_128_digest((t or "").encode()) for t in texts]
+            fresh = {k: t for k, t in zip(keys, texts, strict=True) if k not in seen}
+            vectors = [vector(words_of(t), model["terms"], model["value"]) for t in fresh.values()]
+            for k, v, found in zip(fresh, vectors, model["index"].search(vectors, NEIGHBOURS), strict=True):
+                seen[k] = judged(*v, found)
+            out = [seen[k] for k in keys]
             yield pd.DataFrame(out, columns=["score", "predicted", "neighbours", "evidence"])
 
     return scored(text)
