@@ -70,23 +70,42 @@ class Index:
         self.order = np.argsort(lead, kind="stable")
         place = np.empty(examples, np.int64)
         place[self.order] = np.arange(examples)
-        place, self.blocks = place[example], -(-examples // BLOCK)
+        place = place[example]
+        by = np.lexsort((place, term))
+        self._lists(place[by].astype(np.int32), weight[by], np.bincount(term, minlength=terms))
+
+    def __getstate__(self) -> tuple:
+        # tasks are sent the postings alone
+        return self.order.astype(np.int32), *self.sorted
+
+    def __setstate__(self, state: tuple) -> None:
+        self.order = state[0]
+        self._lists(*state[1:])
+
+    def postings(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(example, term, weight), by term."""
+        place, weight, holding = self.sorted
+        return self.order[place], np.repeat(np.arange(len(holding)), holding), weight
+
+    def _lists(self, place: np.ndarray, weight: np.ndarray, holding: np.ndarray) -> None:
+        self.sorted = place, weight, holding
+        examples, terms = len(self.order), len(holding)
+        self.blocks = -(-examples // BLOCK)
+        place, term = place.astype(np.int64), np.repeat(np.arange(terms), holding)
         # full rows hold at most COMMON times as many weights as there are postings
-        often = np.bincount(term, minlength=terms) * COMMON >= examples
+        often = (holding * COMMON >= examples) & (holding > 0)
         self.row = np.where(often, np.cumsum(often) - 1, -1)
         self.rows = np.zeros((int(often.sum()), self.blocks * BLOCK))
         full = often[term]
         self.rows[self.row[term[full]], place[full]] = weight[full]
-        place, term, weight = place[~full], term[~full], weight[~full]
-        by = np.lexsort((place, term))
-        self.place, self.weight = place[by], weight[by]
-        term, block = term[by], self.place // BLOCK
+        self.place, self.weight, term = place[~full], weight[~full], term[~full]
+        block = self.place // BLOCK
         # one entry for every term and block
         new = (np.diff(term, prepend=-1) != 0) | (np.diff(block, prepend=-1) != 0)
         self.start = np.flatnonzero(new)
-        self.count = np.diff(np.append(self.start, len(by)))
+        self.count = np.diff(np.append(self.start, len(term)))
         self.block = block[self.start]
-        self.largest = np.maximum.reduceat(self.weight, self.start) if len(by) else self.weight
+        self.largest = np.maximum.reduceat(self.weight, self.start) if len(term) else self.weight
         self.entry = np.searchsorted(term[self.start], np.arange(terms + 1))
 
     def search(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int, without: list[int] | None = None) -> Iterator[list[tuple[float, int]]]:
@@ -267,15 +286,16 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0) -> di
     model = {"terms": terms, "names": names, "value": value, "ids": inside["doc_id"].to_numpy(), "toxic": toxic, "index": index}
     # classes are sampled at different rates; the calibration weighs them by the share each stands for
     weight = np.where(toxic > 0, sizes[1] / max(1, toxic.sum()), sizes.get(0, 0) / max(1, (toxic == 0).sum()))
-    return model | calibrate(own_votes(spark, index, example, term, raw / norms[example], toxic), toxic, weight)
+    return model | calibrate(own_votes(spark, index, toxic), toxic, weight)
 
 
-def own_votes(spark, index: Index, example: np.ndarray, term: np.ndarray, weight: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+def own_votes(spark, index: Index, toxic: np.ndarray) -> np.ndarray:
     """The vote of every example's neighbours, itself left out; -1 without neighbours."""
-    by = np.argsort(example, kind="stable")
-    term, weight, first = term[by], weight[by], np.searchsorted(example[by], np.arange(len(toxic) + 1))
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        example, term, weight = index.postings()
+        by = np.argsort(example, kind="stable")
+        term, weight, first = term[by], weight[by], np.searchsorted(example[by], np.arange(len(toxic) + 1))
         for rows in batches:
             own = [(term[first[i] : first[i + 1]], weight[first[i] : first[i + 1]]) for i in rows["id"]]
             near = index.search(own, NEIGHBOURS, rows["id"].tolist())
