@@ -6,7 +6,7 @@ back, and stretches of more than LONGEST are cut evenly from their start: both r
 Chunks are grouped by a 128-bit digest; the first in the order of (doc_id, text hash, place) stays. Further copies are
 seeds: where they stand side by side over SEED characters, the ends of each stretch that runs along one first copy are
 extended, character by character, with the text around that first copy. Runs of at least RUN characters are then taken out.
-Tasks keep only the first place of a digest that they see, and count the rest, before anything is shuffled.
+Tasks shuffle only the first place of a digest among the chunks they gather; further places never meet by digest.
 
 Defined results: NULL counts as the empty text and loses nothing; rows that repeat id and text are one
 document and all keep their first copies; documents without id come first; a text that repeats itself keeps its first
@@ -32,6 +32,8 @@ MASK, SHORTEST, LONGEST, RUN = 15, 8, 64, 100
 SEED, AROUND = 32, 512
 #: An extension keeps to words of up to so many characters.
 WORD = 32
+#: Chunks that a task gathers before it hands them on.
+TOGETHER = 500_000
 #: The gear hash looks back over so many characters.
 REACH = 32
 
@@ -66,58 +68,86 @@ def cuts(text: str, table: np.ndarray) -> np.ndarray:
 
 
 def chunks(documents: DataFrame) -> DataFrame:
-    """(_high, _low, doc_id, _hash, _start, _end) of every chunk."""
+    """(_further, _high, _low, doc_id, _hash, _start, _size, _group) of every chunk. A task gathers chunks; the first place of
+    a digest among them is a row with _further false, and its _group is NULL unless further places of the digest follow."""
+
+    def gathered(parts: list[tuple], group: int) -> Iterator[pa.RecordBatch]:
+        # documents in the order of places, so that a stable sort by digest finds the first one
+        parts.sort(key=lambda p: (p[0] is not None, p[0] or 0, p[1]))
+        counts = [len(p[2]) for p in parts]
+        halves = np.concatenate([np.frombuffer(p[4], "<i8").reshape(-1, 2) for p in parts])
+        owner = np.repeat(np.arange(len(parts)), counts)
+        start, size = (np.concatenate([p[k] for p in parts]).astype(np.int32) for k in (2, 3))
+        order = np.lexsort((halves[:, 1], halves[:, 0]))
+        ordered = halves[order]
+        further, several = np.zeros(len(order), bool), np.zeros(len(order), bool)
+        equal = (ordered[1:] == ordered[:-1]).all(axis=1)
+        further[order[1:][equal]] = True
+        several[order[1:][equal]] = several[order[:-1][equal]] = True
+        ids = pa.array([p[0] for p in parts], pa.int64())
+        hashes = pa.array([p[1] for p in parts], pa.int64())
+        for a in range(0, len(order), 50_000):
+            i = slice(a, a + 50_000)
+            back = pa.array(owner[i])
+            columns = [pa.array(further[i]), pa.array(halves[i, 0]), pa.array(halves[i, 1]), ids.take(back), hashes.take(back)]
+            groups = pa.array(np.full(len(back), group, np.int64), mask=~several[i])
+            columns += [pa.array(start[i]), pa.array(size[i]), groups]
+            yield pa.RecordBatch.from_arrays(columns, ["_further", "_high", "_low", "doc_id", "_hash", "_start", "_size", "_group"])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
+        from pyspark import TaskContext
 
         table, digest = gear(), xxhash.xxh3_128_digest
+        group, parts, waiting = TaskContext.get().partitionId() << 32, [], 0
         for rows in batches:
-            digests, owner, starts, ends = [], [], [], []
-
-            def out() -> pa.RecordBatch:
-                halves = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
-                at = pa.array(np.repeat(np.arange(len(owner)), [len(s) for s in starts]) if owner else [], pa.int64())
-                back = pa.array(owner, pa.int64()).take(at)
-                places = [np.concatenate(x) if x else np.zeros(0) for x in (starts, ends)]
-                columns = [pa.array(halves[:, 0]), pa.array(halves[:, 1]), rows["doc_id"].take(back), rows["_hash"].take(back)]
-                columns += [pa.array(p.astype(np.int32)) for p in places]
-                return pa.RecordBatch.from_arrays(columns, ["_high", "_low", "doc_id", "_hash", "_start", "_end"])
-
-            for i, text in enumerate(rows["_text"]):
+            for doc_id, mark, text in zip(rows["doc_id"].to_pylist(), rows["_hash"].to_pylist(), rows["_text"], strict=True):
                 text = text.as_py()
                 if not text:
                     continue
                 end = cuts(text, table)
                 start = np.concatenate([[0], end[:-1]])
+                edges = zip(start.tolist(), end.tolist(), strict=True)
                 if text.isascii():
                     raw = text.encode()
-                    digests += [digest(raw[a:b]) for a, b in zip(start.tolist(), end.tolist(), strict=True)]
+                    found = b"".join([digest(raw[a:b]) for a, b in edges])
                 else:
-                    digests += [digest(text[a:b].encode()) for a, b in zip(start.tolist(), end.tolist(), strict=True)]
-                owner.append(i)
-                starts.append(start)
-                ends.append(end)
-                if len(digests) > 50_000:
-                    yield out()
-                    digests, owner, starts, ends = [], [], [], []
-            yield out()
+                    found = b"".join([digest(text[a:b].encode()) for a, b in edges])
+                parts.append((doc_id, mark, start, end - start, found))
+                waiting += len(end)
+                if waiting > TOGETHER:
+                    yield from gathered(parts, group)
+                    group, parts, waiting = group + 1, [], 0
+        if parts:
+            yield from gathered(parts, group)
 
     return documents.select("doc_id", "_hash", "_text").mapInArrow(
-        work, "_high long, _low long, doc_id long, _hash long, _start int, _end int"
+        work, "_further boolean, _high long, _low long, doc_id long, _hash long, _start int, _size int, _group long"
     )
 
 
-def repeats(documents: DataFrame) -> DataFrame:
-    """(_id, _mark, _places): per document the chunks of which an earlier copy stands elsewhere."""
+def _copies(documents: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """(_high, _low, doc_id, _hash, _start, _end, _first) of the chunks of which an earlier copy stands elsewhere, and the
+    settled tables that this reads.
+
+    Only what is first in a gathering is shuffled by digest, once, so a digest has a row for each gathering at most, however
+    many texts share it. A running first place tells the copies apart. Further places of a gathering are then looked up by
+    gathering and digest."""
     found = settled(chunks(documents), "chunks")
     place = F.struct("doc_id", "_hash", "_start")
-    # counts combine in the tasks before the shuffle, so a chunk in a third of all rows is a row a task
-    known = found.groupBy("_high", "_low").agg(F.count("*").alias("_n"), F.min(place).alias("_first"))
-    known = known.where("_n > 1").select(F.col("_high").alias("_h"), F.col("_low").alias("_l"), "_first")
-    known = settled(known, "repeated")  # the shuffle of all chunks is gone before the next
-    copies = found.join(known, F.expr("_high = _h AND _low = _l")).where(~place.eqNullSafe(F.col("_first")))
-    copies = copies.drop("_h", "_l").repartition("doc_id", "_hash").distinct()  # rows that repeat id and text
+    running = Window.partitionBy("_high", "_low").orderBy("doc_id", "_hash", "_start").rowsBetween(Window.unboundedPreceding, 0)
+    heads = found.where("NOT _further").drop("_further").withColumn("_first", F.first(place).over(running))
+    known = settled(heads.where(~place.eqNullSafe(F.col("_first")) | F.col("_group").isNotNull()), "repeated")
+    firsts = known.where("_group IS NOT NULL").select("_group", "_high", "_low", "_first")
+    later = found.where("_further").drop("_further").join(firsts, ["_group", "_high", "_low"])
+    copies = known.unionByName(later).where(~place.eqNullSafe(F.col("_first")))
+    return copies.select("_high", "_low", "doc_id", "_hash", "_start", (F.col("_start") + F.col("_size")).alias("_end"), "_first"), [found, known]
+
+
+def repeats(documents: DataFrame) -> DataFrame:
+    """(_id, _mark, _places): per document the chunks of which an earlier copy stands elsewhere."""
+    copies, read = _copies(documents)
+    copies = copies.repartition("doc_id", "_hash").distinct()  # rows that repeat id and text
     text = Window.partitionBy("doc_id", "_hash").orderBy("_start")
     beside = F.coalesce(F.lag("_end").over(text) == F.col("_start"), F.lit(False))
     source = F.struct("_first.doc_id", "_first._hash", (F.col("_start") - F.col("_first._start")).alias("_shift"))
@@ -130,8 +160,8 @@ def repeats(documents: DataFrame) -> DataFrame:
     copies = copies.withColumn("_length", length).where(F.col("_length") >= SEED)
     copies = copies.select("doc_id", "_hash", "_start", "_end", "_high", "_low", "_first", (~F.col("_along")).alias("_opens"), F.col("_last").alias("_closes"))
     copies = settled(copies, "copies")
-    release(found)
-    release(known)
+    for table in read:
+        release(table)
     around = _around(documents, copies.where("_opens OR _closes"))
     joined = copies.join(around, F.expr("(_opens OR _closes) AND _high = _h AND _low = _l"), "left")
     left, right = F.when(F.col("_opens"), F.col("_before")), F.when(F.col("_closes"), F.col("_after"))
