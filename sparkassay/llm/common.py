@@ -26,11 +26,20 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 BROADCAST_IDS = 500_000
 
 
+#: Spark's setting by which shuffle files of a query go when it ends.
+SHUFFLES_GO = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def settled(df: DataFrame, purpose: str) -> DataFrame:
-    """The table written to the shared folder and read back. Shuffle files of earlier steps go as soon as
-    the driver collects its garbage, so it is asked to: disks then hold about one step's shuffles."""
+    """The table written to the shared folder and read back. Its own shuffle files go when it is written, others as soon
+    as the driver collects its garbage, so it is asked to: disks then hold about one step's shuffles."""
     spark, path = df.sparkSession, new_folder(df.sparkSession, purpose)
-    df.write.parquet(path)
+    before = spark.conf.get(SHUFFLES_GO)
+    spark.conf.set(SHUFFLES_GO, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(SHUFFLES_GO, before)
     out = spark.read.schema(df.schema).parquet(path)
     out.settled_at = path
     gc.collect()

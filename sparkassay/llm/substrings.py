@@ -126,27 +126,30 @@ def chunks(documents: DataFrame) -> DataFrame:
     )
 
 
-def _copies(documents: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+def _copies(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(_high, _low, doc_id, _hash, _start, _end, _first) of the chunks of which an earlier copy stands elsewhere, and the
-    settled tables that this reads.
+    settled table that this reads.
 
-    Only what is first in a gathering is shuffled by digest, once, so a digest has a row for each gathering at most, however
-    many texts share it. A running first place tells the copies apart. Further places of a gathering are then looked up by
-    gathering and digest."""
-    found = settled(chunks(documents), "chunks")
+    One shuffle by digest: what is first in a gathering meets there, a row for each gathering at most, however many texts
+    share a digest, and a running first place tells the copies apart. Further places of a gathering are only dealt out by
+    their own place, and then looked up by gathering and digest. Tasks that are run again have to be given the same rows,
+    as those of files are."""
     place = F.struct("doc_id", "_hash", "_start")
-    running = Window.partitionBy("_high", "_low").orderBy("doc_id", "_hash", "_start").rowsBetween(Window.unboundedPreceding, 0)
-    heads = found.where("NOT _further").drop("_further").withColumn("_first", F.first(place).over(running))
-    known = settled(heads.where(~place.eqNullSafe(F.col("_first")) | F.col("_group").isNotNull()), "repeated")
-    firsts = known.where("_group IS NOT NULL").select("_group", "_high", "_low", "_first")
-    later = found.where("_further").drop("_further").join(firsts, ["_group", "_high", "_low"])
-    copies = known.unionByName(later).where(~place.eqNullSafe(F.col("_first")))
-    return copies.select("_high", "_low", "doc_id", "_hash", "_start", (F.col("_start") + F.col("_size")).alias("_end"), "_first"), [found, known]
+    salted = chunks(documents).withColumn("_salt", F.when(F.col("_further"), F.xxhash64("doc_id", "_hash", "_start")))
+    running = Window.partitionBy("_high", "_low", "_further", "_salt").orderBy("doc_id", "_hash", "_start")
+    first = F.first(place).over(running.rowsBetween(Window.unboundedPreceding, 0))
+    known = salted.withColumn("_first", F.when(~F.col("_further"), first)).drop("_salt")
+    known = settled(known.where(F.col("_group").isNotNull() | ~place.eqNullSafe(F.col("_first"))), "repeated")
+    heads = known.where("NOT _further")
+    firsts = heads.where("_group IS NOT NULL").select("_group", "_high", "_low", "_first")
+    later = known.where("_further").drop("_first").join(firsts, ["_group", "_high", "_low"])
+    copies = heads.unionByName(later).where(~place.eqNullSafe(F.col("_first")))
+    return copies.select("_high", "_low", "doc_id", "_hash", "_start", (F.col("_start") + F.col("_size")).alias("_end"), "_first"), known
 
 
 def repeats(documents: DataFrame) -> DataFrame:
     """(_id, _mark, _places): per document the chunks of which an earlier copy stands elsewhere."""
-    copies, read = _copies(documents)
+    copies, known = _copies(documents)
     copies = copies.repartition("doc_id", "_hash").distinct()  # rows that repeat id and text
     text = Window.partitionBy("doc_id", "_hash").orderBy("_start")
     beside = F.coalesce(F.lag("_end").over(text) == F.col("_start"), F.lit(False))
@@ -160,8 +163,7 @@ def repeats(documents: DataFrame) -> DataFrame:
     copies = copies.withColumn("_length", length).where(F.col("_length") >= SEED)
     copies = copies.select("doc_id", "_hash", "_start", "_end", "_high", "_low", "_first", (~F.col("_along")).alias("_opens"), F.col("_last").alias("_closes"))
     copies = settled(copies, "copies")
-    for table in read:
-        release(table)
+    release(known)
     around = _around(documents, copies.where("_opens OR _closes"))
     joined = copies.join(around, F.expr("(_opens OR _closes) AND _high = _h AND _low = _l"), "left")
     left, right = F.when(F.col("_opens"), F.col("_before")), F.when(F.col("_closes"), F.col("_after"))
