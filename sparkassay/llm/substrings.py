@@ -161,26 +161,37 @@ def repeats(documents: DataFrame) -> DataFrame:
     stretch = Window.partitionBy("doc_id", "_hash", "_stretch")
     length = F.max("_end").over(stretch) - F.min("_start").over(stretch)
     copies = copies.withColumn("_length", length).where(F.col("_length") >= SEED)
-    copies = copies.select("doc_id", "_hash", "_start", "_end", "_high", "_low", "_first", (~F.col("_along")).alias("_opens"), F.col("_last").alias("_closes"))
-    copies = settled(copies, "copies")
+    # one row for a run along one first copy: its first chunk, with its last
+    chunk = F.struct("_high", "_low", "_first", "_start", "_end")
+    ends = copies.withColumn("_opens", ~F.col("_along")).where("_opens OR _last").withColumn("_chunk", chunk)
+    closing = F.when(F.col("_last"), F.col("_chunk")).otherwise(F.lead("_chunk").over(text))
+    runs = ends.withColumn("_closing", closing).where("_opens").select("doc_id", "_hash", "_chunk", "_closing")
+    runs = settled(runs, "copies")
     release(known)
-    around = _around(documents, copies.where("_opens OR _closes"))
-    joined = copies.join(around, F.expr("(_opens OR _closes) AND _high = _h AND _low = _l"), "left")
-    left, right = F.when(F.col("_opens"), F.col("_before")), F.when(F.col("_closes"), F.col("_after"))
-    return joined.groupBy(F.col("doc_id").alias("_id"), F.col("_hash").alias("_mark")).agg(
-        F.sort_array(F.collect_set(F.struct("_start", "_end", left.alias("_left"), right.alias("_right")))).alias("_places")
+    sides = F.array(F.struct(F.lit(True).alias("_left"), F.col("_chunk")), F.struct(F.lit(False).alias("_left"), F.col("_closing").alias("_chunk")))
+    outer = runs.select("doc_id", "_hash", F.col("_chunk._start").alias("_start"), F.col("_closing._end").alias("_end"), F.explode(sides).alias("_s"))
+    outer = outer.select("doc_id", "_hash", "_start", "_end", "_s._left", "_s._chunk._high", "_s._chunk._low")
+    around = settled(_around(documents, runs.select(F.inline(sides))), "around")
+    joined = outer.join(around, F.expr("_left = _before AND _high = _h AND _low = _l"), "left")
+    left, right = F.when(F.col("_left"), F.col("_side")), F.when(~F.col("_left"), F.col("_side"))
+    places = joined.groupBy(F.col("doc_id").alias("_id"), F.col("_hash").alias("_mark")).agg(
+        F.sort_array(F.collect_list(F.struct("_start", "_end", left.alias("_left"), right.alias("_right")))).alias("_places")
     )
+    places = settled(places, "places")
+    release(runs)
+    release(around)
+    return places
 
 
 def _around(documents: DataFrame, ends: DataFrame) -> DataFrame:
-    """(_h, _l, _before, _after): the text on either side of the first copy of each of these chunks, once a chunk."""
-    size = (F.col("_end") - F.col("_start")).alias("_size")
-    wanted = ends.select("_high", "_low", size, F.col("_first.doc_id").alias("_id"), F.col("_first._hash").alias("_mark"), F.col("_first._start").alias("_at"))
-    wanted = wanted.distinct().groupBy("_id", "_mark").agg(F.collect_list(F.struct("_high", "_low", "_at", "_size")).alias("_wanted"))
+    """(_before, _h, _l, _side): the text on one side of the first copy of each of these chunks, once a chunk and side."""
+    place, size = F.col("_chunk._first"), (F.col("_chunk._end") - F.col("_chunk._start")).alias("_size")
+    wanted = ends.select("_left", "_chunk._high", "_chunk._low", size, place["doc_id"].alias("_id"), place["_hash"].alias("_mark"), place["_start"].alias("_at"))
+    wanted = wanted.distinct().groupBy("_id", "_mark").agg(F.collect_list(F.struct("_left", "_high", "_low", "_at", "_size")).alias("_wanted"))
     # rows that repeat id and text would all give the same
     found = documents.join(wanted, F.expr("doc_id <=> _id AND _hash = _mark"))
 
-    @F.pandas_udf("array<struct<_h:long,_l:long,_before:string,_after:string>>")
+    @F.pandas_udf("array<struct<_before:boolean,_h:long,_l:long,_side:string>>")
     def sides(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for texts, lists in batches:
             out = []
@@ -189,11 +200,12 @@ def _around(documents: DataFrame, ends: DataFrame) -> DataFrame:
                 for c in chosen:
                     a = c["_at"]
                     b = a + c["_size"]
-                    row.append({"_h": c["_high"], "_l": c["_low"], "_before": text[max(0, a - AROUND) : a], "_after": text[b : b + AROUND]})
+                    side = text[max(0, a - AROUND) : a] if c["_left"] else text[b : b + AROUND]
+                    row.append({"_before": c["_left"], "_h": c["_high"], "_l": c["_low"], "_side": side})
                 out.append(row)
             yield pd.Series(out)
 
-    return found.select(F.inline(sides("_text", "_wanted"))).dropDuplicates(["_h", "_l"])
+    return found.select(F.inline(sides("_text", "_wanted"))).dropDuplicates(["_before", "_h", "_l"])
 
 
 def shared_start(one: str, two: str) -> int:
