@@ -228,7 +228,10 @@ def test_jaccard_families(spark):
             rows.append((len(rows), " ".join(w)))
     table = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     parent, _ = brute_components(rows, 4, 85, 100)
-    assert {r.doc_id: r.component_id for r in jaccard.jaccard_components(table, 4, (85, 100)).collect()} == parent
+    got = jaccard.jaccard_components(table, 4, (85, 100)).collect()
+    assert {r.doc_id: r.component_id for r in got} == parent
+    shared = Counter(parent.values())
+    assert all((r.n_links > 0) == (shared[r.component_id] > 1) for r in got)
 
 
 def test_substrings(docs, empty, spark):
@@ -243,6 +246,30 @@ def test_substrings(docs, empty, spark):
     assert all(r.n_removed == 0 for r in substrings.dedup_substrings(clean).collect())
 
 
+@pytest.mark.parametrize("together", [300, 500_000])
+def test_chunks_with_an_earlier_copy(docs, real, together, monkeypatch):
+    """Brute force of the first places, however many chunks a task gathers; repeated rows are one document."""
+    monkeypatch.setattr(substrings, "TOGETHER", together)
+    table = substrings.gear()
+    for given in (docs, real):
+        documents = substrings.keyed(given).withColumn("doc_id", F.col("doc_id").cast("long"))
+        rows = {(r.doc_id, r._hash): r._text for r in documents.collect()}
+        places = {}
+        for (doc_id, mark), text in rows.items():
+            start = 0
+            for end in substrings.cuts(text, table).tolist() if text else []:
+                places.setdefault(text[start:end], []).append((doc_id, mark, start, end))
+                start = end
+        wanted = set()
+        for found in places.values():
+            found.sort(key=lambda p: (p[0] is not None, p[0] or 0, *p[1:]))
+            wanted |= {(*p, found[0][:3]) for p in found[1:]}
+        copies, known = substrings._copies(documents.repartition(3))
+        got = {(r.doc_id, r._hash, r._start, r._end, tuple(r._first)) for r in copies.collect()}
+        substrings.release(known)
+        assert got == wanted and wanted
+
+
 def test_short_passages_go_whole(spark):
     """A passage of 55 words of six characters, and all of it, goes from its second text."""
     rng = np.random.default_rng(5)
