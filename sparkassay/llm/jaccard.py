@@ -8,16 +8,21 @@ there: with d differences, one of the first d + 1 blocks of either set is equal
 single members would be simpler, but a passage that thousands of texts share would put all of these into
 one list.
 
-Lists are scanned from a pivot, the least id: members are verified against it, exactly. Lists that then
+Equal sets are one set from the start, named by a hash of its members, so a group of copies costs one row a task and
+key. Lists are scanned from a pivot, the least set: members are verified against it, exactly. Lists that then
 still hold several components are scanned from their centre, and what strays from the centre's component is
-compared with its family, in blocks. Tasks collapse equal sets and equal keys before anything is shuffled, so that a group of copies
-costs one row a task and key.
+compared with its family, in blocks; a block hands on a star for each component it sees, not its pairs.
 
-Hashes have 64 bits; equal hashes count as equal words and shingles.
+That settles the components, and every link lies inside one. Links are then counted, not listed: a set is stored as
+its differences from its component's centre. Two sets whose differences are few enough together link whatever they are, so
+a running sum over the component counts these pairs; only the others are compared, in blocks, and a
+block hands on one count a set.
+
+Hashes have 64 bits; equal hashes count as equal words, shingles and sets.
 
 Defined results: NULL and texts without words have no shingles and link with nothing; rows that
-share an id are one node; a row without id has component NULL; an empty table gives no rows; whole texts
-are shingled; other columns are not read.
+share an id are one node; rows that share id and set are one document; a row without id has component NULL and
+no links; an empty table gives no rows; whole texts are shingled; other columns are not read.
 """
 
 from __future__ import annotations
@@ -42,16 +47,20 @@ MOST_LIGHT = 24
 #: What a row of an inverted list costs, with its later verification, in enumerated subsets.
 LIST_COST = 4
 #: Keys that a task gathers before it hands them on.
-TOGETHER = 1_000_000
+TOGETHER = 500_000
 #: Pairs are sifted by every PART-th hash of their sets before whole sets are compared.
 PART = 4
 #: Sets that a task compares with each other at once, on each side.
 BLOCK = 1024
+#: Members that all sets of one side of a block have together, about.
+ROOM = 1 << 20
+#: Sets, about, that say what the middle of a component holds.
+MIDDLE = 15
 #: At least so many more blocks than differences are expected to be filled.
 SPARE = 1.35
 
-ROW = "kind byte, doc_id long, n int, key long, side byte, pivot long, pivot_n int"
-DOCUMENT, FIRST, NEXT, SAME = range(4)
+ROW = "kind byte, doc_id long, sid long, n int, key long, side byte, pivot long, pivot_n int"
+DOCUMENT, FIRST, NEXT = range(3)
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -214,68 +223,66 @@ def heavy_keys(members: np.ndarray, sizes: Sizes, floor: int) -> tuple[np.ndarra
     return np.concatenate(keys), np.concatenate(sides)
 
 
+def named(members: np.ndarray) -> int:
+    """The 64-bit name of a set."""
+    import xxhash
+
+    return int(np.uint64(xxhash.xxh3_64_intdigest(members.tobytes())).astype(np.int64))
+
+
 def listed(docs: DataFrame, words: int, sizes: Sizes, limit: int) -> DataFrame:
-    """Rows of kind DOCUMENT (one a row), SAME (an equal set in the same task), FIRST and NEXT (a
-    key's first and further sets of a task's gathering, the latter with the first as pivot)."""
+    """Rows of kind DOCUMENT (one a row, with its set), FIRST and NEXT (a key's first and further sets of a task's
+    gathering, the latter with the first as pivot)."""
     floor = sizes.least(limit + 1)
+    types = [pa.int8(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int8(), pa.int64(), pa.int32()]
+    names = ["kind", "doc_id", "sid", "n", "key", "side", "pivot", "pivot_n"]
 
-    def emit(kind: int, doc_id, n, key, side, pivot, pivot_n) -> pa.RecordBatch:
-        kinds = np.full(len(doc_id), kind, np.int8)
-        columns = [kinds, doc_id, n, key, side, pivot, pivot_n]
-        types = [pa.int8(), pa.int64(), pa.int32(), pa.int64(), pa.int8(), pa.int64(), pa.int32()]
-        names = ["kind", "doc_id", "n", "key", "side", "pivot", "pivot_n"]
-        return pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, t) for x, t in zip(columns, types, strict=True)], names)
+    def emit(kind: int, rows: int, **given) -> pa.RecordBatch:
+        given["kind"] = np.full(rows, kind, np.int8)
+        columns = [given.get(name, None) for name in names]
+        made = [pa.nulls(rows, t) if x is None else x if isinstance(x, pa.Array) else pa.array(x, t) for x, t in zip(columns, types, strict=True)]
+        return pa.RecordBatch.from_arrays(made, names)
 
     def gathered(parts: list[tuple[np.ndarray, np.ndarray, int, int]]) -> Iterator[pa.RecordBatch]:
         counts = [len(p[0]) for p in parts]
         key = np.concatenate([p[0] for p in parts]).view(np.int64)
         side = np.concatenate([p[1] for p in parts])
-        doc = np.repeat(np.array([p[2] for p in parts], np.int64), counts)
+        sid = np.repeat(np.array([p[2] for p in parts], np.int64), counts)
         n = np.repeat(np.array([p[3] for p in parts], np.int32), counts)
-        order = np.lexsort((doc, side, key))
-        key, side, doc, n = key[order], side[order], doc[order], n[order]
+        order = np.lexsort((sid, side, key))
+        key, side, sid, n = key[order], side[order], sid[order], n[order]
         first = np.concatenate([[True], (key[1:] != key[:-1]) | (side[1:] != side[:-1])])
         at = np.flatnonzero(first)
         head = np.repeat(at, np.diff(np.append(at, len(key))))
         for a in range(0, len(at), 50_000):
             i = at[a : a + 50_000]
-            yield emit(FIRST, doc[i], n[i], key[i], side[i], doc[i], n[i])
-        rest = np.flatnonzero(~first)
+            yield emit(FIRST, len(i), sid=sid[i], n=n[i], key=key[i], side=side[i])
+        rest = np.flatnonzero(~first & (sid != sid[head]))
         for a in range(0, len(rest), 50_000):
             i = rest[a : a + 50_000]
-            yield emit(NEXT, doc[i], n[i], key[i], side[i], doc[head[i]], n[head[i]])
+            yield emit(NEXT, len(i), sid=sid[i], n=n[i], key=key[i], side=side[i], pivot=sid[head[i]], pivot_n=n[head[i]])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
-        shingle, known = Shingler(words), {}
+        shingle, known = Shingler(words), set()
         parts: list = []
         waiting = 0
         for rows in batches:
-            sizes_here, same, first = [], [], []
+            sizes_here, sids = [], []
             for doc_id, text in zip(rows["doc_id"].to_pylist(), rows["text"], strict=True):
                 members = shingle(text.as_py())
                 a = len(members)
                 sizes_here.append(a)
-                if not a or doc_id is None:
-                    continue
-                digest = xxhash.xxh3_128_digest(members.tobytes())
-                if (before := known.setdefault(digest, doc_id)) != doc_id:
-                    same.append(doc_id)
-                    first.append(before)
+                sids.append(named(members) if a else None)
+                if not a or doc_id is None or sids[-1] in known:
                     continue
+                known.add(sids[-1])
                 if a <= limit:
-                    parts.append((*light_keys(members, sizes, limit), doc_id, a))
+                    parts.append((*light_keys(members, sizes, limit), sids[-1], a))
                     waiting += len(parts[-1][0])
                 if a >= floor:
-                    parts.append((*heavy_keys(members, sizes, floor), doc_id, a))
+                    parts.append((*heavy_keys(members, sizes, floor), sids[-1], a))
                     waiting += len(parts[-1][0])
-            n = len(sizes_here)
-            zero = np.zeros(n, np.int64)
-            yield emit(DOCUMENT, rows["doc_id"], sizes_here, zero, zero.astype(np.int8), zero, zero.astype(np.int32))
-            if same:
-                zero = np.zeros(len(same), np.int32)
-                yield emit(SAME, same, zero, zero.astype(np.int64), zero.astype(np.int8), first, zero)
+            yield emit(DOCUMENT, len(sids), doc_id=rows["doc_id"], sid=sids, n=sizes_here)
             if waiting > TOGETHER:
                 yield from gathered(parts)
                 parts, waiting = [], 0
@@ -285,27 +292,31 @@ def listed(docs: DataFrame, words: int, sizes: Sizes, limit: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(work, ROW)
 
 
-def sets_of(docs: DataFrame, ids: DataFrame, words: int, part: int = 1) -> DataFrame:
-    """(doc_id, n, _set) of the texts with these ids: the size of a set and its sorted hashes, or of
-    these only the multiples of `part`."""
+def sets_of(docs: DataFrame, firsts: DataFrame, sids: DataFrame, words: int, part: int = 1) -> DataFrame:
+    """(sid, n, _set) of these sets: the size of a set and its sorted hashes, or of these only the multiples of
+    `part`. `firsts` has a document (sid, doc_id) of every set; rows that repeat it repeat the set."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler(words)
         for rows in batches:
             sets = [shingle(t.as_py()) for t in rows["text"]]
+            # a row of the same id may hold another text
+            asked = [i for i, (s, sid) in enumerate(zip(sets, rows["sid"].to_pylist(), strict=True)) if len(s) and named(s) == sid]
+            sets = [sets[i] for i in asked]
             parts = [(s[s % np.uint64(part) == 0] if part > 1 else s).view(np.int64) for s in sets]
-            columns = [rows["doc_id"], pa.array([len(s) for s in sets], pa.int32()), pa.array(parts, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "_set"])
+            columns = [rows["sid"].take(pa.array(asked, pa.int32())), pa.array([len(s) for s in sets], pa.int32()), pa.array(parts, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["sid", "n", "_set"])
 
-    found = docs.select(F.col("doc_id").cast("long"), F.col("text")).join(few(ids), "doc_id")
-    return settled(found.mapInArrow(work, "doc_id long, n int, _set array<long>"), "jaccard-sets")
+    asked = settled(firsts.select("sid", "doc_id").join(sids, "sid"), "jaccard-asked")
+    found = docs.select(F.col("doc_id").cast("long"), F.col("text")).join(few(asked), "doc_id").select("sid", "text")
+    return settled(found.mapInArrow(work, "sid long, n int, _set array<long>"), "jaccard-sets")
 
 
 def _met(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """(u, v, _n, _m, _x, _y, _i): sizes of the sets of each pair, of what is stored of them and of its intersection."""
-    left = sets.select(F.col("doc_id").alias("u"), F.col("n").alias("_n"), F.col("_set").alias("_a"))
-    right = sets.select(F.col("doc_id").alias("v"), F.col("n").alias("_m"), F.col("_set").alias("_b"))
-    sizes = [F.size("_a").alias("_x"), F.size("_b").alias("_y"), F.size(F.array_intersect("_a", "_b")).alias("_i")]
+    left = sets.select(F.col("sid").alias("u"), F.col("n").alias("_n"), F.col("_set").alias("_a"))
+    right = sets.select(F.col("sid").alias("v"), F.col("n").alias("_m"), F.col("_set").alias("_b"))
+    sizes = [F.size("_a").cast("long").alias("_x"), F.size("_b").cast("long").alias("_y"), F.size(F.array_intersect("_a", "_b")).cast("long").alias("_i")]
     return pairs.join(left, "u").join(right, "v").select("u", "v", F.col("_n").cast("long"), F.col("_m").cast("long"), *sizes)
 
 
@@ -322,13 +333,36 @@ def verified(pairs: DataFrame, sets: DataFrame, sizes: Sizes) -> DataFrame:
 
 
 def _ends(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct()
+    return pairs.select(F.explode(F.array("u", "v")).alias("sid")).distinct()
 
 
 def jaccard_components(docs: DataFrame, words: int = WORDS, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
     """One row per document row: doc_id, n_shingles, component_id (smallest id reachable by links),
-    n_links (verified links of the node that this join went along; copies and lists count once)."""
+    n_links (all other documents, copies among them, whose sets link with the row's set)."""
     sizes = Sizes(*similarity)
+    rows, groups = grouped(docs, words, sizes)
+    weights = rows.where("sid IS NOT NULL AND doc_id IS NOT NULL").select("sid", "doc_id").distinct()
+    weights = weights.groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("weight"))
+    placed = weights.join(groups.withColumnRenamed("node", "sid"), "sid", "left").withColumn("home", F.coalesce("component", "sid"))
+    placed = settled(placed.drop("component"), "jaccard-placed")
+    homes = placed.groupBy("home").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("_members"))
+    homes = settled(homes, "jaccard-homes")
+    linked = counted(docs, placed.join(homes.where("_members > 1").select("home"), "home"), words, sizes)
+    found = placed.join(linked, "sid", "left").select("sid", "home", (F.coalesce("n", "weight") - 1).alias("n_links")).join(homes, "home")
+    found = settled(found.select("sid", "component_id", "n_links"), "jaccard-found")
+    # a row without words goes with its id
+    moved = rows.where("doc_id IS NOT NULL").join(found, "sid").where("component_id != doc_id").select(F.col("doc_id").alias("_id"), F.col("component_id").alias("_c")).distinct()
+    out = rows.join(found.select(F.col("sid").alias("_sid"), "n_links"), F.col("sid") == F.col("_sid"), "left").join(moved, F.col("doc_id") == F.col("_id"), "left")
+    return out.select(
+        "doc_id",
+        F.col("n").cast("long").alias("n_shingles"),
+        F.coalesce("_c", "doc_id").alias("component_id"),
+        F.when(F.col("doc_id").isNotNull(), F.coalesce("n_links", F.lit(0))).otherwise(0).cast("long").alias("n_links"),
+    )
+
+
+def grouped(docs: DataFrame, words: int, sizes: Sizes) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, sid, n) of all rows, and the components (node, component) of the sets."""
     # the boundary only steers cost, so lengths in words are estimated from characters
     about = F.greatest(F.lit(1), F.floor(F.length("text") / 6) - words + 2).cast("int")
     rows = docs.where("text IS NOT NULL AND text != ''").select(F.least(about, F.lit(4 * MOST_LIGHT)).alias("a")).groupBy("a").count().collect()
@@ -336,67 +370,64 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, similarity: tuple[in
     keys = settled(listed(docs, words, sizes, limit), "jaccard-keys")
 
     lists = Window.partitionBy("key")
-    first = keys.where(F.col("kind") == FIRST).select("key", "side", "doc_id", "n")
-    one = F.when(F.col("side") != 1, F.struct("doc_id", "n"))
-    two = F.when(F.col("side") != 0, F.struct("doc_id", "n"))
+    first = keys.where(F.col("kind") == FIRST).select("key", "side", "sid", "n")
+    one = F.when(F.col("side") != 1, F.struct("sid", "n"))
+    two = F.when(F.col("side") != 0, F.struct("sid", "n"))
     # a set of side 0 is verified against the least of side 1 and the other way round
     met = first.withColumn("_one", F.min(one).over(lists)).withColumn("_two", F.min(two).over(lists))
     pivot = F.when(F.col("side") == 0, F.col("_two")).otherwise(F.col("_one"))
-    met = met.withColumn("_p", pivot).where("_p IS NOT NULL AND _p.doc_id != doc_id")
-    met = met.select("key", "side", "doc_id", "n", F.col("_p.doc_id").alias("pivot"), F.col("_p.n").alias("pivot_n"))
-    further = keys.where((F.col("kind") == NEXT) & (F.col("doc_id") != F.col("pivot"))).select("key", "side", "doc_id", "n", "pivot", "pivot_n")
+    met = met.withColumn("_p", pivot).where("_p IS NOT NULL AND _p.sid != sid")
+    met = met.select("key", "sid", "n", F.col("_p.sid").alias("pivot"), F.col("_p.n").alias("pivot_n"))
+    further = keys.where(F.col("kind") == NEXT).select("key", "sid", "n", "pivot", "pivot_n")
     found = settled(met.union(further), "jaccard-lists")
-    rows = settled(keys.where(F.col("kind").isin(DOCUMENT, SAME)).select("kind", "doc_id", "n", "pivot"), "jaccard-rows")
+    rows = settled(keys.where(F.col("kind") == DOCUMENT).select("doc_id", "sid", "n"), "jaccard-rows")
     release(keys)
 
-    fits = f"least(n, pivot_n) * {sizes.q} >= greatest(n, pivot_n) * {sizes.p}"
-    pairs = found.where(fits).select(F.greatest("doc_id", "pivot").alias("u"), F.least("doc_id", "pivot").alias("v")).distinct()
+    named_rows = rows.where("sid IS NOT NULL AND doc_id IS NOT NULL")
+    firsts = named_rows.groupBy("sid").agg(F.min("doc_id").alias("doc_id"))
+    # rows that share an id are one node
+    several = named_rows.groupBy("doc_id").agg(F.min("sid").alias("v"), F.max("sid").alias("_last")).where("v != _last")
+    bridges = named_rows.join(several, "doc_id").where("sid != v").select(F.col("sid").alias("u"), "v").distinct()
+
+    fits = f"least(n, pivot_n) * {sizes.q}L >= greatest(n, pivot_n) * {sizes.p}L"
+    pairs = found.where(fits).select(F.greatest("sid", "pivot").alias("u"), F.least("sid", "pivot").alias("v")).distinct()
     pairs = settled(pairs, "jaccard-pairs")
-    touched = settled(found.select(F.explode(F.array("doc_id", "pivot")).alias("doc_id")).distinct(), "jaccard-touched")
-    parts = sets_of(docs, touched, words, PART)
+    touched = found.select(F.explode(F.array("sid", "pivot")).alias("sid")).distinct()
+    parts = sets_of(docs, firsts, touched, words, PART)
     likely = settled(plausible(pairs, parts, sizes), "jaccard-likely")
-    sets = sets_of(docs, settled(_ends(likely), "jaccard-ends"), words)
-    same = rows.where(F.col("kind") == SAME).select(F.col("doc_id").alias("u"), F.col("pivot").alias("v"))
-    links = settled(verified(likely, sets, sizes).union(same), "jaccard-links")
+    sets = sets_of(docs, firsts, _ends(likely), words)
+    links = settled(verified(likely, sets, sizes).union(bridges).distinct(), "jaccard-links")
     release(sets)
     groups = settled(components(links), "jaccard-groups")
 
     members = settled(mixed(found, groups), "jaccard-members")
+    release(found)
     if members.limit(1).count():
         family, worth = families(members)
-        small = family.where(F.col("_members") <= BLOCK)
-        large = settled(family.where(F.col("_members") > BLOCK), "jaccard-family")
-        late = small.join(parts, "doc_id").groupBy("centre").applyInPandas(_comparing(sizes, whole=False), "u long, v long")
-        late = around_centres(worth, sizes).union(_ordered(late))
-        late = settled(plausible(late.distinct().join(pairs, ["u", "v"], "left_anti"), parts, sizes), "jaccard-late")
-        wanted = _ends(late).union(large.select("doc_id")).union(large.select("centre")).distinct()
+        small = family.where(F.col("_members") <= BLOCK).join(parts, "sid")
+        small = small.groupBy("centre").applyInPandas(_surviving(sizes), "centre long, sid long, _stray boolean")
+        family = family.where(F.col("_members") > BLOCK).select("centre", "sid", "_stray").union(small)
+        family = settled(family, "jaccard-family")
+        late = settled(plausible(around_centres(worth, sizes).distinct().join(pairs, ["u", "v"], "left_anti"), parts, sizes), "jaccard-late")
+        wanted = _ends(late).union(family.select("sid")).union(family.select("centre")).distinct()
         release(parts)
-        sets = sets_of(docs, settled(wanted, "jaccard-ends"), words)
-        more = verified(late, sets, sizes).union(within_families(large, sets, sizes))
-        links = settled(links.union(more), "jaccard-links")
+        sets = sets_of(docs, firsts, wanted, words)
+        more = verified(late, sets, sizes).union(within_families(family, sets, sizes))
+        links = settled(groups.select(F.col("node").alias("u"), F.col("component").alias("v")).union(more), "jaccard-links")
         release(sets)
-        groups = settled(components(links), "jaccard-groups")
-    degree = links.distinct().select(F.explode(F.array("u", "v")).alias("node")).groupBy("node").agg(F.count("*").alias("_links"))
-    degree = degree.withColumnRenamed("node", "_linked")
-    rows = rows.where(F.col("kind") == DOCUMENT).select("doc_id", F.col("n").cast("long").alias("n_shingles"))
-    # the smallest id of a component has links, but no row in groups
-    out = rows.join(groups, rows["doc_id"] == groups["node"], "left").join(degree, rows["doc_id"] == degree["_linked"], "left")
-    return out.select(
-        "doc_id",
-        "n_shingles",
-        F.coalesce("component", "doc_id").alias("component_id"),
-        F.coalesce("_links", F.lit(0)).cast("long").alias("n_links"),
-    )
+        groups = components(links)
+    # the smallest set of a component has no row in groups
+    return rows, settled(groups, "jaccard-groups")
 
 
 def mixed(found: DataFrame, groups: DataFrame) -> DataFrame:
-    """(key, doc_id, n, _c): members of the lists that hold more than one component."""
+    """(key, sid, n, _c): members of the lists that hold more than one component."""
     of = groups.select(F.col("node"), F.col("component"))
-    known = found.join(of.select(F.col("node").alias("doc_id"), F.col("component").alias("_c")), "doc_id", "left")
+    known = found.join(of.select(F.col("node").alias("sid"), F.col("component").alias("_c")), "sid", "left")
     known = known.join(of.select(F.col("node").alias("pivot"), F.col("component").alias("_pc")), "pivot", "left")
-    known = known.withColumn("_c", F.coalesce("_c", "doc_id")).withColumn("_pc", F.coalesce("_pc", "pivot"))
+    known = known.withColumn("_c", F.coalesce("_c", "sid")).withColumn("_pc", F.coalesce("_pc", "pivot"))
     rows = known.join(known.where("_c != _pc").select("key").distinct(), "key")
-    both = F.array(F.struct("doc_id", "n", "_c"), F.struct(F.col("pivot").alias("doc_id"), F.col("pivot_n").alias("n"), F.col("_pc").alias("_c")))
+    both = F.array(F.struct("sid", "n", "_c"), F.struct(F.col("pivot").alias("sid"), F.col("pivot_n").alias("n"), F.col("_pc").alias("_c")))
     return rows.select("key", F.explode(both).alias("_m")).select("key", "_m.*").distinct()
 
 
@@ -405,100 +436,213 @@ def centred(members: DataFrame) -> DataFrame:
     text does that others are copies of."""
     own = Window.partitionBy("key")
     sized = members.withColumn("_m", F.count("*").over(own))
-    degree = sized.groupBy("doc_id").agg(F.sum("_m").alias("_degree"))
-    best = F.max(F.struct("_degree", (-F.col("doc_id")).alias("_order"), "doc_id", "n", "_c")).over(own)
-    return members.join(degree, "doc_id").withColumn("_top", best)
+    degree = sized.groupBy("sid").agg(F.sum("_m").alias("_degree"))
+    best = F.max(F.struct("_degree", (-F.col("sid")).alias("_order"), "sid", "n", "_c")).over(own)
+    return members.join(degree, "sid").withColumn("_top", best)
 
 
 def around_centres(centred_members: DataFrame, sizes: Sizes) -> DataFrame:
     """Pairs (u, v) of members with their list's centre."""
-    fits = f"_c != _top._c AND least(n, _top.n) * {sizes.q} >= greatest(n, _top.n) * {sizes.p}"
-    top = F.col("_top.doc_id")
-    return centred_members.where(fits).select(F.greatest("doc_id", top).alias("u"), F.least("doc_id", top).alias("v"))
+    fits = f"_c != _top._c AND least(n, _top.n) * {sizes.q}L >= greatest(n, _top.n) * {sizes.p}L"
+    top = F.col("_top.sid")
+    return centred_members.where(fits).select(F.greatest("sid", top).alias("u"), F.least("sid", top).alias("v"))
 
 
 def families(members: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(centre, doc_id, _stray, _members), and the members with their centres. Lists with one centre are a family;
+    """(centre, sid, _stray, _members), and the members with their centres. Lists with one centre are a family;
     its strays are outside the centre's component. The centre itself is left out: it meets all others anyway."""
     around = settled(centred(members), "jaccard-centred")
-    family = around.select(F.col("_top.doc_id").alias("centre"), "doc_id", (F.col("_c") != F.col("_top._c")).alias("_stray"))
-    family = settled(family.where("doc_id != centre").groupBy("centre", "doc_id").agg(F.max("_stray").alias("_stray")), "jaccard-family")
+    family = around.select(F.col("_top.sid").alias("centre"), "sid", (F.col("_c") != F.col("_top._c")).alias("_stray"))
+    family = settled(family.where("sid != centre").groupBy("centre", "sid").agg(F.max("_stray").alias("_stray")), "jaccard-family")
     worth = family.groupBy("centre").agg(F.count("*").alias("_members"), F.max("_stray").alias("_any"))
     return family.join(worth.where("_any AND _members > 1").select("centre", "_members"), "centre"), around
 
 
-def _ordered(found: DataFrame) -> DataFrame:
-    return found.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-
+def _shared(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """How many members every set of `a` has in common with every set of `b`."""
+    shared = np.zeros((len(a), len(b)), np.int64)
+    own, n = np.unique(np.concatenate(a), return_inverse=True)
+    rows_a = np.repeat(np.arange(len(a)), [len(s) for s in a])
+    flat = np.concatenate(b)
+    if not len(own) or not len(flat):
+        return shared
+    at = np.minimum(np.searchsorted(own, flat), len(own) - 1)
+    rows_b, hit = np.repeat(np.arange(len(b)), [len(s) for s in b]), own[at] == flat
+    rows_b, at = rows_b[hit], at[hit]
+    for c in range(0, len(own), 4096):
+        one, two = (n >= c) & (n < c + 4096), (at >= c) & (at < c + 4096)
+        width = min(4096, len(own) - c)
+        m, k = np.zeros((len(a), width), np.float32), np.zeros((len(b), width), np.float32)
+        m[rows_a[one], n[one] - c] = 1
+        k[rows_b[two], at[two] - c] = 1
+        shared += (m @ k.T).astype(np.int64)
+    return shared
+
+
+def _sides(block: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame]:
+    """Left and right side of a block, every set once."""
+    return block[block["_left"]].drop_duplicates("sid"), block[~block["_left"]].drop_duplicates("sid")
+
+
+def _surviving(sizes: Sizes):
+    """Function of one family, by parts of sets: the members that the parts do not rule out as ends of a link between a
+    stray and another member."""
+    p, q = sizes.p, sizes.q
 
-def _comparing(sizes: Sizes, whole: bool):
-    """Function of one block: pairs of a stray and another member. With whole sets, those similar enough;
-    with parts of sets, those that the parts do not rule out."""
+    def survivors(block: pd.DataFrame) -> pd.DataFrame:
+        right = block.drop_duplicates("sid")
+        left = right[right["_stray"]]
+        if not len(left):
+            return right[["centre", "sid", "_stray"]]
+        a, b = list(left["_set"]), list(right["_set"])
+        x, y = np.array([len(s) for s in a])[:, None], np.array([len(s) for s in b])[None, :]
+        full_a, full_b = left["n"].to_numpy(np.int64)[:, None], right["n"].to_numpy(np.int64)[None, :]
+        good = (p + q) * (x + y - 2 * _shared(a, b)) <= (q - p) * (full_a + full_b)
+        good &= (q * full_a >= p * full_b) & (q * full_b >= p * full_a)
+        good &= left["sid"].to_numpy()[:, None] != right["sid"].to_numpy()[None, :]
+        kept = good.any(axis=0)
+        kept[np.flatnonzero(right["_stray"])] |= good.any(axis=1)
+        return right.loc[kept, ["centre", "sid", "_stray"]]
+
+    return survivors
+
+
+def _stars(good: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For rows and columns of a table of links, a row of the same component (-1: no link)."""
+    rows, columns = np.full(good.shape[0], -1), np.full(good.shape[1], -1)
+    for start in np.flatnonzero(good.any(axis=1)):
+        new = np.array([start]) if rows[start] < 0 else np.zeros(0, np.int64)
+        while len(new):
+            rows[new] = start
+            met = np.flatnonzero(good[new].any(axis=0) & (columns < 0))
+            columns[met] = start
+            new = np.flatnonzero(good[:, met].any(axis=1) & (rows < 0))
+    return rows, columns
+
+
+def _comparing(sizes: Sizes):
+    """Function of one block: its links, as a star for each of their components."""
     p, q = sizes.p, sizes.q
 
     def compared(block: pd.DataFrame) -> pd.DataFrame:
-        if "_left" in block:
-            left, right = block[block["_left"]], block[~block["_left"]]
-        else:
-            left, right = block[block["_stray"]], block
+        left, right = _sides(block)
         if not len(left) or not len(right):
             return pd.DataFrame({"u": [], "v": []}, dtype="int64")
-        shared = np.zeros((len(left), len(right)), np.int64)
-        a, b = list(left["_set"]), list(right["_set"])
-        own, n = np.unique(np.concatenate(a), return_inverse=True)
-        rows_a = np.repeat(np.arange(len(a)), [len(s) for s in a])
-        flat = np.concatenate(b)
-        if len(own):
-            at = np.minimum(np.searchsorted(own, flat), len(own) - 1)
-            rows_b, hit = np.repeat(np.arange(len(b)), [len(s) for s in b]), own[at] == flat
-            rows_b, at = rows_b[hit], at[hit]
-        for c in range(0, len(own), 8192):
-            one, two = (n >= c) & (n < c + 8192), (at >= c) & (at < c + 8192)
-            width = min(8192, len(own) - c)
-            m, k = np.zeros((len(a), width), np.float32), np.zeros((len(b), width), np.float32)
-            m[rows_a[one], n[one] - c] = 1
-            k[rows_b[two], at[two] - c] = 1
-            shared += (m @ k.T).astype(np.int64)
+        shared = _shared(list(left["_set"]), list(right["_set"]))
         full_a, full_b = left["n"].to_numpy(np.int64)[:, None], right["n"].to_numpy(np.int64)[None, :]
-        if whole:
-            good = q * shared >= p * (full_a + full_b - shared)
-        else:
-            x, y = np.array([len(s) for s in a])[:, None], np.array([len(s) for s in b])[None, :]
-            good = (p + q) * (x + y - 2 * shared) <= (q - p) * (full_a + full_b)
-            good &= (q * full_a >= p * full_b) & (q * full_b >= p * full_a)
-        i, j = np.nonzero(good)
-        return pd.DataFrame({"u": left["doc_id"].to_numpy()[i], "v": right["doc_id"].to_numpy()[j]})
+        rows, columns = _stars(q * shared >= p * (full_a + full_b - shared))
+        one, two = left["sid"].to_numpy(), right["sid"].to_numpy()
+        u = np.concatenate([one[rows >= 0], two[columns >= 0]])
+        return pd.DataFrame({"u": u, "v": one[np.concatenate([rows[rows >= 0], columns[columns >= 0]])]})
 
     return compared
 
 
-def within_families(family: DataFrame, sets: DataFrame, sizes: Sizes) -> DataFrame:
-    """Links (u, v) inside large families: each stray is compared with the family, block by block in numpy,
-    and only links leave a task. Jaccard distance is a metric, so sets whose distances to the centre differ
-    by more than a link's distance are never compared."""
-    family = family.drop("_members")
-    # rows that share an id may have several sets
-    middle = sets.groupBy("doc_id").agg(F.min("_set").alias("_mid")).withColumnRenamed("doc_id", "centre")
+def _counting(sizes: Sizes):
+    """Function of one block of differences from a centre: for its sets, the documents of the sets they link with,
+    without those pairs that link whatever the differences are."""
+    twice = 2 * (sizes.p + sizes.q)
+
+    def compared(block: pd.DataFrame) -> pd.DataFrame:
+        left, right = _sides(block)
+        if not len(left) or not len(right):
+            return pd.DataFrame({"sid": [], "n": []}, dtype="int64")
+        need = left["_over"].to_numpy()[:, None] + right["_over"].to_numpy()[None, :]
+        good = (need > 0) & (need <= twice * _shared(list(left["_set"]), list(right["_set"])))
+        good &= left["sid"].to_numpy()[:, None] != right["sid"].to_numpy()[None, :]
+        # two sets of the left meet in two blocks, each on the left of one
+        near = ~right["_stray"].to_numpy()
+        n = np.concatenate([good @ right["weight"].to_numpy(), (left["weight"].to_numpy() @ good)[near]])
+        sid = np.concatenate([left["sid"].to_numpy(), right["sid"].to_numpy()[near]])
+        return pd.DataFrame({"sid": sid, "n": n})[n > 0]
+
+    return compared
+
+
+def _centred_on(members: DataFrame, middle: DataFrame, sets: DataFrame, sizes: Sizes) -> DataFrame:
+    """Members (home, sid) with their set, that in the middle of their home (home, _mid), and their distance from it in rings:
+    Jaccard distance is a metric, so sets whose distances differ by more than a link's distance do not link. The
+    members of small homes are all in one ring; a middle is dealt to as many places as its members fill."""
+    zero = F.lit(0).cast("long")
+    places = members.groupBy("home").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("_places"))
+    middle = middle.join(places, "home").select("home", "_places", "_mid", F.explode(F.sequence(zero, F.col("_places") - 1)).alias("_place"))
+    placed = members.join(places, "home").withColumn("_place", F.pmod(F.xxhash64("sid"), F.col("_places")))
+    placed = placed.drop("_places").join(sets, "sid").join(middle, ["home", "_place"])
     x, y, both = F.size("_set"), F.size("_mid"), F.size(F.array_intersect("_set", "_mid"))
     width = (1 - sizes.p / sizes.q) * (1 + 1e-9)
-    placed = family.join(sets, "doc_id").join(middle, "centre").withColumn("_ring", F.floor((1 - both / (x + y - both)) / width))
-    placed = settled(placed.drop("_mid"), "jaccard-families")
-    counts = placed.groupBy("centre", "_ring").agg(
-        F.ceil(F.count("*") / BLOCK).alias("_all"), F.ceil(F.sum(F.col("_stray").cast("int")) / BLOCK).alias("_strays")
+    ring = F.when(F.col("_places") > 1, F.floor((1 - both / (x + y - both)) / width)).otherwise(zero)
+    return placed.withColumn("_ring", ring).drop("_place", "_places")
+
+
+def _majority(sets: pd.DataFrame) -> pd.DataFrame:
+    """The hashes that more than half of a home's sets have; of two sets, the first."""
+    sets = sets.drop_duplicates("sid").sort_values("sid")
+    hashes, n = np.unique(np.concatenate(list(sets["_set"])), return_counts=True)
+    middle = hashes[2 * n > len(sets)] if len(sets) > 2 else sets["_set"].iloc[0]
+    return pd.DataFrame({"home": [sets["home"].iloc[0]], "_mid": [middle]})
+
+
+def _in_blocks(placed: DataFrame, function, schema: str, carry: list[str]) -> DataFrame:
+    """`function` over blocks that bring every stray of a home together with every member of its ring and the next
+    ones: columns home, sid, _stray, _ring, _set and those carried."""
+    room = F.sum(F.size("_set"))
+    stray_room = F.sum(F.when(F.col("_stray"), F.size("_set")))
+    counts = placed.groupBy("home", "_ring").agg(
+        F.ceil(F.greatest(F.count("*") / BLOCK, room / ROOM)).cast("long").alias("_all"),
+        F.coalesce(F.ceil(F.greatest(F.count_if("_stray") / BLOCK, stray_room / ROOM)).cast("long"), F.lit(0)).alias("_strays"),
     )
-    counts = counts.select("centre", F.col("_ring").alias("_other"), "_all", "_strays").join(
-        counts.select("centre", "_ring", F.col("_all").alias("_own"), F.col("_strays").alias("_own_strays")), "centre"
+    # a set of no members still fills a block
+    counts = counts.withColumn("_all", F.greatest("_all", F.lit(1)))
+    counts = counts.select("home", F.col("_ring").alias("_other"), "_all", "_strays").join(
+        counts.select("home", "_ring", F.col("_all").alias("_own"), F.col("_strays").alias("_own_strays")), "home"
     )
-    counts = counts.where("abs(_ring - _other) <= 1")
-    wide = placed.join(counts, ["centre", "_ring"])
-    part, zero = F.xxhash64("doc_id"), F.lit(0).cast("long")
-    one = wide.where("_stray AND _all > 0").select(
-        "centre", F.col("_ring").alias("_a"), F.col("_other").alias("_b"), F.pmod(part, "_own_strays").alias("_i"),
-        F.explode(F.sequence(zero, F.col("_all") - 1)).alias("_j"), F.lit(True).alias("_left"), "doc_id", "n", "_set",
+    counts = counts.where("abs(_ring - _other) <= 1 AND (_strays > 0 OR _own_strays > 0)")
+    wide = placed.join(counts, ["home", "_ring"])
+    part, zero = F.xxhash64("sid"), F.lit(0).cast("long")
+    one = wide.where("_stray").select(
+        "home", F.col("_ring").alias("_a"), F.col("_other").alias("_b"), F.pmod(part, "_own_strays").alias("_i"),
+        F.explode(F.sequence(zero, F.col("_all") - 1)).alias("_j"), F.lit(True).alias("_left"), "sid", "_stray", "_set", *carry,
     )
     two = wide.where("_strays > 0").select(
-        "centre", F.col("_other").alias("_a"), F.col("_ring").alias("_b"),
-        F.explode(F.sequence(zero, F.col("_strays") - 1)).alias("_i"), F.pmod(part, "_own").alias("_j"), F.lit(False).alias("_left"), "doc_id", "n", "_set",
+        "home", F.col("_other").alias("_a"), F.col("_ring").alias("_b"),
+        F.explode(F.sequence(zero, F.col("_strays") - 1)).alias("_i"), F.pmod(part, "_own").alias("_j"), F.lit(False).alias("_left"), "sid", "_stray", "_set", *carry,
     )
-    found = one.union(two).groupBy("centre", "_a", "_b", "_i", "_j").applyInPandas(_comparing(sizes, whole=True), "u long, v long")
-    return _ordered(found).distinct()
+    return one.union(two).groupBy("home", "_a", "_b", "_i", "_j").applyInPandas(function, schema)
+
+
+def within_families(family: DataFrame, sets: DataFrame, sizes: Sizes) -> DataFrame:
+    """Links (u, v) of the strays of families (centre, sid, _stray) with other members: enough of them to show the components."""
+    middle = sets.select(F.col("sid").alias("home"), F.col("_set").alias("_mid")).dropDuplicates(["home"])
+    placed = _centred_on(family.withColumnRenamed("centre", "home"), middle, sets, sizes)
+    placed = settled(placed.drop("_mid"), "jaccard-families")
+    found = _in_blocks(placed, _comparing(sizes), "u long, v long", ["n"])
+    return found.where("u != v").distinct()
+
+
+def counted(docs: DataFrame, members: DataFrame, words: int, sizes: Sizes) -> DataFrame:
+    """(sid, n): the documents of a set and of all sets it links with, for the members (home, sid, doc_id,
+    weight) of components of several sets."""
+    p, q = sizes.p, sizes.q
+    members = settled(members, "jaccard-counted")
+    sets = sets_of(docs, members, members.select("sid"), words)
+    # any middle will do; the majority of some members lies near most
+    some = members.join(members.groupBy("home").agg(F.count("*").alias("_members")), "home")
+    some = some.where((F.pmod(F.xxhash64("sid"), F.col("_members")) < MIDDLE) | (F.col("sid") == F.col("home"))).select("home", "sid")
+    middle = some.join(sets, "sid").groupBy("home").applyInPandas(_majority, "home long, _mid array<long>")
+    placed = _centred_on(members.drop("doc_id"), settled(middle, "jaccard-middle"), sets, sizes)
+    apart = F.concat(F.array_except("_set", "_mid"), F.array_except("_mid", "_set"))
+    placed = placed.withColumn("_set", apart).drop("_mid")
+    placed = placed.withColumn("_over", (p + q) * F.size("_set").cast("long") - (q - p) * F.col("n").cast("long"))
+    placed = settled(placed.withColumn("_stray", F.col("_over") > 0), "jaccard-apart")
+    release(sets)
+
+    # sets link if _over and the other's are at most 0 together, or share as many differences as they are beyond
+    once = placed.select("home", "sid", "weight", "_over").distinct()
+    levels = once.groupBy("home", "_over").agg(F.sum("weight").alias("_weight"))
+    upto = Window.partitionBy("home").orderBy("_at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    asked = levels.select("home", (-F.col("_over")).alias("_at"), F.lit(0).cast("long").alias("_weight"), F.col("_over").alias("_for"))
+    there = levels.select("home", F.col("_over").alias("_at"), "_weight", F.lit(None).cast("long").alias("_for"))
+    sums = asked.union(there).withColumn("_n", F.sum("_weight").over(upto)).where("_for IS NOT NULL").select("home", F.col("_for").alias("_over"), "_n")
+    plain = once.join(sums, ["home", "_over"]).select("sid", (F.col("_n") + F.when(F.col("_over") > 0, F.col("weight")).otherwise(0)).alias("n"))
+    rest = _in_blocks(placed.where(F.size("_set") > 0), _counting(sizes), "sid long, n long", ["weight", "_over"])
+    return settled(plain.union(rest).groupBy("sid").agg(F.sum("n").alias("n")), "jaccard-counts")

@@ -234,6 +234,38 @@ def test_jaccard_families(spark):
     assert all((r.n_links > 0) == (shared[r.component_id] > 1) for r in got)
 
 
+def brute_links(rows, words, p, q):
+    """(shingles, links) of each row; links are the other documents, by id and set, whose sets are similar enough."""
+    parts, holders = [], defaultdict(set)
+    for i, text in rows:
+        w = SPACED.findall((text or "").translate(LOWER))
+        s = frozenset(tuple(w[k : k + words]) for k in range(max(1, len(w) - words + 1))) if w else frozenset()
+        parts.append((i, s))
+        if s and i is not None:
+            holders[s].add(i)
+    for i, s in parts:
+        linked = [len(ids) for t, ids in holders.items() if q * len(s & t) >= p * len(s | t)]
+        yield i, len(s), sum(linked) - 1 if s and i is not None else 0
+
+
+def test_jaccard_counts_every_link(spark, monkeypatch):
+    """Members of a component link with each other whether or not the join walked there, copies too."""
+    monkeypatch.setattr(jaccard, "BLOCK", 8)
+    rng = np.random.default_rng(5)
+    rows = []
+    for size in (9, 40, 90):
+        base = [f"{size}t{i}" for i in range(size)]
+        for k in range(40):
+            w = list(base)
+            for at in rng.integers(0, size, rng.integers(0, max(2, size // 12))):
+                w[at] = f"new{k % 30}"
+            rows.append((len(rows), " ".join(w)))
+    rows += [(3, rows[50][1]), (60, rows[60][1]), (None, rows[60][1]), (200, rows[60][1]), (201, None), (61, ""), (202, "alone here")]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = jaccard.jaccard_components(table, 4, (85, 100)).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.n_links) for r in got) == Counter(brute_links(rows, 4, 85, 100))
+
+
 def test_substrings(docs, empty, spark):
     got = {(r.doc_id, r.text) for r in substrings.dedup_substrings(docs).collect()}
     kept = dict(got)
