@@ -9,10 +9,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkassay.functions import values as V
-from sparkassay.operators.ranks import BLOCK, block_count, new_folder, order_statistics
+from sparkassay.operators.ranks import BLOCK, WINDOW_ROWS, block_count, new_folder, order_statistics
 
 # Rows of a block that a page is cut from, roughly; one task numbers one block.
 PAGE_BLOCK_ROWS = 1_000_000
+# A table is cut into no more blocks than this, however small they were asked for, until they hold WINDOW_ROWS: each is a
+# task that reports to the driver, and a place that the range partitioning samples rows for there.
+MOST_PAGE_BLOCKS = 200
 # Pages up to this many rows are broadcast to fetch their rows.
 BROADCAST_ROWS = 100_000
 #: Hexadecimal digits of a row's draw that are compared as one number; a double holds them exactly.
@@ -97,7 +100,8 @@ class PageDirectory:
         spark = df.sparkSession
         names = [f"_k{i}" for i in range(len(self.order))]
         keys = df.select(*(V.col(c).alias(n) for c, n in zip(self.order, names, strict=True)))
-        blocks = block_count(df, df.count(), block_rows)
+        rows = df.count()
+        blocks = min(block_count(df, rows, block_rows), max(block_count(df, rows, WINDOW_ROWS), MOST_PAGE_BLOCKS))
         ranged = keys.repartitionByRange(blocks, *names).withColumn(BLOCK, F.spark_partition_id())
         path = new_folder(spark, "pages")
         ranged.write.partitionBy(BLOCK).parquet(path)
