@@ -28,18 +28,23 @@ BROADCAST_IDS = 500_000
 
 #: Spark's setting by which shuffle files of a query go when it ends.
 SHUFFLES_GO = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Spark's setting for the bytes that go to a task's Python side at once; else only rows are counted, 10,000 of any length.
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
-def settled(df: DataFrame, purpose: str) -> DataFrame:
+def settled(df: DataFrame, purpose: str, batch_bytes: int | None = None) -> DataFrame:
     """The table written to the shared folder and read back. Its own shuffle files go when it is written, others as soon
     as the driver collects its garbage, so it is asked to: disks then hold about one step's shuffles."""
     spark, path = df.sparkSession, new_folder(df.sparkSession, purpose)
-    before = spark.conf.get(SHUFFLES_GO)
-    spark.conf.set(SHUFFLES_GO, "true")
+    wanted = {SHUFFLES_GO: "true"} | ({BATCH_BYTES: str(batch_bytes)} if batch_bytes else {})
+    before = {name: spark.conf.get(name) for name in wanted}
+    for name, value in wanted.items():
+        spark.conf.set(name, value)
     try:
         df.write.parquet(path)
     finally:
-        spark.conf.set(SHUFFLES_GO, before)
+        for name, value in before.items():
+            spark.conf.set(name, value)
     out = spark.read.schema(df.schema).parquet(path)
     out.settled_at = path
     gc.collect()

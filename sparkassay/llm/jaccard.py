@@ -48,12 +48,18 @@ MOST_LIGHT = 24
 LIST_COST = 4
 #: Keys that a task gathers before it hands them on.
 TOGETHER = 500_000
+#: Bytes of texts that a task's Python side takes at once. Sets and keys of a batch come to a few times that.
+TEXT_BYTES = 1 << 20
 #: Pairs are sifted by every PART-th hash of their sets before whole sets are compared.
 PART = 4
 #: Sets that a task compares with each other at once, on each side.
 BLOCK = 1024
 #: Members that all sets of one side of a block have together, about.
 ROOM = 1 << 20
+#: Hashes that are counted by one product of tables, and pairs of sets that are counted at once.
+COLUMNS, PAIRS = 1024, 1 << 19
+#: A hash goes to such a product if at least this share of the pairs of sets have it; else its pairs are listed.
+COMMON = 1 / 256
 #: Sets, about, that say what the middle of a component holds.
 MIDDLE = 15
 #: At least so many more blocks than differences are expected to be filled.
@@ -230,9 +236,8 @@ def named(members: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(members.tobytes())).astype(np.int64))
 
 
-def listed(docs: DataFrame, words: int, sizes: Sizes, limit: int) -> DataFrame:
-    """Rows of kind DOCUMENT (one a row, with its set), FIRST and NEXT (a key's first and further sets of a task's
-    gathering, the latter with the first as pivot)."""
+def listing(words: int, sizes: Sizes, limit: int):
+    """Function of one task: its rows of kind DOCUMENT, FIRST and NEXT."""
     floor = sizes.least(limit + 1)
     types = [pa.int8(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int8(), pa.int64(), pa.int32()]
     names = ["kind", "doc_id", "sid", "n", "key", "side", "pivot", "pivot_n"]
@@ -282,14 +287,21 @@ def listed(docs: DataFrame, words: int, sizes: Sizes, limit: int) -> DataFrame:
                 if a >= floor:
                     parts.append((*heavy_keys(members, sizes, floor), sids[-1], a))
                     waiting += len(parts[-1][0])
+                # short texts have thousands of keys each, so a batch is no bound
+                if waiting > TOGETHER:
+                    yield from gathered(parts)
+                    parts, waiting = [], 0
             yield emit(DOCUMENT, len(sids), doc_id=rows["doc_id"], sid=sids, n=sizes_here)
-            if waiting > TOGETHER:
-                yield from gathered(parts)
-                parts, waiting = [], 0
         if parts:
             yield from gathered(parts)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(work, ROW)
+    return work
+
+
+def listed(docs: DataFrame, words: int, sizes: Sizes, limit: int) -> DataFrame:
+    """Rows of kind DOCUMENT (one a row, with its set), FIRST and NEXT (a key's first and further sets of a task's
+    gathering, the latter with the first as pivot)."""
+    return docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(listing(words, sizes, limit), ROW)
 
 
 def sets_of(docs: DataFrame, firsts: DataFrame, sids: DataFrame, words: int, part: int = 1) -> DataFrame:
@@ -309,7 +321,7 @@ def sets_of(docs: DataFrame, firsts: DataFrame, sids: DataFrame, words: int, par
 
     asked = settled(firsts.select("sid", "doc_id").join(sids, "sid"), "jaccard-asked")
     found = docs.select(F.col("doc_id").cast("long"), F.col("text")).join(few(asked), "doc_id").select("sid", "text")
-    return settled(found.mapInArrow(work, "sid long, n int, _set array<long>"), "jaccard-sets")
+    return settled(found.mapInArrow(work, "sid long, n int, _set array<long>"), "jaccard-sets", TEXT_BYTES)
 
 
 def _met(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -367,7 +379,7 @@ def grouped(docs: DataFrame, words: int, sizes: Sizes) -> tuple[DataFrame, DataF
     about = F.greatest(F.lit(1), F.floor(F.length("text") / 6) - words + 2).cast("int")
     rows = docs.where("text IS NOT NULL AND text != ''").select(F.least(about, F.lit(4 * MOST_LIGHT)).alias("a")).groupBy("a").count().collect()
     limit = boundary(sizes, {r["a"]: r["count"] for r in rows})
-    keys = settled(listed(docs, words, sizes, limit), "jaccard-keys")
+    keys = settled(listed(docs, words, sizes, limit), "jaccard-keys", TEXT_BYTES)
 
     lists = Window.partitionBy("key")
     first = keys.where(F.col("kind") == FIRST).select("key", "side", "sid", "n")
@@ -459,23 +471,43 @@ def families(members: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _shared(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
-    """How many members every set of `a` has in common with every set of `b`."""
+    """How many members every set of `a` has in common with every set of `b`. Members that many pairs have are counted by
+    products of tables; of the others, which sets that do not link hold in great number, the pairs are listed."""
     shared = np.zeros((len(a), len(b)), np.int64)
     own, n = np.unique(np.concatenate(a), return_inverse=True)
-    rows_a = np.repeat(np.arange(len(a)), [len(s) for s in a])
+    rows_a = np.repeat(np.arange(len(a), dtype=np.int32), [len(s) for s in a])
     flat = np.concatenate(b)
     if not len(own) or not len(flat):
         return shared
     at = np.minimum(np.searchsorted(own, flat), len(own) - 1)
-    rows_b, hit = np.repeat(np.arange(len(b)), [len(s) for s in b]), own[at] == flat
+    rows_b, hit = np.repeat(np.arange(len(b), dtype=np.int32), [len(s) for s in b]), own[at] == flat
     rows_b, at = rows_b[hit], at[hit]
-    for c in range(0, len(own), 4096):
-        one, two = (n >= c) & (n < c + 4096), (at >= c) & (at < c + 4096)
-        width = min(4096, len(own) - c)
-        m, k = np.zeros((len(a), width), np.float32), np.zeros((len(b), width), np.float32)
-        m[rows_a[one], n[one] - c] = 1
-        k[rows_b[two], at[two] - c] = 1
+    count_a, count_b = np.bincount(n, minlength=len(own)), np.bincount(at, minlength=len(own))
+    common = count_a * count_b > COMMON * shared.size
+
+    number = np.cumsum(common) - 1
+    one, two = common[n], common[at]
+    left, right = (number[n[one]], rows_a[one]), (number[at[two]], rows_b[two])
+    for c in range(0, int(common.sum()), COLUMNS):
+        m, k = np.zeros((len(a), COLUMNS), np.float32), np.zeros((len(b), COLUMNS), np.float32)
+        for table, (column, row) in ((m, left), (k, right)):
+            here = (column >= c) & (column < c + COLUMNS)
+            table[row[here], column[here] - c] = 1
         shared += (m @ k.T).astype(np.int64)
+
+    rows_a = rows_a[np.argsort(n, kind="stable")]
+    start = np.cumsum(count_a) - count_a
+    rows_b, at = rows_b[~two], at[~two]
+    upto = np.cumsum(count_a[at])
+    first = 0
+    while first < len(at):
+        done = upto[first - 1] if first else 0
+        last = max(first + 1, int(np.searchsorted(upto, done + PAIRS, side="right")))
+        times = count_a[at[first:last]]
+        place = np.repeat(start[at[first:last]] - (np.cumsum(times) - times), times) + np.arange(times.sum())
+        pair = rows_a[place].astype(np.int64) * len(b) + np.repeat(rows_b[first:last], times)
+        shared += np.bincount(pair, minlength=shared.size).reshape(shared.shape)
+        first = last
     return shared
 
 
