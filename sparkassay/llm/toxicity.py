@@ -5,8 +5,8 @@ id, and of these, in the order of another hash, as many as hold CHARACTERS code
 every example is a term. Its inverse document frequency is counted over all documents, and it is weighted by how
 much it tells the classes apart (squared standard errors of its log odds, plus FLOOR), so that no word leaves the vectors.
 An inverted index keeps examples in blocks of BLOCK: for a term, its postings block by block, and the largest weight in each; the
-list of a common term is a full row of weights, read first. Blocks are read in the
-order of their upper bounds until no unread block can hold a nearer neighbour, so the neighbours are exact. Their
+list of a common term is a full row of weights, read first. Blocks are read in the order of their upper bounds, for
+many texts at once, until no unread block can hold a nearer neighbour, so the neighbours are exact. Their
 votes, weighted by closeness, are calibrated on the examples themselves, each leaving itself out. Scoring covers
 every row and every whole text, however long; only known words are kept of it.
 
@@ -21,7 +21,8 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import filterfalse, repeat, tee
 
 import numpy as np
 import pandas as pd
@@ -35,10 +36,12 @@ from sparkassay.llm.common import fold, release, settled, share
 #: Bounds on the examples of each class, in rows (met in expectation, by hash) and in code points.
 EXAMPLES, CHARACTERS = 2000, 8_000_000
 BLOCK, NEIGHBOURS, FLOOR = 64, 15, 0.05
+#: Postings of one term and block in an entry.
+LANE = 4
 #: Terms that stand in one of so many examples are common.
 COMMON = 16
-#: Queries whose common terms are multiplied at once.
-TOGETHER = 64
+#: Queries that are read at once, and the entries of their terms; a query of more is read by itself.
+TOGETHER, ENTRIES = 64, 200_000
 #: Terms reported for a text, those of the largest weights.
 EVIDENCE = 10
 RESULT = "score double, predicted int, neighbours array<long>, evidence array<string>"
@@ -48,8 +51,14 @@ REMEMBERED = 10_000
 _WORD = re.compile(r"[^\W\d_]+")
 
 
+def words_in(text: str | None) -> list[str]:
+    """All words in lower case, in any order. Most of what stands between white space is a word as it is."""
+    pieces = (text or "").lower().split()
+    return [*filter(str.isalpha, pieces), *_WORD.findall(" ".join(filterfalse(str.isalpha, pieces)))]
+
+
 def words_of(text: str | None) -> Counter:
-    return Counter(_WORD.findall(text.lower())) if text else Counter()
+    return Counter(words_in(text))
 
 
 def _ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -98,62 +107,89 @@ class Index:
         self.rows = np.zeros((int(often.sum()), self.blocks * BLOCK))
         full = often[term]
         self.rows[self.row[term[full]], place[full]] = weight[full]
-        self.place, self.weight, term = place[~full], weight[~full], term[~full]
-        block = self.place // BLOCK
-        # one entry for every term and block
-        new = (np.diff(term, prepend=-1) != 0) | (np.diff(block, prepend=-1) != 0)
-        self.start = np.flatnonzero(new)
-        self.count = np.diff(np.append(self.start, len(term)))
-        self.block = block[self.start]
-        self.largest = np.maximum.reduceat(self.weight, self.start) if len(term) else self.weight
-        self.entry = np.searchsorted(term[self.start], np.arange(terms + 1))
-
-    def search(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int, without: list[int] | None = None) -> Iterator[list[tuple[float, int]]]:
-        """What `nearest` gives for each (terms, weights); common terms are multiplied for TOGETHER queries at once."""
-        for a in range(0, len(queries), TOGETHER):
-            some = queries[a : a + TOGETHER]
-            heads = np.zeros((len(some), len(self.rows)))
-            for head, (terms, weights) in zip(heads, some, strict=True):
-                common = self.row[terms]
-                head[common[common >= 0]] = weights[common >= 0]
-            for i, (scores, (terms, weights)) in enumerate(zip(heads @ self.rows, some, strict=True)):
-                yield self._read(scores, terms, weights, k, without[a + i] if without else -1)
+        place, weight, term = place[~full], weight[~full], term[~full]
+        block = place // BLOCK
+        first = (np.diff(term, prepend=-1) != 0) | (np.diff(block, prepend=-1) != 0)
+        runs = np.flatnonzero(first)
+        inside = np.arange(len(term)) - np.repeat(runs, np.diff(np.append(runs, len(term))))
+        # an entry is a row of up to LANE postings of a term and block; the first of these names their largest weight
+        lane = inside % LANE
+        starts = np.flatnonzero(lane == 0)
+        row = np.cumsum(lane == 0) - 1
+        self.place = np.repeat(place[starts].astype(np.int32), LANE).reshape(-1, LANE)
+        self.weight = np.zeros((len(starts), LANE))
+        self.place[row, lane], self.weight[row, lane] = place, weight
+        self.block, self.largest = block[starts], np.zeros(len(starts))
+        self.largest[first[starts]] = np.maximum.reduceat(weight, runs) if len(term) else weight
+        self.entry = np.searchsorted(term[starts], np.arange(terms + 1))
+
+    def search(self, queries: Iterable[tuple[np.ndarray, np.ndarray]], k: int, without: Iterable[int] | None = None) -> Iterator[list[tuple[float, int]]]:
+        """What `nearest` gives for each (terms, weights); up to TOGETHER queries are read at once."""
+        some, rest = [], ENTRIES
+        for query, left in zip(queries, repeat(-1) if without is None else without, strict=False):
+            size = int((self.entry[query[0] + 1] - self.entry[query[0]]).sum())
+            if some and (len(some) == TOGETHER or size > rest):
+                yield from self._read(some, k)
+                some, rest = [], ENTRIES
+            some.append((*query, left))
+            rest -= size
+        if some:
+            yield from self._read(some, k)
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, without: int = -1) -> list[tuple[float, int]]:
         """The k examples of largest positive cosine as (cosine, example)."""
         return next(self.search([(terms, weights)], k, [without]))
 
-    def _read(self, scores: np.ndarray, terms: np.ndarray, weights: np.ndarray, k: int, without: int) -> list[tuple[float, int]]:
-        """From scores of the common terms. Weights are not negative, so these bound the cosines from below, and
+    def _read(self, some: list[tuple[np.ndarray, np.ndarray, int]], k: int) -> Iterator[list[tuple[float, int]]]:
+        """Scores of the common terms are products. Weights are not negative, so these bound the cosines from below, and
         with the largest rest of a block from above."""
+        n, width = len(some), self.blocks * BLOCK
+        terms, weights = np.concatenate([q[0] for q in some]), np.concatenate([q[1] for q in some])
+        query = np.repeat(np.arange(n), [len(q[0]) for q in some])
         common = self.row[terms]
-        terms, weights = terms[common < 0], weights[common < 0]
+        full = common >= 0
+        heads = np.zeros((n, len(self.rows)))
+        heads[query[full], common[full]] = weights[full]
+        scores = heads @ self.rows
+        terms, weights, query = terms[~full], weights[~full], query[~full]
         lists = self.entry[terms + 1] - self.entry[terms]
-        entries, heavy = _ranges(self.entry[terms], lists), np.repeat(weights, lists)
-        rest = np.bincount(self.block[entries], heavy * self.largest[entries], minlength=self.blocks)
-        bounds = scores.reshape(self.blocks, BLOCK).max(axis=1) + rest
-        order = np.argsort(-bounds, kind="stable")
-        rank = np.empty(self.blocks, np.int64)
-        rank[order] = np.arange(self.blocks)
-        ranks = rank[self.block[entries]]
-        read, step, least = 0, 8, float(np.partition(scores, -k - 1)[-k - 1]) if len(scores) > k + 1 else 0.0
-        while read < self.blocks and bounds[order[read]] > 0 and bounds[order[read]] >= least - 1e-12:
-            now = (ranks >= read) & (ranks < read + step)
-            counts = self.count[entries[now]]
-            at = _ranges(self.start[entries[now]], counts)
-            scores += np.bincount(self.place[at], np.repeat(heavy[now], counts) * self.weight[at], minlength=len(scores))
-            read, step = read + step, 2 * step
-            if len(scores) > k + 1:  # one of them may be left out
-                least = float(np.partition(scores, -k - 1)[-k - 1])
-        good = np.flatnonzero((scores > 0) & (scores >= least - 1e-12))
+        entries, heavy, query = _ranges(self.entry[terms], lists), np.repeat(weights, lists), np.repeat(query, lists)
+        # a cell is a block of a query
+        cell = query * self.blocks + self.block[entries]
+        rest = np.bincount(cell, heavy * self.largest[entries], minlength=n * self.blocks).reshape(n, self.blocks)
+        bounds = scores.reshape(n, self.blocks, BLOCK).max(axis=2) + rest
+        rank = np.empty((n, self.blocks), np.int64)
+        np.put_along_axis(rank, np.argsort(-bounds, axis=1, kind="stable"), np.arange(self.blocks)[None], axis=1)
+        least, read, step = self._least(scores, k), 0, 8
+        while True:
+            open_ = (rank >= read) & (bounds > 0) & (bounds >= least - 1e-12)
+            if not open_.any():
+                break
+            now = np.flatnonzero((open_ & (rank < read + step)).ravel()[cell])
+            here = entries[now]
+            at = np.take(self.place, here, axis=0, mode="clip") + (query[now] * width)[:, None]
+            more = np.take(self.weight, here, axis=0, mode="clip") * heavy[now, None]
+            scores += np.bincount(at.ravel(), more.ravel(), minlength=n * width).reshape(n, width)
+            read, step, least = read + step, 2 * step, self._least(scores, k)
+        query, place = np.nonzero((scores > 0) & (scores >= least - 1e-12))
         # sums differ in their last digits with what is multiplied together
-        found = [(round(float(scores[p]), 12), int(self.order[p])) for p in good if self.order[p] != without]
-        return sorted(found, key=lambda x: (-x[0], x[1]))[:k]
+        near, example = scores[query, place].tolist(), self.order[place].tolist()
+        ends = np.searchsorted(query, np.arange(n + 1)).tolist()
+        for (_, _, left), a, b in zip(some, ends, ends[1:], strict=False):
+            found = [(round(s, 12), i) for s, i in zip(near[a:b], example[a:b], strict=True) if i != left]
+            yield sorted(found, key=lambda x: (-x[0], x[1]))[:k]
+
+    @staticmethod
+    def _least(scores: np.ndarray, k: int) -> np.ndarray:
+        """A column of what the k nearest of each query reach at least; one of them may be left out."""
+        if scores.shape[1] <= k + 1:
+            return np.zeros((len(scores), 1))
+        return np.partition(scores, -k - 1, axis=1)[:, [-k - 1]]
 
 
 def vector(words: Counter, terms: dict[str, int], value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(terms, weights) of unit length; `value` is what a term is worth once."""
-    at = np.fromiter((terms.get(w, -1) for w in words), np.int64, len(words))
+    at = np.fromiter(map(terms.get, words, repeat(-1)), np.int64, len(words))
     counts = np.fromiter(words.values(), np.int64, len(words))[at >= 0]
     at = at[at >= 0]
     raw = (1 + np.log(counts)) * value[at]
@@ -230,9 +266,9 @@ def document_frequencies(docs: DataFrame, terms: dict[str, int]) -> tuple[int, n
         for batch in batches:
             rows += len(batch)
             for same in pc.value_counts(batch["text"]).to_pylist():
-                words = set(_WORD.findall((same["values"] or "").lower()))
-                hits = [t for t in map(terms.get, words) if t is not None]
-                counts[hits] += same["counts"]
+                words = set(words_in(same["values"]))
+                hits = np.fromiter(map(terms.get, words, repeat(-1)), np.int64, len(words))
+                counts[hits[hits >= 0]] += same["counts"]
         at = np.flatnonzero(counts)
         term, n = np.append(at, -1), np.append(counts[at], rows)
         for a in range(0, len(term), 100_000):
@@ -331,8 +367,8 @@ def toxicity(text: Column, model: dict) -> Column:
                 seen.clear()
             keys = [xxhash.xxh3_128_digest((t or "").encode()) for t in texts]
             fresh = {k: t for k, t in zip(keys, texts, strict=True) if k not in seen}
-            vectors = [vector(words_of(t), model["terms"], model["value"]) for t in fresh.values()]
-            for k, v, found in zip(fresh, vectors, model["index"].search(vectors, NEIGHBOURS), strict=True):
+            vectors, queries = tee(vector(words_of(t), model["terms"], model["value"]) for t in fresh.values())
+            for k, v, found in zip(fresh, vectors, model["index"].search(queries, NEIGHBOURS), strict=True):
                 seen[k] = judged(*v, found)
             out = [seen[k] for k in keys]
             yield pd.DataFrame(out, columns=["score", "predicted", "neighbours", "evidence"])

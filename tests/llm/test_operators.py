@@ -462,6 +462,34 @@ def test_nearest_examples_are_exact():
         assert [i for _, i in index.nearest(at, q[at], 10, exact[0][1])] == [i for s, i in exact[1:11] if s > 0]
 
 
+def test_queries_are_read_together(monkeypatch):
+    """A list of queries is answered exactly in a few readings of the lists, not in one or more for each query."""
+    rng = np.random.default_rng(5)
+    vectors = (rng.random((300, 400)) < rng.choice([0.01, 0.03, 0.2], 400)) * rng.random((300, 400))
+    vectors[17] = 0
+    vectors /= np.maximum(np.sqrt((vectors * vectors).sum(1, keepdims=True)), 1e-9)
+    index = toxicity.Index(*postings(vectors), 300, 400)
+    queries = [(np.flatnonzero(v), v[v > 0]) for v in vectors]
+    readings, ranges = [], toxicity._ranges
+    monkeypatch.setattr(toxicity, "_ranges", lambda *a: readings.append(1) or ranges(*a))
+    found = list(index.search(queries, 10, list(range(300))))
+    assert len(readings) <= 10  # 300 queries; the code before made several for each
+    for i, near in enumerate(found):
+        exact = sorted(((s, j) for j, s in enumerate(np.round(vectors @ vectors[i], 12)) if s > 0 and j != i), key=lambda x: (-x[0], x[1]))[:10]
+        assert [j for _, j in near] == [j for _, j in exact]
+        assert np.allclose([s for s, _ in near], [s for s, _ in exact], atol=1e-11)
+    monkeypatch.setattr(toxicity, "ENTRIES", 100)  # a query of more is read by itself
+    assert [[j for _, j in near] for near in index.search(iter(queries), 10, iter(range(300)))] == [[j for _, j in near] for near in found]
+    assert list(index.search([], 10)) == []
+
+
+def test_words_of_toxicity():
+    """Words are the runs of letters of the lower-case text, wherever they stand."""
+    for text in ("Plain words, and don't_stop 12ab3c", "ΟΔΟΣ ΣΑΣ. İstanbul ½x² Ⅷ", "你好,世界 a\u00a0b\x1cc\u200bd e\u0301f", "", None, " \n"):
+        assert sorted(toxicity.words_in(text)) == sorted(re.findall(r"[^\W\d_]+", (text or "").lower()))
+        assert toxicity.words_of(text) == Counter(toxicity.words_in(text))
+
+
 def test_toxicity_query_against_dense_cosine(spark, folder):
     """The registered query: neighbours of every text are the nearest by cosine over all words of the examples."""
     real, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
