@@ -32,7 +32,6 @@ from itertools import combinations as subsets
 from math import comb
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -50,6 +49,10 @@ LIST_COST = 4
 TOGETHER = 500_000
 #: Bytes of texts that a task's Python side takes at once. Sets and keys of a batch come to a few times that.
 TEXT_BYTES = 1 << 20
+#: Bytes of texts that are hashed by one set of calls; a longer text by itself.
+AT_ONCE = 1 << 15
+#: Members of sets that are dealt to hash blocks at once; a larger set by itself.
+MEMBERS = 1 << 17
 #: Pairs are sifted by every PART-th hash of their sets before whole sets are compared.
 PART = 4
 #: Sets that a task compares with each other at once, on each side.
@@ -72,9 +75,19 @@ _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(30))) * _M1
-    h = (h ^ (h >> np.uint64(27))) * _M2
-    return h ^ (h >> np.uint64(31))
+    h = h ^ (h >> np.uint64(30))
+    h *= _M1
+    h ^= h >> np.uint64(27)
+    h *= _M2
+    h ^= h >> np.uint64(31)
+    return h
+
+
+def distinct(h: np.ndarray) -> np.ndarray:
+    """Sorted values, each once. Sorting whole numbers is several times as fast as the hash table of np.unique."""
+    h = np.sort(h)
+    new = h[1:] != h[:-1]
+    return h if new.all() else h[np.concatenate([[True], new])]
 
 
 class Shingler:
@@ -85,8 +98,6 @@ class Shingler:
         self.words = words
         self.byte = rng.integers(1, 1 << 63, 256, dtype=np.uint64)
         self.byte[65:91] = self.byte[97:123]  # A-Z count as a-z
-        self.space = np.zeros(256, bool)
-        self.space[[0x20, *range(0x09, 0x0E)]] = True
         self.base = 0x9E3779B97F4A7C15
         self.inverse = pow(self.base, -1, 1 << 64)
         self.factors = rng.integers(1, 1 << 63, words, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -99,26 +110,43 @@ class Shingler:
             steps[:, 0] = 1
             self.powers, self.backs = np.cumprod(steps, axis=1)
 
-    def __call__(self, text: str | None) -> np.ndarray:
-        raw = np.frombuffer((text or "").encode(), np.uint8)
-        if not len(raw):
-            return np.zeros(0, np.uint64)
-        inside = np.concatenate([[False], ~self.space[raw], [False]])
-        edge = np.flatnonzero(inside[1:] != inside[:-1])
-        starts, ends = edge[::2], edge[1::2]
-        if not len(starts):
-            return np.zeros(0, np.uint64)
+    def __call__(self, texts: list[str | None]) -> Iterator[np.ndarray]:
+        """The set of every text. Texts are hashed many at once, for most are too short to be worth the calls."""
+        texts = [(t or "").encode() for t in texts]
+        first = held = 0
+        for i, text in enumerate(texts):
+            held += len(text) + 1
+            if held >= AT_ONCE or i + 1 == len(texts):
+                yield from self._sets(texts[first : i + 1])
+                first, held = i + 1, 0
+
+    def _sets(self, texts: list[bytes]) -> Iterator[np.ndarray]:
+        raw = np.frombuffer(b" ".join(texts), np.uint8)
+        # spaces are 0x20 and 0x09 to 0x0D; words fill the gaps between them
+        between = np.flatnonzero((raw == 0x20) | (raw - np.uint8(0x09) < 5))
+        starts, ends = np.append(0, between + 1), np.append(between, len(raw))
+        filled = starts < ends
+        if not filled.all():
+            starts, ends = starts[filled], ends[filled]
         self._grow(len(raw) + 1)
         sums = np.zeros(len(raw) + 1, np.uint64)
-        np.cumsum(self.byte[raw] * self.powers[: len(raw)], out=sums[1:])
+        np.cumsum(self.byte.take(raw, mode="clip") * self.powers[: len(raw)], out=sums[1:])
         word = mix((sums[ends] - sums[starts]) * self.backs[starts] + (ends - starts).astype(np.uint64))
-        k, n = self.words, len(word)
-        if n < k:
-            return mix((word * self.factors[:n]).sum(keepdims=True) + np.uint64(n))
-        total = np.zeros(n - k + 1, np.uint64)
+        k = self.words
+        total = np.zeros(max(0, len(word) - k + 1), np.uint64)
         for i in range(k):
-            total += word[i : n - k + 1 + i] * self.factors[i]
-        return np.unique(mix(total))
+            total += word[i : i + len(total)] * self.factors[i]
+        total = mix(total)
+        lengths = np.array([len(t) + 1 for t in texts])
+        upto = np.searchsorted(starts, np.cumsum(lengths)).tolist()
+        for begin, end in zip([0, *upto], upto):
+            n = end - begin
+            if n >= k:
+                yield distinct(total[begin : end - k + 1])
+            elif n:
+                yield mix((word[begin:end] * self.factors[:n]).sum(keepdims=True) + np.uint64(n))
+            else:
+                yield np.zeros(0, np.uint64)
 
 
 class Sizes:
@@ -210,30 +238,42 @@ def light_keys(members: np.ndarray, sizes: Sizes, limit: int) -> tuple[np.ndarra
     return np.concatenate(keys), np.concatenate(sides)
 
 
-def heavy_keys(members: np.ndarray, sizes: Sizes, floor: int) -> tuple[np.ndarray, np.ndarray]:
-    """(keys, sides) of the first filled blocks of every class of a set."""
-    a = len(members)
-    need = sizes.differences(a) + 1
-    mixed, keys, sides = mix(members + np.uint64(1)), [], []
-    for kind, blocks, side in sizes.classes(a, floor):
-        block = (members % np.uint64(blocks)).astype(np.int64)
-        filled = np.bincount(block, minlength=blocks)
-        order = np.argsort(block, kind="stable")
-        at = np.flatnonzero(filled)
-        sums = np.add.reduceat(mixed[order], (np.cumsum(filled) - filled)[at])
-        key = mix(sums + _hash(2, kind) + at.astype(np.uint64) * _M1)[:need]
-        if len(at) < need:  # every filled block is listed; only two such sets could still miss each other
-            key = np.append(key, _hash(3, kind))
-        keys.append(key)
-        sides.append(np.full(len(key), side, np.int8))
-    return np.concatenate(keys), np.concatenate(sides)
+def heavy_keys(sets: list[np.ndarray], sizes: Sizes, floor: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(keys, sides, numbers of their sets) of the first filled blocks of every class of these sets."""
+    lengths = [len(s) for s in sets]
+    need = np.array([sizes.differences(a) + 1 for a in lengths])
+    classes: dict[tuple[int, int], list[tuple[int, int]]] = {}
+    for i, a in enumerate(lengths):
+        for kind, blocks, side in sizes.classes(a, floor):
+            classes.setdefault((kind, blocks), []).append((i, side))
+    for (kind, blocks), held in classes.items():
+        own, side = np.array([i for i, _ in held]), np.array([x for _, x in held], np.int8)
+        members = np.concatenate([sets[i] for i, _ in held])
+        row = np.repeat(np.arange(len(own)), [lengths[i] for i, _ in held])
+        slot = row * blocks + (members % np.uint64(blocks)).astype(np.int64)
+        # numbers of two bytes are ordered by counting
+        slot = slot.astype(np.uint16 if len(own) * blocks <= 1 << 16 else np.int64)
+        order = np.argsort(slot, kind="stable")
+        slot = slot[order]
+        at = np.flatnonzero(np.append(True, slot[1:] != slot[:-1]))
+        sums = np.add.reduceat(mix(members + np.uint64(1))[order], at)
+        row, block = np.divmod(slot[at].astype(np.int64), blocks)
+        filled = np.bincount(row, minlength=len(own))
+        early = np.arange(len(at)) - (np.cumsum(filled) - filled)[row] < need[own][row]
+        row = row[early]
+        key = mix(sums[early] + _hash(2, kind) + block[early].astype(np.uint64) * _M1)
+        # where every filled block is listed, only two such sets could still miss each other
+        all_listed = np.flatnonzero(filled < need[own])
+        row = np.append(row, all_listed)
+        yield np.append(key, np.full(len(all_listed), _hash(3, kind))), side[row], own[row]
 
 
 def named(members: np.ndarray) -> int:
     """The 64-bit name of a set."""
     import xxhash
 
-    return int(np.uint64(xxhash.xxh3_64_intdigest(members.tobytes())).astype(np.int64))
+    name = xxhash.xxh3_64_intdigest(members.tobytes())
+    return name - (1 << 64) if name >> 63 else name
 
 
 def listing(words: int, sizes: Sizes, limit: int):
@@ -248,12 +288,9 @@ def listing(words: int, sizes: Sizes, limit: int):
         made = [pa.nulls(rows, t) if x is None else x if isinstance(x, pa.Array) else pa.array(x, t) for x, t in zip(columns, types, strict=True)]
         return pa.RecordBatch.from_arrays(made, names)
 
-    def gathered(parts: list[tuple[np.ndarray, np.ndarray, int, int]]) -> Iterator[pa.RecordBatch]:
-        counts = [len(p[0]) for p in parts]
-        key = np.concatenate([p[0] for p in parts]).view(np.int64)
-        side = np.concatenate([p[1] for p in parts])
-        sid = np.repeat(np.array([p[2] for p in parts], np.int64), counts)
-        n = np.repeat(np.array([p[3] for p in parts], np.int32), counts)
+    def gathered(parts: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+        key, side, sid, n = (np.concatenate(column) for column in zip(*parts, strict=True))
+        key = key.view(np.int64)
         order = np.lexsort((sid, side, key))
         key, side, sid, n = key[order], side[order], sid[order], n[order]
         first = np.concatenate([[True], (key[1:] != key[:-1]) | (side[1:] != side[:-1])])
@@ -271,10 +308,18 @@ def listing(words: int, sizes: Sizes, limit: int):
         shingle, known = Shingler(words), set()
         parts: list = []
         waiting = 0
+        def taken(heavy: list[tuple[int, np.ndarray]]) -> int:
+            names = np.array([sid for sid, _ in heavy], np.int64)
+            lengths = np.array([len(members) for _, members in heavy], np.int32)
+            before = len(parts)
+            for key, side, own in heavy_keys([members for _, members in heavy], sizes, floor):
+                parts.append((key, side, names[own], lengths[own]))
+            return sum(len(p[0]) for p in parts[before:])
+
         for rows in batches:
             sizes_here, sids = [], []
-            for doc_id, text in zip(rows["doc_id"].to_pylist(), rows["text"], strict=True):
-                members = shingle(text.as_py())
+            heavy, held = [], 0
+            for doc_id, members in zip(rows["doc_id"].to_pylist(), shingle(rows["text"].to_pylist()), strict=True):
                 a = len(members)
                 sizes_here.append(a)
                 sids.append(named(members) if a else None)
@@ -282,15 +327,22 @@ def listing(words: int, sizes: Sizes, limit: int):
                     continue
                 known.add(sids[-1])
                 if a <= limit:
-                    parts.append((*light_keys(members, sizes, limit), sids[-1], a))
-                    waiting += len(parts[-1][0])
+                    key, side = light_keys(members, sizes, limit)
+                    parts.append((key, side, np.full(len(key), sids[-1], np.int64), np.full(len(key), a, np.int32)))
+                    waiting += len(key)
                 if a >= floor:
-                    parts.append((*heavy_keys(members, sizes, floor), sids[-1], a))
-                    waiting += len(parts[-1][0])
+                    heavy.append((sids[-1], members))
+                    held += a
+                    if held > MEMBERS:
+                        waiting += taken(heavy)
+                        heavy, held = [], 0
                 # short texts have thousands of keys each, so a batch is no bound
                 if waiting > TOGETHER:
                     yield from gathered(parts)
-                    parts, waiting = [], 0
+                    parts.clear()
+                    waiting = 0
+            if heavy:
+                waiting += taken(heavy)
             yield emit(DOCUMENT, len(sids), doc_id=rows["doc_id"], sid=sids, n=sizes_here)
         if parts:
             yield from gathered(parts)
@@ -311,7 +363,7 @@ def sets_of(docs: DataFrame, firsts: DataFrame, sids: DataFrame, words: int, par
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler(words)
         for rows in batches:
-            sets = [shingle(t.as_py()) for t in rows["text"]]
+            sets = list(shingle(rows["text"].to_pylist()))
             # a row of the same id may hold another text
             asked = [i for i, (s, sid) in enumerate(zip(sets, rows["sid"].to_pylist(), strict=True)) if len(s) and named(s) == sid]
             sets = [sets[i] for i in asked]
@@ -417,7 +469,7 @@ def grouped(docs: DataFrame, words: int, sizes: Sizes) -> tuple[DataFrame, DataF
     if members.limit(1).count():
         family, worth = families(members)
         small = family.where(F.col("_members") <= BLOCK).join(parts, "sid")
-        small = small.groupBy("centre").applyInPandas(_surviving(sizes), "centre long, sid long, _stray boolean")
+        small = small.groupBy("centre").applyInArrow(_surviving(sizes), "centre long, sid long, _stray boolean")
         family = family.where(F.col("_members") > BLOCK).select("centre", "sid", "_stray").union(small)
         family = settled(family, "jaccard-family")
         late = settled(plausible(around_centres(worth, sizes).distinct().join(pairs, ["u", "v"], "left_anti"), parts, sizes), "jaccard-late")
@@ -470,17 +522,26 @@ def families(members: DataFrame) -> tuple[DataFrame, DataFrame]:
     return family.join(worth.where("_any AND _members > 1").select("centre", "_members"), "centre"), around
 
 
-def _shared(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+def _flat(sets: pa.ListArray | list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The members of all sets, one set after the other, and the number of the set of each."""
+    if isinstance(sets, list):
+        flat, counts = np.concatenate(sets), [len(s) for s in sets]
+    else:
+        flat, counts = sets.flatten().to_numpy(), sets.value_lengths().to_numpy()
+    return flat, np.repeat(np.arange(len(sets), dtype=np.int32), counts)
+
+
+def _shared(a: pa.ListArray | list[np.ndarray], b: pa.ListArray | list[np.ndarray]) -> np.ndarray:
     """How many members every set of `a` has in common with every set of `b`. Members that many pairs have are counted by
     products of tables; of the others, which sets that do not link hold in great number, the pairs are listed."""
     shared = np.zeros((len(a), len(b)), np.int64)
-    own, n = np.unique(np.concatenate(a), return_inverse=True)
-    rows_a = np.repeat(np.arange(len(a), dtype=np.int32), [len(s) for s in a])
-    flat = np.concatenate(b)
+    own, rows_a = _flat(a)
+    own, n = np.unique(own, return_inverse=True)
+    flat, rows_b = _flat(b)
     if not len(own) or not len(flat):
         return shared
     at = np.minimum(np.searchsorted(own, flat), len(own) - 1)
-    rows_b, hit = np.repeat(np.arange(len(b), dtype=np.int32), [len(s) for s in b]), own[at] == flat
+    hit = own[at] == flat
     rows_b, at = rows_b[hit], at[hit]
     count_a, count_b = np.bincount(n, minlength=len(own)), np.bincount(at, minlength=len(own))
     common = count_a * count_b > COMMON * shared.size
@@ -511,9 +572,25 @@ def _shared(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
     return shared
 
 
-def _sides(block: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame]:
+def _numbers(column: pa.ChunkedArray) -> np.ndarray:
+    """A column without nulls."""
+    return column.combine_chunks().to_numpy(zero_copy_only=False)
+
+
+def _sets(block: pa.Table) -> pa.ListArray:
+    return block["_set"].combine_chunks()
+
+
+def _once(block: pa.Table) -> pa.Table:
+    """A row for every set."""
+    _, first = np.unique(_numbers(block["sid"]), return_index=True)
+    return block if len(first) == len(block) else block.take(pa.array(np.sort(first)))
+
+
+def _sides(block: pa.Table) -> tuple[pa.Table, pa.Table]:
     """Left and right side of a block, every set once."""
-    return block[block["_left"]].drop_duplicates("sid"), block[~block["_left"]].drop_duplicates("sid")
+    left = _numbers(block["_left"])
+    return _once(block.filter(pa.array(left))), _once(block.filter(pa.array(~left)))
 
 
 def _surviving(sizes: Sizes):
@@ -521,20 +598,19 @@ def _surviving(sizes: Sizes):
     stray and another member."""
     p, q = sizes.p, sizes.q
 
-    def survivors(block: pd.DataFrame) -> pd.DataFrame:
-        right = block.drop_duplicates("sid")
-        left = right[right["_stray"]]
-        if not len(left):
-            return right[["centre", "sid", "_stray"]]
-        a, b = list(left["_set"]), list(right["_set"])
-        x, y = np.array([len(s) for s in a])[:, None], np.array([len(s) for s in b])[None, :]
-        full_a, full_b = left["n"].to_numpy(np.int64)[:, None], right["n"].to_numpy(np.int64)[None, :]
-        good = (p + q) * (x + y - 2 * _shared(a, b)) <= (q - p) * (full_a + full_b)
-        good &= (q * full_a >= p * full_b) & (q * full_b >= p * full_a)
-        good &= left["sid"].to_numpy()[:, None] != right["sid"].to_numpy()[None, :]
+    def survivors(block: pa.Table) -> pa.Table:
+        right = _once(block)
+        stray = _numbers(right["_stray"])
+        if not stray.any():
+            return right.select(["centre", "sid", "_stray"])
+        b, sid, full = _sets(right), _numbers(right["sid"]), _numbers(right["n"]).astype(np.int64)
+        y = b.value_lengths().to_numpy()
+        good = (p + q) * (y[stray, None] + y - 2 * _shared(b.filter(pa.array(stray)), b)) <= (q - p) * (full[stray, None] + full)
+        good &= (q * full[stray, None] >= p * full) & (q * full >= p * full[stray, None])
+        good &= sid[stray, None] != sid
         kept = good.any(axis=0)
-        kept[np.flatnonzero(right["_stray"])] |= good.any(axis=1)
-        return right.loc[kept, ["centre", "sid", "_stray"]]
+        kept[stray] |= good.any(axis=1)
+        return right.select(["centre", "sid", "_stray"]).filter(pa.array(kept))
 
     return survivors
 
@@ -556,16 +632,16 @@ def _comparing(sizes: Sizes):
     """Function of one block: its links, as a star for each of their components."""
     p, q = sizes.p, sizes.q
 
-    def compared(block: pd.DataFrame) -> pd.DataFrame:
+    def compared(block: pa.Table) -> pa.Table:
         left, right = _sides(block)
         if not len(left) or not len(right):
-            return pd.DataFrame({"u": [], "v": []}, dtype="int64")
-        shared = _shared(list(left["_set"]), list(right["_set"]))
-        full_a, full_b = left["n"].to_numpy(np.int64)[:, None], right["n"].to_numpy(np.int64)[None, :]
+            return pa.table({"u": pa.array([], pa.int64()), "v": pa.array([], pa.int64())})
+        shared = _shared(_sets(left), _sets(right))
+        full_a, full_b = _numbers(left["n"]).astype(np.int64)[:, None], _numbers(right["n"]).astype(np.int64)
         rows, columns = _stars(q * shared >= p * (full_a + full_b - shared))
-        one, two = left["sid"].to_numpy(), right["sid"].to_numpy()
+        one, two = _numbers(left["sid"]), _numbers(right["sid"])
         u = np.concatenate([one[rows >= 0], two[columns >= 0]])
-        return pd.DataFrame({"u": u, "v": one[np.concatenate([rows[rows >= 0], columns[columns >= 0]])]})
+        return pa.table({"u": u, "v": one[np.concatenate([rows[rows >= 0], columns[columns >= 0]])]})
 
     return compared
 
@@ -575,18 +651,18 @@ def _counting(sizes: Sizes):
     without those pairs that link whatever the differences are."""
     twice = 2 * (sizes.p + sizes.q)
 
-    def compared(block: pd.DataFrame) -> pd.DataFrame:
+    def compared(block: pa.Table) -> pa.Table:
         left, right = _sides(block)
         if not len(left) or not len(right):
-            return pd.DataFrame({"sid": [], "n": []}, dtype="int64")
-        need = left["_over"].to_numpy()[:, None] + right["_over"].to_numpy()[None, :]
-        good = (need > 0) & (need <= twice * _shared(list(left["_set"]), list(right["_set"])))
-        good &= left["sid"].to_numpy()[:, None] != right["sid"].to_numpy()[None, :]
+            return pa.table({"sid": pa.array([], pa.int64()), "n": pa.array([], pa.int64())})
+        need = _numbers(left["_over"])[:, None] + _numbers(right["_over"])
+        good = (need > 0) & (need <= twice * _shared(_sets(left), _sets(right)))
+        one, two = _numbers(left["sid"]), _numbers(right["sid"])
+        good &= one[:, None] != two
         # two sets of the left meet in two blocks, each on the left of one
-        near = ~right["_stray"].to_numpy()
-        n = np.concatenate([good @ right["weight"].to_numpy(), (left["weight"].to_numpy() @ good)[near]])
-        sid = np.concatenate([left["sid"].to_numpy(), right["sid"].to_numpy()[near]])
-        return pd.DataFrame({"sid": sid, "n": n})[n > 0]
+        near = ~_numbers(right["_stray"])
+        n = np.concatenate([good @ _numbers(right["weight"]), (_numbers(left["weight"]) @ good)[near]])
+        return pa.table({"sid": np.concatenate([one, two[near]])[n > 0], "n": n[n > 0]})
 
     return compared
 
@@ -606,16 +682,18 @@ def _centred_on(members: DataFrame, middle: DataFrame, sets: DataFrame, sizes: S
     return placed.withColumn("_ring", ring).drop("_place", "_places")
 
 
-def _majority(sets: pd.DataFrame) -> pd.DataFrame:
+def _majority(block: pa.Table) -> pa.Table:
     """The hashes that more than half of a home's sets have; of two sets, the first."""
-    sets = sets.drop_duplicates("sid").sort_values("sid")
-    hashes, n = np.unique(np.concatenate(list(sets["_set"])), return_counts=True)
-    middle = hashes[2 * n > len(sets)] if len(sets) > 2 else sets["_set"].iloc[0]
-    return pd.DataFrame({"home": [sets["home"].iloc[0]], "_mid": [middle]})
+    sets = _sets(_once(block).sort_by("sid"))
+    hashes = np.sort(sets.flatten().to_numpy())
+    at = np.flatnonzero(np.append(True, hashes[1:] != hashes[:-1]))
+    often = hashes[at[2 * np.diff(np.append(at, len(hashes))) > len(sets)]]
+    middle = pa.array([often], pa.list_(pa.int64())) if len(sets) > 2 else sets[:1]
+    return pa.table({"home": block["home"].slice(0, 1), "_mid": middle})
 
 
 def _in_blocks(placed: DataFrame, function, schema: str, carry: list[str]) -> DataFrame:
-    """`function` over blocks that bring every stray of a home together with every member of its ring and the next
+    """`function` of Arrow tables over blocks that bring every stray of a home together with every member of its ring and the next
     ones: columns home, sid, _stray, _ring, _set and those carried."""
     room = F.sum(F.size("_set"))
     stray_room = F.sum(F.when(F.col("_stray"), F.size("_set")))
@@ -639,7 +717,7 @@ def _in_blocks(placed: DataFrame, function, schema: str, carry: list[str]) -> Da
         "home", F.col("_other").alias("_a"), F.col("_ring").alias("_b"),
         F.explode(F.sequence(zero, F.col("_strays") - 1)).alias("_i"), F.pmod(part, "_own").alias("_j"), F.lit(False).alias("_left"), "sid", "_stray", "_set", *carry,
     )
-    return one.union(two).groupBy("home", "_a", "_b", "_i", "_j").applyInPandas(function, schema)
+    return one.union(two).groupBy("home", "_a", "_b", "_i", "_j").applyInArrow(function, schema)
 
 
 def within_families(family: DataFrame, sets: DataFrame, sizes: Sizes) -> DataFrame:
@@ -660,7 +738,7 @@ def counted(docs: DataFrame, members: DataFrame, words: int, sizes: Sizes) -> Da
     # any middle will do; the majority of some members lies near most
     some = members.join(members.groupBy("home").agg(F.count("*").alias("_members")), "home")
     some = some.where((F.pmod(F.xxhash64("sid"), F.col("_members")) < MIDDLE) | (F.col("sid") == F.col("home"))).select("home", "sid")
-    middle = some.join(sets, "sid").groupBy("home").applyInPandas(_majority, "home long, _mid array<long>")
+    middle = some.join(sets, "sid").groupBy("home").applyInArrow(_majority, "home long, _mid array<long>")
     placed = _centred_on(members.drop("doc_id"), settled(middle, "jaccard-middle"), sets, sizes)
     apart = F.concat(F.array_except("_set", "_mid"), F.array_except("_mid", "_set"))
     placed = placed.withColumn("_set", apart).drop("_mid")
