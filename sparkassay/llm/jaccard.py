@@ -11,7 +11,9 @@ one list.
 Equal sets are one set from the start, named by a hash of its members, so a group of copies costs one row a task and
 key. Lists are scanned from a pivot, the least set: members are verified against it, exactly. Lists that then
 still hold several components are scanned from their centre, and what strays from the centre's component is
-compared with its family, in blocks; a block hands on a star for each component it sees, not its pairs.
+compared with its family. A large family first loses the sets that have too many members to themselves to link with
+another; what is then still too large for one task is compared in blocks. A block hands on a star for each component
+it sees, not its pairs.
 
 That settles the components, and every link lies inside one. Links are then counted, not listed: a set is stored as
 its differences from its component's centre. Two sets whose differences are few enough together link whatever they are, so
@@ -28,6 +30,7 @@ no links; an empty table gives no rows; whole texts are shingled; other columns
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations as subsets
 from math import comb
 
@@ -67,6 +70,8 @@ COMMON = 1 / 256
 MIDDLE = 15
 #: At least so many more blocks than differences are expected to be filled.
 SPARE = 1.35
+#: Sets are copied to their families and blocks in rounds, each of at most so many times the members that are copied from.
+COPIES = 2
 
 ROW = "kind byte, doc_id long, sid long, n int, key long, side byte, pivot long, pivot_n int"
 DOCUMENT, FIRST, NEXT = range(3)
@@ -307,7 +312,8 @@ def listing(words: int, sizes: Sizes, limit: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle, known = Shingler(words), set()
         parts: list = []
-        waiting = 0
+        waiting = done = 0
+
         def taken(heavy: list[tuple[int, np.ndarray]]) -> int:
             names = np.array([sid for sid, _ in heavy], np.int64)
             lengths = np.array([len(members) for _, members in heavy], np.int32)
@@ -343,7 +349,8 @@ def listing(words: int, sizes: Sizes, limit: int):
                     waiting = 0
             if heavy:
                 waiting += taken(heavy)
-            yield emit(DOCUMENT, len(sids), doc_id=rows["doc_id"], sid=sids, n=sizes_here)
+            yield emit(DOCUMENT, len(sids), doc_id=rows["doc_id"], sid=sids, n=sizes_here, key=np.arange(done, done + len(sids)))
+            done += len(sids)
         if parts:
             yield from gathered(parts)
 
@@ -351,8 +358,8 @@ def listing(words: int, sizes: Sizes, limit: int):
 
 
 def listed(docs: DataFrame, words: int, sizes: Sizes, limit: int) -> DataFrame:
-    """Rows of kind DOCUMENT (one a row, with its set), FIRST and NEXT (a key's first and further sets of a task's
-    gathering, the latter with the first as pivot)."""
+    """Rows of kind DOCUMENT (one a row, with its set; its key is a running number), FIRST and NEXT (a key's first and further
+    sets of a task's gathering, the latter with the first as pivot)."""
     return docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(listing(words, sizes, limit), ROW)
 
 
@@ -431,21 +438,9 @@ def grouped(docs: DataFrame, words: int, sizes: Sizes) -> tuple[DataFrame, DataF
     about = F.greatest(F.lit(1), F.floor(F.length("text") / 6) - words + 2).cast("int")
     rows = docs.where("text IS NOT NULL AND text != ''").select(F.least(about, F.lit(4 * MOST_LIGHT)).alias("a")).groupBy("a").count().collect()
     limit = boundary(sizes, {r["a"]: r["count"] for r in rows})
-    keys = settled(listed(docs, words, sizes, limit), "jaccard-keys", TEXT_BYTES)
-
-    lists = Window.partitionBy("key")
-    first = keys.where(F.col("kind") == FIRST).select("key", "side", "sid", "n")
-    one = F.when(F.col("side") != 1, F.struct("sid", "n"))
-    two = F.when(F.col("side") != 0, F.struct("sid", "n"))
-    # a set of side 0 is verified against the least of side 1 and the other way round
-    met = first.withColumn("_one", F.min(one).over(lists)).withColumn("_two", F.min(two).over(lists))
-    pivot = F.when(F.col("side") == 0, F.col("_two")).otherwise(F.col("_one"))
-    met = met.withColumn("_p", pivot).where("_p IS NOT NULL AND _p.sid != sid")
-    met = met.select("key", "sid", "n", F.col("_p.sid").alias("pivot"), F.col("_p.n").alias("pivot_n"))
-    further = keys.where(F.col("kind") == NEXT).select("key", "sid", "n", "pivot", "pivot_n")
-    found = settled(met.union(further), "jaccard-lists")
+    keys = settled(_met_in_lists(listed(docs, words, sizes, limit)), "jaccard-keys", TEXT_BYTES)
+    found = keys.where(F.col("kind") != DOCUMENT).select("key", "sid", "n", "pivot", "pivot_n")
     rows = settled(keys.where(F.col("kind") == DOCUMENT).select("doc_id", "sid", "n"), "jaccard-rows")
-    release(keys)
 
     named_rows = rows.where("sid IS NOT NULL AND doc_id IS NOT NULL")
     firsts = named_rows.groupBy("sid").agg(F.min("doc_id").alias("doc_id"))
@@ -465,25 +460,57 @@ def grouped(docs: DataFrame, words: int, sizes: Sizes) -> tuple[DataFrame, DataF
     groups = settled(components(links), "jaccard-groups")
 
     members = settled(mixed(found, groups), "jaccard-members")
-    release(found)
+    release(keys)
     if members.limit(1).count():
         family, worth = families(members)
-        small = family.where(F.col("_members") <= BLOCK).join(parts, "sid")
-        small = small.groupBy("centre").applyInArrow(_surviving(sizes), "centre long, sid long, _stray boolean")
-        family = family.where(F.col("_members") > BLOCK).select("centre", "sid", "_stray").union(small)
-        family = settled(family, "jaccard-family")
+        release(members)
+        family = sifted(family, parts, sizes, PART)
+        kept = "centre long, sid long, _stray boolean, _size int"
+        small = [some.join(parts, "sid").groupBy("centre").applyInArrow(_surviving(sizes), kept) for some in _rounds(family.where("_fits"), parts)]
+        family = in_turn([family.where("NOT _fits").drop("_fits"), *small], "jaccard-family")
         late = settled(plausible(around_centres(worth, sizes).distinct().join(pairs, ["u", "v"], "left_anti"), parts, sizes), "jaccard-late")
+        release(worth)
         wanted = _ends(late).union(family.select("sid")).union(family.select("centre")).distinct()
         release(parts)
         sets = sets_of(docs, firsts, wanted, words)
-        more = verified(late, sets, sizes).union(within_families(family, sets, sizes))
-        links = settled(groups.select(F.col("node").alias("u"), F.col("component").alias("v")).union(more), "jaccard-links")
+        # each by itself, so that the disks hold the shuffles of one
+        near = settled(verified(late, sets, sizes), "jaccard-near")
+        inside = within_families(family, sets, sizes)
         release(sets)
+        links = settled(groups.select(F.col("node").alias("u"), F.col("component").alias("v")).union(near).union(inside), "jaccard-links")
         groups = components(links)
     # the smallest set of a component has no row in groups
     return rows, settled(groups, "jaccard-groups")
 
 
+def _met_in_lists(keys: DataFrame) -> DataFrame:
+    """The rows of kind DOCUMENT and NEXT, and those of kind FIRST that meet another set of their key, with it as pivot. Keys
+    are shuffled as they come and never written otherwise, for few are met again. Further sets of a key are dealt out by
+    themselves."""
+    further = F.col("kind") == NEXT
+    # few columns, and side by side those that differ from row to row: that packs best. A further set is in _other, its pivot in sid
+    other = F.when(further, F.col("sid")).otherwise(F.col("doc_id")).alias("_other")
+    what = (F.col("n").cast("long") * 16 + F.coalesce("side", F.lit(0)) * 4 + F.col("kind")).alias("_what")
+    keys = keys.select("key", F.when(further, F.col("pivot")).otherwise(F.col("sid")).alias("sid"), what, other, "pivot_n")
+    kind, side, n = F.expr("_what & 3"), F.expr("(_what >> 2) & 3"), F.expr("int(_what >> 4)")
+    lists, first = Window.partitionBy("key", "_other"), kind == FIRST
+    one = F.when(first & (side != 1), F.struct("sid", n.alias("n")))
+    two = F.when(first & (side != 0), F.struct("sid", n.alias("n")))
+    # a set of side 0 is verified against the least of side 1 and the other way round
+    met = keys.withColumn("_one", F.min(one).over(lists)).withColumn("_two", F.min(two).over(lists))
+    met = met.withColumn("_p", F.when(side == 0, F.col("_two")).otherwise(F.col("_one")))
+    met = met.where(~first | (F.col("_p").isNotNull() & (F.col("_p.sid") != F.col("sid"))))
+    return met.select(
+        kind.cast("byte").alias("kind"),
+        F.when(kind == DOCUMENT, F.col("_other")).alias("doc_id"),
+        "key",
+        F.when(kind == NEXT, F.col("_other")).otherwise(F.col("sid")).alias("sid"),
+        n.alias("n"),
+        F.when(first, F.col("_p.sid")).when(kind == NEXT, F.col("sid")).alias("pivot"),
+        F.when(first, F.col("_p.n")).otherwise(F.col("pivot_n")).alias("pivot_n"),
+    )
+
+
 def mixed(found: DataFrame, groups: DataFrame) -> DataFrame:
     """(key, sid, n, _c): members of the lists that hold more than one component."""
     of = groups.select(F.col("node"), F.col("component"))
@@ -513,13 +540,82 @@ def around_centres(centred_members: DataFrame, sizes: Sizes) -> DataFrame:
 
 
 def families(members: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(centre, sid, _stray, _members), and the members with their centres. Lists with one centre are a family;
+    """(centre, sid, _stray, _size), and the members with their centres. Lists with one centre are a family;
     its strays are outside the centre's component. The centre itself is left out: it meets all others anyway."""
     around = settled(centred(members), "jaccard-centred")
-    family = around.select(F.col("_top.sid").alias("centre"), "sid", (F.col("_c") != F.col("_top._c")).alias("_stray"))
-    family = settled(family.where("sid != centre").groupBy("centre", "sid").agg(F.max("_stray").alias("_stray")), "jaccard-family")
+    family = around.select(F.col("_top.sid").alias("centre"), "sid", "n", (F.col("_c") != F.col("_top._c")).alias("_stray"))
+    family = family.where("sid != centre").groupBy("centre", "sid").agg(F.max("_stray").alias("_stray"), F.max("n").alias("_size"))
+    family = settled(family, "jaccard-family")
     worth = family.groupBy("centre").agg(F.count("*").alias("_members"), F.max("_stray").alias("_any"))
-    return family.join(worth.where("_any AND _members > 1").select("centre", "_members"), "centre"), around
+    return family.join(worth.where("_any AND _members > 1").select("centre"), "centre"), around
+
+
+def _fitting(family: DataFrame, part: int) -> DataFrame:
+    """Families with `_fits`: whether one task can compare all their sets, or every `part`-th hash of these."""
+    fits = (F.count("*") <= BLOCK) & (F.sum("_size") <= part * ROOM)
+    return family.join(family.groupBy("centre").agg(fits.alias("_fits")), "centre")
+
+
+def in_turn(parts: list[DataFrame], purpose: str) -> DataFrame:
+    """All parts, written one after the other, so that the disks hold the shuffles of one."""
+    return reduce(DataFrame.union, [settled(part, purpose, TEXT_BYTES) for part in parts])
+
+
+def _rounds(family: DataFrame, sets: DataFrame) -> list[DataFrame]:
+    """The families in parts, for a set is in as many families as its lists have centres."""
+    held = family.agg(F.sum("_size")).first()[0] or 0
+    n = -(-held // (COPIES * max(1, sets.agg(F.sum("n")).first()[0] or 0)))
+    return [family.where(F.pmod(F.xxhash64("centre"), F.lit(n)) == k) for k in range(n)] if n > 1 else [family]
+
+
+def _dealt_to_rooms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sets cut by their hashes, so that equal members of a family meet in one of its rooms."""
+    for rows in batches:
+        sets, rooms = rows["_set"], rows["_rooms"].to_numpy()
+        flat, own = _flat(sets)
+        if not len(flat):
+            continue
+        # hashes of a part are multiples, so rooms go by the upper half
+        room = ((flat.view(np.uint64) >> np.uint64(32)) % rooms[own].astype(np.uint64)).astype(np.int64)
+        slot = own * int(rooms.max()) + room
+        order = np.argsort(slot, kind="stable")
+        slot = slot[order]
+        at = np.flatnonzero(np.append(True, slot[1:] != slot[:-1]))
+        back = pa.array(own[order][at])
+        lists = pa.ListArray.from_arrays(pa.array(np.append(at, len(flat)), pa.int32()), pa.array(flat[order]))
+        columns = [rows["centre"].take(back), pa.array(room[order][at]), rows["sid"].take(back), rows["n"].take(back), lists]
+        yield pa.RecordBatch.from_arrays(columns, ["centre", "_room", "sid", "n", "_set"])
+
+
+def _alone(block: pa.Table) -> pa.Table:
+    """For every set in a room, how many of its members no other set has."""
+    block = _once(block)
+    flat, own = _flat(_sets(block))
+    _, at, times = np.unique(flat, return_inverse=True, return_counts=True)
+    alone = np.bincount(own[times[at] == 1], minlength=len(block))
+    return block.select(["centre", "sid", "n"]).append_column("_alone", pa.array(alone, pa.int64()))
+
+
+def sifted(family: DataFrame, sets: DataFrame, sizes: Sizes, part: int) -> DataFrame:
+    """Families (centre, sid, _stray, _size) with `_fits`, the large ones without sets that can link with none of the others:
+    a set may have only so many members that a linked one lacks, and no other has those that it has to itself. Takes whole
+    sets or parts of them. Each member goes to one room, so this grows with the members, not with their pairs."""
+    known = settled(_fitting(family, part), "jaccard-family")
+    large = known.where("NOT _fits").drop("_fits")
+    if not large.limit(1).count():
+        return known
+
+    def left(some: DataFrame) -> DataFrame:
+        rooms = some.groupBy("centre").agg(F.ceil(F.sum("_size") / (part * ROOM)).cast("long").alias("_rooms"))
+        wide = some.select("centre", "sid").join(rooms, "centre").join(sets, "sid").select("centre", "_rooms", "sid", "n", "_set")
+        dealt = wide.mapInArrow(_dealt_to_rooms, "centre long, _room long, sid long, n int, _set array<long>")
+        alone = dealt.groupBy("centre", "_room").applyInArrow(_alone, "centre long, sid long, n int, _alone long")
+        gone = alone.groupBy("centre", "sid").agg(F.sum("_alone").alias("_alone"), F.max("n").cast("long").alias("n"))
+        gone = gone.where(f"{sizes.q} * _alone > ({sizes.q} - {sizes.p}) * n").select("centre", "sid")
+        return some.join(gone, ["centre", "sid"], "left_anti")
+
+    sift = in_turn([left(some) for some in _rounds(large, sets)], "jaccard-sifted")
+    return known.where("_fits").unionByName(_fitting(sift, part))
 
 
 def _flat(sets: pa.ListArray | list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -602,7 +698,7 @@ def _surviving(sizes: Sizes):
         right = _once(block)
         stray = _numbers(right["_stray"])
         if not stray.any():
-            return right.select(["centre", "sid", "_stray"])
+            return right.select(["centre", "sid", "_stray", "_size"])
         b, sid, full = _sets(right), _numbers(right["sid"]), _numbers(right["n"]).astype(np.int64)
         y = b.value_lengths().to_numpy()
         good = (p + q) * (y[stray, None] + y - 2 * _shared(b.filter(pa.array(stray)), b)) <= (q - p) * (full[stray, None] + full)
@@ -610,7 +706,7 @@ def _surviving(sizes: Sizes):
         good &= sid[stray, None] != sid
         kept = good.any(axis=0)
         kept[stray] |= good.any(axis=1)
-        return right.select(["centre", "sid", "_stray"]).filter(pa.array(kept))
+        return right.select(["centre", "sid", "_stray", "_size"]).filter(pa.array(kept))
 
     return survivors
 
@@ -628,12 +724,18 @@ def _stars(good: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return rows, columns
 
 
-def _comparing(sizes: Sizes):
+def _strays(block: pa.Table) -> tuple[pa.Table, pa.Table]:
+    """The strays of a family and all its members, every set once."""
+    block = _once(block)
+    return block.filter(pa.array(_numbers(block["_stray"]))), block
+
+
+def _comparing(sizes: Sizes, sides=_sides):
     """Function of one block: its links, as a star for each of their components."""
     p, q = sizes.p, sizes.q
 
     def compared(block: pa.Table) -> pa.Table:
-        left, right = _sides(block)
+        left, right = sides(block)
         if not len(left) or not len(right):
             return pa.table({"u": pa.array([], pa.int64()), "v": pa.array([], pa.int64())})
         shared = _shared(_sets(left), _sets(right))
@@ -692,22 +794,26 @@ def _majority(block: pa.Table) -> pa.Table:
     return pa.table({"home": block["home"].slice(0, 1), "_mid": middle})
 
 
-def _in_blocks(placed: DataFrame, function, schema: str, carry: list[str]) -> DataFrame:
+def _in_blocks(placed: DataFrame, function, schema: str, carry: list[str]) -> list[DataFrame]:
     """`function` of Arrow tables over blocks that bring every stray of a home together with every member of its ring and the next
-    ones: columns home, sid, _stray, _ring, _set and those carried."""
+    ones: columns home, sid, _stray, _ring, _set and those carried. The blocks come in rounds, for a set is in many."""
     room = F.sum(F.size("_set"))
     stray_room = F.sum(F.when(F.col("_stray"), F.size("_set")))
     counts = placed.groupBy("home", "_ring").agg(
         F.ceil(F.greatest(F.count("*") / BLOCK, room / ROOM)).cast("long").alias("_all"),
         F.coalesce(F.ceil(F.greatest(F.count_if("_stray") / BLOCK, stray_room / ROOM)).cast("long"), F.lit(0)).alias("_strays"),
+        room.alias("_room"),
+        F.coalesce(stray_room, F.lit(0)).alias("_stray_room"),
     )
     # a set of no members still fills a block
     counts = counts.withColumn("_all", F.greatest("_all", F.lit(1)))
     counts = counts.select("home", F.col("_ring").alias("_other"), "_all", "_strays").join(
-        counts.select("home", "_ring", F.col("_all").alias("_own"), F.col("_strays").alias("_own_strays")), "home"
+        counts.select("home", "_ring", F.col("_all").alias("_own"), F.col("_strays").alias("_own_strays"), "_room", "_stray_room"), "home"
     )
     counts = counts.where("abs(_ring - _other) <= 1 AND (_strays > 0 OR _own_strays > 0)")
-    wide = placed.join(counts, ["home", "_ring"])
+    held = counts.agg(F.sum(F.expr("_stray_room * _all + _room * _strays"))).first()[0] or 0
+    rounds = max(1, -(-held // (COPIES * max(1, placed.agg(room).first()[0] or 0))))
+    wide = placed.join(counts.drop("_room", "_stray_room"), ["home", "_ring"])
     part, zero = F.xxhash64("sid"), F.lit(0).cast("long")
     one = wide.where("_stray").select(
         "home", F.col("_ring").alias("_a"), F.col("_other").alias("_b"), F.pmod(part, "_own_strays").alias("_i"),
@@ -717,16 +823,27 @@ def _in_blocks(placed: DataFrame, function, schema: str, carry: list[str]) -> Da
         "home", F.col("_other").alias("_a"), F.col("_ring").alias("_b"),
         F.explode(F.sequence(zero, F.col("_strays") - 1)).alias("_i"), F.pmod(part, "_own").alias("_j"), F.lit(False).alias("_left"), "sid", "_stray", "_set", *carry,
     )
-    return one.union(two).groupBy("home", "_a", "_b", "_i", "_j").applyInArrow(function, schema)
+    block = ["home", "_a", "_b", "_i", "_j"]
+    both = one.union(two)
+    some = [both.where(F.pmod(F.xxhash64(*block), F.lit(rounds)) == k) for k in range(rounds)] if rounds > 1 else [both]
+    return [x.groupBy(*block).applyInArrow(function, schema) for x in some]
 
 
 def within_families(family: DataFrame, sets: DataFrame, sizes: Sizes) -> DataFrame:
-    """Links (u, v) of the strays of families (centre, sid, _stray) with other members: enough of them to show the components."""
+    """Links (u, v) of the strays of families (centre, sid, _stray, _size) with other members: enough of them to show the
+    components."""
+    family = sifted(family, sets, sizes, 1)
+    small = [some.join(sets, "sid").groupBy("centre").applyInArrow(_comparing(sizes, _strays), "u long, v long") for some in _rounds(family.where("_fits"), sets)]
+    found = in_turn([links.where("u != v").distinct() for links in small], "jaccard-within")
+    large = family.where("NOT _fits").select(F.col("centre").alias("home"), "sid", "_stray")
+    if not large.limit(1).count():
+        return found
     middle = sets.select(F.col("sid").alias("home"), F.col("_set").alias("_mid")).dropDuplicates(["home"])
-    placed = _centred_on(family.withColumnRenamed("centre", "home"), middle, sets, sizes)
-    placed = settled(placed.drop("_mid"), "jaccard-families")
-    found = _in_blocks(placed, _comparing(sizes), "u long, v long", ["n"])
-    return found.where("u != v").distinct()
+    placed = settled(_centred_on(large, middle, sets, sizes).drop("_mid"), "jaccard-families")
+    blocks = _in_blocks(placed, _comparing(sizes), "u long, v long", ["n"])
+    blocks = in_turn([links.where("u != v").distinct() for links in blocks], "jaccard-within")
+    release(placed)
+    return found.union(blocks)
 
 
 def counted(docs: DataFrame, members: DataFrame, words: int, sizes: Sizes) -> DataFrame:
@@ -755,4 +872,5 @@ def counted(docs: DataFrame, members: DataFrame, words: int, sizes: Sizes) -> Da
     sums = asked.union(there).withColumn("_n", F.sum("_weight").over(upto)).where("_for IS NOT NULL").select("home", F.col("_for").alias("_over"), "_n")
     plain = once.join(sums, ["home", "_over"]).select("sid", (F.col("_n") + F.when(F.col("_over") > 0, F.col("weight")).otherwise(0)).alias("n"))
     rest = _in_blocks(placed.where(F.size("_set") > 0), _counting(sizes), "sid long, n long", ["weight", "_over"])
-    return settled(plain.union(rest).groupBy("sid").agg(F.sum("n").alias("n")), "jaccard-counts")
+    counts = [x.groupBy("sid").agg(F.sum("n").alias("n")) for x in rest]
+    return settled(plain.union(in_turn(counts, "jaccard-linked")).groupBy("sid").agg(F.sum("n").alias("n")), "jaccard-counts")
