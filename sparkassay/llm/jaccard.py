@@ -71,7 +71,7 @@ MIDDLE = 15
 #: At least so many more blocks than differences are expected to be filled.
 SPARE = 1.35
 #: Sets are copied to their families and blocks in rounds, each of at most so many times the members that are copied from.
-COPIES = 2
+COPIES = 4
 
 ROW = "kind byte, doc_id long, sid long, n int, key long, side byte, pivot long, pivot_n int"
 DOCUMENT, FIRST, NEXT = range(3)
